@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiclust.operators import embed
 from lexiclust.operators import text as textops
 from lexiclust.session import spread
 from lexiclust.sources.tables import read_table
@@ -36,3 +37,27 @@ class Inputs:
 
     def tokens(self) -> DataFrame:
         return textops.tokenize(self.clean())
+
+    def conversation_tokens(self) -> DataFrame:
+        """Tokens of the cleaned ``conversations`` corpus (a second corpus)."""
+        conv = self.table("conversations").select(
+            (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), "text")
+        return textops.tokenize(textops.clean_lines(spread(lines_from_table(conv))))
+
+    # -- vectors ----------------------------------------------------------
+    def embedding_vectors(self) -> DataFrame:
+        """``embeddings`` as a vector set: rank = vec_id, word = its text."""
+        return self.table("embeddings").select(
+            F.lit("embeddings").alias("slug"), F.col("vec_id").cast("long").alias("rank"),
+            F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
+
+    def vocab(self, n: int = 200_000) -> DataFrame:
+        return textops.top_vocab(self.tokens(), n)
+
+    def context_vectors(self) -> DataFrame:
+        """Word vectors of the document vocabulary (M7 stand-in for training)."""
+        toks = self.tokens().persist()
+        return embed.context_vectors(toks, self.vocab_of(toks), dims=16, slug="documents-context")
+
+    def vocab_of(self, toks: DataFrame, n: int = 200_000) -> DataFrame:
+        return textops.top_vocab(toks, n)

@@ -113,5 +113,140 @@ SELECT rank, token, n FROM (
 WHERE rank <= 200000"""
 
 
+
+# ---------------------------------------------------------------------------
+# Vectors and k-means
+
+
+def _unit(expr: str) -> str:
+    return (f"list_transform({expr}, lambda e: e / (sqrt(list_sum(list_transform({expr}, "
+            f"lambda f: f * f))) + 1e-12))")
+
+
+def _round_list(expr: str) -> str:
+    return f"list_transform({expr}, lambda e: round(e, 6))"
+
+
+EMB = f"""vn AS (
+  SELECT 'embeddings' AS slug, CAST(vec_id AS BIGINT) AS rank, CAST(vec_id AS VARCHAR) AS word,
+         {_unit('CAST(embedding AS DOUBLE[])')} AS x
+  FROM embeddings
+)"""
+
+CONTEXT = TOKEN_STATS + f""",
+vocab AS (SELECT token, row_number() OVER (ORDER BY n DESC, fd, fl, ft) AS rnk FROM tstats),
+cvc AS (SELECT token, doc_id % 16 AS b, count(*) AS c FROM tokens WHERE token <> '' GROUP BY 1, 2),
+cvd AS (
+  SELECT t.token, list(coalesce(ln(1 + c.c), 0.0) ORDER BY g.b) AS v
+  FROM (SELECT DISTINCT token FROM cvc) t CROSS JOIN range(0, 16) g(b)
+  LEFT JOIN cvc c ON c.token = t.token AND c.b = g.b
+  GROUP BY t.token
+),
+cv AS (
+  SELECT 'documents-context' AS slug, CAST(vocab.rnk - 1 AS BIGINT) AS rank, cvd.token AS word,
+         {_unit('v')} AS x
+  FROM cvd JOIN vocab USING (token) WHERE vocab.rnk <= 200000
+)"""
+
+CONV_TOKENS = f"""craw AS (
+  SELECT conv_id * 1000000 + turn AS doc_id, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS line_pos,
+         unnest(parts) AS raw
+  FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations)
+),
+cnorm AS (
+  SELECT doc_id, line_pos, {_norm('raw', KEEP_REF)} AS text
+  FROM craw WHERE NOT regexp_full_match(raw, '[[:space:]]*')
+),
+cclean AS (SELECT DISTINCT text FROM cnorm WHERE length(text) >= 20),
+ctokens AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM cclean)"""
+
+
+def kmeans_ctes(src: str, k: int, rounds: int, seed: int) -> str:
+    """Unrolled spherical k-means over ``src(slug, rank, word, x)``; ends with
+    ``lab`` (rank, word, cid) from the centroids after ``rounds`` rounds."""
+    ctes = [f"""c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY md5('{seed}:' || rank), rank) - 1 AS INTEGER) AS cid, x AS c
+  FROM {src} QUALIFY row_number() OVER (ORDER BY md5('{seed}:' || rank), rank) <= {k}
+)"""]
+
+    def assign(t_prev: int, name: str) -> str:
+        return f"""{name} AS (
+  SELECT v.rank, v.word, any_value(v.x) AS x,
+         (min({{'d': round(list_distance(v.x, c.c), 9), 'cid': c.cid}})).cid AS cid
+  FROM {src} v CROSS JOIN c{t_prev} c GROUP BY v.rank, v.word
+)"""
+
+    for t in range(1, rounds + 1):
+        ctes.append(assign(t - 1, f"a{t}"))
+        ctes.append(f"""m{t} AS (
+  SELECT cid, list(e ORDER BY i) AS m FROM (
+    SELECT cid, i, avg(e) AS e FROM (
+      SELECT cid, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM a{t}) GROUP BY cid, i)
+  GROUP BY cid
+),
+e{t} AS (
+  SELECT g.cid, row_number() OVER (ORDER BY g.cid) AS j
+  FROM range(0, {k}) g(cid) WHERE g.cid NOT IN (SELECT cid FROM m{t})
+),
+s{t} AS (
+  SELECT x, row_number() OVER (ORDER BY md5('{seed}:{t}:' || rank), rank) AS j FROM {src}
+  QUALIFY j <= {k}
+),
+c{t} AS (
+  SELECT CAST(cid AS INTEGER) AS cid, {_unit('m')} AS c FROM (
+    SELECT cid, m FROM m{t}
+    UNION ALL SELECT e.cid, s.x FROM e{t} e JOIN s{t} s USING (j))
+)""")
+    ctes.append(assign(rounds, "lab"))
+    return ",\n".join(ctes)
+
+
+def _kmeans_query(rounds: int, method: str = "parallel", k: int = 10) -> str:
+    return (f"WITH {EMB},\n{kmeans_ctes('vn', k, rounds, 42)}\n"
+            f"SELECT 'embeddings' AS slug, '{method}' AS method, CAST({k} AS INTEGER) AS k, word, "
+            f"CAST(cid AS INTEGER) AS cluster FROM lab")
+
+
+ORACLES["l2_normalize"] = f"WITH {EMB} SELECT slug, rank, word, {_round_list('x')} AS vec FROM vn"
+
+ORACLES["context_vectors"] = f"WITH {CONTEXT} SELECT slug, rank, word, {_round_list('x')} AS vec FROM cv"
+
+ORACLES["cap_rank"] = f"WITH {CONTEXT} SELECT slug, rank, word FROM cv WHERE rank < 20000"
+
+ORACLES["restrict_to_vocab"] = f"""WITH {CONTEXT}, {CONV_TOKENS}
+SELECT slug, rank, word FROM cv
+WHERE word IN (SELECT token FROM ctokens) OR NOT EXISTS (SELECT 1 FROM cv WHERE word IN (SELECT token FROM ctokens))"""
+
+ORACLES["restrict_fallback"] = f"""WITH {CONTEXT}, {CONV_TOKENS}
+SELECT slug, rank, word FROM cv
+WHERE word IN (SELECT '#' || token FROM ctokens)
+   OR NOT EXISTS (SELECT 1 FROM cv WHERE word IN (SELECT '#' || token FROM ctokens))"""
+
+ORACLES["known_words"] = f"""WITH {CONTEXT}, {CONV_TOKENS},
+{kmeans_ctes('cv', 10, 1, 42)}
+SELECT 'documents-context' AS slug, 'parallel' AS method, CAST(10 AS INTEGER) AS k, word,
+       CAST(cid AS INTEGER) AS cluster
+FROM lab WHERE word IN (SELECT token FROM ctokens)"""
+
+ORACLES["nearest_centroid"] = _kmeans_query(0)
+ORACLES["kmeans_round1"] = _kmeans_query(1)
+ORACLES["kmeans_round3"] = _kmeans_query(3)
+
+ORACLES["centroid_mean"] = (
+    f"WITH {EMB},\n{kmeans_ctes('vn', 10, 1, 42)},\n"
+    f"""emb AS (SELECT CAST(vec_id AS VARCHAR) AS word, {_unit('CAST(embedding AS DOUBLE[])')} AS x FROM embeddings),
+mem AS (SELECT lab.cid, emb.x FROM lab JOIN emb USING (word)),
+mm AS (
+  SELECT cid, list(e ORDER BY i) AS m, max(n) AS n FROM (
+    SELECT cid, i, avg(e) AS e, count(*) AS n FROM (
+      SELECT cid, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM mem) GROUP BY cid, i)
+  GROUP BY cid
+)
+SELECT 'embeddings' AS slug, 'parallel' AS method, CAST(10 AS INTEGER) AS k, CAST(g.cid AS INTEGER) AS cid,
+       {_round_list(_unit('coalesce(mm.m, list_transform(range(64), lambda z: 0.0))'))} AS centroid,
+       CAST(coalesce(mm.n, 0) AS BIGINT) AS n_words
+FROM range(0, 10) g(cid) LEFT JOIN mm ON mm.cid = g.cid""")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -89,3 +89,135 @@ def q_token_counts(spark, sf_dir):
 @query("top_vocab")
 def q_top_vocab(spark, sf_dir):
     return textops.top_vocab(Inputs(spark, sf_dir).tokens(), TOP_VOCAB)
+
+
+# ---------------------------------------------------------------------------
+# Vectors and k-means
+
+EMB_K = 10
+CAP_WORDS = 20_000
+GRID_K = (5, 10, 20)
+
+
+def _round_vec(df, col="vec"):
+    from lexiclust.functions.vector import round_array
+    return df.withColumn(col, round_array(col, 6))
+
+
+def _embedding_run(spark, sf_dir, rounds, stop_early=False, k=EMB_K, seed=42):
+    from lexiclust.operators import kmeans as km
+    from lexiclust.operators.vectors import l2_normalize
+    vs = l2_normalize(Inputs(spark, sf_dir).embedding_vectors())
+    fit = km.spherical_kmeans(vs, [k], seed=seed, max_iter=rounds, stop_early=stop_early)
+    lab = km.predict(vs, fit.centroids)
+    return lab.select("slug", F.lit("parallel").alias("method"), "k", "word", "cluster"), fit
+
+
+@query("l2_normalize")
+def q_l2_normalize(spark, sf_dir):
+    from lexiclust.operators.vectors import l2_normalize
+    return _round_vec(l2_normalize(Inputs(spark, sf_dir).embedding_vectors()))
+
+
+@query("context_vectors")
+def q_context_vectors(spark, sf_dir):
+    return _round_vec(Inputs(spark, sf_dir).context_vectors())
+
+
+@query("cap_rank")
+def q_cap_rank(spark, sf_dir):
+    from lexiclust.operators.vectors import cap_rank
+    return cap_rank(Inputs(spark, sf_dir).context_vectors(), CAP_WORDS).select("slug", "rank", "word")
+
+
+@query("restrict_to_vocab")
+def q_restrict_to_vocab(spark, sf_dir):
+    """Document-vocabulary vectors kept to the words of the conversations."""
+    from lexiclust.operators.vectors import restrict_to_vocab
+    inp = Inputs(spark, sf_dir)
+    return restrict_to_vocab(inp.context_vectors(), inp.conversation_tokens().select("token")).select(
+        "slug", "rank", "word")
+
+
+@query("restrict_fallback")
+def q_restrict_fallback(spark, sf_dir):
+    """A toplist that matches nothing (conversation tokens behind a '#',
+    which cleaned text cannot hold) keeps every vector."""
+    from lexiclust.operators.vectors import restrict_to_vocab
+    inp = Inputs(spark, sf_dir)
+    lst = inp.conversation_tokens().select(F.concat(F.lit("#"), "token").alias("token"))
+    return restrict_to_vocab(inp.context_vectors(), lst).select("slug", "rank", "word")
+
+
+@query("known_words")
+def q_known_words(spark, sf_dir):
+    """Assignments of a run over the whole document vocabulary, kept to the
+    words that also have a vector in the conversation-restricted set."""
+    from lexiclust.operators import kmeans as km
+    from lexiclust.operators.vectors import known_words, restrict_to_vocab
+    inp = Inputs(spark, sf_dir)
+    cv = inp.context_vectors()
+    fit = km.spherical_kmeans(cv, [EMB_K], seed=42, max_iter=1, stop_early=False)
+    asg = km.predict(cv, fit.centroids).select("slug", F.lit("parallel").alias("method"), "k", "word", "cluster")
+    small = restrict_to_vocab(cv, inp.conversation_tokens().select("token"))
+    return known_words(asg, small)
+
+
+@query("nearest_centroid")
+def q_nearest_centroid(spark, sf_dir):
+    """Every unit embedding to the nearest of the K start centroids."""
+    asg, _ = _embedding_run(spark, sf_dir, rounds=0)
+    return asg
+
+
+@query("kmeans_round1")
+def q_kmeans_round1(spark, sf_dir):
+    return _embedding_run(spark, sf_dir, rounds=1)[0]
+
+
+@query("kmeans_round3")
+def q_kmeans_round3(spark, sf_dir):
+    return _embedding_run(spark, sf_dir, rounds=3)[0]
+
+
+@query("kmeans_converged")
+def q_kmeans_converged(spark, sf_dir):
+    """M1 until the all-close test holds (at most 100 rounds)."""
+    return _embedding_run(spark, sf_dir, rounds=100, stop_early=True)[0]
+
+
+@query("centroid_mean")
+def q_centroid_mean(spark, sf_dir):
+    from lexiclust.operators.vectors import centroid_mean
+    asg, _ = _embedding_run(spark, sf_dir, rounds=1)
+    vs = Inputs(spark, sf_dir).embedding_vectors()
+    out = centroid_mean(asg, vs, k_of_run=asg.select("slug", "method", "k").distinct()
+                        .withColumn("k_total", F.col("k")))
+    return _round_vec(out, "centroid")
+
+
+@query("kmeans_lloyd")
+def q_kmeans_lloyd(spark, sf_dir):
+    from lexiclust.operators import kmeans as km
+    from lexiclust.operators.vectors import l2_normalize
+    vs = l2_normalize(Inputs(spark, sf_dir).embedding_vectors())
+    model, _, _ = km.lloyd_kmeans(vs, EMB_K, seed=42, n_init=10)
+    return km.model_labels(model, vs).select("slug", F.lit("serial").alias("method"),
+                                             F.lit(EMB_K).alias("k"), "word", "cluster")
+
+
+@query("kmeans_baseline")
+def q_kmeans_baseline(spark, sf_dir):
+    from lexiclust.operators import kmeans as km
+    from lexiclust.operators.vectors import l2_normalize
+    vs = l2_normalize(Inputs(spark, sf_dir).embedding_vectors())
+    model, _, _, _ = km.baseline_kmeans(vs, EMB_K, seed=42)
+    return km.model_labels(model, vs).select("slug", F.lit("sklearn").alias("method"),
+                                             F.lit(EMB_K).alias("k"), "word", "cluster")
+
+
+@query("cluster_grid")
+def q_cluster_grid(spark, sf_dir):
+    from lexiclust.operators import kmeans as km
+    res = km.cluster_grid(Inputs(spark, sf_dir).embedding_vectors(), GRID_K, method="parallel")
+    return res.assignments
