@@ -87,14 +87,24 @@ def clean_lines(lines: DataFrame, min_len: int = MIN_LINE_LENGTH, lowercase: boo
                 use_nfkc: bool = True) -> DataFrame:
     """``clean-text``: P5, P2, P1, P3, P4 (when a profile is given), A1.
 
-    The keep-class follows the profile (the reference class without one)."""
+    The keep-class follows the profile (the reference class without one).
+    Each line is normalised exactly once: the length and profile tests are
+    computed next to the text and applied after the dedup aggregation, where
+    the optimizer cannot inline the normalisation into a second filter.
+    """
     keep = profile.keep_class if profile else REFERENCE_KEEP_CLASS
     df = head_lines(lines, head) if head else lines
-    df = normalize_lines(df, lowercase, keep, use_nfkc)
-    df = min_length(df, min_len)
+    text = normalize_text(F.col("raw"), lowercase, keep, use_nfkc)
+    df = df.select("doc_id", "line_pos", text.alias("text"), is_blank(F.col("raw")).alias("blank"))
+    ok = (F.length("text") >= min_len) & ~F.col("blank")
     if profile is not None:
-        df = language_filter(df, profile)
-    return dedup_lines(df)
+        ok = ok & matches_profile(F.col("text"), profile)
+    df = df.select("doc_id", "line_pos", "text", ok.alias("ok"))
+    out = df.groupBy("text").agg(
+        F.min(F.when(F.col("ok"), F.struct("doc_id", "line_pos"))).alias("first"),
+        F.max("ok").alias("ok"))
+    return out.filter("ok").select(F.col("first.doc_id").alias("doc_id"),
+                                   F.col("first.line_pos").alias("line_pos"), "text")
 
 
 def clean_counters(lines: DataFrame, min_len: int = MIN_LINE_LENGTH, lowercase: bool = True,

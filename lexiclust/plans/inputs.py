@@ -30,7 +30,7 @@ class Inputs:
     # -- text -------------------------------------------------------------
     def raw_lines(self) -> DataFrame:
         """The corpus: ``documents.text`` split on newlines, in (doc_id, line) order."""
-        return spread(lines_from_table(self.table("documents").select("doc_id", "text")))
+        return lines_from_table(spread(self.table("documents").select("doc_id", "text")))
 
     def clean(self) -> DataFrame:
         return textops.clean_lines(self.raw_lines())
@@ -42,7 +42,7 @@ class Inputs:
         """Tokens of the cleaned ``conversations`` corpus (a second corpus)."""
         conv = self.table("conversations").select(
             (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), "text")
-        return textops.tokenize(textops.clean_lines(spread(lines_from_table(conv))))
+        return textops.tokenize(textops.clean_lines(lines_from_table(spread(conv))))
 
     # -- vectors ----------------------------------------------------------
     def embedding_vectors(self) -> DataFrame:
