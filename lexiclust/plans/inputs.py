@@ -61,3 +61,40 @@ class Inputs:
 
     def vocab_of(self, toks: DataFrame, n: int = 200_000) -> DataFrame:
         return textops.top_vocab(toks, n)
+
+    # -- runs and labels --------------------------------------------------
+    def treebank(self) -> DataFrame:
+        """Treebank rows from the cleaned corpus: form = token, lemma = token
+        without its last two letters when longer than five, upos = the
+        document's language in upper case; ``ord`` = corpus order."""
+        toks = self.tokens()
+        langs = self.table("documents").select("doc_id", F.upper("lang").alias("upos"))
+        lemma = F.when(F.length("token") > 5, F.expr("substring(token, 1, length(token) - 2)")
+                       ).otherwise(F.col("token"))
+        return toks.join(langs, "doc_id").select(
+            F.col("token").alias("form"), lemma.alias("lemma"), "upos",
+            F.struct("doc_id", "line_pos", "tok_pos").alias("ord"))
+
+    def runs_over(self, vectors: DataFrame, ks, rounds: int, seed: int = 42) -> DataFrame:
+        """Assignments ``slug, method, k, word, cluster`` of spherical k-means
+        after ``rounds`` rounds for every K (one shared pass per round)."""
+        from lexiclust.operators import kmeans as km
+        fit = km.spherical_kmeans(vectors, ks, seed=seed, max_iter=rounds, stop_early=False)
+        return km.predict(vectors, fit.centroids).select(
+            "slug", F.lit("parallel").alias("method"), "k", "word", "cluster")
+
+    def unit_embeddings(self) -> DataFrame:
+        from lexiclust.operators.vectors import l2_normalize
+        return l2_normalize(self.embedding_vectors())
+
+    def embedding_runs(self) -> DataFrame:
+        return self.runs_over(self.unit_embeddings(), (5, 10, 20), rounds=3)
+
+    def embedding_truth(self) -> DataFrame:
+        """Embedding runs with the ``label`` column as truth."""
+        lab = self.table("embeddings").select(F.col("vec_id").cast("string").alias("word"),
+                                              F.col("label").alias("truth"))
+        return self.embedding_runs().join(lab, "word")
+
+    def context_runs(self) -> DataFrame:
+        return self.runs_over(self.context_vectors(), (10,), rounds=1)

@@ -161,10 +161,10 @@ cclean AS (SELECT DISTINCT text FROM cnorm WHERE length(text) >= 20),
 ctokens AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM cclean)"""
 
 
-def kmeans_ctes(src: str, k: int, rounds: int, seed: int) -> str:
+def kmeans_ctes(src: str, k: int, rounds: int, seed: int, p: str = "") -> str:
     """Unrolled spherical k-means over ``src(slug, rank, word, x)``; ends with
-    ``lab`` (rank, word, cid) from the centroids after ``rounds`` rounds."""
-    ctes = [f"""c0 AS (
+    ``{p}lab`` (rank, word, x, cid) from the centroids after ``rounds`` rounds."""
+    ctes = [f"""{p}c0 AS (
   SELECT CAST(row_number() OVER (ORDER BY md5('{seed}:' || rank), rank) - 1 AS INTEGER) AS cid, x AS c
   FROM {src} QUALIFY row_number() OVER (ORDER BY md5('{seed}:' || rank), rank) <= {k}
 )"""]
@@ -173,31 +173,31 @@ def kmeans_ctes(src: str, k: int, rounds: int, seed: int) -> str:
         return f"""{name} AS (
   SELECT v.rank, v.word, any_value(v.x) AS x,
          (min({{'d': round(list_distance(v.x, c.c), 9), 'cid': c.cid}})).cid AS cid
-  FROM {src} v CROSS JOIN c{t_prev} c GROUP BY v.rank, v.word
+  FROM {src} v CROSS JOIN {p}c{t_prev} c GROUP BY v.rank, v.word
 )"""
 
     for t in range(1, rounds + 1):
-        ctes.append(assign(t - 1, f"a{t}"))
-        ctes.append(f"""m{t} AS (
+        ctes.append(assign(t - 1, f"{p}a{t}"))
+        ctes.append(f"""{p}m{t} AS (
   SELECT cid, list(e ORDER BY i) AS m FROM (
     SELECT cid, i, avg(e) AS e FROM (
-      SELECT cid, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM a{t}) GROUP BY cid, i)
+      SELECT cid, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM {p}a{t}) GROUP BY cid, i)
   GROUP BY cid
 ),
-e{t} AS (
+{p}e{t} AS (
   SELECT g.cid, row_number() OVER (ORDER BY g.cid) AS j
-  FROM range(0, {k}) g(cid) WHERE g.cid NOT IN (SELECT cid FROM m{t})
+  FROM range(0, {k}) g(cid) WHERE g.cid NOT IN (SELECT cid FROM {p}m{t})
 ),
-s{t} AS (
+{p}s{t} AS (
   SELECT x, row_number() OVER (ORDER BY md5('{seed}:{t}:' || rank), rank) AS j FROM {src}
   QUALIFY j <= {k}
 ),
-c{t} AS (
+{p}c{t} AS (
   SELECT CAST(cid AS INTEGER) AS cid, {_unit('m')} AS c FROM (
-    SELECT cid, m FROM m{t}
-    UNION ALL SELECT e.cid, s.x FROM e{t} e JOIN s{t} s USING (j))
+    SELECT cid, m FROM {p}m{t}
+    UNION ALL SELECT e.cid, s.x FROM {p}e{t} e JOIN {p}s{t} s USING (j))
 )""")
-    ctes.append(assign(rounds, "lab"))
+    ctes.append(assign(rounds, f"{p}lab"))
     return ",\n".join(ctes)
 
 
@@ -248,5 +248,158 @@ SELECT 'embeddings' AS slug, 'parallel' AS method, CAST(10 AS INTEGER) AS k, CAS
 FROM range(0, 10) g(cid) LEFT JOIN mm ON mm.cid = g.cid""")
 
 
+# ---------------------------------------------------------------------------
+# Labels
+
+TREEBANK = CONTEXT + """,
+tb AS (
+  SELECT t.token AS form,
+         CASE WHEN length(t.token) > 5 THEN substring(t.token, 1, length(t.token) - 2) ELSE t.token END AS lemma,
+         upper(d.lang) AS upos, t.doc_id, t.line_pos, t.tok_pos
+  FROM tokens t JOIN documents d USING (doc_id) WHERE t.token <> ''
+),
+lp AS (
+  SELECT lemma AS word, upos FROM (
+    SELECT lemma, upos, count(*) AS c, min((doc_id, line_pos, tok_pos)) AS o
+    FROM tb WHERE lemma <> '' AND upos <> '' GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY lemma ORDER BY c DESC, o) = 1
+),
+wp AS (
+  SELECT key AS word, upos FROM (
+    SELECT key, upos, count(*) AS c, min((doc_id, line_pos, tok_pos, sub)) AS o FROM (
+      SELECT lower(form) AS key, upos, doc_id, line_pos, tok_pos, 0 AS sub FROM tb
+      UNION ALL SELECT lower(lemma), upos, doc_id, line_pos, tok_pos, 1 FROM tb)
+    GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY c DESC, o) = 1
+)"""
+
+CONTEXT_RUN = TREEBANK + ",\n" + kmeans_ctes("cv", 10, 1, 42, "r") + """,
+crun AS (
+  SELECT 'documents-context' AS slug, 'parallel' AS method, CAST(10 AS INTEGER) AS k, word,
+         CAST(cid AS INTEGER) AS cluster FROM rlab
+)"""
+
+ORACLES["lemma_pos_map"] = f"WITH {TREEBANK} SELECT word, upos FROM lp"
+ORACLES["word_pos_map"] = f"WITH {TREEBANK} SELECT word, upos FROM wp"
+ORACLES["attach_labels"] = f"WITH {CONTEXT_RUN} SELECT crun.*, lp.upos FROM crun JOIN lp USING (word)"
+ORACLES["attach_pos"] = (f"WITH {CONTEXT_RUN} SELECT crun.*, wp.upos FROM crun "
+                         f"LEFT JOIN wp ON lower(crun.word) = wp.word")
+
+EMB_RUNS = (EMB + ",\n" + ",\n".join(kmeans_ctes("vn", k, 3, 42, f"k{k}") for k in (5, 10, 20))
+            + """,
+eruns AS (
+  SELECT 'embeddings' AS slug, 'parallel' AS method, CAST(5 AS INTEGER) AS k, word, CAST(cid AS INTEGER) AS cluster FROM k5lab
+  UNION ALL SELECT 'embeddings', 'parallel', CAST(10 AS INTEGER), word, CAST(cid AS INTEGER) FROM k10lab
+  UNION ALL SELECT 'embeddings', 'parallel', CAST(20 AS INTEGER), word, CAST(cid AS INTEGER) FROM k20lab
+),
+elab AS (
+  SELECT r.*, e.label AS truth FROM eruns r JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = r.word
+)""")
+
+
+def scores_ctes(src: str) -> str:
+    """Contingency metrics per run over ``src(slug, method, k, word, cluster, truth)``."""
+    return f"""cells AS (SELECT slug, method, k, truth, cluster, count(*) AS n FROM {src} GROUP BY ALL),
+tot AS (SELECT slug, method, k, sum(n) AS total FROM cells GROUP BY ALL),
+ntr AS (SELECT slug, method, k, truth, sum(n) AS m FROM cells GROUP BY ALL),
+ncl AS (SELECT slug, method, k, cluster, sum(n) AS m FROM cells GROUP BY ALL),
+ht AS (
+  SELECT slug, method, k, count(*) AS classes,
+         CASE WHEN count(*) = 1 THEN 0.0 ELSE -sum((m / total) * ln(m / total)) END AS h
+  FROM ntr JOIN tot USING (slug, method, k) GROUP BY ALL),
+hc AS (
+  SELECT slug, method, k, count(*) AS classes,
+         CASE WHEN count(*) = 1 THEN 0.0 ELSE -sum((m / total) * ln(m / total)) END AS h
+  FROM ncl JOIN tot USING (slug, method, k) GROUP BY ALL),
+mi AS (
+  SELECT slug, method, k, greatest(sum((c.n / t.total) * ln((t.total * c.n) / (a.m * b.m))), 0.0) AS mi
+  FROM cells c JOIN tot t USING (slug, method, k) JOIN ntr a USING (slug, method, k, truth)
+  JOIN ncl b USING (slug, method, k, cluster) GROUP BY ALL),
+pur AS (
+  SELECT slug, method, k, sum(top) AS top FROM (
+    SELECT slug, method, k, cluster, max(n) AS top FROM cells GROUP BY ALL) GROUP BY ALL),
+sc0 AS (
+  SELECT slug, method, k, CAST(total AS BIGINT) AS n, top / total AS purity,
+         CASE WHEN ht.h = 0 THEN 1.0 ELSE mi / ht.h END AS homogeneity,
+         CASE WHEN hc.h = 0 THEN 1.0 ELSE mi / hc.h END AS completeness,
+         mi, ht.h AS h_true, hc.h AS h_pred, ht.classes AS n_true, hc.classes AS n_pred
+  FROM tot JOIN pur USING (slug, method, k) JOIN mi USING (slug, method, k)
+  JOIN ht USING (slug, method, k) JOIN hc USING (slug, method, k)),
+scores AS (
+  SELECT slug, method, k, n, purity, homogeneity, completeness,
+         CASE WHEN homogeneity + completeness = 0 THEN 0.0
+              ELSE 2 * homogeneity * completeness / (homogeneity + completeness) END AS V,
+         CASE WHEN n_true = 1 AND n_pred = 1 THEN 1.0 WHEN mi = 0 THEN 0.0
+              ELSE mi / ((h_true + h_pred) / 2) END AS NMI
+  FROM sc0)"""
+
+
+def silhouette_ctes(src: str, vecs: str, metric: str, cap: int = 10000, seed: int = 42) -> str:
+    """Exact silhouette per run over the labelled words of ``src`` that have a
+    vector in ``vecs(slug, word, x)``; sample = lowest md5('seed:word')."""
+    dist = ("list_distance(p.x, q.x)" if metric == "euclidean"
+            else "greatest(least(1.0 - list_cosine_similarity(p.x, q.x), 2.0), 0.0)")
+    return f"""pts0 AS (
+  SELECT DISTINCT s.slug, s.method, s.k, s.word, s.cluster, v.x
+  FROM {src} s JOIN {vecs} v ON v.slug = s.slug AND v.word = s.word),
+gate AS (
+  SELECT slug, method, k FROM pts0 GROUP BY ALL
+  HAVING count(*) >= 200 AND count(DISTINCT cluster) >= 2),
+pts AS (
+  SELECT * FROM pts0 SEMI JOIN gate USING (slug, method, k)
+  QUALIFY row_number() OVER (PARTITION BY slug, method, k ORDER BY md5('{seed}:' || word), word) <= {cap}),
+pairs AS (
+  SELECT p.slug, p.method, p.k, p.word, p.cluster, q.cluster AS oc,
+         CASE WHEN p.word = q.word THEN 0.0 ELSE {dist} END AS d
+  FROM pts p JOIN pts q USING (slug, method, k)),
+per AS (SELECT slug, method, k, word, cluster, oc, sum(d) AS sd, count(*) AS cnt FROM pairs GROUP BY ALL),
+ab AS (
+  SELECT slug, method, k, word,
+         max(CASE WHEN oc = cluster AND cnt > 1 THEN sd / (cnt - 1) END) AS a,
+         min(CASE WHEN oc <> cluster THEN sd / cnt END) AS b,
+         max(CASE WHEN oc = cluster THEN cnt END) AS own
+  FROM per GROUP BY ALL),
+sil AS (
+  SELECT slug, method, k,
+         avg(CASE WHEN own = 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette,
+         CAST(count(*) AS BIGINT) AS n_sample
+  FROM ab GROUP BY ALL)"""
+
+
+EMB_VECS = f"""evec AS (SELECT 'embeddings' AS slug, CAST(vec_id AS VARCHAR) AS word,
+  CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"""
+
+ORACLES["contingency"] = f"""WITH {EMB_RUNS},
+cells AS (SELECT slug, method, k, truth, cluster, CAST(count(*) AS BIGINT) AS n FROM elab GROUP BY ALL)
+SELECT *, CAST(sum(n) OVER (PARTITION BY slug, method, k, truth) AS BIGINT) AS n_truth,
+       CAST(sum(n) OVER (PARTITION BY slug, method, k, cluster) AS BIGINT) AS n_cluster
+FROM cells"""
+
+ORACLES["purity"] = f"WITH {EMB_RUNS},\n{scores_ctes('elab')} SELECT slug, method, k, purity FROM scores"
+ORACLES["homogeneity_completeness"] = (
+    f"WITH {EMB_RUNS},\n{scores_ctes('elab')} SELECT slug, method, k, homogeneity, completeness FROM scores")
+ORACLES["nmi_v"] = f"WITH {EMB_RUNS},\n{scores_ctes('elab')} SELECT slug, method, k, NMI, V FROM scores"
+ORACLES["silhouette_euclid"] = (
+    f"WITH {EMB_RUNS},\n{silhouette_ctes('elab', 'vn', 'euclidean')} SELECT * FROM sil")
+ORACLES["silhouette_cosine"] = (
+    f"WITH {EMB_RUNS}, {EMB_VECS},\n{silhouette_ctes('elab', 'evec', 'cosine')} SELECT * FROM sil")
+
+
+def _label_metrics_sql(prefix: str, src: str, vecs: str) -> str:
+    return f"""WITH {prefix},
+lm_in AS (SELECT * FROM {src} WHERE (slug, method, k) IN (
+  SELECT (slug, method, k) FROM {src} GROUP BY ALL HAVING count(*) >= 100)),
+{scores_ctes('lm_in')},
+{silhouette_ctes('lm_in', vecs, 'euclidean')}
+SELECT s.slug AS vecslug, s.method, s.k AS K, s.n, s.purity, s.NMI, s.V, s.homogeneity, s.completeness,
+       sil.silhouette
+FROM scores s LEFT JOIN sil USING (slug, method, k)"""
+
+
+ORACLES["label_metrics"] = _label_metrics_sql(EMB_RUNS, "elab", "vn")
+ORACLES["label_metrics_pos"] = _label_metrics_sql(
+    CONTEXT_RUN + ",\nplab AS (SELECT crun.*, lp.upos AS truth FROM crun JOIN lp USING (word))", "plab", "cv")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

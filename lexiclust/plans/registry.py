@@ -221,3 +221,92 @@ def q_cluster_grid(spark, sf_dir):
     from lexiclust.operators import kmeans as km
     res = km.cluster_grid(Inputs(spark, sf_dir).embedding_vectors(), GRID_K, method="parallel")
     return res.assignments
+
+
+# ---------------------------------------------------------------------------
+# Labels
+
+
+def _labels():
+    from lexiclust.operators import labels as lb
+    return lb
+
+
+@query("lemma_pos_map")
+def q_lemma_pos_map(spark, sf_dir):
+    return _labels().lemma_pos_map(Inputs(spark, sf_dir).treebank())
+
+
+@query("word_pos_map")
+def q_word_pos_map(spark, sf_dir):
+    return _labels().word_pos_map(Inputs(spark, sf_dir).treebank())
+
+
+@query("attach_labels")
+def q_attach_labels(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    lb = _labels()
+    return lb.attach_labels(inp.context_runs(), lb.lemma_pos_map(inp.treebank()))
+
+
+@query("attach_pos")
+def q_attach_pos(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    lb = _labels()
+    return lb.attach_pos(inp.context_runs(), lb.word_pos_map(inp.treebank()))
+
+
+@query("contingency")
+def q_contingency(spark, sf_dir):
+    return _labels().contingency(Inputs(spark, sf_dir).embedding_truth()).withColumn(
+        "n", F.col("n").cast("long")).withColumn("n_truth", F.col("n_truth").cast("long")).withColumn(
+        "n_cluster", F.col("n_cluster").cast("long"))
+
+
+@query("purity")
+def q_purity(spark, sf_dir):
+    return _labels().label_scores(Inputs(spark, sf_dir).embedding_truth()).select(
+        "slug", "method", "k", "purity")
+
+
+@query("homogeneity_completeness")
+def q_homogeneity_completeness(spark, sf_dir):
+    return _labels().label_scores(Inputs(spark, sf_dir).embedding_truth()).select(
+        "slug", "method", "k", "homogeneity", "completeness")
+
+
+@query("nmi_v")
+def q_nmi_v(spark, sf_dir):
+    return _labels().label_scores(Inputs(spark, sf_dir).embedding_truth()).select(
+        "slug", "method", "k", "NMI", "V")
+
+
+@query("silhouette_euclid")
+def q_silhouette_euclid(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    return _labels().silhouette(inp.embedding_truth(), inp.unit_embeddings(), "euclidean")
+
+
+@query("silhouette_cosine")
+def q_silhouette_cosine(spark, sf_dir):
+    """Cosine distance on the raw (not normalised) embeddings."""
+    inp = Inputs(spark, sf_dir)
+    return _labels().silhouette(inp.embedding_truth(), inp.embedding_vectors(), "cosine")
+
+
+@query("label_metrics")
+def q_label_metrics(spark, sf_dir):
+    """eval-intrinsic over the embedding runs, ``label`` as truth."""
+    inp = Inputs(spark, sf_dir)
+    return _labels().label_metrics(inp.embedding_truth(), inp.unit_embeddings())
+
+
+@query("label_metrics_pos")
+def q_label_metrics_pos(spark, sf_dir):
+    """eval-intrinsic as the reference runs it: treebank lemma tags as truth
+    (strict lemma join) for a run over the document vocabulary."""
+    inp = Inputs(spark, sf_dir)
+    lb = _labels()
+    labelled = lb.attach_labels(inp.context_runs(), lb.lemma_pos_map(inp.treebank())).withColumnRenamed(
+        "upos", "truth")
+    return lb.label_metrics(labelled, inp.context_vectors())
