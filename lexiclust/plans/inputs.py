@@ -7,7 +7,8 @@ shape rows into the schema the operators expect and do none of their work.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,22 @@ from lexiclust.sources.tables import read_table
 from lexiclust.sources.text import lines_from_table
 
 
+def _kept(fn):
+    """Derive once per ``Inputs`` and keep the result (memory, then disk)
+    for the several jobs of one query."""
+    @functools.wraps(fn)
+    def wrapper(self):
+        if fn.__name__ not in self._memo:
+            self._memo[fn.__name__] = fn(self).persist()
+        return self._memo[fn.__name__]
+    return wrapper
+
+
 @dataclass
 class Inputs:
     spark: SparkSession
     sf_dir: str
+    _memo: dict = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -32,9 +45,11 @@ class Inputs:
         """The corpus: ``documents.text`` split on newlines, in (doc_id, line) order."""
         return lines_from_table(spread(self.table("documents").select("doc_id", "text")))
 
+    @_kept
     def clean(self) -> DataFrame:
         return textops.clean_lines(self.raw_lines())
 
+    @_kept
     def tokens(self) -> DataFrame:
         return textops.tokenize(self.clean())
 
@@ -54,15 +69,17 @@ class Inputs:
     def vocab(self, n: int = 200_000) -> DataFrame:
         return textops.top_vocab(self.tokens(), n)
 
+    @_kept
     def context_vectors(self) -> DataFrame:
         """Word vectors of the document vocabulary (M7 stand-in for training)."""
-        toks = self.tokens().persist()
+        toks = self.tokens()
         return embed.context_vectors(toks, self.vocab_of(toks), dims=16, slug="documents-context")
 
     def vocab_of(self, toks: DataFrame, n: int = 200_000) -> DataFrame:
         return textops.top_vocab(toks, n)
 
     # -- runs and labels --------------------------------------------------
+    @_kept
     def treebank(self) -> DataFrame:
         """Treebank rows from the cleaned corpus: form = token, lemma = token
         without its last two letters when longer than five, upos = the
@@ -87,6 +104,7 @@ class Inputs:
         from lexiclust.operators.vectors import l2_normalize
         return l2_normalize(self.embedding_vectors())
 
+    @_kept
     def embedding_runs(self) -> DataFrame:
         return self.runs_over(self.unit_embeddings(), (5, 10, 20), rounds=3)
 
@@ -96,5 +114,6 @@ class Inputs:
                                               F.col("label").alias("truth"))
         return self.embedding_runs().join(lab, "word")
 
+    @_kept
     def context_runs(self) -> DataFrame:
         return self.runs_over(self.context_vectors(), (10,), rounds=1)

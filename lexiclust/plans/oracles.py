@@ -401,5 +401,87 @@ ORACLES["label_metrics_pos"] = _label_metrics_sql(
     CONTEXT_RUN + ",\nplab AS (SELECT crun.*, lp.upos AS truth FROM crun JOIN lp USING (word))", "plab", "cv")
 
 
+# ---------------------------------------------------------------------------
+# Cluster statistics
+
+STATS = CONTEXT_RUN + """,
+mem AS (
+  SELECT c.slug, c.method, c.k, c.cluster AS cid, c.word, cv.rank
+  FROM crun c JOIN cv ON cv.slug = c.slug AND cv.word = c.word),
+sizes AS (SELECT slug, method, k, cluster AS cid, CAST(count(*) AS BIGINT) AS size FROM crun GROUP BY ALL),
+sx AS (
+  SELECT slug, method, k, cid, L, right(word, L) AS suffix, rank
+  FROM mem CROSS JOIN (VALUES (2), (3), (4)) t(L) WHERE length(word) >= L),
+sc AS (SELECT slug, method, k, cid, L, suffix, count(*) AS c, min(rank) AS o FROM sx GROUP BY ALL),
+st AS (
+  SELECT slug, method, k, cid, L, suffix, c / sum(c) OVER (PARTITION BY slug, method, k, cid, L) AS purity
+  FROM sc QUALIFY row_number() OVER (PARTITION BY slug, method, k, cid, L ORDER BY c DESC, o) = 1),
+tg AS (SELECT m.slug, m.method, m.k, m.cid, m.rank, wp.upos FROM mem m JOIN wp ON lower(m.word) = wp.word),
+pc AS (SELECT slug, method, k, cid, upos, count(*) AS c, min(rank) AS o FROM tg GROUP BY ALL),
+pe AS (
+  SELECT slug, method, k, cid, CAST(sum(c) AS BIGINT) AS covered,
+         -sum((c / tot) * ln(c / tot + 1e-12)) / ln(17) AS pos_entropy
+  FROM (SELECT *, sum(c) OVER (PARTITION BY slug, method, k, cid) AS tot FROM pc) GROUP BY ALL),
+pt AS (
+  SELECT slug, method, k, cid, upos AS top_pos, c / sum(c) OVER (PARTITION BY slug, method, k, cid) AS pos_purity
+  FROM pc QUALIFY row_number() OVER (PARTITION BY slug, method, k, cid ORDER BY c DESC, o) = 1),
+stats0 AS (
+  SELECT s.slug, s.method, s.k, CAST(s.cid AS INTEGER) AS cid, s.size,
+         coalesce(a.suffix, '') AS suffix2, coalesce(a.purity, 0.0) AS suffix2_purity,
+         coalesce(b.suffix, '') AS suffix3, coalesce(b.purity, 0.0) AS suffix3_purity,
+         coalesce(c.suffix, '') AS suffix4, coalesce(c.purity, 0.0) AS suffix4_purity,
+         coalesce(pt.top_pos, '') AS top_pos, coalesce(pt.pos_purity, 0.0) AS pos_purity,
+         coalesce(pe.pos_entropy, 0.0) AS pos_entropy,
+         coalesce(pe.covered, 0) / greatest(s.size, 1) AS pos_coverage
+  FROM sizes s
+  LEFT JOIN st a ON a.slug = s.slug AND a.method = s.method AND a.k = s.k AND a.cid = s.cid AND a.L = 2
+  LEFT JOIN st b ON b.slug = s.slug AND b.method = s.method AND b.k = s.k AND b.cid = s.cid AND b.L = 3
+  LEFT JOIN st c ON c.slug = s.slug AND c.method = s.method AND c.k = s.k AND c.cid = s.cid AND c.L = 4
+  LEFT JOIN pt ON pt.slug = s.slug AND pt.method = s.method AND pt.k = s.k AND pt.cid = s.cid
+  LEFT JOIN pe ON pe.slug = s.slug AND pe.method = s.method AND pe.k = s.k AND pe.cid = s.cid),
+stats AS (
+  SELECT slug, method, k, cid, size, suffix2, suffix2_purity, suffix3, suffix3_purity, suffix4, suffix4_purity,
+         greatest(suffix2_purity, suffix3_purity, suffix4_purity) AS max_suffix_purity,
+         top_pos, pos_purity, pos_entropy, pos_coverage,
+         pos_purity - greatest(suffix2_purity, suffix3_purity, suffix4_purity) AS msi,
+         pos_coverage > 0 AS pos_covered
+  FROM stats0)"""
+
+ORACLES["cluster_sizes"] = f"WITH {STATS} SELECT slug, method, k, CAST(cid AS INTEGER) AS cid, size FROM sizes"
+ORACLES["suffix_purity"] = (f"WITH {STATS} SELECT slug, method, k, CAST(cid AS INTEGER) AS cid, "
+                            f"CAST(L AS INTEGER) AS L, suffix, purity FROM st")
+ORACLES["pos_profile"] = (f"WITH {STATS} SELECT pt.slug, pt.method, pt.k, CAST(pt.cid AS INTEGER) AS cid, "
+                          f"top_pos, pos_purity, pos_entropy, covered FROM pt JOIN pe USING (slug, method, k, cid)")
+ORACLES["msi"] = f"WITH {STATS} SELECT slug, method, k, cid, msi FROM stats"
+ORACLES["cluster_stats"] = f"WITH {STATS} SELECT * FROM stats"
+ORACLES["macro_means"] = f"""WITH {STATS}
+SELECT slug AS vecslug, method, k AS K, avg(max_suffix_purity) AS suffix_mean, avg(pos_purity) AS pos_purity_mean,
+       avg(pos_entropy) AS pos_entropy_mean, avg(pos_coverage) AS pos_coverage_mean, avg(msi) AS msi_mean
+FROM stats GROUP BY ALL"""
+
+
+def _suggest_sql(score: str, order: str) -> str:
+    return f"""WITH {STATS},
+sg AS (SELECT *, {score} AS score FROM stats WHERE size >= 15)
+SELECT slug, method, k, CAST(pick AS INTEGER) AS pick, cid, size, top_pos, pos_purity, pos_entropy, pos_coverage,
+       max_suffix_purity, msi, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY slug, method, k ORDER BY {order}) AS pick FROM sg)
+WHERE pick <= 8"""
+
+
+ORACLES["suggest_semantic"] = _suggest_sql("msi", "score DESC, pos_purity DESC, max_suffix_purity ASC, cid ASC")
+ORACLES["suggest_morphological"] = _suggest_sql("-msi", "score DESC, max_suffix_purity DESC, size DESC, cid ASC")
+ORACLES["extreme_cluster"] = f"""WITH {STATS}
+SELECT slug, method, k, arg_min(cid, (msi, cid)) AS lowest_cid, min(msi) AS lowest_msi,
+       arg_min(cid, (-msi, cid)) AS highest_cid, max(msi) AS highest_msi
+FROM stats GROUP BY ALL"""
+ORACLES["sample_words"] = f"""WITH {CONTEXT_RUN}
+SELECT slug, method, k, word, cluster FROM crun
+QUALIFY row_number() OVER (PARTITION BY slug, method, k, cluster ORDER BY md5('42:' || word), word) <= 40"""
+ORACLES["canonical_columns"] = f"""WITH {STATS}
+SELECT slug, method, k, cid, size, max_suffix_purity, pos_purity, pos_entropy, pos_coverage,
+       pos_purity - max_suffix_purity AS msi FROM stats"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

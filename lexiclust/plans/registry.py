@@ -310,3 +310,93 @@ def q_label_metrics_pos(spark, sf_dir):
     labelled = lb.attach_labels(inp.context_runs(), lb.lemma_pos_map(inp.treebank())).withColumnRenamed(
         "upos", "truth")
     return lb.label_metrics(labelled, inp.context_vectors())
+
+
+# ---------------------------------------------------------------------------
+# Cluster statistics
+
+
+def _cs():
+    from lexiclust.operators import clusterstats as cs
+    return cs
+
+
+def _stats(inp):
+    from lexiclust.operators import labels as lb
+    key = "_cluster_stats"
+    if key not in inp._memo:
+        inp._memo[key] = _cs().cluster_stats(inp.context_runs(), inp.context_vectors(),
+                                              lb.word_pos_map(inp.treebank())).persist()
+    return inp._memo[key]
+
+
+@query("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    return _cs().cluster_sizes(Inputs(spark, sf_dir).context_runs()).withColumn(
+        "cid", F.col("cid").cast("int"))
+
+
+@query("suffix_purity")
+def q_suffix_purity(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    cs = _cs()
+    out = cs.suffix_purity(cs._members(inp.context_runs(), inp.context_vectors()))
+    return out.withColumn("cid", F.col("cid").cast("int")).withColumn("L", F.col("L").cast("int"))
+
+
+@query("pos_profile")
+def q_pos_profile(spark, sf_dir):
+    from lexiclust.operators import labels as lb
+    inp = Inputs(spark, sf_dir)
+    cs = _cs()
+    out = cs.pos_profile(cs._members(inp.context_runs(), inp.context_vectors()),
+                         lb.word_pos_map(inp.treebank()))
+    return out.withColumn("cid", F.col("cid").cast("int")).withColumn(
+        "covered", F.col("covered").cast("long"))
+
+
+@query("msi")
+def q_msi(spark, sf_dir):
+    return _stats(Inputs(spark, sf_dir)).select("slug", "method", "k", "cid", "msi")
+
+
+@query("cluster_stats")
+def q_cluster_stats(spark, sf_dir):
+    return _stats(Inputs(spark, sf_dir))
+
+
+@query("macro_means")
+def q_macro_means(spark, sf_dir):
+    return _cs().macro_means(_stats(Inputs(spark, sf_dir)))
+
+
+@query("suggest_semantic")
+def q_suggest_semantic(spark, sf_dir):
+    return _cs().suggest_clusters(_stats(Inputs(spark, sf_dir)), "semantic")
+
+
+@query("suggest_morphological")
+def q_suggest_morphological(spark, sf_dir):
+    return _cs().suggest_clusters(_stats(Inputs(spark, sf_dir)), "morphological")
+
+
+@query("extreme_cluster")
+def q_extreme_cluster(spark, sf_dir):
+    return _cs().extreme_cluster(_stats(Inputs(spark, sf_dir)))
+
+
+@query("sample_words")
+def q_sample_words(spark, sf_dir):
+    return _cs().sample_words(Inputs(spark, sf_dir).context_runs())
+
+
+@query("canonical_columns")
+def q_canonical_columns(spark, sf_dir):
+    """Statistics written with other spellings (``cluster``, hyphenated
+    names, no MSI column) read back into the canonical form."""
+    st = _stats(Inputs(spark, sf_dir)).select(
+        "slug", "method", "k", F.col("cid").alias("cluster"), "size",
+        F.col("max_suffix_purity").alias("max-suffix-purity"),
+        F.col("pos_purity").alias("pos-purity"), F.col("pos_entropy").alias("pos-entropy"),
+        F.col("pos_coverage").alias("coverage"))
+    return _cs().canonical_columns(st)
