@@ -483,5 +483,74 @@ SELECT slug, method, k, cid, size, max_suffix_purity, pos_purity, pos_entropy, p
        pos_purity - max_suffix_purity AS msi FROM stats"""
 
 
+# ---------------------------------------------------------------------------
+# Alignment
+
+
+def _centroid_cte(name: str, members: str, k: int) -> str:
+    return f"""{name}m AS (
+  SELECT cid, list(e ORDER BY i) AS m FROM (
+    SELECT cid, i, avg(e) AS e FROM (
+      SELECT cid, generate_subscripts(x, 1) AS i, unnest(x) AS e FROM {members}) GROUP BY cid, i)
+  GROUP BY cid),
+{name} AS (
+  SELECT CAST(g.cid AS INTEGER) AS cid,
+         {_unit('coalesce(mm.m, list_transform(range(64), lambda z: 0.0))')} AS c
+  FROM range(0, {k}) g(cid) LEFT JOIN {name}m mm ON mm.cid = g.cid)"""
+
+
+def _greedy_ctes(sim: str, k: int) -> str:
+    parts = [f"g0 AS (SELECT cid_a, cid_b, sim, round(sim, 9) AS s FROM {sim})"]
+    for t in range(1, k + 1):
+        parts.append(f"""b{t} AS (
+  SELECT cid_a, cid_b, sim FROM g{t - 1}
+  QUALIFY row_number() OVER (PARTITION BY cid_a ORDER BY s DESC, cid_b) = 1
+  INTERSECT
+  SELECT cid_a, cid_b, sim FROM g{t - 1}
+  QUALIFY row_number() OVER (PARTITION BY cid_b ORDER BY s DESC, cid_a) = 1),
+g{t} AS (
+  SELECT * FROM g{t - 1}
+  WHERE cid_a NOT IN (SELECT cid_a FROM b{t}) AND cid_b NOT IN (SELECT cid_b FROM b{t}))""")
+    parts.append("gm AS (" + " UNION ALL ".join(f"SELECT * FROM b{t}" for t in range(1, k + 1)) + ")")
+    return ",\n".join(parts)
+
+
+ALIGN = (EMB + ",\n" + kmeans_ctes("vn", 10, 3, 42, "sa") + ",\n" + kmeans_ctes("vn", 10, 3, 7, "sb")
+         + ",\n" + f"""emb AS (SELECT CAST(vec_id AS VARCHAR) AS word, {_unit('CAST(embedding AS DOUBLE[])')} AS x
+  FROM embeddings),
+ra AS (SELECT word, CAST(cid AS INTEGER) AS cluster FROM salab),
+rb AS (SELECT word, CAST(cid AS INTEGER) AS cluster FROM sblab),
+mema AS (SELECT ra.cluster AS cid, emb.x FROM ra JOIN emb USING (word)),
+memb AS (SELECT rb.cluster AS cid, emb.x FROM rb JOIN emb USING (word)),
+{_centroid_cte('cma', 'mema', 10)},
+{_centroid_cte('cmb', 'memb', 10)},
+simm AS (SELECT a.cid AS cid_a, b.cid AS cid_b, list_dot_product(a.c, b.c) AS sim
+  FROM cma a CROSS JOIN cmb b),
+{_greedy_ctes('simm', 10)},
+sza AS (SELECT cluster AS cid_a, count(DISTINCT word) AS size_a FROM ra GROUP BY ALL),
+szb AS (SELECT cluster AS cid_b, count(DISTINCT word) AS size_b FROM rb GROUP BY ALL),
+itx AS (SELECT ra.cluster AS cid_a, rb.cluster AS cid_b, count(DISTINCT word) AS inter
+  FROM ra JOIN rb USING (word) GROUP BY ALL),
+al AS (
+  SELECT 'embeddings' AS slug_a, 'parallel' AS method_a, 'embeddings' AS slug_b, 'parallel-s7' AS method_b,
+         CAST(10 AS INTEGER) AS k, gm.cid_a, gm.cid_b, gm.sim AS centroid_cosine,
+         coalesce(itx.inter, 0) / greatest(coalesce(sza.size_a, 0) + coalesce(szb.size_b, 0)
+                                           - coalesce(itx.inter, 0), 1) AS jaccard,
+         CAST(coalesce(sza.size_a, 0) AS BIGINT) AS size_a, CAST(coalesce(szb.size_b, 0) AS BIGINT) AS size_b
+  FROM gm LEFT JOIN itx USING (cid_a, cid_b) LEFT JOIN sza USING (cid_a) LEFT JOIN szb USING (cid_b))""")
+
+ORACLES["centroid_similarity"] = f"WITH {ALIGN} SELECT cid_a, cid_b, sim FROM simm"
+ORACLES["greedy_match"] = f"WITH {ALIGN} SELECT cid_a, cid_b, sim FROM gm"
+ORACLES["cluster_overlap"] = f"WITH {ALIGN} SELECT cid_a, cid_b, jaccard, size_a, size_b FROM al"
+ORACLES["alignment_greedy"] = f"WITH {ALIGN} SELECT * FROM al"
+ORACLES["alignment_summary"] = f"""WITH {ALIGN}
+SELECT 'alignment_' || slug_a || '_' || method_a || '__' || slug_b || '_' || method_b || '_K' || k || '.csv' AS file,
+       k AS K, avg(centroid_cosine) AS mean_centroid_cosine, median(centroid_cosine) AS median_centroid_cosine,
+       avg(jaccard) AS mean_jaccard, CAST(count(*) AS BIGINT) AS pairs
+FROM al GROUP BY ALL"""
+ORACLES["matched_cluster"] = f"WITH {ALIGN} SELECT cid_a, cid_b, centroid_cosine FROM al WHERE cid_a = 3"
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from lexiclust.plans.checks import round_sql
+    return {name: round_sql(name, sql) for name, sql in ORACLES.items()}

@@ -27,7 +27,15 @@ def query(name: str):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from lexiclust.plans.checks import round_df
+
+    def wrap(name, fn):
+        def run(spark, sf_dir):
+            return round_df(name, fn(spark, sf_dir))
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        return run
+    return {name: wrap(name, fn) for name, fn in _QUERIES.items()}
 
 
 # ---------------------------------------------------------------------------
@@ -400,3 +408,92 @@ def q_canonical_columns(spark, sf_dir):
         F.col("pos_purity").alias("pos-purity"), F.col("pos_entropy").alias("pos-entropy"),
         F.col("pos_coverage").alias("coverage"))
     return _cs().canonical_columns(st)
+
+
+# ---------------------------------------------------------------------------
+# Alignment
+
+ALIGN_K = 10
+MATCHED_CID = 3
+
+
+def _align_runs(inp):
+    """Two runs of the same vectors and K from different seeds."""
+    if "_align_runs" not in inp._memo:
+        vs = inp.unit_embeddings()
+        a = inp.runs_over(vs, (ALIGN_K,), rounds=3, seed=42)
+        b = inp.runs_over(vs, (ALIGN_K,), rounds=3, seed=7).withColumn("method", F.lit("parallel-s7"))
+        inp._memo["_align_runs"] = (a.persist(), b.persist())
+    return inp._memo["_align_runs"]
+
+
+def _centroids(inp):
+    from lexiclust.operators.vectors import centroid_mean
+    a, b = _align_runs(inp)
+    vs = inp.embedding_vectors()
+    ka = a.select("slug", "method", "k").distinct().withColumn("k_total", F.col("k"))
+    kb = b.select("slug", "method", "k").distinct().withColumn("k_total", F.col("k"))
+    return centroid_mean(a, vs, ka), centroid_mean(b, vs, kb)
+
+
+def _alignment(inp, method):
+    from lexiclust.operators import align
+    key = f"_alignment_{method}"
+    if key not in inp._memo:
+        a, b = _align_runs(inp)
+        inp._memo[key] = align.alignment(a, b, inp.embedding_vectors(), normed=True,
+                                         method=method).persist()
+    return inp._memo[key]
+
+
+@query("centroid_similarity")
+def q_centroid_similarity(spark, sf_dir):
+    from lexiclust.operators import align
+    ca, cb = _centroids(Inputs(spark, sf_dir))
+    return align.centroid_similarity(ca, cb)
+
+
+@query("greedy_match")
+def q_greedy_match(spark, sf_dir):
+    from lexiclust.operators import align
+    ca, cb = _centroids(Inputs(spark, sf_dir))
+    return align.greedy_match(align.centroid_similarity(ca, cb))
+
+
+@query("optimal_match")
+def q_optimal_match(spark, sf_dir):
+    """Auction matching; checked by its gap certificate and brute force in tests."""
+    from lexiclust.operators import align
+    ca, cb = _centroids(Inputs(spark, sf_dir))
+    res = align.optimal_match(align.centroid_similarity(ca, cb))
+    return res.matching.withColumn("gap", F.lit(res.gap))
+
+
+@query("cluster_overlap")
+def q_cluster_overlap(spark, sf_dir):
+    return _alignment(Inputs(spark, sf_dir), "greedy").select(
+        "cid_a", "cid_b", "jaccard", "size_a", "size_b")
+
+
+@query("alignment")
+def q_alignment(spark, sf_dir):
+    """align-clusters with the optimal matching."""
+    return _alignment(Inputs(spark, sf_dir), "optimal")
+
+
+@query("alignment_greedy")
+def q_alignment_greedy(spark, sf_dir):
+    """align-clusters with the reference's greedy fallback."""
+    return _alignment(Inputs(spark, sf_dir), "greedy")
+
+
+@query("alignment_summary")
+def q_alignment_summary(spark, sf_dir):
+    from lexiclust.operators import align
+    return align.alignment_summary(_alignment(Inputs(spark, sf_dir), "greedy"))
+
+
+@query("matched_cluster")
+def q_matched_cluster(spark, sf_dir):
+    from lexiclust.operators import align
+    return align.matched_cluster(_alignment(Inputs(spark, sf_dir), "greedy"), MATCHED_CID)
