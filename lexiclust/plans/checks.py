@@ -34,6 +34,8 @@ T_COLUMNS: dict[str, list[str]] = {
     "alignment_greedy": ["centroid_cosine", "jaccard"],
     "alignment_summary": ["mean_centroid_cosine", "median_centroid_cosine", "mean_jaccard"],
     "matched_cluster": ["centroid_cosine"],
+    "speedup": ["speedup"],
+    "metric_series": ["value", "lo", "hi"],
 }
 
 

@@ -117,3 +117,33 @@ class Inputs:
     @_kept
     def context_runs(self) -> DataFrame:
         return self.runs_over(self.context_vectors(), (10,), rounds=1)
+
+    def run_logs(self) -> DataFrame:
+        """Run-log text (``key=value`` lines) built from ``events``: vector
+        set ``u<user_id div 10>``, method = event type, K from the ``k`` of
+        ``props`` in five steps of 100, seconds = value. One log per event."""
+        ev = self.table("events")
+        k = (F.floor(F.get_json_object("props", "$.k").cast("int") / 20) + 1) * 100
+        slug = F.concat(F.lit("u"), F.floor(F.col("user_id") / 10).cast("string"))
+        text = F.concat_ws(
+            "\n",
+            F.concat(F.lit("vec=embeddings/vectors/"), slug, F.lit(".vec")),
+            F.concat(F.lit("vecslug="), slug),
+            F.concat(F.lit("K="), k.cast("string")),
+            F.concat(F.lit("method="), F.col("event_type")),
+            F.concat(F.lit("N="), F.col("event_id").cast("string")),
+            F.lit("D=64"),
+            F.lit("normed=1"),
+            F.concat(F.lit("iterations="), F.get_json_object("props", "$.k")),
+            F.lit("num_cores="),
+            F.lit("max_iter=100"),
+            F.concat(F.lit("secs="), F.coalesce(F.col("value").cast("string"), F.lit(""))),
+            F.lit("max_words=all"))
+        path = F.concat(F.lit("clusters/"), slug, F.lit("/"), F.col("event_type"), F.lit("/K"),
+                        k.cast("string"), F.lit("/run.log#"), F.col("event_id").cast("string"))
+        return ev.select(path.alias("log_path"), text.alias("text"))
+
+    @_kept
+    def parsed_runs(self) -> DataFrame:
+        from lexiclust.operators.runs import parse_run_logs
+        return parse_run_logs(self.run_logs())

@@ -551,6 +551,92 @@ FROM al GROUP BY ALL"""
 ORACLES["matched_cluster"] = f"WITH {ALIGN} SELECT cid_a, cid_b, centroid_cosine FROM al WHERE cid_a = 3"
 
 
+# ---------------------------------------------------------------------------
+# Run tables
+
+RUNS = """logs AS (
+  SELECT 'clusters/u' || CAST(user_id // 10 AS VARCHAR) || '/' || event_type || '/K'
+           || CAST((CAST(json_extract_string(props, '$.k') AS INTEGER) // 20 + 1) * 100 AS VARCHAR)
+           || '/run.log#' || CAST(event_id AS VARCHAR) AS log_path,
+         concat_ws(chr(10),
+           'vec=embeddings/vectors/u' || CAST(user_id // 10 AS VARCHAR) || '.vec',
+           'vecslug=u' || CAST(user_id // 10 AS VARCHAR),
+           'K=' || CAST((CAST(json_extract_string(props, '$.k') AS INTEGER) // 20 + 1) * 100 AS VARCHAR),
+           'method=' || event_type,
+           'N=' || CAST(event_id AS VARCHAR),
+           'D=64', 'normed=1',
+           'iterations=' || json_extract_string(props, '$.k'),
+           'num_cores=', 'max_iter=100',
+           'secs=' || coalesce(CAST(value AS VARCHAR), ''),
+           'max_words=all') AS text
+  FROM events),
+kv AS (
+  SELECT log_path, pos, trim(split_part(line, '=', 1)) AS key, trim(substr(line, strpos(line, '=') + 1)) AS value
+  FROM (SELECT log_path, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
+        FROM (SELECT log_path, string_split(text, chr(10)) AS ls FROM logs))
+  WHERE strpos(line, '=') > 0),
+lastv AS (SELECT log_path, key, arg_max(value, pos) AS value FROM kv GROUP BY ALL),
+wide AS (
+  SELECT log_path,
+    max(CASE WHEN key = 'vec' THEN value END) AS vec, max(CASE WHEN key = 'vecslug' THEN value END) AS vecslug,
+    max(CASE WHEN key = 'method' THEN value END) AS method, max(CASE WHEN key = 'max_words' THEN value END) AS max_words,
+    max(CASE WHEN key = 'K' THEN value END) AS K, max(CASE WHEN key = 'N' THEN value END) AS N,
+    max(CASE WHEN key = 'D' THEN value END) AS D, max(CASE WHEN key = 'iterations' THEN value END) AS iterations,
+    max(CASE WHEN key = 'num_cores' THEN value END) AS num_cores, max(CASE WHEN key = 'max_iter' THEN value END) AS max_iter,
+    max(CASE WHEN key = 'normed' THEN value END) AS normed, max(CASE WHEN key = 'secs' THEN value END) AS secs
+  FROM lastv GROUP BY log_path),
+runs AS (
+  SELECT coalesce(vec, '') AS vec, coalesce(vecslug, '') AS vecslug, coalesce(method, '') AS method,
+    CASE WHEN regexp_full_match(K, '[+-]?[0-9]+') THEN CAST(K AS BIGINT) ELSE 0 END AS K,
+    CASE WHEN regexp_full_match(N, '[+-]?[0-9]+') THEN CAST(N AS BIGINT) ELSE 0 END AS N,
+    CASE WHEN regexp_full_match(D, '[+-]?[0-9]+') THEN CAST(D AS BIGINT) ELSE 0 END AS D,
+    CASE WHEN lower(normed) IN ('1', 'true', 'yes') THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS normed,
+    CASE WHEN regexp_full_match(iterations, '[+-]?[0-9]+') THEN CAST(iterations AS BIGINT) ELSE 0 END AS iterations,
+    CASE WHEN regexp_full_match(num_cores, '[+-]?[0-9]+') THEN CAST(num_cores AS BIGINT) ELSE 0 END AS num_cores,
+    CASE WHEN regexp_full_match(max_iter, '[+-]?[0-9]+') THEN CAST(max_iter AS BIGINT) ELSE 0 END AS max_iter,
+    coalesce(max_words, '') AS max_words,
+    coalesce(TRY_CAST(secs AS DOUBLE), CAST('NaN' AS DOUBLE)) AS secs,
+    log_path
+  FROM wide),
+best AS (
+  SELECT * FROM runs WHERE NOT isnan(secs)
+  QUALIFY row_number() OVER (PARTITION BY vecslug, K, method ORDER BY secs, log_path) = 1),
+piv AS (
+  SELECT vecslug, K,
+    min(secs) FILTER (WHERE method = 'click') AS click, min(secs) FILTER (WHERE method = 'error') AS error,
+    min(secs) FILTER (WHERE method = 'purchase') AS purchase, min(secs) FILTER (WHERE method = 'signup') AS signup,
+    min(secs) FILTER (WHERE method = 'view') AS view
+  FROM best GROUP BY ALL)"""
+
+ORACLES["parse_runs"] = f"WITH {RUNS} SELECT * FROM runs"
+ORACLES["best_run"] = f"WITH {RUNS} SELECT * FROM best"
+ORACLES["runtime_pivot"] = f"WITH {RUNS} SELECT * FROM piv"
+ORACLES["speedup"] = f"""WITH {RUNS}
+SELECT vecslug, K, view, click, CASE WHEN view IS NOT NULL AND click IS NOT NULL AND click <> 0
+  THEN view / click END AS speedup FROM piv"""
+ORACLES["run_slug_family"] = f"""WITH {RUNS},
+v AS (SELECT DISTINCT vec FROM runs),
+s AS (SELECT vec, CASE WHEN len(string_split(vec, '/')) > 1 THEN string_split(vec, '/')[-2] ELSE '' END || '-' ||
+  replace(replace(replace(string_split(vec, '/')[-1], '.vec.gz', ''), '.vec', ''), '.bin', '') AS slug FROM v)
+SELECT vec, slug, CASE WHEN starts_with(lower(slug), 'baseline-') THEN 'baseline'
+  WHEN contains(lower(slug), 'lemma') THEN 'lemma' ELSE 'raw' END AS family FROM s"""
+ORACLES["msi_pivot"] = f"""WITH {STATS}
+SELECT k AS K, round(avg(msi), 3) AS "documents-context|parallel" FROM stats GROUP BY ALL"""
+ORACLES["metric_series"] = f"""WITH lmx AS ({ORACLES["label_metrics"]}),
+pts AS (
+  SELECT vecslug, method, K, metric, value FROM (
+    SELECT vecslug, method, K, unnest([{{'metric': 'purity', 'value': purity}}, {{'metric': 'NMI', 'value': NMI}},
+      {{'metric': 'V', 'value': V}}, {{'metric': 'homogeneity', 'value': homogeneity}},
+      {{'metric': 'completeness', 'value': completeness}}, {{'metric': 'silhouette', 'value': silhouette}}], recursive := true)
+    FROM lmx)
+  WHERE value IS NOT NULL AND NOT isnan(value)),
+rng AS (
+  SELECT metric, min(value) - greatest(1e-6, (max(value) - min(value)) * 0.06) AS lo,
+         max(value) + greatest(1e-6, (max(value) - min(value)) * 0.06) AS hi
+  FROM pts GROUP BY metric)
+SELECT pts.metric, vecslug, method, K, value, lo, hi FROM pts JOIN rng USING (metric)"""
+
+
 def oracle_sql() -> dict[str, str]:
     from lexiclust.plans.checks import round_sql
     return {name: round_sql(name, sql) for name, sql in ORACLES.items()}

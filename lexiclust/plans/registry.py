@@ -497,3 +497,59 @@ def q_alignment_summary(spark, sf_dir):
 def q_matched_cluster(spark, sf_dir):
     from lexiclust.operators import align
     return align.matched_cluster(_alignment(Inputs(spark, sf_dir), "greedy"), MATCHED_CID)
+
+
+# ---------------------------------------------------------------------------
+# Run tables
+
+EVENT_METHODS = ["click", "error", "purchase", "signup", "view"]
+
+
+def _runs():
+    from lexiclust.operators import runs as rn
+    return rn
+
+
+@query("parse_runs")
+def q_parse_runs(spark, sf_dir):
+    return Inputs(spark, sf_dir).parsed_runs()
+
+
+@query("best_run")
+def q_best_run(spark, sf_dir):
+    return _runs().best_run(Inputs(spark, sf_dir).parsed_runs())
+
+
+@query("runtime_pivot")
+def q_runtime_pivot(spark, sf_dir):
+    rn = _runs()
+    return rn.runtime_pivot(rn.best_run(Inputs(spark, sf_dir).parsed_runs()), EVENT_METHODS)
+
+
+@query("speedup")
+def q_speedup(spark, sf_dir):
+    """Ratio of two methods' best seconds (``view`` over ``click``)."""
+    rn = _runs()
+    piv = rn.runtime_pivot(rn.best_run(Inputs(spark, sf_dir).parsed_runs()), EVENT_METHODS)
+    return rn.speedup(piv, "view", "click")
+
+
+@query("run_slug_family")
+def q_run_slug_family(spark, sf_dir):
+    rn = _runs()
+    vec = Inputs(spark, sf_dir).parsed_runs().select("vec").distinct()
+    return vec.select("vec", rn.run_slug(F.col("vec")).alias("slug")).withColumn(
+        "family", rn.run_family(F.col("slug")))
+
+
+@query("msi_pivot")
+def q_msi_pivot(spark, sf_dir):
+    return _runs().msi_pivot(_stats(Inputs(spark, sf_dir)))
+
+
+@query("metric_series")
+def q_metric_series(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    from lexiclust.operators import labels as lb
+    metrics = lb.label_metrics(inp.embedding_truth(), inp.unit_embeddings())
+    return _runs().metric_series(metrics)
