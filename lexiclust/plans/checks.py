@@ -35,6 +35,7 @@ T_COLUMNS: dict[str, list[str]] = {
     "alignment_summary": ["mean_centroid_cosine", "median_centroid_cosine", "mean_jaccard"],
     "matched_cluster": ["centroid_cosine"],
     "speedup": ["speedup"],
+    "top_words": ["sim"],
     "metric_series": ["value", "lo", "hi"],
 }
 

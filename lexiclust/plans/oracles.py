@@ -637,6 +637,29 @@ rng AS (
 SELECT pts.metric, vecslug, method, K, value, lo, hi FROM pts JOIN rng USING (metric)"""
 
 
+# ---------------------------------------------------------------------------
+# Lemmas and top words
+
+ORACLES["lexicon_lemmatize"] = f"""WITH {TREEBANK},
+lex AS (
+  SELECT form, lemma FROM (
+    SELECT lower(form) AS form, lemma, count(*) AS c, min((doc_id, line_pos, tok_pos)) AS o FROM tb GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY form ORDER BY c DESC, o) = 1)
+SELECT t.doc_id, t.line_pos, string_agg(coalesce(lex.lemma, t.token), ' ' ORDER BY t.tok_pos) AS text
+FROM tokens t LEFT JOIN lex ON lex.form = t.token WHERE t.token <> '' GROUP BY ALL"""
+
+ORACLES["top_words"] = f"""WITH {CONTEXT_RUN},
+memw AS (SELECT c.cluster AS cid, c.word, cv.rank, cv.x FROM crun c JOIN cv USING (word)),
+{_centroid_cte('cent', 'memw', 10).replace('range(64)', 'range(16)')},
+sims AS (
+  SELECT m.cid AS cluster, m.word, m.rank, list_dot_product({_unit('m.x')}, ce.c) AS sim
+  FROM memw m JOIN cent ce ON ce.cid = m.cid)
+SELECT 'documents-context' AS slug, 'parallel' AS method, CAST(10 AS INTEGER) AS k, CAST(cluster AS INTEGER) AS cluster,
+       CAST(place AS INTEGER) AS place, word, sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(sim, 9) DESC, rank) AS place FROM sims)
+WHERE place <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     from lexiclust.plans.checks import round_sql
     return {name: round_sql(name, sql) for name, sql in ORACLES.items()}

@@ -553,3 +553,47 @@ def q_metric_series(spark, sf_dir):
     from lexiclust.operators import labels as lb
     metrics = lb.label_metrics(inp.embedding_truth(), inp.unit_embeddings())
     return _runs().metric_series(metrics)
+
+
+# ---------------------------------------------------------------------------
+# Lemmas, training, looking inside clusters
+
+
+@query("lexicon_lemmatize")
+def q_lexicon_lemmatize(spark, sf_dir):
+    """lemma-text as a data job: the cleaned corpus through a form-to-lemma
+    lexicon built from the treebank."""
+    inp = Inputs(spark, sf_dir)
+    lex = textops.lemma_lexicon(inp.treebank())
+    return textops.lexicon_lemmatize(inp.clean(), lex)
+
+
+@query("top_words")
+def q_top_words(spark, sf_dir):
+    from lexiclust.operators import explore
+    inp = Inputs(spark, sf_dir)
+    return explore.top_words(inp.context_runs(), inp.context_vectors())
+
+
+@query("project_2d")
+def q_project_2d(spark, sf_dir):
+    """PCA of each cluster's 40-word sample; checked by invariants in tests."""
+    from lexiclust.operators import explore
+    inp = Inputs(spark, sf_dir)
+    return explore.project_2d(inp.context_runs(), inp.context_vectors())
+
+
+@query("viz_top_clusters")
+def q_viz_top_clusters(spark, sf_dir):
+    from lexiclust.operators import explore
+    inp = Inputs(spark, sf_dir)
+    return explore.viz_top_clusters(_stats(inp), inp.context_runs(), inp.context_vectors())
+
+
+@query("train_embeddings")
+def q_train_embeddings(spark, sf_dir):
+    """Skip-gram vectors (MLlib) for the cleaned corpus; values cannot match
+    fastText, so only the vocabulary rule and shapes are checked."""
+    from lexiclust.operators import embed
+    return embed.train_word2vec(Inputs(spark, sf_dir).clean(), dim=16, window=5, min_count=5,
+                                epochs=1, slug="documents-trained")
