@@ -1,0 +1,44 @@
+"""``clean-text`` over a growing folder of text files (Structured Streaming).
+
+The reference cleans its corpus as one pass over lines, remembering the hash
+of every kept line. The streaming form does the same over files as they
+arrive: each new line is normalised and filtered like the batch operator, and
+``dropDuplicates`` on the text keeps only its first arrival across
+micro-batches (state store: one entry per distinct kept line, like the
+reference's set; use the RocksDB provider for large corpora).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiclust.functions.text import (
+    MIN_LINE_LENGTH, REFERENCE_KEEP_CLASS, LanguageProfile, is_blank, matches_profile,
+    normalize_text)
+
+
+def clean_line_stream(spark: SparkSession, folder: str, min_len: int = MIN_LINE_LENGTH,
+                      lowercase: bool = True, profile: LanguageProfile | None = None,
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """A streaming DataFrame ``file, text`` of kept, first-seen lines."""
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.load(folder).select(F.col("_metadata.file_path").alias("file"),
+                                     F.col("value").alias("raw"))
+    keep = profile.keep_class if profile else REFERENCE_KEEP_CLASS
+    df = raw.filter(~is_blank(F.col("raw"))).select(
+        "file", normalize_text(F.col("raw"), lowercase, keep).alias("text"))
+    df = df.filter(F.length("text") >= min_len)
+    if profile is not None:
+        df = df.filter(matches_profile(F.col("text"), profile))
+    return df.dropDuplicates(["text"])
+
+
+def start_clean_stream(spark: SparkSession, folder: str, out_path: str, checkpoint: str, **kw):
+    """Append the kept lines as Parquet; ``checkpoint`` must be a shared
+    folder so the query resumes after a restart or a lost executor."""
+    return (clean_line_stream(spark, folder, **kw).writeStream.format("parquet")
+            .option("path", out_path).option("checkpointLocation", checkpoint)
+            .outputMode("append").start())
