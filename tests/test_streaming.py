@@ -1,0 +1,22 @@
+import os
+
+from lexiclust.streaming.clean_stream import clean_line_stream
+
+
+def test_stream_keeps_first_arrival_only(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.txt"), "w") as f:
+        f.write("A line that is long enough!\nshort\nanother line that is long enough\n")
+    q = (clean_line_stream(spark, src).writeStream.format("memory").queryName("clean_a")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).outputMode("append").start())
+    try:
+        q.processAllAvailable()
+        with open(os.path.join(src, "b.txt"), "w") as f:
+            f.write("a line that is LONG enough\na brand new line that is long\n")
+        q.processAllAvailable()
+        got = sorted(r["text"] for r in spark.sql("select text from clean_a").collect())
+    finally:
+        q.stop()
+    assert got == ["a brand new line that is long", "a line that is long enough",
+                   "another line that is long enough"]
