@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiclust.functions import vector as V
+from lexiclust.session import spread
 from lexiclust.operators.vectors import (
     cap_rank, check_centroid_size, l2_normalize, nearest, restrict_to_vocab, vec_matrix)
 
@@ -101,23 +102,35 @@ def _partial_sums(bc):
     return fn
 
 
+# Partial sums up to this many bytes (partitions x K x D x 8) are added on the
+# driver straight from the one-stage job, as a depth-1 tree aggregate would;
+# beyond it a grouped merge on the executors adds them first.
+DIRECT_MERGE_BYTES = 32 * 1024 * 1024
+
+
 def kmeans_round(data: DataFrame, centroids: dict[int, np.ndarray]) -> dict[int, tuple]:
-    """A9, one pass: per model K the member sums and counts of every cluster."""
+    """A9, one pass: per model K the member sums and counts of every cluster.
+    Every partition emits at most K partial sums per model."""
     spark = data.sparkSession
     bc = spark.sparkContext.broadcast(centroids)
     try:
         partial = data.mapInArrow(_partial_sums(bc), _PARTIAL_SCHEMA)
-        merged = (partial.groupBy("k", "cid")
-                  .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"))
-                  .select("k", "cid", "n", vector_to_array("s").alias("s")))
-        rows = merged.collect()  # at most sum(K) rows
+        n_parts = data.rdd.getNumPartitions()
+        width = sum(C.shape[0] * C.shape[1] for C in centroids.values())
+        if n_parts * width * 8 <= DIRECT_MERGE_BYTES:
+            rows = partial.collect()
+        else:
+            rows = (partial.groupBy("k", "cid")
+                    .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"))
+                    .select("k", "cid", "n", vector_to_array("s").alias("s"))
+                    .collect())  # at most sum(K) rows
     finally:
         bc.unpersist()
     out = {k: (np.zeros_like(C), np.zeros(C.shape[0], dtype=np.int64))
            for k, C in centroids.items()}
     for r in rows:
-        out[r["k"]][0][r["cid"]] = r["s"]
-        out[r["k"]][1][r["cid"]] = r["n"]
+        out[r["k"]][0][r["cid"]] += np.asarray(r["s"])
+        out[r["k"]][1][r["cid"]] += r["n"]
     return out
 
 
@@ -131,10 +144,11 @@ def spherical_kmeans(vectors: DataFrame, ks, seed: int = DEFAULT_SEED,
     ones (``|old - new| <= 1e-6 + 1e-5 |new|``) or after ``max_iter``
     rounds."""
     ks = sorted({int(k) for k in ks})
-    data = vectors.select("rank", V.as_double("vec").alias("vec")).persist()
     t0 = time.time()
+    base = vectors.select("rank", V.as_double("vec").alias("vec"))
+    n = base.count()
+    data = spread(base, rows=n).persist()
     try:
-        n = data.count()
         if not ks or n == 0:
             return KMeansFit({}, {}, 0.0, n, 0)
         if max(ks) > n:

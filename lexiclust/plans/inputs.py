@@ -73,7 +73,8 @@ class Inputs:
     def context_vectors(self) -> DataFrame:
         """Word vectors of the document vocabulary (M7 stand-in for training)."""
         toks = self.tokens()
-        return embed.context_vectors(toks, self.vocab_of(toks), dims=16, slug="documents-context")
+        return embed.context_vectors(toks, self.vocab_of(toks), dims=16, slug="documents-context",
+                                     vocab_max=200_000)
 
     def vocab_of(self, toks: DataFrame, n: int = 200_000) -> DataFrame:
         return textops.top_vocab(toks, n)

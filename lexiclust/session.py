@@ -67,19 +67,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; beyond ``max_rows`` it stays a
-    shuffled side and the planner (with AQE) decides."""
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      known_max: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when its size is bounded: by ``known_max`` (a
+    bound the caller guarantees, e.g. a top-n), else by counting it. Beyond
+    ``max_rows`` it stays a shuffled side and the planner (with AQE) decides."""
+    if known_max is not None and known_max <= max_rows:
+        return F.broadcast(df)
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, rows: int | None = None,
+           rows_per_partition: int = 20_000) -> DataFrame:
     """Round-robin ``df`` over the cluster when its scan has fewer partitions
     than there are cores (a small file read as one split). Large inputs
-    already have enough splits and are left alone: no shuffle."""
+    already have enough splits and are left alone: no shuffle. With a known
+    row count, no partition gets fewer than ``rows_per_partition`` rows, so
+    tiny inputs are not cut into tasks that cost more than they do."""
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
+    if rows is not None:
+        want = max(1, min(want, -(-rows // rows_per_partition)))
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
