@@ -70,9 +70,11 @@ def main():
     timings = {}
     for name in names:
         fn = BENCH[name]
+        spark.catalog.clearCache()
         _sink(fn(spark, SF_DIR))  # warm-up
         runs = []
         for _ in range(REPEATS):
+            spark.catalog.clearCache()  # no reuse of inputs cached by an earlier run
             t0 = time.time()
             _sink(fn(spark, SF_DIR))
             runs.append(time.time() - t0)

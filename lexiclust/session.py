@@ -74,8 +74,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
     ``max_rows`` it stays a shuffled side and the planner (with AQE) decides."""
     if known_max is not None and known_max <= max_rows:
         return F.broadcast(df)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    # counted once and kept, so the broadcast does not derive it again
+    kept = df.persist()
+    if kept.count() <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
 
 
 def spread(df: DataFrame, min_partitions: int | None = None, rows: int | None = None,
