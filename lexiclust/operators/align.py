@@ -118,14 +118,32 @@ def optimal_match(sim: DataFrame, max_rounds: int = 100_000, scale: float = 1e6)
            .repartition("cid_a"))
     ben = cut_lineage(ben)
     bmax = ben.agg(F.max(F.abs("b"))).first()[0] or 1
+    ben_vals: dict = {}
+
+    def own_value(_vals, i, j, pr):
+        return _vals[(i, j)] - pr[j]
     prices = np.zeros(k, dtype=np.float64)
     owner = np.full(k, -1, dtype=np.int64)    # column -> row
     assigned = np.full(k, -1, dtype=np.int64)  # row -> column
     eps = max(1.0, bmax / 4.0)
     rounds = 0
+    first = True
     while True:
-        owner[:] = -1
-        assigned[:] = -1
+        if first:
+            owner[:] = -1
+            assigned[:] = -1
+            first = False
+        else:
+            # keep the assignments that still satisfy eps-complementary
+            # slackness under the new eps; only the rest bid again
+            best = _row_best(ben, spark, prices)
+            pairs_now = [(int(i), int(assigned[i])) for i in range(k) if assigned[i] >= 0]
+            ben_vals = _pair_benefits(ben, spark, pairs_now)
+            for i in range(k):
+                j = assigned[i]
+                if j >= 0 and own_value(ben_vals, i, j, prices) < best[i] - eps:
+                    assigned[i] = -1
+                    owner[j] = -1
         while (assigned < 0).any():
             rounds += 1
             if rounds > max_rounds:
@@ -193,6 +211,36 @@ def _bids(ben: DataFrame, bc, eps: float) -> list:
     return [(r["i"], r["j"], r["bid"]) for r in rows]
 
 
+def _row_best(ben: DataFrame, spark, prices) -> np.ndarray:
+    """Per row the best value ``max_j b_ij - p_j`` (one job, K numbers back)."""
+    bc = spark.sparkContext.broadcast(prices.copy())
+
+    def fn(batches):
+        pr = bc.value
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            j = b.column("cid_b").to_numpy()
+            v = b.column("b").to_numpy().astype(np.float64) - pr[j]
+            yield pa.RecordBatch.from_arrays([b.column("cid_a"), pa.array(v)], names=["i", "v"])
+    rows = (ben.select("cid_a", "cid_b", "b").mapInArrow(fn, "i int, v double")
+            .groupBy("i").agg(F.max("v").alias("m")).collect())
+    bc.unpersist()
+    out = np.full(len(prices), -np.inf)
+    for r in rows:
+        out[r["i"]] = r["m"]
+    return out
+
+
+def _pair_benefits(ben: DataFrame, spark, pairs: list) -> dict:
+    """Benefits of the given (row, column) pairs (at most K)."""
+    if not pairs:
+        return {}
+    sel = spark.createDataFrame(pairs, "cid_a int, cid_b int")
+    rows = ben.join(F.broadcast(sel), ["cid_a", "cid_b"]).select("cid_a", "cid_b", "b").collect()
+    return {(r["cid_a"], r["cid_b"]): float(r["b"]) for r in rows}
+
+
 def _row_max(ben: DataFrame, bc) -> float:
     def fn(batches):
         prices = bc.value
