@@ -34,9 +34,24 @@ def top_words(assignments: DataFrame, vectors: DataFrame, n: int = TOP_WORDS) ->
         *RUN_KEY, "cluster", "word", "rank",
         V.dot(V.l2_normalize("vec"), "centroid").alias("sim"))
     # cosines equal to 9 decimals are ties, kept in file order
-    w = Window.partitionBy(*RUN_KEY, "cluster").orderBy(F.desc(F.round("sim", 9)), F.asc("rank"))
-    return (sims.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
-            .select(*RUN_KEY, "cluster", F.col("place").cast("int").alias("place"), "word", "sim"))
+    order = [F.desc(F.round("sim", 9)), F.asc("rank")]
+    top = top_n_per_group(sims, [*RUN_KEY, "cluster"], order, n, salt_col="word")
+    return top.select(*RUN_KEY, "cluster", F.col("place").cast("int").alias("place"), "word", "sim")
+
+
+def top_n_per_group(df: DataFrame, keys: list[str], order: list, n: int, salt_col: str,
+                    salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of every group in ``order`` (adds ``place``).
+
+    Two stages, so a group holding a third of all rows is not sorted in one
+    task: the top ``n`` of each (group, salt) slice first, then the top ``n``
+    among at most ``n * salts`` survivors per group."""
+    salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    stage1 = (df.withColumn("_salt", salt).withColumn("_p", F.row_number().over(w1))
+              .filter(F.col("_p") <= n).drop("_p", "_salt"))
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return stage1.withColumn("place", F.row_number().over(w2)).filter(F.col("place") <= n)
 
 
 def _pca_group(pdf: pd.DataFrame) -> pd.DataFrame:

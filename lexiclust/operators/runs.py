@@ -131,10 +131,14 @@ def drop_missing_secs(runs: DataFrame) -> DataFrame:
 
 
 def best_run(runs: DataFrame) -> DataFrame:
-    """Per (vecslug, K, method) the fastest run, whole row (ties: log path)."""
-    w = Window.partitionBy("vecslug", "K", "method").orderBy(F.asc("secs"), F.asc("log_path"))
-    return (drop_missing_secs(runs).withColumn("_r", F.row_number().over(w))
-            .filter("_r = 1").drop("_r"))
+    """Per (vecslug, K, method) the fastest run, whole row (ties: log
+    path). An aggregation (partial, then final), so a key holding most of
+    the logs is never sorted in one task."""
+    key = ["vecslug", "K", "method"]
+    rest = [c for c in runs.columns if c not in key]
+    best = (drop_missing_secs(runs).groupBy(*key)
+            .agg(F.min_by(F.struct(*rest), F.struct("secs", "log_path")).alias("_b")))
+    return best.select(*key, *[F.col(f"_b.{c}").alias(c) for c in rest]).select(*runs.columns)
 
 
 def runtime_pivot(runs: DataFrame, methods: list[str] | None = None) -> DataFrame:

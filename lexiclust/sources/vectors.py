@@ -10,7 +10,7 @@ from __future__ import annotations
 import fnmatch
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiclust.operators.numbering import exclusive_prefix
@@ -53,9 +53,10 @@ def read_vectors(spark: SparkSession, path: str, max_words: int | None = None,
         body = body.filter(F.col("rank") < max_words)
     vecs = body.select("rank", F.col("p")[0].alias("word"),
                        F.slice("p", 2, F.size("p") - 1).cast("array<float>").alias("vec"))
-    w = Window.partitionBy("word").orderBy("rank")
-    vecs = vecs.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    return vecs.select(F.lit(slug or vec_slug(path)).alias("slug"), "rank", "word", "vec")
+    # a repeated word keeps its lowest rank (aggregation: partial, then final)
+    first = vecs.groupBy("word").agg(F.min_by(F.struct("rank", "vec"), "rank").alias("_f"))
+    return first.select(F.lit(slug or vec_slug(path)).alias("slug"), F.col("_f.rank").alias("rank"),
+                        "word", F.col("_f.vec").alias("vec"))
 
 
 def write_vectors(vectors: DataFrame, path: str, digits: int = 6) -> None:
