@@ -132,4 +132,6 @@ def matches_profile(col: Column, profile: LanguageProfile = MACEDONIAN) -> Colum
     letters = letter_count(col)
     script = script_letter_count(col, profile.script_class)
     distinctive = col.rlike("[" + profile.distinctive + "]")
-    return (letters > 0) & ((script / letters) >= F.lit(profile.min_ratio)) & distinctive
+    # CASE WHEN: no division is evaluated for a text without letters (ANSI mode)
+    ratio_ok = F.when(letters > 0, (script / letters) >= F.lit(profile.min_ratio)).otherwise(F.lit(False))
+    return ratio_ok & distinctive
