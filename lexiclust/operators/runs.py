@@ -36,15 +36,17 @@ def parse_run_logs(logs: DataFrame, path_col: str = "log_path", text_col: str =
     parse read 0, numbers NaN, booleans are 1 for ``1``/``true``/``yes``."""
     lines = logs.select(F.col(path_col).alias("log_path"),
                         F.posexplode(F.split(F.col(text_col), _LINE_BREAK)).alias("pos", "line"))
-    kv = (lines.filter(F.col("line").contains("="))
-          .select("log_path", "pos",
-                  unicode_strip(F.substring_index("line", "=", 1)).alias("key"),
-                  unicode_strip(F.expr("substring(line, instr(line, '=') + 1)")).alias("value")))
+    has_eq = F.col("line").contains("=")
+    kv = lines.select("log_path", "pos",
+                      F.when(has_eq, unicode_strip(F.substring_index("line", "=", 1))).alias("key"),
+                      F.when(has_eq, unicode_strip(F.expr("substring(line, instr(line, '=') + 1)")))
+                      .alias("value"))
     keys = STRING_KEYS + INT_KEYS + BOOL_KEYS + FLOAT_KEYS
-    last = kv.groupBy("log_path", "key").agg(F.max_by("value", "pos").alias("value"))
-    wide = last.groupBy("log_path").pivot("key", keys).agg(F.first("value"))
-    # logs without any known key still give a row
-    wide = logs.select(F.col(path_col).alias("log_path")).distinct().join(wide, "log_path", "left")
+    # one aggregation per log: for every known key, the value on its last line
+    # (every log keeps a row, even one without any key)
+    wide = kv.groupBy("log_path").agg(*[
+        F.max_by(F.when(F.col("key") == k, F.col("value")),
+                 F.when(F.col("key") == k, F.col("pos"))).alias(k) for k in keys])
     cols = {}
     for k in STRING_KEYS:
         cols[k] = F.coalesce(F.col(f"`{k}`"), F.lit(""))

@@ -86,7 +86,8 @@ class Inputs:
         without its last two letters when longer than five, upos = the
         document's language in upper case; ``ord`` = corpus order."""
         toks = self.tokens()
-        langs = self.table("documents").select("doc_id", F.upper("lang").alias("upos"))
+        from lexiclust.session import bounded_broadcast
+        langs = bounded_broadcast(self.table("documents").select("doc_id", F.upper("lang").alias("upos")))
         lemma = F.when(F.length("token") > 5, F.expr("substring(token, 1, length(token) - 2)")
                        ).otherwise(F.col("token"))
         return toks.join(langs, "doc_id").select(
@@ -123,7 +124,7 @@ class Inputs:
         """Run-log text (``key=value`` lines) built from ``events``: vector
         set ``u<user_id div 10>``, method = event type, K from the ``k`` of
         ``props`` in five steps of 100, seconds = value. One log per event."""
-        ev = self.table("events")
+        ev = spread(self.table("events"))
         k = (F.floor(F.get_json_object("props", "$.k").cast("int") / 20) + 1) * 100
         slug = F.concat(F.lit("u"), F.floor(F.col("user_id") / 10).cast("string"))
         text = F.concat_ws(
