@@ -215,23 +215,31 @@ def predict(vectors: DataFrame, centroids: dict[int, np.ndarray],
 
 
 def lloyd_kmeans(vectors: DataFrame, k: int, seed: int = DEFAULT_SEED, max_iter: int = DEFAULT_MAX_ITER,
-                 tol: float = 1e-4, n_init: int = 10, init_mode: str = "k-means||"):
+                 tol: float = 1e-4, n_init: int = 10, init_mode: str = "k-means||",
+                 parallelism: int = 4):
     """M2 ("serial"): plain Euclidean k-means, best of ``n_init`` starts by
-    training cost; centroids are not re-normalised. Uses MLlib (its stop rule:
-    every centre moves less than ``tol``). Returns (model, cost, iterations)."""
+    training cost (ties to the earlier start); centroids are not
+    re-normalised. Uses MLlib (its stop rule: every centre moves less than
+    ``tol``). The starts are independent jobs, submitted ``parallelism`` at a
+    time, as MLlib's tuning does. Returns (model, cost, iterations)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     feats = vectors.select("rank", array_to_vector(V.as_double("vec")).alias("features")).persist()
-    best = None
+
+    def fit(i):
+        km = KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed + i, initMode=init_mode,
+                    distanceMeasure="euclidean")
+        model = km.fit(feats)
+        return i, model, model.summary.trainingCost, model.summary.numIter
+
     try:
-        for i in range(n_init):
-            km = KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed + i, initMode=init_mode,
-                        distanceMeasure="euclidean")
-            model = km.fit(feats)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (model, cost, model.summary.numIter)
+        feats.count()
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
+            results = list(pool.map(fit, range(n_init)))
     finally:
         feats.unpersist()
-    return best
+    _, model, cost, iters = min(results, key=lambda r: (r[2], r[0]))
+    return model, cost, iters
 
 
 def baseline_kmeans(vectors: DataFrame, k: int, seed: int = DEFAULT_SEED, max_iter: int = 300,
