@@ -65,7 +65,7 @@ def write_vectors(vectors: DataFrame, path: str, digits: int = 6) -> None:
     form the file; no single task writes everything."""
     n = vectors.count()
     d = vectors.select(F.size("vec")).first()[0] if n else 0
-    fmt = F.transform(V_double("vec"), lambda x: F.format_string(f"%.{digits}f", x))
+    fmt = F.transform(F.col("vec").cast("array<double>"), lambda x: F.format_string(f"%.{digits}f", x))
     body = vectors.select(F.col("rank").cast("long").alias("rank"),
                           F.concat_ws(" ", F.col("word"), F.array_join(fmt, " ")).alias("value"))
     header = vectors.sparkSession.createDataFrame([(-1, f"{n} {d}")], "rank long, value string")
@@ -73,10 +73,6 @@ def write_vectors(vectors: DataFrame, path: str, digits: int = 6) -> None:
      .select("value").write.mode("overwrite").text(path))
 
 
-def V_double(col: str):
-    return F.col(col).cast("array<double>")
-
-
 def write_vectors_parquet(vectors: DataFrame, path: str) -> None:
     """Vectors as Parquet, once: later reads are split, pruned and typed."""
     vectors.write.mode("overwrite").partitionBy("slug").parquet(path)
