@@ -72,14 +72,16 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 
 def read_assignments(spark: SparkSession, root: str) -> DataFrame:
     """Every ``assignments.csv`` under ``root/<slug>/<method>/K<k>/``,
-    words read as text (``nan`` and ``null`` stay words)."""
+    words read as text (``nan`` and ``null`` stay words, an empty field is
+    the empty word)."""
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "assignments.csv")
           .option("header", "true").option("nullValue", "\u0000").option("nanValue", "\u0000")
           .schema("word string, cluster int").csv(root))
     path = F.col("_metadata.file_path")
     m = r"([^/]+)/([^/]+)/K([0-9]+)/assignments\.csv$"
     return df.select(F.regexp_extract(path, m, 1).alias("slug"), F.regexp_extract(path, m, 2).alias("method"),
-                     F.regexp_extract(path, m, 3).cast("int").alias("k"), "word", "cluster")
+                     F.regexp_extract(path, m, 3).cast("int").alias("k"),
+                     F.coalesce(F.col("word"), F.lit("")).alias("word"), "cluster")
 
 
 STATS_SCHEMA = ("cid int, size long, suffix2 string, suffix2_purity double, suffix3 string, "
@@ -95,9 +97,12 @@ def read_stats_tables(spark: SparkSession, folder: str, methods=("serial", "para
           .csv(folder.rstrip("/") + "/cluster_stats_*_K*.csv"))
     name = F.col("_metadata.file_name")
     m = r"^cluster_stats_(.+)_(" + "|".join(methods) + r")_K([0-9]+)\.csv$"
+    # an unquoted empty field arrives as null; in these tables it is the empty string
+    strings = {"suffix2", "suffix3", "suffix4", "top_pos"}
+    cols = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in strings else F.col(c) for c in df.columns]
     return (df.withColumn("_name", name).filter(F.col("_name").rlike(m))
             .select(F.regexp_extract("_name", m, 1).alias("slug"), F.regexp_extract("_name", m, 2).alias("method"),
-                    F.regexp_extract("_name", m, 3).cast("int").alias("k"), *[c for c in df.columns]))
+                    F.regexp_extract("_name", m, 3).cast("int").alias("k"), *cols))
 
 
 def read_alignments(spark: SparkSession, folder: str) -> DataFrame:

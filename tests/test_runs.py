@@ -44,7 +44,7 @@ def test_read_assignments_keeps_nan_words(spark, tmpdir_path):
     with open(os.path.join(d, "assignments.csv"), "w") as f:
         f.write("word,cluster\nnan,0\nnull,1\n,2\n")
     got = rn.read_assignments(spark, os.path.join(tmpdir_path, "runs")).collect()
-    assert sorted(r["word"] or "" for r in got) == ["", "nan", "null"]
+    assert sorted(r["word"] for r in got) == ["", "nan", "null"]
     assert {r["k"] for r in got} == {3} and {r["method"] for r in got} == {"parallel"}
 
 
