@@ -29,8 +29,11 @@ def query(name: str):
 def queries() -> dict[str, Query]:
     from lexiclust.plans.checks import round_df
 
+    from lexiclust.session import ship_package
+
     def wrap(name, fn):
         def run(spark, sf_dir):
+            ship_package(spark)
             return round_df(name, fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

@@ -33,6 +33,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -96,3 +97,24 @@ def spread(df: DataFrame, min_partitions: int | None = None, rows: int | None =
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lexiclust`` importable in the Python workers, whatever their
+    working folder: the package directory is added to the job's files (Spark
+    copies it to every executor, and workers import from there). Once per
+    application."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    try:
+        sc.addFile(pkg, recursive=True)
+    except Exception as e:  # noqa: BLE001 - already added under this name
+        if "already" not in str(e).lower():
+            raise
+    _SHIPPED.add(app)
