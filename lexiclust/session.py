@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,17 +105,19 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``lexiclust`` importable in the Python workers, whatever their
-    working folder: the package directory is added to the job's files (Spark
-    copies it to every executor, and workers import from there). Once per
-    application."""
+    working folder: a zip of the sources is added to the job's Python files,
+    which the driver serves to every executor. Once per application."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    try:
-        sc.addFile(pkg, recursive=True)
-    except Exception as e:  # noqa: BLE001 - already added under this name
-        if "already" not in str(e).lower():
-            raise
+    target = os.path.join(tempfile.mkdtemp(prefix="lexiclust-src-"), "lexiclust_src.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(pkg)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(pkg)))
+    sc.addPyFile(target)
     _SHIPPED.add(app)
