@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.llm import decontaminate, packing, tokencount
-from lexiclust.llm.common import table
+from lexiclust.llm import decontaminate, langid, packing, quality, tokencount
+from lexiclust.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,25 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_quality")
+def op1_quality(spark, sf_dir):
+    """Quality of every whole text by votes of labelled neighbours."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, out="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op3_language")
+def op3_language(spark, sf_dir):
+    """Language of every whole text by word-first backoff."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs), out="found")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
+                        "found.lang_pred", "found.score")
+
+
 _OP5_SQL = r"""
 WITH fold AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
