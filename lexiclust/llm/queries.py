@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.llm import decontaminate, langid, packing, quality, tokencount
+from lexiclust.llm import decontaminate, langid, neardup, packing, quality, tokencount
 from lexiclust.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,37 @@ def op3_language(spark, sf_dir):
                         "found.lang_pred", "found.score")
 
 
+_OP4_SQL = r"""
+WITH RECURSIVE fold AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+        FROM fold WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m
+  FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM pair JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+  WHERE 100 * m >= 85 * (x.n + y.n - m)),
+reach(a, b) AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id,
+  doc_id = coalesce(c, doc_id) AS kept
+FROM fold LEFT JOIN n USING (doc_id) LEFT JOIN comp ON doc_id = comp.a
+"""
+
+
+@query("op4_near_duplicates", _OP4_SQL)
+def op4_near_duplicates(spark, sf_dir):
+    """Components of documents whose five-word shingle sets agree to 85 %."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs)
+
+
 _OP5_SQL = r"""
 WITH fold AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
