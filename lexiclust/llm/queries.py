@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.llm import decontaminate, langid, neardup, packing, quality, tokencount
+from lexiclust.llm import decontaminate, langid, neardup, packing, quality, tokencount, urlfilter
 from lexiclust.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,43 @@ def op6_pack(spark, sf_dir):
                          "offset")
 
 
+# The contract's rules (fixed values).
+URL_RULES = [
+    urlfilter.Rule(urlfilter.ALLOW, "com/"),
+    urlfilter.Rule(urlfilter.BLOCK, "example.com/en/"),
+    urlfilter.Rule(urlfilter.ALLOW, "www.example.com/en/"),
+    urlfilter.Rule(urlfilter.BLOCK, "net/es/"),
+    urlfilter.Rule(urlfilter.BLOCK, "net/fr/"),
+]
+
+_OP7_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3)
+    ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut),
+rules(rule, h, p, verdict) AS (VALUES ('com/', 'com', '/', 'allow'),
+  ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+fit AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN fit USING (page_id)
+"""
+
+
+@query("op7_url_filter", _OP7_SQL)
+def op7_url_filter(spark, sf_dir):
+    """Every page's url judged by the rules through two filter cascades."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES).select("page_id", "judged.*")
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark, sf_dir):
     """UTF-8 bytes and byte-level BPE tokens of every whole text."""
