@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.llm import decontaminate, langid, neardup, packing, quality, tokencount, urlfilter
+from lexiclust.llm import chat, decontaminate, langid, neardup, neighbours, packing, quality, tokencount, urlfilter
 from lexiclust.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,59 @@ def op7_url_filter(spark, sf_dir):
     return urlfilter.judge(pages, URL_RULES).select("page_id", "judged.*")
 
 
+_OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+written AS (
+  SELECT *, regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|\|[a-z_]+\|>)', '\1\\\2\3', 'g') AS r,
+    regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|\|[a-z_]+\|>)', '\1\\\2\3', 'g') AS t
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, ''
+    ORDER BY turn, r, t)) AS loss_sha256,
+  CAST(sum(length('<|turn|>') + length(r) + length('<|body|>') + length(t) + length('</s>'))
+    AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
+@query("op8_chat_format", _OP8_SQL)
+def op8_chat_format(spark, sf_dir):
+    """All conversations, and one that says the control strings, formatted and
+    read back from the output."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
+                                  "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+
+
+_OP9_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op9_neighbours", _OP9_SQL)
+def op9_neighbours(spark, sf_dir):
+    """The 20 nearest of every twentieth vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query("op10_token_counts")
 def op10_token_counts(spark, sf_dir):
     """UTF-8 bytes and byte-level BPE tokens of every whole text."""
