@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.llm import chat, decontaminate, langid, neardup, neighbours, packing, quality, tokencount, urlfilter
+from lexiclust.llm import chat, decontaminate, extract, langid, neardup, neighbours, packing, quality, tokencount, urlfilter
 from lexiclust.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def op1_quality(spark, sf_dir):
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op2_main_text")
+def op2_main_text(spark, sf_dir):
+    """Main text of every whole page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extract.extract(pages, extract.fit(pages), out="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op3_language")
 def op3_language(spark, sf_dir):
     """Language of every whole text by word-first backoff."""
