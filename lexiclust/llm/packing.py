@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +29,9 @@ END_ID = 1  # closes every document
 CACHE_WORDS = 500_000  # words whose ids a worker remembers
 _WORD_END = "</w>"  # closes every pre-token's last symbol (fixed value of the file format)
 _JOINED = 2000  # words in one call of the tokenizer
+# Signs before a space or the end, after a letter or digit.
+_ODD = re.compile(r"<\||[\u03a3\u0130]")
+_WORD_THEN_SIGNS = re.compile(r"[,.!*&$%#|](?<=[^\W_].)[,.!*&$%#|]*(?=[ \n]|\Z)")
 _SIGNS = ".,;:!?*&$%#|\"()-"  # ASCII signs that may end a word
 
 _PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -100,11 +104,21 @@ class WordIds(dict):
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts. The tokenizer drops white space and no token
         spans it, so a text's ids are those of its words in turn."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
+        split = [_words(t) if t else [] for t in texts]
         self.learn(set().union(*split))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
+def _words(text: str) -> list[str]:
+    """The text cut at white space and between a word and the signs that end
+    it, where two pre-tokens meet; case is folded as the tokenizer does. Not so
+    beside what may be a special token, which is matched before folding, nor
+    with a capital sigma or dotted I, which fold by their place or to two."""
+    if not _ODD.search(text):
+        text = _WORD_THEN_SIGNS.sub(r" \g<0>", text.lower())
+    return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, keys: list[str], text: str = "text",
                  max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ``keys``, ``start`` (the document's ids before it),
