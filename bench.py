@@ -49,7 +49,7 @@ def kmeans_grid(spark, sf_dir):
 
 def kmeans_lloyd_k200(spark, sf_dir):
     vs = l2_normalize(Inputs(spark, sf_dir).embedding_vectors())
-    model, _, _ = km.lloyd_kmeans(vs, 200, seed=42, max_iter=100, n_init=10)
+    model = km.lloyd_kmeans(vs, 200, seed=42, max_iter=100, n_init=10)
     return km.model_labels(model, vs)
 
 

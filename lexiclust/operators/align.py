@@ -1,93 +1,115 @@
-"""Aligning two clusterings of the same K.
-
-Centroids come from A8. The similarity matrix is computed by a numpy block
-product against the broadcast centroids of the other run (size-checked). Both
-matchings run as rounds of DataFrame jobs over the cached K x K table:
-``greedy_match`` takes the pairs that are each other's best in every round;
-``optimal_match`` is an auction with epsilon scaling whose small state (one
-price per column, one owner per column) stays on the driver, while the bids
-are computed on the executors. Word overlap is an equi-join on the word.
+"""Aligning clusterings of the same K (J6-J9, J11, A21, A22), any number of
+pairs of runs at once.
+
+A pair is the keys of its two runs (``PAIR``); centroids, similarities,
+matchings and overlaps all carry it. Centroids (A8) are packed into blocks, and
+each pair of blocks is one numpy product, so no centroid matrix is broadcast.
+Both matchings run as rounds of jobs over the similarity table, every round
+serving all pairs: ``greedy_match`` takes the pairs that are each other's best;
+``optimal_match`` is an auction with epsilon scaling, whose prices and owners
+(one of each per column) are on the driver while the bids are computed on the
+executors. Word overlap is an equi-join on the word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiclust.operators.vectors import (
-    RUN_KEY, centroid_mean, check_centroid_size, known_words, vec_matrix)
+from lexiclust.operators.vectors import RUN_KEY, centroid_mean, known_words
 from lexiclust.session import cut_lineage
 
+PAIR = ["slug_a", "method_a", "slug_b", "method_b", "k"]
+BLOCK_CENTROIDS = 512
+
 # Cosines equal to this many decimals are ties (lowest ids win), so the
 # matching does not hinge on the order of floating-point sums.
 SIM_DECIMALS = 9
 
 
-def _centroid_matrix(cent: DataFrame) -> np.ndarray:
-    rows = cent.select("cid", "centroid").orderBy("cid").collect()  # K rows
-    return np.array([r["centroid"] for r in rows], dtype=np.float64)
+def run_pairs(runs_a: DataFrame, runs_b: DataFrame) -> DataFrame:
+    """Every run of A with every run of B that has its K (``PAIR``). Raises
+    where a run has no partner: its K differs."""
+    a = runs_a.select(F.col("slug").alias("slug_a"), F.col("method").alias("method_a"), "k").distinct()
+    b = runs_b.select(F.col("slug").alias("slug_b"), F.col("method").alias("method_b"), "k").distinct()
+    alone = a.join(b, "k", "left_anti").select("k").union(b.join(a, "k", "left_anti").select("k"))
+    found = alone.first()
+    if found is not None:
+        raise ValueError(f"K mismatch between runs: K={found['k']} on one side only")
+    return a.join(b, "k").select(*PAIR)
+
+
+def _side(cent: DataFrame, side: str) -> DataFrame:
+    """Blocks of centroids of each run, its keys named for the side."""
+    block = F.floor(F.col("cid") / BLOCK_CENTROIDS).alias(f"block_{side}")
+    rows = cent.groupBy(*RUN_KEY, block).agg(
+        F.collect_list(F.struct("cid", "centroid")).alias(f"rows_{side}"))
+    return rows.withColumnsRenamed({"slug": f"slug_{side}", "method": f"method_{side}"})
+
 
+def _with_run(cent: DataFrame) -> DataFrame:
+    """Centroids without run keys are those of one nameless run, K = rows."""
+    if all(c in cent.columns for c in RUN_KEY):
+        return cent
+    k = cent.count()
+    return cent.withColumns({"slug": F.lit(""), "method": F.lit(""), "k": F.lit(k)})
 
-def centroid_similarity(cent_a: DataFrame, cent_b: DataFrame) -> DataFrame:
-    """``cid_a, cid_b, sim`` = dot product of the unit centroids of two
-    runs (one run each). Raises on a K mismatch."""
-    spark = cent_a.sparkSession
-    B = _centroid_matrix(cent_b)
-    ka = cent_a.count()
-    if ka != B.shape[0]:
-        raise ValueError(f"K mismatch between runs: {ka} vs {B.shape[0]}")
-    check_centroid_size(*B.shape)
-    bc = spark.sparkContext.broadcast(B)
+
+def centroid_similarity(cent_a: DataFrame, cent_b: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``PAIR + cid_a, cid_b, sim``: dot products of the unit centroids of
+    the two runs of each pair (by default every pair of the same K)."""
+    cent_a, cent_b = _with_run(cent_a), _with_run(cent_b)
+    pairs = run_pairs(cent_a, cent_b) if pairs is None else pairs
+    tiles = (pairs.join(_side(cent_a, "a"), ["slug_a", "method_a", "k"])
+             .join(_side(cent_b, "b"), ["slug_b", "method_b", "k"]))
 
     def fn(batches):
-        Bm = bc.value
-        kb = np.arange(Bm.shape[0], dtype=np.int32)
+        def side(batch, name, i):
+            flat = batch.column(name).slice(i, 1).flatten()
+            ids = flat.field("cid").to_numpy()
+            return ids, flat.field("centroid").flatten().to_numpy().reshape(len(ids), -1)
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            X = vec_matrix(b, "centroid")
-            ids = b.column("cid").to_numpy()
-            S = X @ Bm.T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, len(kb)).astype(np.int32)),
-                 pa.array(np.tile(kb, len(ids))), pa.array(S.ravel())],
-                names=["cid_a", "cid_b", "sim"])
-
-    return cent_a.select("cid", "centroid").mapInArrow(fn, "cid_a int, cid_b int, sim double")
-
-
-def greedy_match(sim: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """Repeatedly take the highest remaining similarity and drop its row
-    and column (ties: lowest ``cid_a``, then ``cid_b``). Run as rounds: a pair
-    that is the best of its row and of its column is in the greedy matching,
-    so every round takes all such pairs at once."""
-    rest = sim.select("cid_a", "cid_b", "sim", F.round("sim", SIM_DECIMALS).alias("_s"))
-    rest = cut_lineage(rest)
-    n = rest.select(F.countDistinct("cid_a")).first()[0]
-    taken = []
-    rounds = 0
-    while True:
-        wa = Window.partitionBy("cid_a").orderBy(F.desc("_s"), F.asc("cid_b"))
-        wb = Window.partitionBy("cid_b").orderBy(F.desc("_s"), F.asc("cid_a"))
-        best = (rest.withColumn("_ra", F.row_number().over(wa))
-                .withColumn("_rb", F.row_number().over(wb))
-                .filter((F.col("_ra") == 1) & (F.col("_rb") == 1))
-                .select("cid_a", "cid_b", "sim"))
-        got = best.collect()  # at most K rows
-        rounds += 1
-        if not got:
-            break
-        taken.extend(got)
-        if len(taken) >= n or (max_rounds and rounds >= max_rounds):
-            break
-        done = rest.sparkSession.createDataFrame(got, "cid_a int, cid_b int, sim double")
-        rest = (rest.join(F.broadcast(done.select("cid_a")), "cid_a", "left_anti")
-                .join(F.broadcast(done.select("cid_b")), "cid_b", "left_anti"))
-        rest = cut_lineage(rest)
-    spark = sim.sparkSession
-    return spark.createDataFrame(taken, "cid_a int, cid_b int, sim double")
+            for i in range(b.num_rows):
+                (ia, xa), (ib, xb) = side(b, "rows_a", i), side(b, "rows_b", i)
+                n = len(ia) * len(ib)
+                keys = [pa.array([b.column(c)[i].as_py()] * n, b.column(c).type) for c in PAIR]
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(np.repeat(ia, len(ib)), pa.int32()),
+                     pa.array(np.tile(ib, len(ia)), pa.int32()), pa.array((xa @ xb.T).ravel())],
+                    names=[*PAIR, "cid_a", "cid_b", "sim"])
+
+    return tiles.select(*PAIR, "rows_a", "rows_b").mapInArrow(
+        fn, "slug_a string, method_a string, slug_b string, method_b string, k int, "
+            "cid_a int, cid_b int, sim double")
+
+
+def _pair_of(sim: DataFrame) -> list[str]:
+    return [c for c in PAIR if c in sim.columns]
+
+
+def greedy_match(sim: DataFrame) -> DataFrame:
+    """J7, for every pair: repeatedly take the highest remaining similarity and
+    drop its row and column (ties: lowest ``cid_a``, then ``cid_b``). Run as
+    rounds: a pair that is the best of its row and of its column is in the
+    greedy matching, so every round takes all such pairs at once."""
+    key = _pair_of(sim)
+    rest = cut_lineage(sim.select(*key, "cid_a", "cid_b", "sim", F.round("sim", SIM_DECIMALS).alias("_s")))
+    taken = rest.select(*key, "cid_a", "cid_b", "sim").limit(0)
+    while not rest.isEmpty():
+        by_row = rest.groupBy(*key, "cid_a").agg(
+            F.max(F.struct("_s", (-F.col("cid_b")).alias("_b"), "sim")).alias("m"))
+        by_col = rest.groupBy(*key, "cid_b").agg(
+            F.max(F.struct("_s", (-F.col("cid_a")).alias("_a"))).alias("n"))
+        best = by_row.select(*key, "cid_a", (-F.col("m._b")).alias("cid_b"), F.col("m.sim").alias("sim"))
+        cols = by_col.select(*key, (-F.col("n._a")).alias("cid_a"), "cid_b")
+        best = cut_lineage(best.join(cols, [*key, "cid_a", "cid_b"], "left_semi"))
+        taken = taken.unionByName(best)
+        rest = cut_lineage(rest.join(best.select(*key, "cid_a"), [*key, "cid_a"], "left_anti")
+                           .join(best.select(*key, "cid_b"), [*key, "cid_b"], "left_anti"))
+    return taken
 
 
 class AuctionResult:
@@ -98,217 +120,179 @@ class AuctionResult:
         self.primal = primal
 
 
-def optimal_match(sim: DataFrame, max_rounds: int = 100_000, scale: float = 1e6) -> AuctionResult:
-    """A one-to-one matching of maximum total similarity (cosines rounded
-    to 1e-6), by the auction algorithm with epsilon scaling.
+def optimal_match(sim: DataFrame, scale: float = 1e6) -> AuctionResult:
+    """J8, for every pair: a one-to-one matching of maximum total similarity
+    (cosines rounded to 1e-6), by the auction algorithm with epsilon scaling.
 
-    Benefits are integers ``round(sim * 1e6) * (K + 1)``; the last phase runs
-    with epsilon 1, so the matching is optimal for the rounded benefits
-    (``gap`` = dual minus primal is below ``K + 1``, i.e. below one unit of
-    the rounded cosine). Each round is one job over the cached K x K table,
-    partitioned by row: unassigned rows find their two best values against
-    the current prices and bid; the driver keeps one price and one owner per
-    column."""
+    Rows and columns of all pairs are numbered through, and a row bids only for
+    columns of its own pair, so every round serves all pairs. Benefits are
+    integers ``round(sim * 1e6) * (K + 1)`` with the largest K; the last phase
+    runs with epsilon 1, so each matching is optimal for the rounded benefits
+    (``gap`` = dual minus primal is below (K + 1) per pair). Each round is one
+    job over the persisted table: the rows that are open are picked by a join,
+    find their two best values against the current prices and bid. The driver
+    keeps one price and one owner per column, K of each per pair."""
     spark = sim.sparkSession
-    k = sim.select(F.countDistinct("cid_a")).first()[0]
-    if k == 0:
-        return AuctionResult(spark.createDataFrame([], "cid_a int, cid_b int, sim double"), 0.0, 0, 0)
-    ben = (sim.select("cid_a", "cid_b", "sim",
-                      (F.round(F.col("sim") * scale).cast("long") * (k + 1)).alias("b"))
-           .repartition("cid_a"))
-    ben = cut_lineage(ben)
+    key = _pair_of(sim)
+    found = sim.groupBy(*key).agg(F.countDistinct("cid_a").alias("n")).collect()  # one row a pair
+    if not found:
+        return AuctionResult(sim.select(*key, "cid_a", "cid_b", "sim"), 0.0, 0, 0)
+    width = max(r["n"] for r in found)
+    base = {tuple(r[c] for c in key): n * width for n, r in enumerate(found)}
+    rows_of = np.concatenate([n * width + np.arange(r["n"]) for n, r in enumerate(found)])
+    if key:
+        index = spark.createDataFrame([(*k, n) for k, n in base.items()],
+                                      sim.select(*key).schema.add("_base", T.IntegerType()))
+        numbered = sim.join(F.broadcast(index), key)
+    else:
+        numbered = sim.withColumn("_base", F.lit(0))
+    ben = numbered.select(
+        *key, "cid_a", "cid_b", "sim", (F.col("_base") + F.col("cid_a")).alias("i"),
+        (F.col("_base") + F.col("cid_b")).alias("j"),
+        (F.round(F.col("sim") * scale).cast("long") * (width + 1)).alias("b"))
+    ben = cut_lineage(ben.repartition("i")).repartition("i").persist()
+    try:
+        return _auction(spark, ben, key, rows_of, width * len(found))
+    finally:
+        ben.unpersist()
+
+
+def _auction(spark, ben: DataFrame, key: list[str], rows_of: np.ndarray, total: int) -> AuctionResult:
     bmax = ben.agg(F.max(F.abs("b"))).first()[0] or 1
-    ben_vals: dict = {}
-
-    def own_value(_vals, i, j, pr):
-        return _vals[(i, j)] - pr[j]
-    prices = np.zeros(k, dtype=np.float64)
-    owner = np.full(k, -1, dtype=np.int64)    # column -> row
-    assigned = np.full(k, -1, dtype=np.int64)  # row -> column
-    eps = max(1.0, bmax / 4.0)
-    rounds = 0
-    first = True
+    prices = np.zeros(total)
+    owner = np.full(total, -1, dtype=np.int64)     # column -> row
+    assigned = np.full(total, -1, dtype=np.int64)  # row -> column
+    eps, rounds = max(1.0, bmax / 4.0), 0
     while True:
-        if first:
-            owner[:] = -1
-            assigned[:] = -1
-            first = False
-        else:
-            # keep the assignments that still satisfy eps-complementary
-            # slackness under the new eps; only the rest bid again
-            best = _row_best(ben, spark, prices)
-            pairs_now = [(int(i), int(assigned[i])) for i in range(k) if assigned[i] >= 0]
-            ben_vals = _pair_benefits(ben, spark, pairs_now)
-            for i in range(k):
+        if rounds:
+            # assignments that still satisfy eps-complementary slackness under
+            # the new eps stay; only the rest bid again
+            best = _row_best(ben, prices)
+            have = _pair_benefits(ben, [(int(i), int(assigned[i])) for i in rows_of])
+            for i in rows_of:
                 j = assigned[i]
-                if j >= 0 and own_value(ben_vals, i, j, prices) < best[i] - eps:
-                    assigned[i] = -1
-                    owner[j] = -1
-        while (assigned < 0).any():
+                if have[(i, j)] - prices[j] < best[i] - eps:
+                    assigned[i] = owner[j] = -1
+        while (assigned[rows_of] < 0).any():
             rounds += 1
-            if rounds > max_rounds:
-                raise RuntimeError("auction did not finish within max_rounds")
-            bc = spark.sparkContext.broadcast((prices.copy(), np.flatnonzero(assigned < 0)))
-            bids = _bids(ben, bc, eps)
-            bc.unpersist()
+            bids = _bids(ben, prices, rows_of[assigned[rows_of] < 0], eps)
             # column winners: highest bid, ties to the lowest row
-            bids.sort(key=lambda r: (r[1], -r[2], r[0]))
-            seen = set()
-            for i, j, bid in bids:
-                if j in seen:
+            won: set = set()
+            for i, j, bid in sorted(bids, key=lambda r: (r[1], -r[2], r[0])):
+                if j in won:
                     continue
-                seen.add(j)
-                prev = owner[j]
-                if prev >= 0:
-                    assigned[prev] = -1
-                owner[j] = i
-                assigned[i] = j
-                prices[j] = bid
+                won.add(j)
+                if owner[j] >= 0:
+                    assigned[owner[j]] = -1
+                owner[j], assigned[i], prices[j] = i, j, bid
         if eps <= 1.0:
             break
         eps = max(1.0, eps / 5.0)
-    pairs = spark.createDataFrame([(int(i), int(assigned[i])) for i in range(k)], "cid_a int, cid_b int")
-    matched = ben.join(pairs, ["cid_a", "cid_b"]).select("cid_a", "cid_b", "sim", "b")
+    pairs = spark.createDataFrame([(int(i), int(assigned[i])) for i in rows_of], "i int, j int")
+    matched = cut_lineage(ben.join(pairs, ["i", "j"]).select(*key, "cid_a", "cid_b", "sim", "b"))
     primal = matched.agg(F.sum("b")).first()[0]
-    bc = spark.sparkContext.broadcast(prices.copy())
-    dual_rows = _row_max(ben, bc)
-    bc.unpersist()
-    gap = float(dual_rows + prices.sum() - primal)
-    return AuctionResult(matched.select("cid_a", "cid_b", "sim"), gap, rounds, int(primal))
+    gap = float(sum(_row_best(ben, prices).values()) + prices.sum() - primal)
+    return AuctionResult(matched.drop("b"), gap, rounds, int(primal))
+
 
+def _bids(ben: DataFrame, prices: np.ndarray, open_rows: np.ndarray, eps: float) -> list:
+    """Each open row's bid: its best column, raised by the margin to the second."""
+    spark = ben.sparkSession
+    bc = spark.sparkContext.broadcast(prices.copy())
+    open_df = spark.createDataFrame([(int(i),) for i in open_rows], "i int")  # at most K a pair
 
-def _bids(ben: DataFrame, bc, eps: float) -> list:
     def fn(batches):
-        prices, open_rows = bc.value
-        open_set = set(int(x) for x in open_rows)
+        price = bc.value
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        i = t.column("cid_a").to_numpy()
-        keep = np.isin(i, list(open_set)) if open_set else np.zeros(len(i), bool)
-        if not keep.any():
-            return
-        i = i[keep]
-        j = t.column("cid_b").to_numpy()[keep]
-        v = t.column("b").to_numpy()[keep].astype(np.float64) - prices[j]
+        i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
+        v = t.column("b").to_numpy().astype(np.float64) - price[j]
         order = np.lexsort((j, -v, i))
         i, j, v = i[order], j[order], v[order]
-        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        out_i, out_j, out_b = [], [], []
-        for s_idx, s in enumerate(starts):
-            e = starts[s_idx + 1] if s_idx + 1 < len(starts) else len(i)
-            v1 = v[s]
-            v2 = v[s + 1] if e - s > 1 else v1 - eps
-            out_i.append(int(i[s]))
-            out_j.append(int(j[s]))
-            out_b.append(float(prices[j[s]] + (v1 - v2) + eps))
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        last = np.r_[first[1:], len(i)]
+        second = np.where(last - first > 1, v[np.minimum(first + 1, len(v) - 1)], v[first] - eps)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(out_i, pa.int32()), pa.array(out_j, pa.int32()), pa.array(out_b)],
-            names=["i", "j", "bid"])
-
-    rows = ben.select("cid_a", "cid_b", "b").mapInArrow(fn, "i int, j int, bid double").collect()
+            [pa.array(i[first], pa.int32()), pa.array(j[first], pa.int32()),
+             pa.array(price[j[first]] + v[first] - second + eps)], names=["i", "j", "bid"])
+
+    try:
+        rows = (ben.join(F.broadcast(open_df), "i", "left_semi").select("i", "j", "b")
+                .mapInArrow(fn, "i int, j int, bid double").collect())
+    finally:
+        bc.unpersist()
     return [(r["i"], r["j"], r["bid"]) for r in rows]
 
 
-def _row_best(ben: DataFrame, spark, prices) -> np.ndarray:
-    """Per row the best value ``max_j b_ij - p_j`` (one job, K numbers back)."""
-    bc = spark.sparkContext.broadcast(prices.copy())
+def _row_best(ben: DataFrame, prices: np.ndarray) -> dict[int, float]:
+    """Per row the best value ``max_j b_ij - p_j`` (one job, K numbers a pair back)."""
+    bc = ben.sparkSession.sparkContext.broadcast(prices.copy())
 
     def fn(batches):
-        pr = bc.value
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            j = b.column("cid_b").to_numpy()
-            v = b.column("b").to_numpy().astype(np.float64) - pr[j]
-            yield pa.RecordBatch.from_arrays([b.column("cid_a"), pa.array(v)], names=["i", "v"])
-    rows = (ben.select("cid_a", "cid_b", "b").mapInArrow(fn, "i int, v double")
+            v = b.column("b").to_numpy().astype(np.float64) - bc.value[b.column("j").to_numpy()]
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(v)], names=["i", "v"])
+    rows = (ben.select("i", "j", "b").mapInArrow(fn, "i int, v double")
             .groupBy("i").agg(F.max("v").alias("m")).collect())
     bc.unpersist()
-    out = np.full(len(prices), -np.inf)
-    for r in rows:
-        out[r["i"]] = r["m"]
-    return out
-
-
-def _pair_benefits(ben: DataFrame, spark, pairs: list) -> dict:
-    """Benefits of the given (row, column) pairs (at most K)."""
-    if not pairs:
-        return {}
-    sel = spark.createDataFrame(pairs, "cid_a int, cid_b int")
-    rows = ben.join(F.broadcast(sel), ["cid_a", "cid_b"]).select("cid_a", "cid_b", "b").collect()
-    return {(r["cid_a"], r["cid_b"]): float(r["b"]) for r in rows}
-
-
-def _row_max(ben: DataFrame, bc) -> float:
-    def fn(batches):
-        prices = bc.value
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            j = b.column("cid_b").to_numpy()
-            v = b.column("b").to_numpy().astype(np.float64) - prices[j]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("cid_a"), pa.array(v)], names=["i", "v"])
-    per = ben.select("cid_a", "cid_b", "b").mapInArrow(fn, "i int, v double")
-    return per.groupBy("i").agg(F.max("v").alias("m")).agg(F.sum("m")).first()[0]
-
-
-def cluster_overlap(words_a: DataFrame, words_b: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For each matched pair, common distinct words over the words in
-    either (at least 1), and both set sizes. Inputs ``word, cluster`` (known
-    words of each run)."""
-    a = words_a.select("word", F.col("cluster").alias("cid_a")).distinct()
-    b = words_b.select("word", F.col("cluster").alias("cid_b")).distinct()
-    size_a = a.groupBy("cid_a").agg(F.count(F.lit(1)).alias("size_a"))
-    size_b = b.groupBy("cid_b").agg(F.count(F.lit(1)).alias("size_b"))
-    inter = a.join(b, "word").groupBy("cid_a", "cid_b").agg(F.count(F.lit(1)).alias("inter"))
-    out = (pairs.join(inter, ["cid_a", "cid_b"], "left")
-           .join(size_a, "cid_a", "left").join(size_b, "cid_b", "left")
+    return {r["i"]: r["m"] for r in rows}
+
+
+def _pair_benefits(ben: DataFrame, pairs: list) -> dict:
+    """Benefits of the given (row, column) pairs (at most K a pair of runs)."""
+    sel = ben.sparkSession.createDataFrame(pairs, "i int, j int")
+    rows = ben.join(F.broadcast(sel), ["i", "j"]).select("i", "j", "b").collect()
+    return {(r["i"], r["j"]): float(r["b"]) for r in rows}
+
+
+def cluster_overlap(words_a: DataFrame, words_b: DataFrame, matched: DataFrame) -> DataFrame:
+    """For each matched pair of clusters (``PAIR + cid_a, cid_b, sim``),
+    common distinct words over the words in either (at least 1), and both set
+    sizes. ``words_a`` and ``words_b``: known words of the runs."""
+    def side(words, s):
+        return words.select(F.col("slug").alias(f"slug_{s}"), F.col("method").alias(f"method_{s}"), "k",
+                            "word", F.col("cluster").alias(f"cid_{s}")).distinct()
+    a, b = side(words_a, "a"), side(words_b, "b")
+    ka, kb = ["slug_a", "method_a", "k", "cid_a"], ["slug_b", "method_b", "k", "cid_b"]
+    size_a = a.groupBy(*ka).agg(F.count(F.lit(1)).alias("size_a"))
+    size_b = b.groupBy(*kb).agg(F.count(F.lit(1)).alias("size_b"))
+    pairs = matched.select(*PAIR, "cid_a", "cid_b")
+    inter = (a.join(pairs, ka).join(b, [*kb, "word"])
+             .groupBy(*PAIR, "cid_a", "cid_b").agg(F.count(F.lit(1)).alias("inter")))
+    out = (matched.join(inter, [*PAIR, "cid_a", "cid_b"], "left")
+           .join(size_a, ka, "left").join(size_b, kb, "left")
            .fillna(0, ["inter", "size_a", "size_b"]))
     union = F.greatest(F.col("size_a") + F.col("size_b") - F.col("inter"), F.lit(1))
-    return out.select("cid_a", "cid_b", "sim", (F.col("inter") / union).alias("jaccard"),
+    return out.select(*PAIR, "cid_a", "cid_b", "sim", (F.col("inter") / union).alias("jaccard"),
                       F.col("size_a").cast("long").alias("size_a"),
                       F.col("size_b").cast("long").alias("size_b"))
 
 
-def _run_filter(asg: DataFrame, run: tuple) -> DataFrame:
-    slug, method, k = run
-    return asg.filter((F.col("slug") == slug) & (F.col("method") == method) & (F.col("k") == k))
-
-
 def alignment(asg_a: DataFrame, asg_b: DataFrame, vectors: DataFrame, normed: bool = True,
-              method: str = "optimal") -> DataFrame:
-    """A21 for two runs: match clusters one-to-one by centroid cosine
-    (``optimal`` = maximum total, ``greedy`` = the reference's fallback) and
-    report ``cid_a, cid_b, centroid_cosine, jaccard, size_a, size_b`` with
-    the run keys. Centroids (A8) use each run's K; sizes count distinct
-    words that have a vector."""
-    run_a = asg_a.select(*RUN_KEY).first()
-    run_b = asg_b.select(*RUN_KEY).first()
-    ka = known_words(asg_a, vectors).persist()
-    kb = known_words(asg_b, vectors).persist()
-    if ka.limit(1).count() == 0 or kb.limit(1).count() == 0:
+              method: str = "optimal", pairs: DataFrame | None = None) -> DataFrame:
+    """A21 for all ``pairs`` of runs (default: every run of A with every run of
+    B of its K; a run without a partner is an error): match clusters one-to-one
+    by centroid cosine (``optimal`` = maximum total, or ``greedy``) and report
+    ``PAIR + cid_a, cid_b, centroid_cosine, jaccard, size_a, size_b``. Centroids
+    (A8) use each run's K; sizes count distinct words that have a vector."""
+    ka, kb = known_words(asg_a, vectors), known_words(asg_b, vectors)
+    if ka.isEmpty() or kb.isEmpty():
         raise ValueError("no assigned word has a vector")
-    kofa = asg_a.select(*RUN_KEY).distinct().withColumn("k_total", F.col("k"))
-    kofb = asg_b.select(*RUN_KEY).distinct().withColumn("k_total", F.col("k"))
-    ca = centroid_mean(ka, vectors, kofa, normalize_members=normed)
-    cb = centroid_mean(kb, vectors, kofb, normalize_members=normed)
-    sim = centroid_similarity(ca, cb)
-    sim = cut_lineage(sim)
+
+    def centroids(known, asg):
+        k_of_run = asg.select(*RUN_KEY).distinct().withColumn("k_total", F.col("k"))
+        return centroid_mean(known, vectors, k_of_run, normalize_members=normed)
+    pairs = run_pairs(asg_a, asg_b) if pairs is None else pairs
+    sim = cut_lineage(centroid_similarity(centroids(ka, asg_a), centroids(kb, asg_b), pairs))
     if method == "greedy":
-        pairs = greedy_match(sim)
+        matched = greedy_match(sim)
     elif method == "optimal":
-        pairs = optimal_match(sim).matching
+        matched = optimal_match(sim).matching
     else:
         raise ValueError(f"unknown method {method!r}")
-    out = cluster_overlap(ka, kb, pairs)
-    return out.select(
-        F.lit(run_a["slug"]).alias("slug_a"), F.lit(run_a["method"]).alias("method_a"),
-        F.lit(run_b["slug"]).alias("slug_b"), F.lit(run_b["method"]).alias("method_b"),
-        F.lit(run_a["k"]).cast("int").alias("k"),
-        "cid_a", "cid_b", F.col("sim").alias("centroid_cosine"), "jaccard", "size_a", "size_b")
+    return cluster_overlap(ka, kb, matched).withColumnRenamed("sim", "centroid_cosine")
 
 
 def pair_file(df: DataFrame) -> F.Column:

@@ -72,12 +72,12 @@ def suffix_purity(members: DataFrame, lengths=SUFFIX_LENGTHS) -> DataFrame:
     return top.select(*CKEY, "L", F.col("top").alias("suffix"), F.col("share").alias("purity"))
 
 
-def pos_profile(members: DataFrame, word_map: DataFrame, max_broadcast_rows: int = 5_000_000) -> DataFrame:
+def pos_profile(members: DataFrame, word_map: DataFrame) -> DataFrame:
     """Per cluster the top tag among covered members (lowercase lookup,
     ties to the first word in file order), its share, the entropy
     ``-sum p ln(p + 1e-12) / ln 17`` and the covered count. Clusters without
     covered words are absent."""
-    m = bounded_broadcast(word_map.select(F.col("word").alias("_key"), "upos"), max_broadcast_rows)
+    m = bounded_broadcast(word_map.select(F.col("word").alias("_key"), "upos"))
     tagged = members.join(m, F.lower(F.col("word")) == F.col("_key"))
     counts = tagged.groupBy(*CKEY, "upos").agg(F.count(F.lit(1)).alias("c"), F.min("rank").alias("o"))
     w = Window.partitionBy(*CKEY)

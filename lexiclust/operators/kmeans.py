@@ -1,10 +1,11 @@
 """k-means over vector sets.
 
-``spherical_kmeans`` (the reference's "parallel" method) is a driver loop over
-a persisted table. Each round ships the K x D centroids (size-checked) to the
-tasks; every partition assigns its rows with a numpy block product and emits
-at most K partial sums; a grouped merge adds those up, and only K x D comes
-back to the driver. All K values of a grid advance in the same pass.
+Both methods are a driver loop over the vectors, packed once into binary blocks
+and persisted. Each round ships the centroids of its models to the tasks;
+every partition assigns its rows with a numpy block product and emits at most K
+partial sums a model; a grouped merge adds those up, and only K x D a model
+comes back to the driver. Models (all K of a grid, all starts of Lloyd's
+method) advance in the same pass, as many at a time as fit the broadcast bound.
 
 Random choices are replaced by hashes so that runs are reproducible and can
 be unrolled in SQL: the start centroids are the K rows with the lowest
@@ -14,12 +15,12 @@ rows with the lowest ``md5('seed:t:rank')``.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiclust.functions import vector as V
-from lexiclust.session import spread
+from lexiclust.session import cut_lineage
 from lexiclust.operators.vectors import (
-    cap_rank, check_centroid_size, l2_normalize, nearest, restrict_to_vocab, vec_matrix)
+    MAX_CENTROID_BYTES, cap_rank, check_centroid_size, l2_normalize, nearest, restrict_to_vocab,
+    vec_matrix)
 
 # Fixed values of the reference: all-close test of the stop rule, the norm
 # guard, and the defaults of the grid.
@@ -56,15 +58,52 @@ def _unit_rows(C: np.ndarray) -> np.ndarray:
     return C / (np.linalg.norm(C, axis=1, keepdims=True) + EPS)
 
 
-def _start_hash(seed: int, *parts) -> F.Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[
-        p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts]))
+ROWS_A_BLOCK = 4096
+_PACKED = "n int, dim int, ranks binary, vecs binary"
 
 
-def _lowest_hash_rows(data: DataFrame, h: F.Column, n: int) -> np.ndarray:
-    """The ``n`` rows with the lowest hash (ties by rank): a bounded top-n."""
-    rows = data.orderBy(h, "rank").limit(n).select("vec").collect()
-    return np.array([r["vec"] for r in rows], dtype=np.float64)
+def pack(vectors: DataFrame, n: int) -> DataFrame:
+    """``rank, vec`` as rows of binary blocks (float64), spread over the cluster:
+    tasks read them without converting any cell."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores, n // 1000), n // 50_000)
+    rows = vectors.select(F.col("rank").cast("long").alias("rank"), V.as_double("vec").alias("vec"))
+
+    def fn(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_A_BLOCK):
+                b = batch.slice(at, ROWS_A_BLOCK)
+                X = vec_matrix(b)
+                ranks = b.column("rank").to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([X.shape[0]], pa.int32()), pa.array([X.shape[1]], pa.int32()),
+                     pa.array([ranks.tobytes()], pa.binary()), pa.array([X.tobytes()], pa.binary())],
+                    names=["n", "dim", "ranks", "vecs"])
+    return rows.repartition(parts).mapInArrow(fn, _PACKED)
+
+
+def _blocks(batches):
+    """``ranks, matrix`` of every packed block."""
+    for b in batches:
+        for i in range(b.num_rows):
+            n = b.column("n")[i].as_py()
+            yield (np.frombuffer(b.column("ranks")[i].as_buffer(), dtype=np.int64),
+                   np.frombuffer(b.column("vecs")[i].as_buffer(), dtype=np.float64).reshape(n, -1))
+
+
+def _lowest_hash_rows(packed: DataFrame, prefix: str, n: int) -> np.ndarray:
+    """The ``n`` rows with the lowest ``md5(prefix + rank)`` (ties by rank):
+    the lowest of each block, then a bounded top-n."""
+    def fn(batches):
+        for ranks, X in _blocks(batches):
+            h = [hashlib.md5(f"{prefix}{r}".encode()).hexdigest() for r in ranks.tolist()]
+            low = sorted(range(len(h)), key=lambda i: (h[i], ranks[i]))[:n]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h[i] for i in low], pa.string()), pa.array(ranks[low], pa.int64()),
+                 pa.array([X[i].tobytes() for i in low], pa.binary())], names=["h", "rank", "x"])
+    rows = (packed.mapInArrow(fn, "h string, rank long, x binary").orderBy("h", "rank").limit(n)
+            .select("x").collect())
+    return np.array([np.frombuffer(r["x"], dtype=np.float64) for r in rows])
 
 
 def _partial_sums(bc):
@@ -73,18 +112,14 @@ def _partial_sums(bc):
         acc = {k: (np.zeros_like(C), np.zeros(C.shape[0], dtype=np.int64))
                for k, C in models.items()}
         sq = {k: (C * C).sum(1) for k, C in models.items()}
-        for b in batches:
-            X = vec_matrix(b)
-            if X.shape[0] == 0:
-                continue
+        for _, X in _blocks(batches):
             for k, C in models.items():
                 lab = nearest(X, C, sq[k])
                 order = np.argsort(lab, kind="stable")
                 ls = lab[order]
                 starts = np.flatnonzero(np.r_[True, ls[1:] != ls[:-1]])
-                sums = np.add.reduceat(X[order], starts, axis=0)
                 ids = ls[starts]
-                acc[k][0][ids] += sums
+                acc[k][0][ids] += np.add.reduceat(X[order], starts, axis=0)
                 acc[k][1][ids] += np.diff(np.r_[starts, len(ls)])
         ks, cids, ns, ss = [], [], [], []
         for k, (S, cnt) in acc.items():
@@ -94,42 +129,48 @@ def _partial_sums(bc):
                 ns.append(int(cnt[c]))
                 ss.append(S[c])
         if ks:
+            flat = pa.array(np.concatenate(ss))
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ss])]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ks, pa.int32()), pa.array(cids, pa.int32()), pa.array(ns, pa.int64()),
-                 pa.array([s.tolist() for s in ss], pa.list_(pa.float64()))],
-                names=["k", "cid", "n", "s"])
+                 pa.ListArray.from_arrays(offsets, flat)], names=["k", "cid", "n", "s"])
     return fn
 
 
-# Partial sums up to this many bytes (partitions x K x D x 8) are added on the
-# driver straight from the one-stage job, as a depth-1 tree aggregate would;
-# beyond it a grouped merge on the executors adds them first.
-DIRECT_MERGE_BYTES = 32 * 1024 * 1024
-
-
-def kmeans_round(data: DataFrame, centroids: dict[int, np.ndarray]) -> dict[int, tuple]:
-    """A9, one pass: per model K the member sums and counts of every cluster.
-    Every partition emits at most K partial sums per model."""
-    spark = data.sparkSession
-    bc = spark.sparkContext.broadcast(centroids)
-    try:
-        partial = data.mapInArrow(_partial_sums(bc), _PARTIAL_SCHEMA)
-        n_parts = data.rdd.getNumPartitions()
-        width = sum(C.shape[0] * C.shape[1] for C in centroids.values())
-        if n_parts * width * 8 <= DIRECT_MERGE_BYTES:
-            rows = partial.collect()
-        else:
-            rows = (partial.groupBy("k", "cid")
-                    .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"))
-                    .select("k", "cid", "n", vector_to_array("s").alias("s"))
-                    .collect())  # at most sum(K) rows
-    finally:
-        bc.unpersist()
+def _passes(models: dict[int, np.ndarray]):
+    """The models in groups that fit the broadcast bound together."""
+    group, size = {}, 0
+    for key, C in models.items():
+        check_centroid_size(*C.shape)
+        if group and size + C.nbytes > MAX_CENTROID_BYTES:
+            yield group
+            group, size = {}, 0
+        group[key] = C
+        size += C.nbytes
+    if group:
+        yield group
+
+
+def kmeans_round(packed: DataFrame, centroids: dict[int, np.ndarray]) -> dict[int, tuple]:
+    """Per model the member sums and counts of every cluster. Every
+    partition emits at most K partial sums per model; they are merged by key on
+    the executors."""
+    spark = packed.sparkSession
     out = {k: (np.zeros_like(C), np.zeros(C.shape[0], dtype=np.int64))
            for k, C in centroids.items()}
-    for r in rows:
-        out[r["k"]][0][r["cid"]] += np.asarray(r["s"])
-        out[r["k"]][1][r["cid"]] += r["n"]
+    for group in _passes(centroids):
+        bc = spark.sparkContext.broadcast(group)
+        try:
+            merged = (packed.mapInArrow(_partial_sums(bc), _PARTIAL_SCHEMA).groupBy("k", "cid")
+                      .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"))
+                      .select("k", "cid", "n", vector_to_array("s").alias("s")).toArrow())
+        finally:
+            bc.unpersist()
+        sums = vec_matrix(merged, "s")  # at most sum(K) rows
+        for i, (k, cid, n) in enumerate(zip(*(merged.column(c).to_pylist() for c in ("k", "cid", "n")),
+                                            strict=True)):
+            out[k][0][cid] += sums[i]
+            out[k][1][cid] += n
     return out
 
 
@@ -144,26 +185,22 @@ def spherical_kmeans(vectors: DataFrame, ks, seed: int = DEFAULT_SEED,
     rounds."""
     ks = sorted({int(k) for k in ks})
     t0 = time.time()
-    base = vectors.select("rank", V.as_double("vec").alias("vec"))
-    n = base.count()
-    data = spread(base, rows=n).persist()
+    n = vectors.count()
+    data = pack(vectors, n).persist()
     try:
         if not ks or n == 0:
             return KMeansFit({}, {}, 0.0, n, 0)
         if max(ks) > n:
             raise ValueError(f"K={max(ks)} exceeds the {n} vectors")
-        S = _lowest_hash_rows(data, _start_hash(seed, F.col("rank").cast("string")), max(ks))
+        S = _lowest_hash_rows(data, f"{seed}:", max(ks))
         dim = S.shape[1]
-        for k in ks:
-            check_centroid_size(k, dim)
         current = {k: S[:k].copy() for k in ks}
         iterations: dict[int, int] = {}
         active = dict(current)
         for it in range(1, max_iter + 1):
             sums = kmeans_round(data, active)
             need = max((int((cnt == 0).sum()) for _, cnt in sums.values()), default=0)
-            spare = (_lowest_hash_rows(data, _start_hash(seed, it, F.col("rank").cast("string")), need)
-                     if need else None)
+            spare = _lowest_hash_rows(data, f"{seed}:{it}:", need) if need else None
             nxt = {}
             for k, (Ssum, cnt) in sums.items():
                 M = np.zeros_like(Ssum)
@@ -193,66 +230,112 @@ def predict(vectors: DataFrame, centroids: dict[int, np.ndarray],
     """M4: the nearest centroid for every row and every model:
     ``keep + [k, cluster]``."""
     spark = vectors.sparkSession
-    for C in centroids.values():
-        check_centroid_size(*C.shape)
-    bc = spark.sparkContext.broadcast({k: np.asarray(C, np.float64) for k, C in centroids.items()})
     src = vectors.select(*keep, "vec")
     out_schema = src.drop("vec").schema.add("k", T.IntegerType()).add("cluster", T.IntegerType())
 
-    def fn(batches):
-        models = bc.value
-        sq = {k: (C * C).sum(1) for k, C in models.items()}
-        for b in batches:
-            X = vec_matrix(b)
-            base = b.drop_columns(["vec"])
-            for k, C in models.items():
-                lab = nearest(X, C, sq[k]) if X.shape[0] else np.zeros(0, np.int32)
-                yield (base.append_column("k", pa.array(np.full(len(lab), k, np.int32)))
-                       .append_column("cluster", pa.array(lab, pa.int32())))
+    def labels(bc):
+        def fn(batches):
+            models = bc.value
+            sq = {k: (C * C).sum(1) for k, C in models.items()}
+            for b in batches:
+                X = vec_matrix(b)
+                base = b.drop_columns(["vec"])
+                for k, C in models.items():
+                    lab = nearest(X, C, sq[k]) if X.shape[0] else np.zeros(0, np.int32)
+                    yield (base.append_column("k", pa.array(np.full(len(lab), k, np.int32)))
+                           .append_column("cluster", pa.array(lab, pa.int32())))
+        return fn
+
+    out = None
+    for group in _passes({k: np.asarray(C, np.float64) for k, C in centroids.items()}):
+        part = src.mapInArrow(labels(spark.sparkContext.broadcast(group)), out_schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], out_schema) if out is None else out
 
-    return src.mapInArrow(fn, out_schema)
 
+@dataclass
+class LloydFit:
+    centroids: np.ndarray
+    cost: float
+    iterations: int
+
+
+SEED_ROWS = 5  # rows a cluster in the sample from which starts are drawn
 
-def lloyd_kmeans(vectors: DataFrame, k: int, seed: int = DEFAULT_SEED, max_iter: int = DEFAULT_MAX_ITER,
-                 tol: float = 1e-4, n_init: int = 10, init_mode: str = "k-means||",
-                 parallelism: int = 4):
-    """M2 ("serial"): plain Euclidean k-means, best of ``n_init`` starts by
-    training cost (ties to the earlier start); centroids are not
-    re-normalised. Uses MLlib (its stop rule: every centre moves less than
-    ``tol``). The starts are independent jobs, submitted ``parallelism`` at a
-    time, as MLlib's tuning does. Returns (model, cost, iterations)."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    feats = vectors.select("rank", array_to_vector(V.as_double("vec")).alias("features")).persist()
-
-    def fit(i):
-        km = KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed + i, initMode=init_mode,
-                    distanceMeasure="euclidean")
-        model = km.fit(feats)
-        return i, model, model.summary.trainingCost, model.summary.numIter
 
+def _seeded_start(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """K rows of the sample, each drawn with the squared distance to those drawn
+    before (k-means++)."""
+    picked = [int(rng.integers(len(sample)))]
+    d = ((sample - sample[picked[0]]) ** 2).sum(1)
+    while len(picked) < k:
+        total = d.sum()
+        i = int(rng.choice(len(sample), p=d / total)) if total > 0 else int(rng.integers(len(sample)))
+        picked.append(i)
+        d = np.minimum(d, ((sample - sample[i]) ** 2).sum(1))
+    return sample[picked].copy()
+
+
+def lloyd_kmeans(vectors: DataFrame, k: int, seed: int = DEFAULT_SEED, max_iter: int = DEFAULT_MAX_ITER,
+                 tol: float = 1e-4, n_init: int = 10) -> LloydFit:
+    """M2 ("serial"): plain Euclidean k-means, best of ``n_init`` starts by cost
+    (ties to the earlier start); centroids are not re-normalised. Starts are
+    drawn by k-means++ from a bounded sample (the rows with the lowest hashes);
+    all of them advance in the same pass, and one stops when no centroid moves
+    by ``tol`` or more, or after ``max_iter`` rounds. An empty cluster takes a
+    data row."""
+    n = vectors.count()
+    if k > n:
+        raise ValueError(f"K={k} exceeds the {n} vectors")
+    data = pack(vectors, n).persist()
     try:
-        feats.count()
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
-            results = list(pool.map(fit, range(n_init)))
+        sample = _lowest_hash_rows(data, f"{seed}:", min(n, SEED_ROWS * k))
+        current = {i: _seeded_start(sample, k, np.random.default_rng(seed + i)) for i in range(n_init)}
+        cost = dict.fromkeys(current, float("inf"))
+        iterations = dict.fromkeys(current, max_iter)
+        squares = data.mapInArrow(_square_sums, "s double").agg(F.sum("s")).first()[0]
+        active = set(current)
+        for it in range(1, max_iter + 2):
+            sums = kmeans_round(data, {i: current[i] for i in sorted(active)})
+            need = max(int((cnt == 0).sum()) for _, cnt in sums.values())
+            spare = _lowest_hash_rows(data, f"{seed}:{it}:", need) if need else None
+            for i, (S, cnt) in sums.items():
+                C = current[i]
+                # inertia under C: sum |x|^2 - 2 s.c + n |c|^2
+                cost[i] = squares - float((2 * (S * C).sum(1) - cnt * (C * C).sum(1)).sum())
+                M = S / np.maximum(cnt, 1)[:, None]
+                empty = np.flatnonzero(cnt == 0)
+                if len(empty):
+                    M[empty] = spare[:len(empty)]
+                moved = float(np.sqrt(((M - C) ** 2).sum(1)).max())
+                if moved < tol or it > max_iter:
+                    iterations[i] = min(it, max_iter)
+                    active.discard(i)
+                else:
+                    current[i] = M
+            if not active:
+                break
+        best = min(current, key=lambda i: (round(cost[i], 9), i))
+        return LloydFit(current[best], cost[best], iterations[best])
     finally:
-        feats.unpersist()
-    _, model, cost, iters = min(results, key=lambda r: (r[2], r[0]))
-    return model, cost, iters
+        data.unpersist()
+
+
+def _square_sums(batches):
+    for _, X in _blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([float((X * X).sum())])], names=["s"])
 
 
 def baseline_kmeans(vectors: DataFrame, k: int, seed: int = DEFAULT_SEED, max_iter: int = 300,
-                    tol: float = 1e-4):
-    """M3 ("sklearn"): one k-means|| start on unit vectors; labels from the
-    fitted centres, centres scaled to unit length afterwards."""
-    model, cost, iters = lloyd_kmeans(vectors, k, seed, max_iter, tol, n_init=1)
-    C = _unit_rows(np.array(model.clusterCenters(), dtype=np.float64))
-    return model, C, cost, iters
+                    tol: float = 1e-4) -> tuple[LloydFit, np.ndarray]:
+    """M3 ("sklearn"): one start on unit vectors; labels from the fitted centres,
+    which come back scaled to unit length too."""
+    fit = lloyd_kmeans(vectors, k, seed, max_iter, tol, n_init=1)
+    return fit, _unit_rows(fit.centroids)
 
 
-def model_labels(model, vectors: DataFrame, keep=("slug", "rank", "word")) -> DataFrame:
-    feats = vectors.select(*keep, array_to_vector(V.as_double("vec")).alias("features"))
-    return model.transform(feats).select(*keep, F.col("prediction").cast("int").alias("cluster"))
+def model_labels(fit: LloydFit, vectors: DataFrame, keep=("slug", "rank", "word")) -> DataFrame:
+    return predict(vectors, {len(fit.centroids): fit.centroids}, keep).drop("k")
 
 
 @dataclass
@@ -264,50 +347,48 @@ class GridResult:
 def cluster_grid(vectors: DataFrame, k_values, method: str = "parallel", normalize: bool = True,
                  toplist: DataFrame | None = None, max_words: int | None = None,
                  seed: int = DEFAULT_SEED, max_iter: int = DEFAULT_MAX_ITER,
-                 restrict_path: str = "") -> GridResult:
-    """M5 for one vector set: P8, J1, P7, P13, then M1 ("parallel") or M2
-    ("serial") for every feasible K. Returns assignments
-    (``slug, method, k, word, cluster``) and one run row per K."""
+                 restrict_path: str = "", vec_path: str = "") -> GridResult:
+    """M5 for one vector set: P8, J1, P7, P13, then M1 ("parallel"), M2
+    ("serial") or M3 ("sklearn": unit vectors, no toplist) for every feasible K.
+    Returns assignments (``slug, method, k, word, cluster``) and one run row per
+    K; ``num_cores`` is the cluster's parallelism. An empty set is an error."""
+    if method not in ("parallel", "serial", "sklearn"):
+        raise ValueError(f"unknown method {method!r}")
     spark = vectors.sparkSession
     vs = cap_rank(vectors, max_words)
-    vs = restrict_to_vocab(vs, toplist)
+    if method == "sklearn":
+        normalize = True
+    else:
+        vs = restrict_to_vocab(vs, toplist)
     if normalize:
         vs = l2_normalize(vs)
     vs = vs.persist()
     try:
-        slug = vs.select("slug").first()["slug"]
+        first = vs.select("slug", F.size("vec").alias("d")).first()
+        if first is None:
+            raise ValueError("the vector set is empty")
+        slug, dim = first["slug"], first["d"]
         n = vs.count()
-        ks = [int(k) for k in k_values if int(k) <= n]
-        parts, run_rows = [], []
+        ks = sorted({int(k) for k in k_values if int(k) <= n})
+        models, rounds, secs = {}, {}, {}
         if method == "parallel":
             fit = spherical_kmeans(vs, ks, seed=seed, max_iter=max_iter)
-            labels = predict(vs, fit.centroids).persist()
-            labels.count()
-            for k in ks:
-                run_rows.append((slug, k, method, n, fit.dim, int(normalize), fit.iterations[k],
-                                 max_iter, round(fit.secs, 2), str(max_words or "all"), restrict_path))
-            parts.append(labels)
-        elif method == "serial":
+            models, rounds, secs = fit.centroids, fit.iterations, dict.fromkeys(ks, fit.secs)
+        else:
             for k in ks:
                 t0 = time.time()
-                model, cost, iters = lloyd_kmeans(vs, k, seed, max_iter)
-                secs = time.time() - t0
-                lab = model_labels(model, vs).withColumn("k", F.lit(k))
-                parts.append(lab)
-                dim = len(model.clusterCenters()[0])
-                run_rows.append((slug, k, method, n, dim, int(normalize), iters, max_iter,
-                                 round(secs, 2), str(max_words or "all"), restrict_path))
-        else:
-            raise ValueError(f"unknown method {method!r}")
-        asg = None
-        for p in parts:
-            p = p.select("slug", F.lit(method).alias("method"), F.col("k").cast("int").alias("k"),
-                         "word", "cluster")
-            asg = p if asg is None else asg.unionByName(p)
+                one = (lloyd_kmeans(vs, k, seed, max_iter) if method == "serial"
+                       else baseline_kmeans(vs, k, seed, max_iter)[0])
+                models[k], rounds[k], secs[k] = one.centroids, one.iterations, time.time() - t0
+        labels = cut_lineage(predict(vs, models).select(
+            "slug", F.lit(method).alias("method"), F.col("k").cast("int").alias("k"), "word", "cluster"))
+        cores = spark.sparkContext.defaultParallelism
         runs = spark.createDataFrame(
-            run_rows,
-            "vecslug string, K int, method string, N long, D int, normed int, iterations int, "
-            "max_iter int, secs double, max_words string, restrict_path string")
-        return GridResult(asg, runs)
+            [(vec_path, slug, k, method, n, dim, int(normalize), rounds[k], cores, max_iter,
+              round(secs[k], 2), str(max_words or "all"), restrict_path) for k in ks],
+            "vec string, vecslug string, K int, method string, N long, D int, normed int, "
+            "iterations int, num_cores int, max_iter int, secs double, max_words string, "
+            "restrict_path string")
+        return GridResult(labels, runs)
     finally:
         vs.unpersist()

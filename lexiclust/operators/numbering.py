@@ -39,3 +39,21 @@ def exclusive_prefix(df: DataFrame, order_cols: list[str], size_col: str,
     return (inner.join(F.broadcast(offsets), "_block")
             .withColumn("start", (F.col("_offset") + F.col("_inner")).cast("long"))
             .drop("_block", "_inner", "_offset"))
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """``df`` with its 1-based place in ``order`` (columns that tell all rows
+    apart): rows are range-partitioned and stored once, numbered inside each
+    partition and shifted by the sizes of the partitions before (one row each).
+    No window spans more than one partition."""
+    from lexiclust.session import cut_lineage
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (dealt.withColumn("_in", inside).join(F.broadcast(starts), "_part")
+            .withColumn(name, (F.col("_start") + F.col("_in")).cast("long"))
+            .drop("_part", "_in", "_start"))

@@ -7,6 +7,8 @@ the known keys into typed columns with the reference's lenient rules.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,35 +86,100 @@ def read_assignments(spark: SparkSession, root: str) -> DataFrame:
                      F.coalesce(F.col("word"), F.lit("")).alias("word"), "cluster")
 
 
-STATS_SCHEMA = ("cid int, size long, suffix2 string, suffix2_purity double, suffix3 string, "
-                "suffix3_purity double, suffix4 string, suffix4_purity double, "
-                "max_suffix_purity double, top_pos string, pos_purity double, pos_entropy double, "
-                "pos_coverage double, msi double")
+def read_written_runs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """What ``sinks.write_run`` wrote: assignments and run rows of all runs."""
+    root = root.rstrip("/")
+    return (spark.read.parquet(f"{root}/assignments").select("slug", "method", "k", "word", "cluster"),
+            spark.read.parquet(f"{root}/runs").drop("slug", "run_method", "run_k"))
+
+
+def csv_rows(lines: DataFrame) -> DataFrame:
+    """CSV tables that each have their own header, from ``file, line_no, line``:
+    ``file, line_no, cells`` with a map from column name to text for every data
+    row. The header is a file's first line; an empty field is the empty string.
+    Cells are split at commas: these tables quote nothing."""
+    head = lines.groupBy("file").agg(F.min_by("line", "line_no").alias("_head"),
+                                     F.min("line_no").alias("_first"))
+    names = F.transform(F.split("_head", ","), lambda x: F.trim(x))
+    rows = lines.join(head, "file").filter((F.col("line_no") > F.col("_first")) & (F.trim("line") != ""))
+    cells = F.slice(F.split("line", ",", -1), 1, F.size(names))
+    return rows.select("file", "line_no", F.map_from_arrays(
+        F.slice(names, 1, F.size(cells)), cells).alias("cells"))
+
+
+def _pick(names: list[str]) -> F.Column:
+    """The first of the spellings that a row's table has; names are compared
+    without case, signs and white space."""
+    plain = F.map_from_entries(F.transform(F.map_entries("cells"), lambda e: F.struct(
+        F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").alias("key"), e["value"].alias("value"))))
+    want = list(dict.fromkeys(re.sub("[^a-z0-9]", "", n.lower()) for n in names))
+    return F.coalesce(*(F.try_element_at(plain, F.lit(n)) for n in want))
+
+
+def _number(value: F.Column, kind: str) -> F.Column:
+    return F.when(F.trim(value) == "", None).otherwise(value).try_cast(kind)
+
+
+# Column spellings of the tables (fixed values).
+STATS_COLUMNS = {
+    "cid": (["cid", "cluster", "cluster_id", "c"], "int"), "size": (["size", "n_words"], "bigint"),
+    **{f"suffix{n}": ([f"suffix{n}"], "string") for n in (2, 3, 4)},
+    **{f"suffix{n}_purity": ([f"suffix{n}_purity"], "double") for n in (2, 3, 4)},
+    "max_suffix_purity": (["max_suffix_purity", "suffix_purity", "suffix"], "double"),
+    "top_pos": (["top_pos"], "string"), "pos_purity": (["pos_purity"], "double"),
+    "pos_entropy": (["pos_entropy"], "double"), "pos_coverage": (["pos_coverage", "coverage"], "double"),
+    "msi": (["msi", "msi_pos_minus_suffix", "msi_pos_suf"], "double"),
+}
+ALIGN_COLUMNS = {
+    "cid_a": (["cid_a", "a"], "int"), "cid_b": (["cid_b", "b"], "int"),
+    "centroid_cosine": (["centroid_cosine", "cosine", "sim"], "double"),
+    "jaccard": (["jaccard"], "double"), "size_a": (["size_a"], "bigint"), "size_b": (["size_b"], "bigint"),
+}
+
+
+def _columns(spec: dict) -> list[F.Column]:
+    return [(_pick(names) if kind == "string" else _number(_pick(names), kind)).alias(name)
+            for name, (names, kind) in spec.items()]
+
+
+def parse_stats_tables(lines: DataFrame, methods=("serial", "parallel", "sklearn")) -> DataFrame:
+    """S6 over lines: tables named ``cluster_stats_<slug>_<method>_K<k>.csv``, each
+    read by its own header whatever the order and spelling of its columns; other
+    files are skipped. MSI is POS purity minus suffix purity where it is absent."""
+    m = r"^cluster_stats_(.+)_(" + "|".join(methods) + r")_K([0-9]+)\.csv$"
+    rows = csv_rows(lines.filter(F.col("file").rlike(m))).select(
+        F.regexp_extract("file", m, 1).alias("slug"), F.regexp_extract("file", m, 2).alias("method"),
+        F.regexp_extract("file", m, 3).cast("int").alias("k"), *_columns(STATS_COLUMNS))
+    return rows.withColumn("msi", F.coalesce("msi", F.col("pos_purity") - F.col("max_suffix_purity")))
+
+
+def parse_alignments(lines: DataFrame) -> DataFrame:
+    """S7 over lines: alignment tables by their headers; ``k`` from ``_K<n>.csv``."""
+    k = F.regexp_extract("file", r"_K([0-9]+)\.csv$", 1)
+    return csv_rows(lines).select("file", F.when(k != "", k.cast("int")).alias("k"),
+                                  *_columns(ALIGN_COLUMNS))
+
+
+def _table_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    return spark.read.text(pattern).select(
+        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_no"),
+        F.col("value").alias("line"))
 
 
 def read_stats_tables(spark: SparkSession, folder: str, methods=("serial", "parallel", "sklearn")) -> DataFrame:
-    """``cluster_stats_<slug>_<method>_K<k>.csv`` files; slug, method and
-    K from the name, other files skipped. Empty strings stay empty strings."""
-    df = (spark.read.option("header", "true").option("nullValue", "\u0000").schema(STATS_SCHEMA)
-          .csv(folder.rstrip("/") + "/cluster_stats_*_K*.csv"))
-    name = F.col("_metadata.file_name")
-    m = r"^cluster_stats_(.+)_(" + "|".join(methods) + r")_K([0-9]+)\.csv$"
-    # an unquoted empty field arrives as null; in these tables it is the empty string
-    strings = {"suffix2", "suffix3", "suffix4", "top_pos"}
-    cols = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in strings else F.col(c) for c in df.columns]
-    return (df.withColumn("_name", name).filter(F.col("_name").rlike(m))
-            .select(F.regexp_extract("_name", m, 1).alias("slug"), F.regexp_extract("_name", m, 2).alias("method"),
-                    F.regexp_extract("_name", m, 3).cast("int").alias("k"), *cols))
+    """S6 from files."""
+    return parse_stats_tables(_table_lines(spark, folder.rstrip("/") + "/cluster_stats_*_K*.csv"), methods)
 
 
 def read_alignments(spark: SparkSession, folder: str) -> DataFrame:
-    """``alignment_*_K*.csv``; ``K`` from the ``_K<n>.csv`` suffix."""
-    df = (spark.read.option("header", "true")
-          .schema("cid_a int, cid_b int, centroid_cosine double, jaccard double, size_a long, size_b long")
-          .csv(folder.rstrip("/") + "/alignment_*_K*.csv"))
-    name = F.col("_metadata.file_name")
-    k = F.regexp_extract(name, r"_K([0-9]+)\.csv$", 1)
-    return df.select(name.alias("file"), F.when(k != "", k.cast("int")).alias("k"), *df.columns)
+    """S7 from files."""
+    return parse_alignments(_table_lines(spark, folder.rstrip("/") + "/alignment_*_K*.csv"))
+
+
+def safe_slug(name: F.Column) -> F.Column:
+    """a name safe for files: runs of other characters than letters,
+    digits, dots, underscores and hyphens become one hyphen."""
+    return F.regexp_replace(name, r"[^0-9A-Za-z._-]+", "-")
 
 
 def run_slug(path: F.Column) -> F.Column:

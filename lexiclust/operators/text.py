@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexiclust.functions.text import (
     MIN_LINE_LENGTH, REFERENCE_KEEP_CLASS, LanguageProfile, is_blank, matches_profile,
     normalize_text)
-from lexiclust.operators.numbering import exclusive_prefix
+from lexiclust.operators.numbering import exclusive_prefix, global_rank
 from lexiclust.session import bounded_broadcast
 
 _SEG_BITS = 33  # read_lines numbers lines by partition in the high bits
@@ -88,9 +88,8 @@ def clean_lines(lines: DataFrame, min_len: int = MIN_LINE_LENGTH, lowercase: boo
     """``clean-text``: P5, P2, P1, P3, P4 (when a profile is given), A1.
 
     The keep-class follows the profile (the reference class without one).
-    Each line is normalised exactly once: the length and profile tests are
-    computed next to the text and applied after the dedup aggregation, where
-    the optimizer cannot inline the normalisation into a second filter.
+    Each line is normalised next to its length and profile tests; a rejected
+    line's key is null, so its text never enters the exchange.
     """
     keep = profile.keep_class if profile else REFERENCE_KEEP_CLASS
     df = head_lines(lines, head) if head else lines
@@ -99,12 +98,12 @@ def clean_lines(lines: DataFrame, min_len: int = MIN_LINE_LENGTH, lowercase: boo
     ok = (F.length("text") >= min_len) & ~F.col("blank")
     if profile is not None:
         ok = ok & matches_profile(F.col("text"), profile)
-    df = df.select("doc_id", "line_pos", "text", ok.alias("ok"))
-    out = df.groupBy("text").agg(
-        F.min(F.when(F.col("ok"), F.struct("doc_id", "line_pos"))).alias("first"),
-        F.max("ok").alias("ok"))
-    return out.filter("ok").select(F.col("first.doc_id").alias("doc_id"),
-                                   F.col("first.line_pos").alias("line_pos"), "text")
+    # rejected lines share the null key: one row per map task, no text shuffled
+    df = df.select("doc_id", "line_pos", F.when(ok, F.col("text")).alias("key"))
+    out = df.groupBy("key").agg(F.min(F.struct("doc_id", "line_pos")).alias("first"))
+    return out.filter("key IS NOT NULL").select(
+        F.col("first.doc_id").alias("doc_id"), F.col("first.line_pos").alias("line_pos"),
+        F.col("key").alias("text"))
 
 
 def clean_counters(lines: DataFrame, min_len: int = MIN_LINE_LENGTH, lowercase: bool = True,
@@ -150,26 +149,14 @@ def token_counts(tokens: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "line_pos", "tok_pos")).alias("first"))
 
 
-def top_vocab(tokens: DataFrame, n: int = 200_000) -> DataFrame:
-    """A6 + W1: the ``n`` most frequent tokens, ties to the first occurrence,
-    as ``rank, token, n``.
+def top_vocab(tokens: DataFrame, n: int | None = None) -> DataFrame:
+    """A6 + W1: the ``n`` most frequent tokens (all of them by default), ties to
+    the first occurrence, as ``rank, token, n``.
 
-    A count threshold is found first on the (small) histogram of counts, so the
-    top-k step only sees the tokens that can make the cut instead of every
-    distinct token.
-    """
-    counts = token_counts(tokens).persist()
-    try:
-        hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
-        w = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-        cut = (hist.withColumn("cum", F.sum("m").over(w))
-               .filter(F.col("cum") >= n).agg(F.max("n").alias("c")).first()["c"])
-        kept = counts if cut is None else counts.filter(F.col("n") >= cut)
-        top = kept.orderBy(F.desc("n"), F.asc("first")).limit(n)
-        rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("first")))
-        return top.select(rank.cast("long").alias("rank"), "token", F.col("n").cast("long").alias("n"))
-    finally:
-        counts.unpersist(blocking=False)
+    The counts are aggregated once and ranked without a global window."""
+    ranked = global_rank(token_counts(tokens), [F.desc("n"), F.asc("first")])
+    ranked = ranked.select("rank", "token", F.col("n").cast("long").alias("n"))
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
 def lemma_lexicon(treebank: DataFrame) -> DataFrame:
@@ -181,12 +168,12 @@ def lemma_lexicon(treebank: DataFrame) -> DataFrame:
     return per.withColumn("r", F.row_number().over(w)).filter("r = 1").select("form", "lemma")
 
 
-def lexicon_lemmatize(lines: DataFrame, lexicon: DataFrame, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+def lexicon_lemmatize(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
     """M8 as a data job: each token of each line replaced by its lexicon lemma
     (unknown tokens unchanged), lines regrouped in token order; lines without
     tokens are dropped. Output ``doc_id, line_pos, text``."""
     toks = tokenize(lines)
-    lex = bounded_broadcast(lexicon.withColumnRenamed("form", "token"), max_broadcast_rows)
+    lex = bounded_broadcast(lexicon.withColumnRenamed("form", "token"))
     mapped = (toks.join(lex, "token", "left")
               .select("doc_id", "line_pos", "tok_pos",
                       F.coalesce("lemma", "token").alias("lemma")))

@@ -32,16 +32,14 @@ def cap_rank(vectors: DataFrame, n: int | None) -> DataFrame:
     return vectors if not n else vectors.filter(F.col("rank") < n)
 
 
-def restrict_to_vocab(vectors: DataFrame, toplist: DataFrame | None,
-                      max_broadcast_rows: int = 5_000_000) -> DataFrame:
+def restrict_to_vocab(vectors: DataFrame, toplist: DataFrame | None) -> DataFrame:
     """Keep the words listed in ``toplist`` (column ``token``), in rank
     order. A vector set that no listed word matches is kept whole, as is
     every set when the list is missing or empty."""
     if toplist is None:
         return vectors
     listed = bounded_broadcast(
-        toplist.select(F.col("token").alias("word")).distinct().withColumn("_listed", F.lit(True)),
-        max_broadcast_rows)
+        toplist.select(F.col("token").alias("word")).distinct().withColumn("_listed", F.lit(True)))
     tagged = vectors.join(listed, "word", "left").withColumn(
         "_listed", F.coalesce("_listed", F.lit(False)))
     # one row per vector set
@@ -102,10 +100,17 @@ def nearest(X: np.ndarray, C: np.ndarray, c_sq: np.ndarray | None = None,
         j = d.argmin(1)
         dmin = d[np.arange(len(x)), j]
         close = d <= (dmin + 1e-6 * (1.0 + np.abs(dmin)))[:, None]
-        for i in np.flatnonzero(close.sum(1) > 1):
-            cands = np.flatnonzero(close[i])
-            exact = np.round(np.sqrt(((x[i][None, :] - C[cands]) ** 2).sum(1)), TIE_DECIMALS)
-            j[i] = cands[np.lexsort((cands, exact))[0]]
+        # all close calls of the block at once: exact distances, then the
+        # lowest id of the smallest rounded one
+        r, c = np.nonzero(close & (close.sum(1) > 1)[:, None])
+        if len(r):
+            exact = np.empty(len(r))
+            for a in range(0, len(r), 4096):
+                diff = x[r[a:a + 4096]] - C[c[a:a + 4096]]
+                exact[a:a + 4096] = np.round(np.sqrt((diff * diff).sum(1)), TIE_DECIMALS)
+            order = np.lexsort((c, exact, r))
+            first = np.flatnonzero(np.r_[True, np.diff(r[order]) != 0])
+            j[r[order][first]] = c[order][first]
         out[s:s + step] = j
     return out
 
@@ -136,17 +141,6 @@ def nearest_centroid(vectors: DataFrame, centroids: np.ndarray, col: str = "vec"
     return vectors.mapInArrow(fn, schema)
 
 
-def nearest_centroid_sql(vectors: DataFrame, centroids: DataFrame, key: list[str],
-                         col: str = "vec") -> DataFrame:
-    """J5 in plain SQL form (for small inputs and cross-checks): distances to
-    every centroid of the same ``key``, smallest (distance, cid) wins.
-    ``centroids`` has ``key + [cid, centroid]``."""
-    pairs = vectors.join(centroids, key)
-    d = F.round(F.sqrt(V.sq_distance(col, "centroid")), TIE_DECIMALS)
-    return (pairs.groupBy(*key, "rank", "word")
-            .agg(F.min_by("cid", F.struct(d, F.col("cid"))).alias("cluster")))
-
-
 # ---------------------------------------------------------------------------
 # centroid mean
 
@@ -154,13 +148,13 @@ def centroid_mean(assignments: DataFrame, vectors: DataFrame, k_of_run: DataFram
                   normalize_members: bool = True, unit: bool = True) -> DataFrame:
     """Per run and cluster the mean of the member vectors (each first made
     unit length when ``normalize_members``), then unit length. Only assigned
-    words with a vector count; each distinct word once. Clusters ``0..K-1``
+    words with a vector count; a word counts once in each cluster that holds it. Clusters ``0..K-1``
     without members get a zero vector, K taken from ``k_of_run`` (run key +
     ``k_total``) or else the highest id + 1.
 
     Output: run key, ``cid``, ``centroid array<double>``, ``n_words``."""
     members = (assignments.select(*RUN_KEY, "word", F.col("cluster").alias("cid"))
-               .dropDuplicates([*RUN_KEY, "word"])
+               .distinct()
                .join(vectors.select("slug", "word", "vec"), ["slug", "word"]))
     vec = V.l2_normalize("vec") if normalize_members else V.as_double("vec")
     means = (members.select(*RUN_KEY, "cid", array_to_vector(vec).alias("v"))

@@ -11,6 +11,7 @@ T_COLUMNS: dict[str, list[str]] = {
     "nmi_v": ["NMI", "V"],
     "silhouette_euclid": ["silhouette"],
     "silhouette_cosine": ["silhouette"],
+    "silhouette_sampled": ["silhouette"],
     "label_metrics": ["purity", "NMI", "V", "homogeneity", "completeness", "silhouette"],
     "label_metrics_pos": ["purity", "NMI", "V", "homogeneity", "completeness", "silhouette"],
     "suffix_purity": ["purity"],

@@ -66,18 +66,15 @@ class Inputs:
             F.lit("embeddings").alias("slug"), F.col("vec_id").cast("long").alias("rank"),
             F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vec"))
 
-    def vocab(self, n: int = 200_000) -> DataFrame:
-        return textops.top_vocab(self.tokens(), n)
+    def vocab(self) -> DataFrame:
+        """The whole vocabulary, ranked."""
+        return textops.top_vocab(self.tokens())
 
     @_kept
     def context_vectors(self) -> DataFrame:
         """Word vectors of the document vocabulary (M7 stand-in for training)."""
         toks = self.tokens()
-        return embed.context_vectors(toks, self.vocab_of(toks), dims=16, slug="documents-context",
-                                     vocab_max=200_000)
-
-    def vocab_of(self, toks: DataFrame, n: int = 200_000) -> DataFrame:
-        return textops.top_vocab(toks, n)
+        return embed.context_vectors(toks, self.vocab(), dims=16, slug="documents-context")
 
     # -- runs and labels --------------------------------------------------
     @_kept

@@ -145,7 +145,7 @@ cvd AS (
 cv AS (
   SELECT 'documents-context' AS slug, CAST(vocab.rnk - 1 AS BIGINT) AS rank, cvd.token AS word,
          {_unit('v')} AS x
-  FROM cvd JOIN vocab USING (token) WHERE vocab.rnk <= 200000
+  FROM cvd JOIN vocab USING (token)
 )"""
 
 CONV_TOKENS = f"""craw AS (
@@ -334,9 +334,12 @@ scores AS (
   FROM sc0)"""
 
 
-def silhouette_ctes(src: str, vecs: str, metric: str, cap: int = 10000, seed: int = 42) -> str:
+def silhouette_ctes(src: str, vecs: str, metric: str, sample: int | None = None, seed: int = 42) -> str:
     """Exact silhouette per run over the labelled words of ``src`` that have a
     vector in ``vecs(slug, word, x)``; sample = lowest md5('seed:word')."""
+    cut = "" if sample is None else (
+        f"QUALIFY row_number() OVER (PARTITION BY slug, method, k ORDER BY md5('{seed}:' || word), word)"
+        f" <= {sample}")
     dist = ("list_distance(p.x, q.x)" if metric == "euclidean"
             else "greatest(least(1.0 - list_cosine_similarity(p.x, q.x), 2.0), 0.0)")
     return f"""pts0 AS (
@@ -346,8 +349,7 @@ gate AS (
   SELECT slug, method, k FROM pts0 GROUP BY ALL
   HAVING count(*) >= 200 AND count(DISTINCT cluster) >= 2),
 pts AS (
-  SELECT * FROM pts0 SEMI JOIN gate USING (slug, method, k)
-  QUALIFY row_number() OVER (PARTITION BY slug, method, k ORDER BY md5('{seed}:' || word), word) <= {cap}),
+  SELECT * FROM pts0 SEMI JOIN gate USING (slug, method, k) {cut}),
 pairs AS (
   SELECT p.slug, p.method, p.k, p.word, p.cluster, q.cluster AS oc,
          CASE WHEN p.word = q.word THEN 0.0 ELSE {dist} END AS d
@@ -381,6 +383,8 @@ ORACLES["homogeneity_completeness"] = (
 ORACLES["nmi_v"] = f"WITH {EMB_RUNS},\n{scores_ctes('elab')} SELECT slug, method, k, NMI, V FROM scores"
 ORACLES["silhouette_euclid"] = (
     f"WITH {EMB_RUNS},\n{silhouette_ctes('elab', 'vn', 'euclidean')} SELECT * FROM sil")
+ORACLES["silhouette_sampled"] = (
+    f"WITH {EMB_RUNS},\n{silhouette_ctes('elab', 'vn', 'euclidean', sample=300)} SELECT * FROM sil")
 ORACLES["silhouette_cosine"] = (
     f"WITH {EMB_RUNS}, {EMB_VECS},\n{silhouette_ctes('elab', 'evec', 'cosine')} SELECT * FROM sil")
 
@@ -502,12 +506,9 @@ def _centroid_cte(name: str, members: str, k: int) -> str:
 def _greedy_ctes(sim: str, k: int) -> str:
     parts = [f"g0 AS (SELECT cid_a, cid_b, sim, round(sim, 9) AS s FROM {sim})"]
     for t in range(1, k + 1):
+        # the sequential rule: the best pair that is left
         parts.append(f"""b{t} AS (
-  SELECT cid_a, cid_b, sim FROM g{t - 1}
-  QUALIFY row_number() OVER (PARTITION BY cid_a ORDER BY s DESC, cid_b) = 1
-  INTERSECT
-  SELECT cid_a, cid_b, sim FROM g{t - 1}
-  QUALIFY row_number() OVER (PARTITION BY cid_b ORDER BY s DESC, cid_a) = 1),
+  SELECT cid_a, cid_b, sim FROM g{t - 1} ORDER BY s DESC, cid_a, cid_b LIMIT 1),
 g{t} AS (
   SELECT * FROM g{t - 1}
   WHERE cid_a NOT IN (SELECT cid_a FROM b{t}) AND cid_b NOT IN (SELECT cid_b FROM b{t}))""")
@@ -515,39 +516,45 @@ g{t} AS (
     return ",\n".join(parts)
 
 
-ALIGN = (EMB + ",\n" + kmeans_ctes("vn", 10, 3, 42, "sa") + ",\n" + kmeans_ctes("vn", 10, 3, 7, "sb")
-         + ",\n" + f"""emb AS (SELECT CAST(vec_id AS VARCHAR) AS word, {_unit('CAST(embedding AS DOUBLE[])')} AS x
+def align_ctes(k: int) -> str:
+    """Two runs of K = ``k`` matched greedily; the table is ``al``."""
+    return (EMB + ",\n" + kmeans_ctes("vn", k, 3, 42, "sa") + ",\n" + kmeans_ctes("vn", k, 3, 7, "sb")
+            + ",\n" + f"""emb AS (SELECT CAST(vec_id AS VARCHAR) AS word, {_unit('CAST(embedding AS DOUBLE[])')} AS x
   FROM embeddings),
 ra AS (SELECT word, CAST(cid AS INTEGER) AS cluster FROM salab),
 rb AS (SELECT word, CAST(cid AS INTEGER) AS cluster FROM sblab),
 mema AS (SELECT ra.cluster AS cid, emb.x FROM ra JOIN emb USING (word)),
 memb AS (SELECT rb.cluster AS cid, emb.x FROM rb JOIN emb USING (word)),
-{_centroid_cte('cma', 'mema', 10)},
-{_centroid_cte('cmb', 'memb', 10)},
+{_centroid_cte('cma', 'mema', k)},
+{_centroid_cte('cmb', 'memb', k)},
 simm AS (SELECT a.cid AS cid_a, b.cid AS cid_b, list_dot_product(a.c, b.c) AS sim
   FROM cma a CROSS JOIN cmb b),
-{_greedy_ctes('simm', 10)},
+{_greedy_ctes('simm', k)},
 sza AS (SELECT cluster AS cid_a, count(DISTINCT word) AS size_a FROM ra GROUP BY ALL),
 szb AS (SELECT cluster AS cid_b, count(DISTINCT word) AS size_b FROM rb GROUP BY ALL),
 itx AS (SELECT ra.cluster AS cid_a, rb.cluster AS cid_b, count(DISTINCT word) AS inter
   FROM ra JOIN rb USING (word) GROUP BY ALL),
 al AS (
   SELECT 'embeddings' AS slug_a, 'parallel' AS method_a, 'embeddings' AS slug_b, 'parallel-s7' AS method_b,
-         CAST(10 AS INTEGER) AS k, gm.cid_a, gm.cid_b, gm.sim AS centroid_cosine,
+         CAST({k} AS INTEGER) AS k, gm.cid_a, gm.cid_b, gm.sim AS centroid_cosine,
          coalesce(itx.inter, 0) / greatest(coalesce(sza.size_a, 0) + coalesce(szb.size_b, 0)
                                            - coalesce(itx.inter, 0), 1) AS jaccard,
          CAST(coalesce(sza.size_a, 0) AS BIGINT) AS size_a, CAST(coalesce(szb.size_b, 0) AS BIGINT) AS size_b
   FROM gm LEFT JOIN itx USING (cid_a, cid_b) LEFT JOIN sza USING (cid_a) LEFT JOIN szb USING (cid_b))""")
 
+
+ALIGN_KS = (5, 10, 20)
+ALIGN = align_ctes(10)
+ALL_ALIGN = " UNION ALL ".join(f"SELECT * FROM (WITH {align_ctes(k)} SELECT * FROM al)" for k in ALIGN_KS)
+
 ORACLES["centroid_similarity"] = f"WITH {ALIGN} SELECT cid_a, cid_b, sim FROM simm"
 ORACLES["greedy_match"] = f"WITH {ALIGN} SELECT cid_a, cid_b, sim FROM gm"
 ORACLES["cluster_overlap"] = f"WITH {ALIGN} SELECT cid_a, cid_b, jaccard, size_a, size_b FROM al"
-ORACLES["alignment_greedy"] = f"WITH {ALIGN} SELECT * FROM al"
-ORACLES["alignment_summary"] = f"""WITH {ALIGN}
-SELECT 'alignment_' || slug_a || '_' || method_a || '__' || slug_b || '_' || method_b || '_K' || k || '.csv' AS file,
+ORACLES["alignment_greedy"] = ALL_ALIGN
+ORACLES["alignment_summary"] = f"""SELECT 'alignment_' || slug_a || '_' || method_a || '__' || slug_b || '_' || method_b || '_K' || k || '.csv' AS file,
        k AS K, avg(centroid_cosine) AS mean_centroid_cosine, median(centroid_cosine) AS median_centroid_cosine,
        avg(jaccard) AS mean_jaccard, CAST(count(*) AS BIGINT) AS pairs
-FROM al GROUP BY ALL"""
+FROM ({ALL_ALIGN}) GROUP BY ALL"""
 ORACLES["matched_cluster"] = f"WITH {ALIGN} SELECT cid_a, cid_b, centroid_cosine FROM al WHERE cid_a = 3"
 
 

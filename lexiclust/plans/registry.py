@@ -212,7 +212,7 @@ def q_kmeans_lloyd(spark, sf_dir):
     from lexiclust.operators import kmeans as km
     from lexiclust.operators.vectors import l2_normalize
     vs = l2_normalize(Inputs(spark, sf_dir).embedding_vectors())
-    model, _, _ = km.lloyd_kmeans(vs, EMB_K, seed=42, n_init=10)
+    model = km.lloyd_kmeans(vs, EMB_K, seed=42, n_init=10)
     return km.model_labels(model, vs).select("slug", F.lit("serial").alias("method"),
                                              F.lit(EMB_K).alias("k"), "word", "cluster")
 
@@ -222,7 +222,7 @@ def q_kmeans_baseline(spark, sf_dir):
     from lexiclust.operators import kmeans as km
     from lexiclust.operators.vectors import l2_normalize
     vs = l2_normalize(Inputs(spark, sf_dir).embedding_vectors())
-    model, _, _, _ = km.baseline_kmeans(vs, EMB_K, seed=42)
+    model, _ = km.baseline_kmeans(vs, EMB_K, seed=42)
     return km.model_labels(model, vs).select("slug", F.lit("sklearn").alias("method"),
                                              F.lit(EMB_K).alias("k"), "word", "cluster")
 
@@ -298,6 +298,13 @@ def q_silhouette_euclid(spark, sf_dir):
     return _labels().silhouette(inp.embedding_truth(), inp.unit_embeddings(), "euclidean")
 
 
+@query("silhouette_sampled")
+def q_silhouette_sampled(spark, sf_dir):
+    """The silhouette on a sample of 300 words a run (L6, its feature)."""
+    inp = Inputs(spark, sf_dir)
+    return _labels().silhouette(inp.embedding_truth(), inp.unit_embeddings(), "euclidean", sample=300)
+
+
 @query("silhouette_cosine")
 def q_silhouette_cosine(spark, sf_dir):
     """Cosine distance on the raw (not normalised) embeddings."""
@@ -417,22 +424,23 @@ def q_canonical_columns(spark, sf_dir):
 # Alignment
 
 ALIGN_K = 10
+ALIGN_KS = (5, 10, 20)
 MATCHED_CID = 3
 
 
 def _align_runs(inp):
-    """Two runs of the same vectors and K from different seeds."""
+    """Runs of the same vectors from two seeds, for every K of ``ALIGN_KS``."""
     if "_align_runs" not in inp._memo:
         vs = inp.unit_embeddings()
-        a = inp.runs_over(vs, (ALIGN_K,), rounds=3, seed=42)
-        b = inp.runs_over(vs, (ALIGN_K,), rounds=3, seed=7).withColumn("method", F.lit("parallel-s7"))
+        a = inp.runs_over(vs, ALIGN_KS, rounds=3, seed=42)
+        b = inp.runs_over(vs, ALIGN_KS, rounds=3, seed=7).withColumn("method", F.lit("parallel-s7"))
         inp._memo["_align_runs"] = (a.persist(), b.persist())
     return inp._memo["_align_runs"]
 
 
 def _centroids(inp):
     from lexiclust.operators.vectors import centroid_mean
-    a, b = _align_runs(inp)
+    a, b = (x.filter(F.col("k") == ALIGN_K) for x in _align_runs(inp))
     vs = inp.embedding_vectors()
     ka = a.select("slug", "method", "k").distinct().withColumn("k_total", F.col("k"))
     kb = b.select("slug", "method", "k").distinct().withColumn("k_total", F.col("k"))
@@ -453,14 +461,14 @@ def _alignment(inp, method):
 def q_centroid_similarity(spark, sf_dir):
     from lexiclust.operators import align
     ca, cb = _centroids(Inputs(spark, sf_dir))
-    return align.centroid_similarity(ca, cb)
+    return align.centroid_similarity(ca, cb).select("cid_a", "cid_b", "sim")
 
 
 @query("greedy_match")
 def q_greedy_match(spark, sf_dir):
     from lexiclust.operators import align
     ca, cb = _centroids(Inputs(spark, sf_dir))
-    return align.greedy_match(align.centroid_similarity(ca, cb))
+    return align.greedy_match(align.centroid_similarity(ca, cb)).select("cid_a", "cid_b", "sim")
 
 
 @query("optimal_match")
@@ -469,24 +477,24 @@ def q_optimal_match(spark, sf_dir):
     from lexiclust.operators import align
     ca, cb = _centroids(Inputs(spark, sf_dir))
     res = align.optimal_match(align.centroid_similarity(ca, cb))
-    return res.matching.withColumn("gap", F.lit(res.gap))
+    return res.matching.select("cid_a", "cid_b", "sim").withColumn("gap", F.lit(res.gap))
 
 
 @query("cluster_overlap")
 def q_cluster_overlap(spark, sf_dir):
-    return _alignment(Inputs(spark, sf_dir), "greedy").select(
+    return _alignment(Inputs(spark, sf_dir), "greedy").filter(F.col("k") == ALIGN_K).select(
         "cid_a", "cid_b", "jaccard", "size_a", "size_b")
 
 
 @query("alignment")
 def q_alignment(spark, sf_dir):
-    """align-clusters with the optimal matching."""
+    """align-clusters with the optimal matching, all pairs of runs at once."""
     return _alignment(Inputs(spark, sf_dir), "optimal")
 
 
 @query("alignment_greedy")
 def q_alignment_greedy(spark, sf_dir):
-    """align-clusters with the reference's greedy fallback."""
+    """align-clusters with the greedy matching, all pairs of runs at once."""
     return _alignment(Inputs(spark, sf_dir), "greedy")
 
 
@@ -499,7 +507,8 @@ def q_alignment_summary(spark, sf_dir):
 @query("matched_cluster")
 def q_matched_cluster(spark, sf_dir):
     from lexiclust.operators import align
-    return align.matched_cluster(_alignment(Inputs(spark, sf_dir), "greedy"), MATCHED_CID)
+    return align.matched_cluster(
+        _alignment(Inputs(spark, sf_dir), "greedy").filter(F.col("k") == ALIGN_K), MATCHED_CID)
 
 
 # ---------------------------------------------------------------------------

@@ -10,8 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest side we broadcast without asking the data first (rows).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Largest measured side we broadcast.
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -28,7 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("LEXICLUST_DRIVER_MEM", "16g"))
+        .config("spark.driver.memory", os.environ.get("LEXICLUST_DRIVER_MEM", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -69,21 +69,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      known_max: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its size is bounded: by ``known_max`` (a
-    bound the caller guarantees, e.g. a top-n), else by counting it. Beyond
-    ``max_rows`` it stays a shuffled side and the planner (with AQE) decides."""
-    if known_max is not None and known_max <= max_rows:
-        return F.broadcast(df)
-    # counted once and kept, so the broadcast does not derive it again
+def bounded_broadcast(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its rows are measured to take at most
+    ``max_bytes`` (strings and arrays by their sizes, other values as 8 bytes).
+    Beyond that it stays a shuffled side and the planner (with AQE) decides."""
+    # measured once and kept, so the broadcast does not derive it again
     kept = df.persist()
-    if kept.count() <= max_rows:
+    if table_bytes(kept) <= max_bytes:
         return F.broadcast(kept)
     kept.unpersist()
     return df
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of all values: one aggregation over the table."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array":
+            size = size + F.greatest(F.size(c), F.lit(0)) * 8
+        else:
+            size = size + F.lit(8)
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
 def spread(df: DataFrame, min_partitions: int | None = None, rows: int | None = None,
            rows_per_partition: int = 20_000) -> DataFrame:
     """Round-robin ``df`` over the cluster when its scan has fewer partitions

@@ -27,26 +27,37 @@ def write_toplist(vocab: DataFrame, path: str) -> None:
     _ordered_text(vocab, ["rank"], "token", path)
 
 
+def _replace_runs(df: DataFrame, path: str, by: list[str]) -> None:
+    """Write ``df`` partitioned by ``by``; only the partitions it holds are
+    replaced, other runs in the folder stay."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*by).parquet(path))
+
+
 def write_run(assignments: DataFrame, runs: DataFrame, root: str) -> None:
-    """K4: assignments partitioned by run (pruned on read), run rows appended."""
-    (assignments.write.mode("overwrite").partitionBy("slug", "method", "k")
-     .parquet(f"{root.rstrip('/')}/assignments"))
-    runs.write.mode("append").parquet(f"{root.rstrip('/')}/runs")
+    """K4: assignments and run rows, each partitioned by run. Writing a run
+    again replaces it; all other runs stay. ``operators.runs`` reads both back."""
+    root = root.rstrip("/")
+    _replace_runs(assignments, f"{root}/assignments", ["slug", "method", "k"])
+    keyed = runs.withColumns({"slug": F.col("vecslug"), "run_method": F.col("method"),
+                              "run_k": F.col("K")})
+    _replace_runs(keyed, f"{root}/runs", ["slug", "run_method", "run_k"])
 
 
 def write_cluster_words(assignments: DataFrame, root: str, order: str = "rank") -> None:
-    """K5: one word list per cluster (folder per run and cluster)."""
-    cols = [c for c in (order,) if c in assignments.columns]
-    df = assignments.repartition("slug", "method", "k", "cluster")
-    if cols:
-        df = df.sortWithinPartitions(*cols)
-    (df.select("slug", "method", "k", "cluster", F.col("word").alias("value"))
-     .write.mode("overwrite").partitionBy("slug", "method", "k", "cluster").text(root))
+    """K5: one word list per cluster (folder per run and cluster), in ``order``
+    (by word where there is no such column). Large clusters are spread over
+    ranges of it; the part files, read in name order, are the list."""
+    by = ["slug", "method", "k", "cluster"]
+    cols = [*by, order if order in assignments.columns else "word"]
+    (assignments.repartitionByRange(*cols).sortWithinPartitions(*cols)
+     .select(*by, F.col("word").alias("value"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).text(root))
 
 
 def write_centroids(centroids: DataFrame, path: str) -> None:
-    """K6: unit centroids per run (``cid, centroid``)."""
-    centroids.write.mode("overwrite").partitionBy("slug", "method", "k").parquet(path)
+    """K6: unit centroids per run (``cid, centroid``); other runs stay."""
+    _replace_runs(centroids, path, ["slug", "method", "k"])
 
 
 def write_metrics(df: DataFrame, path: str, order: list[str]) -> None:

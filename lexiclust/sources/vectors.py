@@ -7,13 +7,12 @@ spread once after numbering; convert them to Parquet once and read that.
 
 from __future__ import annotations
 
-import fnmatch
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.operators.numbering import exclusive_prefix
+from lexiclust.operators.numbering import exclusive_prefix, global_rank
 from lexiclust.session import spread
 
 _SEG_BITS = 33
@@ -42,21 +41,24 @@ def vec_slug(path: str) -> str:
 def read_vectors(spark: SparkSession, path: str, max_words: int | None = None,
                  slug: str | None = None) -> DataFrame:
     """``slug, rank, word, vec array<float>``. The header is skipped; the
-    first ``max_words`` words are kept; a repeated word keeps its lowest rank."""
+    first ``max_words`` distinct words are kept; a repeated word keeps its first
+    vector, and ``rank`` numbers the distinct words."""
     if not os.path.exists(path) and "://" not in path:
         raise FileNotFoundError(path)
     raw = number_rows(spark.read.text(path))
     raw = spread(raw)
     body = raw.filter(F.col("_row") >= 1).select(
         (F.col("_row") - 1).alias("rank"), F.split(F.trim("value"), " ").alias("p"))
-    if max_words:
-        body = body.filter(F.col("rank") < max_words)
     vecs = body.select("rank", F.col("p")[0].alias("word"),
                        F.slice("p", 2, F.size("p") - 1).cast("array<float>").alias("vec"))
     # a repeated word keeps its lowest rank (aggregation: partial, then final)
     first = vecs.groupBy("word").agg(F.min_by(F.struct("rank", "vec"), "rank").alias("_f"))
-    return first.select(F.lit(slug or vec_slug(path)).alias("slug"), F.col("_f.rank").alias("rank"),
-                        "word", F.col("_f.vec").alias("vec"))
+    kept = first.select(F.col("_f.rank").alias("_line"), "word", F.col("_f.vec").alias("vec"))
+    # ranks count the distinct words: no gaps where a word was repeated
+    ranked = global_rank(kept, [F.asc("_line")]).withColumn("rank", F.col("rank") - 1)
+    if max_words:
+        ranked = ranked.filter(F.col("rank") < max_words)
+    return ranked.select(F.lit(slug or vec_slug(path)).alias("slug"), "rank", "word", "vec")
 
 
 def write_vectors(vectors: DataFrame, path: str, digits: int = 6) -> None:
@@ -73,37 +75,23 @@ def write_vectors(vectors: DataFrame, path: str, digits: int = 6) -> None:
      .select("value").write.mode("overwrite").text(path))
 
 
-def write_vectors_parquet(vectors: DataFrame, path: str) -> None:
-    """Vectors as Parquet, once: later reads are split, pruned and typed."""
-    vectors.write.mode("overwrite").partitionBy("slug").parquet(path)
-
-
-def resolve_vectors(paths: list[str], kind: str, baseline_dir: str = "baseline",
-                    trained_pattern: str = "mk_*skipgram.vec") -> str:
-    """Which vector file a run uses. ``trained`` / ``trained-lemma``:
-    the first (sorted) file matching the trained pattern without / with
-    ``lemma`` in its name; ``baseline``: the first ``*.vec*`` under the
-    baseline folder; anything else is an explicit path that must exist."""
-    names = sorted(paths)
-    if kind in ("trained", "trained-lemma"):
-        want = kind == "trained-lemma"
-        cands = [p for p in names if fnmatch.fnmatch(os.path.basename(p), trained_pattern)
-                 and ("lemma" in os.path.basename(p)) == want]
-        if not cands:
-            raise FileNotFoundError(f"no {'lemma' if want else 'raw'} trained vectors")
-        return cands[0]
-    if kind == "baseline":
-        cands = [p for p in names if os.path.basename(os.path.dirname(p)) == os.path.basename(baseline_dir)
-                 and fnmatch.fnmatch(os.path.basename(p), "*.vec*")]
-        if not cands:
-            raise FileNotFoundError("no baseline vectors")
-        return cands[0]
-    if kind not in paths and not os.path.exists(kind):
-        raise FileNotFoundError(kind)
-    return kind
-
-
-def default_toplist(vec_path: str) -> str:
-    """With no toplist configured, a lemma vector set takes the lemma list."""
-    return ("data/clean/top200k.lemma.txt" if "lemma" in os.path.basename(vec_path).lower()
-            else "data/clean/top200k.txt")
+def vector_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Known vector files as a table ``slug, path`` (P10 names them)."""
+    return spark.createDataFrame([(vec_slug(p), p) for p in paths], "slug string, path string")
+
+
+def resolve_vectors(catalog: DataFrame, family: str, name_like: str = "%") -> DataFrame:
+    """The vector set that a run uses, as the one row ``slug, path``: of the
+    catalog's sets of a ``family`` (P11: baseline, lemma or raw) whose slug is
+    ``LIKE name_like``, the one with the smallest slug. No row if there is none."""
+    from lexiclust.operators.runs import run_family
+    fits = catalog.filter((run_family(F.col("slug")) == family) & F.col("slug").like(name_like))
+    return (fits.groupBy().agg(F.min(F.struct("slug", "path")).alias("_m"))
+            .filter("_m IS NOT NULL").select("_m.slug", "_m.path"))
+
+
+def toplist_for(slug: str, toplists: dict[str, str]) -> str | None:
+    """The toplist of a vector set when none is configured: that of its family,
+    from ``{family: path}``."""
+    family = "lemma" if "lemma" in slug.lower() else "raw"
+    return toplists.get(family)

@@ -63,6 +63,42 @@ def test_k_mismatch_is_an_error(spark):
         align.centroid_similarity(_cent(spark, [[1, 0], [0, 1]]), _cent(spark, [[1, 0], [0, 1], [1, 1]]))
 
 
+def test_many_pairs_at_once(spark):
+    """Three pairs with different K in one table: each as if it were alone."""
+    rnd = np.random.default_rng(21)
+    sims = {k: np.round(rnd.uniform(-1, 1, size=(k, k)), 2) for k in (2, 4, 6)}
+    rows = [("s", "x", "s", "y", k, i, j, float(S[i, j]))
+            for k, S in sims.items() for i in range(k) for j in range(k)]
+    sim = spark.createDataFrame(rows, "slug_a string, method_a string, slug_b string, method_b string, "
+                                      "k int, cid_a int, cid_b int, sim double")
+    got, best = {}, {}
+    for r in align.greedy_match(sim).collect():
+        got.setdefault(r["k"], []).append((r["cid_a"], r["cid_b"]))
+    for r in align.optimal_match(sim).matching.collect():
+        best.setdefault(r["k"], []).append((r["cid_a"], r["cid_b"]))
+    for k, S in sims.items():
+        assert sorted(got[k]) == _sequential_greedy(S)
+        assert sorted(i for i, _ in best[k]) == sorted(j for _, j in best[k]) == list(range(k))
+        top = max(sum(round(S[i, p[i]] * 1e6) for i in range(k)) for p in itertools.permutations(range(k)))
+        assert sum(round(S[i, j] * 1e6) for i, j in best[k]) == top
+
+
+def test_alignment_of_two_k_keeps_runs_apart(spark):
+    vs = vectors_df(spark, [(f"w{i}", [np.cos(i), np.sin(i)]) for i in range(12)])
+    mk = lambda m, k, f: [("s", m, k, f"w{i}", f(i) % k) for i in range(12)]
+    schema = "slug string, method string, k int, word string, cluster int"
+    a = spark.createDataFrame(mk("x", 2, lambda i: i) + mk("x", 4, lambda i: i), schema)
+    b = spark.createDataFrame(mk("y", 2, lambda i: i + 1) + mk("y", 4, lambda i: i // 3), schema)
+    both = {(r["k"], r["cid_a"]): r for r in align.alignment(a, b, vs, method="greedy").collect()}
+    assert sorted(both) == [(2, 0), (2, 1)] + [(4, i) for i in range(4)]
+    for k in (2, 4):
+        alone = align.alignment(a.filter(f"k = {k}"), b.filter(f"k = {k}"), vs, method="greedy")
+        for r in alone.collect():
+            assert both[k, r["cid_a"]] == r
+    with pytest.raises(ValueError):
+        align.alignment(a, b.filter("k = 2"), vs)
+
+
 def test_alignment_end_to_end(spark):
     vs = vectors_df(spark, [("a", [1, 0]), ("b", [0.9, 0.1]), ("c", [0, 1]), ("d", [0.1, 0.9])])
     mk = lambda m, rows: spark.createDataFrame(

@@ -17,9 +17,10 @@ def test_vec_roundtrip_and_repeated_word(spark, tmpdir_path):
         f.write("4 2\nа 0.5 0.25\nб 1 2 \nа 9 9\nnan 0 1\n")
     vs = sv.read_vectors(spark, path)
     got = {r["word"]: (r["rank"], r["vec"]) for r in vs.collect()}
-    assert got["а"] == (0, [0.5, 0.25]) and got["б"][0] == 1 and got["nan"] == (3, [0.0, 1.0])
+    assert got["а"] == (0, [0.5, 0.25]) and got["б"][0] == 1 and got["nan"] == (2, [0.0, 1.0])
     assert vs.first()["slug"] == "trained-mk_skipgram"
     assert sv.read_vectors(spark, path, max_words=2).count() == 2
+    assert sv.read_vectors(spark, path, max_words=3).count() == 3  # the repeated word is no third
     out = os.path.join(tmpdir_path, "out.vec")
     sv.write_vectors(vs, out)
     parts = sorted(p for p in os.listdir(out) if p.startswith("part-"))
@@ -32,13 +33,17 @@ def test_missing_vector_file(spark, tmpdir_path):
         sv.read_vectors(spark, os.path.join(tmpdir_path, "none.vec"))
 
 
-def test_resolve_vectors():
-    paths = ["e/trained/mk_skipgram.vec", "e/trained/mk_lemma_skipgram.vec", "e/baseline/cc.mk.300.vec.gz",
-             "e/trained/mk_cbow.vec"]
-    assert sv.resolve_vectors(paths, "trained") == "e/trained/mk_skipgram.vec"
-    assert sv.resolve_vectors(paths, "trained-lemma") == "e/trained/mk_lemma_skipgram.vec"
-    assert sv.resolve_vectors(paths, "baseline") == "e/baseline/cc.mk.300.vec.gz"
-    assert sv.default_toplist("x/mk_lemma_skipgram.vec").endswith("top200k.lemma.txt")
+def test_resolve_vectors(spark):
+    catalog = sv.vector_catalog(spark, [
+        "e/trained/mk_skipgram.vec", "e/trained/mk_lemma_skipgram.vec", "e/baseline/cc.mk.300.vec.gz",
+        "e/trained/mk_cbow.vec"])
+    pick = lambda *a: [r["path"] for r in sv.resolve_vectors(catalog, *a).collect()]
+    assert pick("raw", "%skipgram") == ["e/trained/mk_skipgram.vec"]
+    assert pick("raw") == ["e/trained/mk_cbow.vec"]
+    assert pick("lemma") == ["e/trained/mk_lemma_skipgram.vec"]
+    assert pick("baseline") == ["e/baseline/cc.mk.300.vec.gz"]
+    assert pick("baseline", "%none%") == []
+    assert sv.toplist_for("trained-mk_lemma_skipgram", {"lemma": "l.txt", "raw": "r.txt"}) == "l.txt"
 
 
 CONLLU = """# sent_id = 1

@@ -99,10 +99,13 @@ def test_lloyd_and_baseline_run(spark):
     rnd = np.random.default_rng(1)
     X = np.vstack([rnd.normal(loc=c, scale=0.05, size=(20, 2)) for c in ([0, 1], [1, 0], [-1, 0])])
     vs = vectors_df(spark, [(f"w{i}", list(x)) for i, x in enumerate(X)])
-    model, cost, _ = km.lloyd_kmeans(vs, 3, n_init=2)
+    model = km.lloyd_kmeans(vs, 3, n_init=2)
     labels = [r["cluster"] for r in km.model_labels(model, vs).orderBy("rank").collect()]
     assert len(set(labels[:20])) == 1 and len(set(labels)) == 3
-    _, C, _, _ = km.baseline_kmeans(vs, 3)
+    means = np.array([X[np.array(labels) == c].mean(0) for c in range(3)])
+    assert np.allclose(means, model.centroids, atol=1e-4)
+    assert abs(model.cost - ((X - means[labels]) ** 2).sum()) < 1e-3
+    _, C = km.baseline_kmeans(vs, 3)
     assert np.allclose(np.linalg.norm(C, axis=1), 1.0)
 
 
@@ -111,3 +114,22 @@ def test_cluster_grid_skips_infeasible_k(spark):
     res = km.cluster_grid(vs, [2, 3, 10], method="parallel", max_iter=5)
     assert sorted(r["K"] for r in res.runs.collect()) == [2, 3]
     assert res.assignments.filter(F.col("k") == 3).count() == 6
+
+
+def test_cluster_grid_methods_and_run_rows(spark):
+    vs = vectors_df(spark, [(f"w{i}", [np.cos(i), np.sin(i)]) for i in range(8)])
+    for method in ("serial", "sklearn"):
+        res = km.cluster_grid(vs, [2, 3], method=method, max_iter=5, max_words=6, vec_path="x/s.vec")
+        run = res.runs.first()
+        assert (run["method"], run["N"], run["vec"], run["max_words"]) == (method, 6, "x/s.vec", "6")
+        assert res.assignments.filter("k = 2").count() == 6
+
+
+def test_centroid_mean_counts_a_word_in_each_of_its_clusters(spark):
+    vs = vectors_df(spark, [("a", [1, 0]), ("b", [0, 1])])
+    asg = spark.createDataFrame([("s", "m", 2, "a", 0), ("s", "m", 2, "a", 1), ("s", "m", 2, "b", 1),
+                                 ("s", "m", 2, "b", 1)],
+                                "slug string, method string, k int, word string, cluster int")
+    got = {r["cid"]: (r["n_words"], r["centroid"]) for r in vo.centroid_mean(asg, vs).collect()}
+    assert got[0][0] == 1 and got[1][0] == 2
+    assert np.allclose(got[1][1], [2 ** -0.5, 2 ** -0.5])
