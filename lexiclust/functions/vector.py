@@ -37,8 +37,10 @@ def norm(a) -> Column:
 def l2_normalize(a) -> Column:
     """``x / (||x|| + 1e-12)``; a zero vector stays zero, null stays null."""
     arr = as_double(a)
-    n = norm(arr)
-    return F.transform(arr, lambda x: x / (n + F.lit(NORM_EPS)))
+    # the norm as an array beside the vector: inside the lambda it would be
+    # computed again for every component
+    norms = F.array_repeat(norm(arr), F.size(arr))
+    return F.zip_with(arr, norms, lambda x, n: x / (n + F.lit(NORM_EPS)))
 
 
 def sq_distance(a, b) -> Column:

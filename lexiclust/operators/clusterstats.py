@@ -9,6 +9,7 @@ job covers every run; nothing loops over clusters.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,11 +51,10 @@ def cluster_sizes(assignments: DataFrame) -> DataFrame:
 def _top_share(counts: DataFrame, part: list[str], value: str) -> DataFrame:
     """Per ``part`` the value with the highest ``c`` (ties: lowest ``o``), its
     share of the total, and the total."""
-    w = Window.partitionBy(*part)
-    ranked = (counts.withColumn("_tot", F.sum("c").over(w))
-              .withColumn("_r", F.row_number().over(w.orderBy(F.desc("c"), F.asc("o")))))
-    return ranked.filter("_r = 1").select(*part, F.col(value).alias("top"),
-                                         (F.col("c") / F.col("_tot")).alias("share"), "_tot")
+    first = F.min_by(F.struct(F.col(value).alias("v"), "c"), F.struct((-F.col("c")).alias("c"), "o"))
+    best = counts.groupBy(*part).agg(first.alias("_best"), F.sum("c").alias("_tot"))
+    return best.select(*part, F.col("_best.v").alias("top"),
+                       (F.col("_best.c") / F.col("_tot")).alias("share"), "_tot")
 
 
 def suffix_purity(members: DataFrame, lengths=SUFFIX_LENGTHS) -> DataFrame:
@@ -165,8 +165,8 @@ def extreme_cluster(stats: DataFrame) -> DataFrame:
 
 def sample_words(assignments: DataFrame, n: int = SAMPLE_WORDS, seed: int = 42) -> DataFrame:
     """Per run and cluster, at most ``n`` member words: the lowest
-    ``md5('seed:word')`` when the cluster is larger."""
-    return sample_lowest_hash(assignments, [*RUN_KEY, "cluster"], n, seed)
+    ``md5('seed:word')`` when the cluster is larger; all of them for ``n`` = 0."""
+    return assignments if not n else sample_lowest_hash(assignments, [*RUN_KEY, "cluster"], n, seed)
 
 
 # Fixed values of the reference: accepted spellings of the summary columns.
@@ -180,26 +180,37 @@ COLUMN_ALIASES = {
 ID_ALIASES = ["cluster", "cid", "cluster_id", "c"]
 
 
+def _plain(name: str) -> str:
+    return re.sub("[^a-z0-9]", "", name.lower())
+
+
 def canonical_columns(df: DataFrame) -> DataFrame:
-    """Statistics with whatever column spellings, renamed to ``cid,
-    size, max_suffix_purity, pos_purity, pos_entropy, pos_coverage, msi``
-    (first alias found wins); MSI derived as POS purity minus suffix purity
-    when absent. Missing columns come back null."""
-    cols = df.columns
-    keep = [c for c in cols if c in RUN_KEY]
-    out = []
-    id_col = next((c for c in ID_ALIASES if c in cols), None)
+    """Statistics with whatever column spellings (case, signs and white
+    space do not count), renamed to ``cid, size, max_suffix_purity, pos_purity,
+    pos_entropy, pos_coverage, msi``. The first alias found wins; for the suffix
+    purity any column that names both a suffix and a purity does at last. MSI is
+    POS purity minus suffix purity when absent. Other missing columns come back
+    null; no cluster id, or no way to MSI, is an error."""
+    by_name = {_plain(c): c for c in reversed(df.columns)}
+    keep = [c for c in df.columns if c in RUN_KEY]
+
+    def pick(names):
+        return next((by_name[_plain(n)] for n in names if _plain(n) in by_name), None)
+    id_col = pick(ID_ALIASES)
     if id_col is None:
-        raise ValueError(f"no cluster id column among {cols}")
-    out.append(F.col(f"`{id_col}`").cast("int").alias("cid"))
-    out.append((F.col("size") if "size" in cols else F.lit(None)).cast("long").alias("size"))
-    picked = {}
-    for canon, names in COLUMN_ALIASES.items():
-        name = next((c for c in names if c in cols), None)
-        picked[canon] = F.col(f"`{name}`").cast("double") if name else None
-    if picked["msi"] is None and picked["pos_purity"] is not None and picked["suffix"] is not None:
-        picked["msi"] = picked["pos_purity"] - picked["suffix"]
-    names = {"suffix": "max_suffix_purity"}
-    for canon, expr in picked.items():
-        out.append((expr if expr is not None else F.lit(None).cast("double")).alias(names.get(canon, canon)))
-    return df.select(*keep, *out)
+        raise ValueError(f"no cluster id column among {df.columns}")
+    size = pick(["size"])
+    picked = {canon: pick(names) for canon, names in COLUMN_ALIASES.items()}
+    if picked["suffix"] is None:
+        picked["suffix"] = next((c for c in df.columns if "suffix" in _plain(c) and "purity" in _plain(c)
+                                 and c != picked["msi"]), None)
+    none = F.lit(None).cast("double")
+    value = {k: F.col(f"`{c}`").cast("double") if c else none for k, c in picked.items()}
+    if picked["msi"] is None:
+        if picked["pos_purity"] is None or picked["suffix"] is None:
+            raise ValueError(f"MSI is neither among {df.columns} nor can be derived")
+        value["msi"] = value["pos_purity"] - value["suffix"]
+    value = {"max_suffix_purity" if k == "suffix" else k: v for k, v in value.items()}
+    return df.select(*keep, F.col(f"`{id_col}`").cast("int").alias("cid"),
+                     (F.col(f"`{size}`") if size else F.lit(None)).cast("long").alias("size"),
+                     *(v.alias(k) for k, v in value.items()))

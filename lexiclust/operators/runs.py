@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiclust.functions.text import unicode_strip
@@ -160,6 +160,18 @@ def parse_alignments(lines: DataFrame) -> DataFrame:
                                   *_columns(ALIGN_COLUMNS))
 
 
+def render_csv(rows: DataFrame, file: F.Column, columns: list[str]) -> DataFrame:
+    """Result rows as CSV lines with a header per file: ``file, line_no, line``;
+    a null is the empty field. Lines follow the order of the columns' values."""
+    cells = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    order = F.row_number().over(Window.partitionBy("file").orderBy(*columns))  # a small table a file
+    body = rows.select(file.alias("file"), *columns).select(
+        "file", order.cast("long").alias("line_no"), F.array_join(cells, ",").alias("line"))
+    head = body.select("file").distinct().select(
+        "file", F.lit(0).cast("long").alias("line_no"), F.lit(",".join(columns)).alias("line"))
+    return head.unionByName(body)
+
+
 def _table_lines(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.text(pattern).select(
         F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_no"),

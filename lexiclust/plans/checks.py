@@ -19,6 +19,9 @@ T_COLUMNS: dict[str, list[str]] = {
     "msi": ["msi"],
     "cluster_stats": ["suffix2_purity", "suffix3_purity", "suffix4_purity", "max_suffix_purity",
                       "pos_purity", "pos_entropy", "pos_coverage", "msi"],
+    "parse_stats_tables": ["suffix2_purity", "suffix3_purity", "suffix4_purity", "max_suffix_purity",
+                           "pos_purity", "pos_entropy", "pos_coverage", "msi"],
+    "parse_alignments": ["centroid_cosine", "jaccard"],
     "macro_means": ["suffix_mean", "pos_purity_mean", "pos_entropy_mean", "pos_coverage_mean",
                     "msi_mean"],
     "suggest_semantic": ["pos_purity", "pos_entropy", "pos_coverage", "max_suffix_purity", "msi",

@@ -209,6 +209,8 @@ def _kmeans_query(rounds: int, method: str = "parallel", k: int = 10) -> str:
 
 ORACLES["l2_normalize"] = f"WITH {EMB} SELECT slug, rank, word, {_round_list('x')} AS vec FROM vn"
 
+ORACLES["parse_vectors"] = f"""SELECT 'embeddings' AS slug, CAST(vec_id AS BIGINT) AS rank,
+  CAST(vec_id AS VARCHAR) AS word, {_round_list('CAST(embedding AS DOUBLE[])')} AS vec FROM embeddings"""
 ORACLES["context_vectors"] = f"WITH {CONTEXT} SELECT slug, rank, word, {_round_list('x')} AS vec FROM cv"
 
 ORACLES["cap_rank"] = f"WITH {CONTEXT} SELECT slug, rank, word FROM cv WHERE rank < 20000"
@@ -458,6 +460,7 @@ ORACLES["pos_profile"] = (f"WITH {STATS} SELECT pt.slug, pt.method, pt.k, CAST(p
                           f"top_pos, pos_purity, pos_entropy, covered FROM pt JOIN pe USING (slug, method, k, cid)")
 ORACLES["msi"] = f"WITH {STATS} SELECT slug, method, k, cid, msi FROM stats"
 ORACLES["cluster_stats"] = f"WITH {STATS} SELECT * FROM stats"
+ORACLES["parse_stats_tables"] = f"WITH {STATS} SELECT * EXCLUDE (pos_covered) FROM stats"
 ORACLES["macro_means"] = f"""WITH {STATS}
 SELECT slug AS vecslug, method, k AS K, avg(max_suffix_purity) AS suffix_mean, avg(pos_purity) AS pos_purity_mean,
        avg(pos_entropy) AS pos_entropy_mean, avg(pos_coverage) AS pos_coverage_mean, avg(msi) AS msi_mean
@@ -551,6 +554,9 @@ ORACLES["centroid_similarity"] = f"WITH {ALIGN} SELECT cid_a, cid_b, sim FROM si
 ORACLES["greedy_match"] = f"WITH {ALIGN} SELECT cid_a, cid_b, sim FROM gm"
 ORACLES["cluster_overlap"] = f"WITH {ALIGN} SELECT cid_a, cid_b, jaccard, size_a, size_b FROM al"
 ORACLES["alignment_greedy"] = ALL_ALIGN
+ORACLES["parse_alignments"] = f"""SELECT 'alignment_' || slug_a || '_' || method_a || '__' || slug_b || '_' ||
+       method_b || '_K' || k || '.csv' AS file, k, cid_a, cid_b, centroid_cosine, jaccard, size_a, size_b
+FROM ({ALL_ALIGN})"""
 ORACLES["alignment_summary"] = f"""SELECT 'alignment_' || slug_a || '_' || method_a || '__' || slug_b || '_' || method_b || '_K' || k || '.csv' AS file,
        k AS K, avg(centroid_cosine) AS mean_centroid_cosine, median(centroid_cosine) AS median_centroid_cosine,
        avg(jaccard) AS mean_jaccard, CAST(count(*) AS BIGINT) AS pairs

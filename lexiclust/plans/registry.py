@@ -130,6 +130,14 @@ def q_l2_normalize(spark, sf_dir):
     return _round_vec(l2_normalize(Inputs(spark, sf_dir).embedding_vectors()))
 
 
+@query("parse_vectors")
+def q_parse_vectors(spark, sf_dir):
+    """The embeddings written as ``.vec`` lines and read back."""
+    from lexiclust.sources import vectors as sv
+    lines = sv.render_vectors(Inputs(spark, sf_dir).embedding_vectors(), digits=12)
+    return _round_vec(sv.parse_vectors(lines, "embeddings"))
+
+
 @query("context_vectors")
 def q_context_vectors(spark, sf_dir):
     return _round_vec(Inputs(spark, sf_dir).context_vectors())
@@ -383,6 +391,17 @@ def q_cluster_stats(spark, sf_dir):
     return _stats(Inputs(spark, sf_dir))
 
 
+@query("parse_stats_tables")
+def q_parse_stats_tables(spark, sf_dir):
+    """The statistics written as CSV lines, their columns in another
+    order and without MSI, and read back by header (MSI derived)."""
+    from lexiclust.operators import runs as rn
+    stats = _stats(Inputs(spark, sf_dir))
+    columns = [c for c in reversed(stats.columns) if c not in ("slug", "method", "k", "msi")]
+    name = F.format_string("cluster_stats_%s_%s_K%d.csv", "slug", "method", "k")
+    return rn.parse_stats_tables(rn.render_csv(stats, name, columns))
+
+
 @query("macro_means")
 def q_macro_means(spark, sf_dir):
     return _cs().macro_means(_stats(Inputs(spark, sf_dir)))
@@ -498,6 +517,15 @@ def q_alignment_greedy(spark, sf_dir):
     return _alignment(Inputs(spark, sf_dir), "greedy")
 
 
+@query("parse_alignments")
+def q_parse_alignments(spark, sf_dir):
+    """The alignments written as CSV lines and read back by header."""
+    from lexiclust.operators import align, runs as rn
+    al = _alignment(Inputs(spark, sf_dir), "greedy")
+    columns = ["jaccard", "centroid_cosine", "size_b", "size_a", "cid_b", "cid_a"]
+    return rn.parse_alignments(rn.render_csv(al, align.pair_file(al), columns))
+
+
 @query("alignment_summary")
 def q_alignment_summary(spark, sf_dir):
     from lexiclust.operators import align

@@ -1,4 +1,4 @@
-"""Word-vector files (S2, S9, K3) and contiguous row numbers for text files.
+"""Word-vector files.
 
 A ``.vec`` file is a header ``N D`` followed by ``word x1 .. xD`` lines; the
 line order is the rank. Gzip files arrive as one split, so the rows are
@@ -12,25 +12,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.operators.numbering import exclusive_prefix, global_rank
+from lexiclust.operators.numbering import global_rank
 from lexiclust.session import spread
 
-_SEG_BITS = 33
-
-
-def number_rows(df: DataFrame, id_col: str = "_id") -> DataFrame:
-    """Contiguous 0-based numbers in ``monotonically_increasing_id`` order
-    (file order for a text read). Counts per split, a prefix sum over the
-    splits (one row each), and an offset inside the split."""
-    df = df.withColumn(id_col, F.monotonically_increasing_id())
-    seg = F.shiftright(id_col, _SEG_BITS)
-    segs = df.groupBy(seg.alias("_seg")).agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_first"))
-    starts = exclusive_prefix(segs, ["_seg"], "_n", 1)
-    return (df.withColumn("_seg", seg).join(F.broadcast(starts), "_seg")
-            .withColumn("_row", F.col("start") + F.col(id_col) - F.col("_first"))
-            .drop("_seg", "_n", "_first", "start", id_col))
-
-
 def vec_slug(path: str) -> str:
     """P10 on a path string: ``<parent>-<name without .vec.gz/.vec/.bin>``."""
     parent = os.path.basename(os.path.dirname(path.rstrip("/")))
@@ -38,41 +22,53 @@ def vec_slug(path: str) -> str:
     return f"{parent}-{stem}"
 
 
-def read_vectors(spark: SparkSession, path: str, max_words: int | None = None,
-                 slug: str | None = None) -> DataFrame:
-    """``slug, rank, word, vec array<float>``. The header is skipped; the
-    first ``max_words`` distinct words are kept; a repeated word keeps its first
-    vector, and ``rank`` numbers the distinct words."""
-    if not os.path.exists(path) and "://" not in path:
-        raise FileNotFoundError(path)
-    raw = number_rows(spark.read.text(path))
-    raw = spread(raw)
-    body = raw.filter(F.col("_row") >= 1).select(
-        (F.col("_row") - 1).alias("rank"), F.split(F.trim("value"), " ").alias("p"))
-    vecs = body.select("rank", F.col("p")[0].alias("word"),
+def parse_vectors(lines: DataFrame, slug: str, max_words: int | None = None) -> DataFrame:
+    """S2 over lines (``line_no`` in file order, the header first, and ``line``):
+    ``slug, rank, word, vec array<float>``. The first ``max_words`` distinct words
+    are kept; a repeated word keeps its first vector, and ``rank`` numbers the
+    distinct words."""
+    head = lines.agg(F.min("line_no").alias("_head"))  # one row
+    body = lines.join(F.broadcast(head), F.col("line_no") > F.col("_head")).select(
+        "line_no", F.split(F.trim("line"), " ").alias("p"))
+    vecs = body.select("line_no", F.col("p")[0].alias("word"),
                        F.slice("p", 2, F.size("p") - 1).cast("array<float>").alias("vec"))
-    # a repeated word keeps its lowest rank (aggregation: partial, then final)
-    first = vecs.groupBy("word").agg(F.min_by(F.struct("rank", "vec"), "rank").alias("_f"))
-    kept = first.select(F.col("_f.rank").alias("_line"), "word", F.col("_f.vec").alias("vec"))
+    # a repeated word keeps its first line (aggregation: partial, then final)
+    first = vecs.groupBy("word").agg(F.min(F.struct("line_no", "vec")).alias("_f"))
+    kept = first.select(F.col("_f.line_no").alias("_line"), "word", F.col("_f.vec").alias("vec"))
     # ranks count the distinct words: no gaps where a word was repeated
     ranked = global_rank(kept, [F.asc("_line")]).withColumn("rank", F.col("rank") - 1)
     if max_words:
         ranked = ranked.filter(F.col("rank") < max_words)
-    return ranked.select(F.lit(slug or vec_slug(path)).alias("slug"), "rank", "word", "vec")
+    return ranked.select(F.lit(slug).alias("slug"), "rank", "word", "vec")
 
 
-def write_vectors(vectors: DataFrame, path: str, digits: int = 6) -> None:
-    """K3: a ``.vec`` text folder: header ``N D`` then one line per word with
-    ``digits`` decimals, in rank order. The part files, read in name order,
-    form the file; no single task writes everything."""
-    n = vectors.count()
-    d = vectors.select(F.size("vec")).first()[0] if n else 0
+def read_vectors(spark: SparkSession, path: str, max_words: int | None = None,
+                 slug: str | None = None) -> DataFrame:
+    """S2 from a ``.vec`` file."""
+    if not os.path.exists(path) and "://" not in path:
+        raise FileNotFoundError(path)
+    raw = spread(spark.read.text(path).select(
+        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line")))
+    return parse_vectors(raw, slug or vec_slug(path), max_words)
+
+
+def render_vectors(vectors: DataFrame, digits: int = 6) -> DataFrame:
+    """K3 as lines: ``line_no, line`` with the header ``N D`` first, then one
+    line per word with ``digits`` decimals, in rank order."""
     fmt = F.transform(F.col("vec").cast("array<double>"), lambda x: F.format_string(f"%.{digits}f", x))
-    body = vectors.select(F.col("rank").cast("long").alias("rank"),
-                          F.concat_ws(" ", F.col("word"), F.array_join(fmt, " ")).alias("value"))
-    header = vectors.sparkSession.createDataFrame([(-1, f"{n} {d}")], "rank long, value string")
-    (header.unionByName(body).repartitionByRange("rank").sortWithinPartitions("rank")
-     .select("value").write.mode("overwrite").text(path))
+    body = vectors.select((F.col("rank") + 1).cast("long").alias("line_no"),
+                          F.concat_ws(" ", F.col("word"), F.array_join(fmt, " ")).alias("line"))
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d"))
+    header = size.select(F.lit(0).cast("long").alias("line_no"),
+                         F.concat_ws(" ", F.col("n").cast("string"), F.col("d").cast("string")).alias("line"))
+    return header.unionByName(body)
+
+
+def write_vectors(vectors: DataFrame, path: str, digits: int = 6) -> None:
+    """K3: a ``.vec`` text folder. The part files, read in name order, form the
+    file; no single task writes everything."""
+    (render_vectors(vectors, digits).repartitionByRange("line_no").sortWithinPartitions("line_no")
+     .select("line").write.mode("overwrite").text(path))
 
 
 def vector_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -70,3 +70,22 @@ def test_canonical_columns_derives_msi(spark):
                                                   "`pos-purity` double")
     r = cs.canonical_columns(df).first()
     assert r["cid"] == 1 and abs(r["msi"] - 0.3) < 1e-12 and r["pos_entropy"] is None
+
+
+def test_canonical_columns_of_all_spellings(spark):
+    import pytest
+    df = spark.createDataFrame([(3, 0.25, 0.75, 0.5)], "`Cluster ID` int, `Suffix-Purity (best)` double, "
+                                                       "`POS Purity` double, `POS coverage` double")
+    r = cs.canonical_columns(df).first()
+    assert (r["cid"], r["max_suffix_purity"], r["pos_purity"], r["pos_coverage"]) == (3, 0.25, 0.75, 0.5)
+    assert r["msi"] == 0.5 and r["size"] is None and r["pos_entropy"] is None
+    with pytest.raises(ValueError):
+        cs.canonical_columns(df.drop("POS Purity"))
+    with pytest.raises(ValueError):
+        cs.canonical_columns(df.drop("Cluster ID"))
+
+
+def test_sample_words_of_zero_is_all(spark):
+    asg = spark.createDataFrame([("s", "m", 1, f"w{i}", 0) for i in range(50)],
+                                "slug string, method string, k int, word string, cluster int")
+    assert cs.sample_words(asg, 0).count() == 50 and cs.sample_words(asg, 7).count() == 7
