@@ -12,28 +12,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``id, component`` for every id of ``links`` (columns ``a``, ``b``): the
     smallest id that can be reached.
 
-    Each round points every vertex at its smallest neighbour, follows the
-    pointer once more and contracts the links to what they point at; every
-    vertex but the local minima goes, so the rounds grow with the logarithm
-    of the largest component. Loops and repeated links are harmless.
+    Each round points every vertex at its smallest neighbour and contracts the
+    links to what they point at; a star takes one round, and all vertices but
+    the local minima go in each. Loops and repeated links are harmless.
     """
     edges = stored(links.select("a", "b").where("a <> b").distinct(), "edges")
-    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    found = ids.withColumn("component", F.col("id"))
+    found = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    found = found.withColumn("component", F.col("id"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        near = both.groupBy("a").agg(F.min("b").alias("to"))
-        near = stored(near.select("a", F.least("a", "to").alias("to")), "near")
-        far = near.alias("x").join(near.alias("y"), F.col("x.to") == F.col("y.a"), "left")
-        near = stored(far.select(F.col("x.a").alias("a"), F.coalesce("y.to", "x.to").alias("to")),
-                      "near")
-        found = stored(found.join(near, F.col("component") == F.col("a"), "left")
-                       .select("id", F.coalesce("to", "component").alias("component")), "found")
+        near = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("to"))
+        found = found.join(near, F.col("component") == F.col("a"), "left").select(
+            "id", F.coalesce("to", "component").alias("component"))
         left = near.select(F.col("a").alias("_a"), F.col("to").alias("_ta"))
         right = near.select(F.col("a").alias("_b"), F.col("to").alias("_tb"))
-        edges = stored(edges.join(left, F.col("a") == F.col("_a"))
-                       .join(right, F.col("b") == F.col("_b"))
-                       .where("_ta <> _tb").select(F.least("_ta", "_tb").alias("a"),
-                                                   F.greatest("_ta", "_tb").alias("b")).distinct(),
-                       "edges")
-    return found
+        contracted = edges.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+        edges = stored(contracted.where("_ta <> _tb").select(
+            F.least("_ta", "_tb").alias("a"), F.greatest("_ta", "_tb").alias("b")).distinct(), "edges")
+    return stored(found, "found")

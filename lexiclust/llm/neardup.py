@@ -24,6 +24,7 @@ far less.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,11 @@ SHINGLE_WORDS = 5
 THRESHOLD = 85  # percent
 COORDINATES = 32
 MATCHES = 15
-LIST_LENGTH = 128
+LIST_LENGTH = 512
 # (tuples, coordinates in each) of the rounds after the first
 LATER_ROUNDS = ((20, 3), (60, 8))
+# Of the first round's lists a pair at 0.85 shares fewer than these with probability 5e-9.
+LONG_LISTS = 5
 BROADCAST_IDS = 1_000_000
 
 
@@ -149,13 +152,14 @@ def _close(threshold: int) -> Column:
 
 
 class _Search:
-    """One run over the representatives of a document table."""
+    """One run over the representatives of a document table (``info``: ``id``,
+    set size ``n``, shared part ``c`` and signature words ``s0``...)."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, size: int, threshold: int, matches: int,
+    def __init__(self, docs: DataFrame, info: DataFrame, size: int, threshold: int, matches: int,
                  list_length: int, words: int):
-        self.docs, self.reps, self.size, self.threshold = docs, reps, size, threshold
-        self.matches, self.list_length, self.words = matches, list_length, words
-        self.cols = ["id", "n", "c", *(f"s{i}" for i in range(words))]
+        self.docs, self.info, self.size, self.threshold = docs, info, size, threshold
+        self.list_length = list_length
+        self.fits = _close(threshold) & (_collisions(words) >= matches)
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """``id, _text`` of the given distinct ids (any of the rows of an id:
@@ -168,8 +172,10 @@ class _Search:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold on their full sets."""
         pairs = stored(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return pairs
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = self.sets(stored(ids, "ids"))
+        sets = self.sets(ids)
         a = sets.select(F.col("id").alias("a"), F.col("set").alias("_x"))
         b = sets.select(F.col("id").alias("b"), F.col("set").alias("_y"))
         both = pairs.join(a, "a").join(b, "b").select(
@@ -182,79 +188,105 @@ class _Search:
         sets = self.texts(ids).select("id", _setter(self.size)("_text").alias("set"))
         return stored(sets, "sets")
 
-    def round(self, posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Candidate pairs of one posting table (``key`` and ``cols``), and the
-        lists too long to pair."""
-        lists = stored(posts.groupBy("key").agg(F.count(F.lit(1)).alias("size"),
-                                                F.min("id").alias("lead")).where("size > 1"),
-                       "lists")
-        fits = _close(self.threshold) & (_collisions(self.words) >= self.matches)
-        short = stored(posts.join(lists.where(F.col("size") <= self.list_length)
-                                  .select("key"), "key"), "short")
-        pairs = short.alias("x").join(
-            short.alias("y"), (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.id") < F.col("y.id")) & fits)
-        pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        long = lists.where(F.col("size") > self.list_length)
-        return pairs, long
-
-    def stars(self, members: DataFrame, leads: DataFrame) -> DataFrame:
-        """Each member of a long list with the list's first document."""
-        star = members.join(leads.select("key", "lead"), "key").where("id <> lead")
-        star = star.dropDuplicates(["id", "lead"]).alias("x")
-        fits = _close(self.threshold) & (_collisions(self.words) >= self.matches)
-        lead = self.reps.alias("y")
-        return star.join(lead, (F.col("x.lead") == F.col("y.id")) & fits).select(
-            F.col("y.id").alias("a"), F.col("x.id").alias("b"))
+    def stars(self, kept: DataFrame) -> DataFrame:
+        """Every document with the first one of each of its lists."""
+        star = kept.where("id <> lead").select("id", "lead").distinct()
+        x, y = self.info.alias("x"), self.info.alias("y")
+        return (star.join(x, F.col("x.id") == star["id"]).join(y, F.col("y.id") == star["lead"])
+                .where(self.fits).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
+
+    def across(self, lists: DataFrame) -> DataFrame:
+        """The pairs of each list that are in different components."""
+        rows = lists.select("key", "id", "comp").join(self.info, "id")
+        pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key"))
+                                     & (F.col("x.id") < F.col("y.id"))
+                                     & (F.col("x.comp") != F.col("y.comp")) & self.fits)
+        return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    def mixed(self, kept: DataFrame, found: DataFrame) -> DataFrame:
+        """The lists whose members are in several components, with ``comp``."""
+        comps = connected_components(found)
+        placed = kept.drop("comp").join(comps, "id", "left").withColumn(
+            "comp", F.coalesce("component", "id")).drop("component")
+        several = (placed.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h"))
+                   .where("l < h").select("key"))
+        return stored(placed.join(several, "key"), "mixed")
+
+    def banded(self, lists: DataFrame) -> DataFrame:
+        """Lists split by set size into bands as wide as the threshold allows;
+        every document is in its band and the next, so a pair that can be linked
+        meets. ``banded``: the size of the part; parts of one component go."""
+        width = -math.log(self.threshold / 100) * (1 + 1e-9)  # no pair at the very edge is lost
+        band = F.floor(F.log("n") / width).alias("_band")
+        rows = lists.join(self.info.select("id", "n"), "id").select(
+            "key", "id", "lead", "comp", "size", band)
+        rows = rows.select(F.explode(F.array("_band", F.col("_band") + 1)).alias("_band"), "key", "id",
+                           "lead", "comp", "size").withColumn("key", F.xxhash64("key", "_band"))
+        parts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("banded"), F.min("comp").alias("l"),
+                                        F.max("comp").alias("h")).where("l < h").drop("l", "h")
+        return stored(rows.drop("_band").join(parts, "key"), "banded")
 
     def links(self, posts: DataFrame) -> DataFrame:
-        """All links between representatives."""
+        """All links between representatives that their components need."""
         found, level = None, 0
         while True:
-            posts = stored(posts, "posts")
-            pairs, long = self.round(posts)
-            members = stored(posts.join(long.select("key"), "key"), "members")
-            if members.isEmpty():
-                new = self.confirmed(pairs)
-                return new if found is None else found.union(new)
-            if level > len(LATER_ROUNDS) - 1:
-                # The longest tuples: what still meets here is paired in full.
-                every = members.alias("x").join(
-                    members.alias("y"), (F.col("x.key") == F.col("y.key"))
-                    & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.id") < F.col("y.id"))
-                    & _close(self.threshold) & (_collisions(self.words) >= self.matches))
-                pairs = pairs.union(every.select(F.col("x.id").alias("a"),
-                                                 F.col("y.id").alias("b")))
-                return found.union(self.confirmed(pairs))
-            new = self.confirmed(pairs.union(self.stars(members, long)))
+            lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size"),
+                                             F.min("id").alias("lead")).where("size > 1")
+            kept = stored(posts.join(lists, "key"), "kept")
+            new = self.confirmed(self.stars(kept))
             found = new if found is None else found.union(new)
-            comps = stored(connected_components(found), "comps")
-            members = members.drop("comp").join(comps, "id", "left").withColumn(
-                "comp", F.coalesce("component", "id")).drop("component")
-            several = (members.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h"))
-                       .where("l < h").select("key"))
-            open_ids = stored(members.join(several, "key").select(*self.cols, "comp")
-                              .dropDuplicates(["id"]), "open")
+            mixed = self.mixed(kept, found)
+            short = F.col("size") <= self.list_length
+            last = level == len(LATER_ROUNDS)  # what still meets here is paired in full
+            if mixed.isEmpty():
+                return found
+            if last:
+                return found.union(self.confirmed(self.across(mixed)))
+            banded = self.banded(mixed.where(~short))
+            settled = F.col("banded") <= self.list_length
+            new = self.confirmed(self.across(mixed.where(short)).union(
+                self.across(banded.where(settled))))
+            found = found.union(new)
+            mixed = banded.where(~settled).drop("banded")
+            if mixed.isEmpty():
+                return found
+            # A pair that shares a short list is settled; one that shares only
+            # long ones shares several of them.
+            if not new.isEmpty():
+                mixed = self.mixed(mixed, found)
+            often = mixed.groupBy("id").agg(F.count(F.lit(1)).alias("_lists"),
+                                            F.mode("lead", True).alias("lead"))
+            often = often.where(F.col("_lists") >= (LONG_LISTS if level == 0 else 1))
+            open_ids = stored(often.drop("_lists").join(self.info, "id"), "open")
             if open_ids.isEmpty():
                 return found
-            open_ids = self.peeled(open_ids)
+            self.info = self.peeled(open_ids)
+            if self.info.isEmpty():
+                return found
             tuples, width = LATER_ROUNDS[level]
-            keyed = self.texts(open_ids).select(
-                "id", F.explode(_tupler(self.size, tuples, width)("_text")).alias("key"))
-            posts = keyed.join(open_ids, "id")
+            posts = stored(self.texts(self.info).select(
+                "id", F.explode(_tupler(self.size, tuples, width)("_text")).alias("key")), "posts")
             level += 1
 
     def peeled(self, ids: DataFrame) -> DataFrame:
         """The documents that may still be in a link among themselves: enough
-        of their shingles are in others of them too. ``c`` becomes that count."""
-        every = self.sets(ids).select("id", F.explode("set").alias("g"))
-        for _ in range(2):
-            left = every.join(ids.select("id"), "id", "left_semi")
-            common = left.groupBy("g").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("g")
-            shared = left.join(common, "g").groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-            ids = stored(ids.drop("c").join(shared, "id")
-                         .where(F.col("c") * 100 >= F.col("n") * self.threshold), "open")
-        return ids
+        of their shingles are in others of them too. ``c`` becomes that count.
+
+        A shingle that a document shares with the first of its list (``lead``) is
+        shared; only the rest of its set is laid out, beside the whole sets of
+        the leads, to find what no other document has."""
+        leads = ids.select(F.col("lead").alias("id")).distinct()
+        sets = self.sets(ids.select("id").union(leads).distinct())
+        lead_sets = sets.join(leads, "id", "left_semi").select(F.col("id").alias("lead"),
+                                                               F.col("set").alias("_l"))
+        own = ids.select("id", "lead").join(sets, "id").join(lead_sets, "lead")
+        laid = own.select("id", F.explode(F.array_except("set", "_l")).alias("g")).union(
+            lead_sets.select(F.lit(None).cast(ids.schema["id"].dataType), F.explode("_l")))
+        alone = (laid.groupBy("g").agg(F.count(F.lit(1)).alias("_m"), F.min("id").alias("id"))
+                 .where("_m = 1 and id is not null").groupBy("id").agg(F.count("g").alias("_u")))
+        kept = ids.join(alone, "id", "left").withColumn(
+            "c", F.col("n") - F.coalesce("_u", F.lit(0))).drop("_u", "lead")
+        return stored(kept.where(F.col("c") * 100 >= F.col("n") * self.threshold), "open")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -285,11 +317,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     reps = base.join(classes, ["hi", "lo"]).where(F.col("id") == F.col("rep")).dropDuplicates(
         ["hi", "lo"])
     reps = stored(reps.select("id", "n", F.col("n").alias("c"), "keys",
-                              *(F.col("packed")[i].alias(f"s{i}") for i in range(words)),
-                              F.col("id").alias("comp")), "reps")
-    search = _Search(docs, reps, size, threshold, matches, list_length, words)
-    posts = reps.select(F.explode("keys").alias("key"), *search.cols, "comp")
-    links = search.links(posts)
+                              *(F.col("packed")[i].alias(f"s{i}") for i in range(words))), "reps")
+    search = _Search(docs, reps.drop("keys"), size, threshold, matches, list_length, words)
+    links = search.links(reps.select("id", F.explode("keys").alias("key")))
     # A key with several sets joins their classes.
     of_class = base.where("n > 0").join(classes, ["hi", "lo"]).select("id", "rep")
     same_key = of_class.where("id is not null and id <> rep").select(
