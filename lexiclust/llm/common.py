@@ -78,10 +78,11 @@ class Shared:
         self.key = uuid.uuid4().hex
         self.sent = spark.sparkContext.broadcast(value)
 
-    def build(self, make, keep: int = 4):
-        """``make(value)``, kept for later tasks of the worker (the last few)."""
+    def build(self, make):
+        """``make(value)``, kept for later tasks of the worker. A worker holds
+        one of them at a time: what an earlier job built goes first."""
         if self.key not in Shared._built:
-            while len(Shared._built) >= keep:
-                Shared._built.pop(next(iter(Shared._built)))
+            Shared._built.clear()
             Shared._built[self.key] = make(self.sent.value)
         return Shared._built[self.key]
+

@@ -151,7 +151,7 @@ def _pass(docs: DataFrame, items: list, text: str, window: int, out: str,
     shared = Shared(docs.sparkSession, sorted(items, key=str))
 
     def scan_all(texts: pa.Array, earlier: list | None) -> pa.Array:
-        automaton = shared.build(lambda rows: WindowAutomaton(rows, window), keep=1)
+        automaton = shared.build(lambda rows: WindowAutomaton(rows, window))
         rows = []
         for part in chunks(texts):
             for t in part:

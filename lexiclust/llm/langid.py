@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from lexiclust.llm.common import Shared, bounded_sample, chunks, held_out
 
 TRAIN_ROWS = 10_000  # texts learnt from, at most about this many
-MAX_WORDS = 200_000  # words the model knows; the n-grams stand for the rest
-MAX_GRAMS = 200_000
+MAX_WORDS = 100_000  # words the model knows; the n-grams stand for the rest
+MAX_GRAMS = 100_000
 MIN_COUNT = 2  # a word met once says little; its n-grams do
 MAX_GRAM = 4
 SMOOTHING = 0.5
-CACHE_WORDS = 200_000  # unseen words whose scores a worker remembers
+CACHE_WORDS = 100_000  # unseen words whose scores a worker remembers
 UNKNOWN = "und"
 
 WORD = r"\p{L}[\p{L}\p{M}]*"  # a letter and the letters and marks after it
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, model: BackoffModel, text: str = "text",
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = shared.build(Scorer, keep=1)
+        scorer = shared.build(Scorer)
         for texts in batches:
             rows = [x for part in chunks(texts) for x in scorer.predict(part)]
             yield pa.StructArray.from_arrays(

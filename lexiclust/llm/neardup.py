@@ -126,7 +126,10 @@ def _setter(size: int):
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = [s.view(np.int64) for part in chunks(texts) for s in shingle_sets(part, size)]
-            yield pa.array(rows, type=pa.list_(pa.int64()))
+            ends = np.cumsum([0, *map(len, rows)])
+            flat = np.concatenate([*rows, np.empty(0, dtype=np.int64)])
+            del rows
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
     return sets
 
 

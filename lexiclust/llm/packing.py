@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiclust.llm.common import Shared, chunks, stored
 
@@ -34,10 +35,8 @@ _ODD = re.compile(r"<\||[\u03a3\u0130]")
 _WORD_THEN_SIGNS = re.compile(r"[,.!*&$%#|](?<=[^\W_].)[,.!*&$%#|]*(?=[ \n]|\Z)")
 _SIGNS = ".,;:!?*&$%#|\"()-"  # ASCII signs that may end a word
 
-_PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-_PIECES = pa.struct([("doc_tokens", pa.int64()), ("pieces", pa.list_(_PIECE))])
-_PIECES_DDL = ("struct<doc_tokens:bigint,pieces:array<struct<start:bigint,length:bigint,"
-               "ids:binary>>>")
+_PIECE_FIELDS = [T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
+                 T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())]
 
 
 class WordIds(dict):
@@ -133,24 +132,28 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, keys: list[str], text: st
         spec = Shared(docs.sparkSession, f.read())
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    @F.arrow_udf(_PIECES_DDL)
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = spec.build(WordIds, keep=1)
-        step = 4 * max_tokens
-        for texts in batches:
-            rows = []
-            for part in chunks(texts):
-                for ids in encoder.encode(part):
-                    ids += end
-                    rows.append({"doc_tokens": len(ids) // 4, "pieces": [
-                        {"start": at // 4, "length": len(p) // 4, "ids": p}
-                        for at in range(0, len(ids), step) for p in (ids[at:at + step],)]})
-            yield pa.array(rows, type=_PIECES)
-
-    cut_docs = docs.select(*keys, cut(F.col(text)).alias("_cut"))
-    return (cut_docs.select(*keys, F.col("_cut.doc_tokens").alias("doc_tokens"),
-                            F.explode("_cut.pieces").alias("_piece"))
-            .select(*keys, "_piece.start", "_piece.length", "_piece.ids", "doc_tokens"))
+    rows = docs.select(*keys, F.col(text).alias("_text"))
+    schema = T.StructType([*(rows.schema[k] for k in keys), *_PIECE_FIELDS])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = spec.build(WordIds)
+        for batch in batches:
+            begin = 0
+            for part in chunks(batch.column(len(keys))):
+                # one batch out for each few texts: ids are never held for more
+                ids = [x + end for x in encoder.encode(part)]
+                at = [(n, a) for n, x in enumerate(ids) for a in range(0, len(x), 4 * max_tokens)]
+                pieces = [ids[n][a:a + 4 * max_tokens] for n, a in at]
+                owner = pa.array([begin + n for n, _ in at], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(owner) for k in range(len(keys))),
+                     pa.array([a // 4 for _, a in at], pa.int64()),
+                     pa.array([len(x) // 4 for x in pieces], pa.int64()),
+                     pa.array(pieces, pa.binary()),
+                     pa.array([len(ids[n]) // 4 for n, _ in at], pa.int64())],
+                    names=[*keys, *(f.name for f in _PIECE_FIELDS)])
+                begin += len(part)
+    return rows.mapInArrow(cut, schema)
 
 
 @dataclass

@@ -149,7 +149,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text",
 
     @F.arrow_udf(COUNTS_DDL)
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        counter = spec.build(lambda text: Counter(MergeTable(json.loads(text))), keep=1)
+        counter = spec.build(lambda text: Counter(MergeTable(json.loads(text))))
         for texts in batches:
             n = []
             for part in chunks(texts):

@@ -120,12 +120,12 @@ class Cascade:
         return odd
 
 
-def _wrongly(level: Shared, listed: Shared):
-    """True for a key that passes ``level`` but is not listed."""
+def _wrongly(shared: Shared):
+    """True for a key that passes the level but is not listed."""
 
     @F.arrow_udf("boolean")
     def wrong(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bloom, inside = level.build(lambda b: b), listed.build(lambda x: x)
+        bloom, inside = shared.build(lambda both: both)
         for keys in batches:
             k = keys.to_numpy(zero_copy_only=False)
             passed = bloom.holds(k)
@@ -144,12 +144,12 @@ def build_cascade(universe: DataFrame, listed: np.ndarray) -> Cascade:
         return out
     spark = universe.sparkSession
     inside = np.unique(listed)
-    known = Shared(spark, inside)
+    every = inside
     left, wanted = universe, inside
     for level in range(MAX_LEVELS):
         out.levels.append(Bloom(wanted, BITS_A_KEY if level == 0 else LATER_BITS, level))
         if level % 2 == 0:  # a filter of listed keys: which others pass?
-            wrong = _wrongly(Shared(spark, out.levels[-1]), known)
+            wrong = _wrongly(Shared(spark, (out.levels[-1], every)))
             left = stored(left.where(wrong("key")), "passing")
             if left.count() > MAX_LEVEL_KEYS:
                 raise ValueError("too many keys pass a level; raise BITS_A_KEY")
@@ -190,13 +190,13 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", out: str = "jud
         hashed = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "name string")
                   .select("name", key_hash(F.col("name"))).collect()}
     as_keys = lambda some: np.array([hashed[n] for n in some], dtype=np.int64)
-    listed = Shared(spark, build_cascade(universe, as_keys(names)))
-    blocked = Shared(spark, build_cascade(universe, as_keys(sorted(blocking))))
+    cascades = Shared(spark, (build_cascade(universe, as_keys(names)),
+                              build_cascade(universe, as_keys(sorted(blocking)))))
 
     @F.arrow_udf("struct<at:int,blocked:boolean>")
     def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         """The first (longest) listed candidate, from 1, and if it blocks."""
-        rules_of, blocks = listed.build(lambda c: c), blocked.build(lambda c: c)
+        rules_of, blocks = cascades.build(lambda both: both)
         for arr in batches:
             flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.array([len(x) if x is not None else 0 for x in arr.to_pylist()],
