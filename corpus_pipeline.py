@@ -27,6 +27,7 @@ from lexiclust.llm.common import stored, table
 from lexiclust.session import ship_package
 
 MIN_LANGUAGE_SHARE = 0.5
+NEAR_THRESHOLD = 80  # percent of shared word shingles (operator 4's query has 85 by contract)
 BROADCAST_IDS = 1_000_000
 _MARK = "_lexiclust_stage"
 
@@ -52,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 4). Of rows that
     repeat a doc_id one stays; rows without one stay."""
     ship_package(spark)
-    groups = stored(neardup.near_duplicates(docs), "groups")
+    groups = stored(neardup.near_duplicates(docs, threshold=NEAR_THRESHOLD), "groups")
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(_MARK)).distinct()
     kept = docs.join(_small(gone), F.col("doc_id") == F.col(_MARK), "left_anti")
     twice = stored(groups.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(

@@ -3,12 +3,12 @@
 Each document is the set of its distinct word shingles. Equal sets are one
 class with one representative. A representative's MinHash signature has
 ``COORDINATES`` coordinates; a pair at the threshold shares almost all of them
-and at least ``MATCHES``, so it must share one of the first ``COORDINATES -
-MATCHES + 1`` (the prefix): documents are posted only under those
-coordinate-value pairs. Inside a posting list the two whole signatures are laid
-side by side (eight coordinates in one 64-bit word), the collisions are counted
-and pairs below ``MATCHES`` are skipped. What is left is confirmed on the full
-sets.
+and at least ``matches`` (15 at 0.85, 12 at 0.80), so it must share one of the
+first ``COORDINATES - matches + 1`` (the prefix): documents are posted only under
+those coordinate-value pairs. Inside a posting list the two whole signatures are
+laid side by side (eight coordinates in one 64-bit word), the collisions are
+counted and pairs below ``matches`` are skipped. What is left is confirmed on the
+full sets.
 
 A list of more than ``LIST_LENGTH`` documents is never paired with itself as
 it is. Its members are first compared with one of them. If members of several
@@ -17,9 +17,10 @@ the shingles that others of them have too make up the threshold's share of its
 set. The rest are posted again under longer tuples of coordinates, in which
 only very similar documents meet. Nothing is dropped without such a proof.
 
-A pair exactly at 0.85 shares fewer than 15 of 32 coordinates with probability
-8e-8 and no tuple of a later round with less than 1e-8; more similar pairs with
-far less.
+``matches``, the lists that long pairs share and the tuples of the later rounds
+follow from the threshold: a pair exactly at it has fewer matches with
+probability ``MISSED_MATCHES`` at most, and fewer lists or no tuple of a later
+round with ``MISSED_LISTS`` at most; more similar pairs with far less.
 """
 
 from __future__ import annotations
@@ -39,15 +40,38 @@ from lexiclust.llm.wordhash import mix, segment, shingle_hashes
 SHINGLE_WORDS = 5
 THRESHOLD = 85  # percent
 COORDINATES = 32
-MATCHES = 15
 LIST_LENGTH = 512
-# (tuples, coordinates in each) of the rounds after the first
-LATER_ROUNDS = ((20, 3), (60, 8))
-# Of the first round's lists a pair at 0.85 shares fewer than these with probability 5e-9.
-LONG_LISTS = 5
+# How likely a pair exactly at the threshold may be passed over by the matches, and
+# by the lists and tuples of each round.
+MISSED_MATCHES = 1e-7
+MISSED_LISTS = 5.4e-9
+# The rounds after the first take the widest tuples of which no more than these do.
+LATER_TUPLES = (24, 64)
 BROADCAST_IDS = 1_000_000
 
 
+def shared_at_least(coordinates: int, threshold: int, missed: float) -> int:
+    """The largest count of which a pair at ``threshold`` percent shares fewer, of
+    ``coordinates``, with probability ``missed`` at most (0: it may share none)."""
+    t, below = threshold / 100, 0.0
+    for n in range(coordinates + 1):
+        below += math.comb(coordinates, n) * t ** n * (1 - t) ** (coordinates - n)
+        if below > missed:
+            return n
+    return coordinates
+
+
+def later_rounds(threshold: int) -> list[tuple[int, int]]:
+    """``(tuples, coordinates in each)`` of the rounds after the first."""
+    def tuples(width: int) -> int:
+        alone = 1 - (threshold / 100) ** width
+        return math.ceil(math.log(MISSED_LISTS) / math.log(alone)) if alone else 1
+
+    # (at 100 % one tuple of any width does)
+    return [(tuples(w), w) for w in (max([1, *(w for w in range(2, 33) if tuples(w) <= most)])
+                                     for most in LATER_TUPLES)]
+
+
 def shingle_sets(texts: list[str | None], size: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """The ascending distinct shingle hashes of each text: A-Z lower-cased,
     words ``[^\\x20\\x09-\\x0D]+``; fewer words than ``size`` are one shingle,
@@ -161,7 +185,9 @@ class _Search:
     def __init__(self, docs: DataFrame, info: DataFrame, size: int, threshold: int, matches: int,
                  list_length: int, words: int):
         self.docs, self.info, self.size, self.threshold = docs, info, size, threshold
-        self.list_length = list_length
+        self.list_length, self.later = list_length, later_rounds(threshold)
+        # of the first round's lists, which are 8 * words - matches + 1 a document
+        self.long_lists = max(1, shared_at_least(8 * words - matches + 1, threshold, MISSED_LISTS))
         self.fits = _close(threshold) & (_collisions(words) >= matches)
 
     def texts(self, ids: DataFrame) -> DataFrame:
@@ -240,7 +266,7 @@ class _Search:
             found = new if found is None else found.union(new)
             mixed = self.mixed(kept, found)
             short = F.col("size") <= self.list_length
-            last = level == len(LATER_ROUNDS)  # what still meets here is paired in full
+            last = level == len(self.later)  # what still meets here is paired in full
             if mixed.isEmpty():
                 return found
             if last:
@@ -259,14 +285,14 @@ class _Search:
                 mixed = self.mixed(mixed, found)
             often = mixed.groupBy("id").agg(F.count(F.lit(1)).alias("_lists"),
                                             F.mode("lead", True).alias("lead"))
-            often = often.where(F.col("_lists") >= (LONG_LISTS if level == 0 else 1))
+            often = often.where(F.col("_lists") >= (self.long_lists if level == 0 else 1))
             open_ids = stored(often.drop("_lists").join(self.info, "id"), "open")
             if open_ids.isEmpty():
                 return found
             self.info = self.peeled(open_ids)
             if self.info.isEmpty():
                 return found
-            tuples, width = LATER_ROUNDS[level]
+            tuples, width = self.later[level]
             posts = stored(self.texts(self.info).select(
                 "id", F.explode(_tupler(self.size, tuples, width)("_text")).alias("key")), "posts")
             level += 1
@@ -294,7 +320,7 @@ class _Search:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     size: int = SHINGLE_WORDS, threshold: int = THRESHOLD,
-                    coordinates: int = COORDINATES, matches: int = MATCHES,
+                    coordinates: int = COORDINATES, matches: int | None = None,
                     list_length: int = LIST_LENGTH) -> DataFrame:
     """One row per document: ``key``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -306,8 +332,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     with a null key is linked with nothing, has a null component and is kept.
 
     ``docs`` is read several times and should be a stored table; only ``key``
-    and ``text`` are read. ``coordinates`` must be a multiple of 8.
+    and ``text`` are read. ``coordinates`` must be a multiple of 8. ``matches``
+    follows from ``threshold`` and ``coordinates`` (see ``MISSED_MATCHES``); one
+    given by hand that is higher loses pairs. A threshold that needs more
+    coordinates (32 do down to 40) is an error.
     """
+    if matches is None:
+        matches = shared_at_least(coordinates, threshold, MISSED_MATCHES)
+    if matches < 1:
+        raise ValueError(f"{coordinates} coordinates are too few for a threshold of {threshold} %")
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))
     words = coordinates // 8
     sketch = _sketcher(size, coordinates, matches)

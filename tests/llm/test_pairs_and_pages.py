@@ -1,6 +1,7 @@
 """Near duplicates, neighbours, pages, urls, chats and the pipeline."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -66,6 +67,37 @@ def test_near_duplicates_equal_brute_force(spark, list_length):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("threshold", [80, 50])
+def test_near_duplicates_at_lower_thresholds(spark, threshold):
+    rng = random.Random(threshold)
+    base = [f"b{i}" for i in range(120)]
+    texts = [edited(base, rng.randrange(0, 12), rng) for _ in range(60)]
+    for k in range(40):  # pairs about the threshold
+        one = [f"w{k}_{i}" for i in range(100)]
+        texts += [" ".join(one), edited(one, 1 + k % 9, rng)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for list_length in (128, 4):
+        got = neardup.near_duplicates(df, threshold=threshold, list_length=list_length).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == \
+            sorted(brute_groups(rows, threshold))
+
+
+def test_near_duplicate_parameters_follow_the_threshold(spark):
+    least = lambda t, n=32: neardup.shared_at_least(n, t, neardup.MISSED_MATCHES)
+    assert least(85) == 15 and neardup.later_rounds(85) == [(20, 3), (60, 8)]
+    assert neardup.shared_at_least(18, 85, neardup.MISSED_LISTS) == 5
+    for t in (40, 50, 60, 70, 80, 85, 90, 99):
+        m = least(t)
+        p = t / 100
+        assert 1 <= m <= least(min(99, t + 5))
+        assert sum(math.comb(32, n) * p ** n * (1 - p) ** (32 - n) for n in range(m)) <= 1e-7
+        assert all((1 - p ** w) ** n <= 5.4e-9 for n, w in neardup.later_rounds(t))
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"),
+                                threshold=10)
+
+
 def test_near_duplicates_of_repeated_keys_and_no_rows(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(1, a), (2, b), (9, a), (9, b), (5, c), (5, c)]
@@ -300,6 +332,18 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_drops_near_copies_at_80_percent(spark):
+    one = [f"w{i}" for i in range(200)]
+    two = list(one)
+    for i in (20, 70, 120, 170):
+        two[i] = "other"
+    a, b = (set(x.tolist()) for x in neardup.shingle_sets([" ".join(one), " ".join(two)]))
+    assert 0.80 < len(a & b) / len(a | b) < 0.82
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, "another text")],
+                                 "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_pipeline_stages_of_no_rows(spark, stage):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
