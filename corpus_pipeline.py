@@ -77,10 +77,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as packed pieces (operator 6)."""
+    """All documents as packed pieces with their token ids (operator 6), which
+    ``packing.sequences`` joins."""
     ship_package(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"),
-                                  with_ids=False)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -96,7 +96,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; the packed pieces."""
+    """All stages over the documents; the packed pieces with their token ids."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)

@@ -132,10 +132,9 @@ def op5_decontaminate(spark, sf_dir):
 def op6_pack(spark, sf_dir):
     """All documents cut, tokenised and packed into sequences of 2048 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"),
-                                    with_ids=False)
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-                         "offset")
+    packed = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("length"),
+                         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 # The contract's rules (fixed values).

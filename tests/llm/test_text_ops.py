@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lexiclust.llm import decontaminate, langid, packing, quality, tokencount
 from lexiclust.llm.queries import QUERIES
 
@@ -129,6 +130,26 @@ def test_pack_documents_round_trip(spark):
         assert len(whole.ids) == 4 * (used if used & (used - 1) == 0 else 2048)
 
 
+def test_pack_query_and_stage_carry_ids(spark):
+    docs = pq.read_table(f"{SF}/documents.parquet").slice(0, 40)
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs.to_pylist()],
+                               "doc_id long, text string")
+    packed = corpus_pipeline.pack(spark, df, SF)
+    pieces = packed.collect()
+    by_sequence = check_packed(pieces)
+    got = {r.sequence_id: r for r in packing.sequences(packed).collect()}
+    assert got.keys() == by_sequence.keys()
+    for r in pieces:
+        whole = bytes(got[r.sequence_id].ids)
+        assert whole[4 * r.offset:4 * (r.offset + r.length)] == bytes(r.ids)
+    for r in docs.to_pylist():
+        mine = sorted((p for p in pieces if p.doc_id == r["doc_id"]), key=lambda p: p.start)
+        ids = np.frombuffer(b"".join(bytes(p.ids) for p in mine), "<u4").tolist()
+        assert ids == library_ids(r["text"])
+    plan = QUERIES["op6_pack"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "crc32(ids" in plan.splitlines()[0]
+
+
 def test_pack_one_hot_length_and_an_empty_table(spark):
     hot = spark.range(5000).select(F.col("id").alias("k"), F.lit(700).cast("long").alias("length"))
     got = packing.pack(hot, ["k"]).collect()
