@@ -5,7 +5,8 @@ nearest enclosing element that says something about its content), tags cost;
 both weights are log odds counted on labelled pages: those whose content is
 marked by one ``article`` element. A linear scan finds the contiguous region
 with the best score, and its words outside menus, adverts, forms and the like
-are the main text.
+are the main text. An article, and whatever stands around one, is never left out
+for its name, class, id or role.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +48,11 @@ subscribe subscription signup login share sharing social sidebar widget widgets
 recommendations comment comments commentlist disqus reply replies respond nav navbar navigation menu
 menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar copyright search
 skip contentinfo complementary tooltip""".split())
-HEADER_WORDS = {"header", "heading"}  # of the page, unless one of these stands beside it
 CONTENT_WORDS = set("article content entry main post story body text title".split())
+# Words that say nothing of their own beside those ("share-buttons", "comments-area").
+NEUTRAL_WORDS = set("""area bar block box button buttons container form item items link links list
+posts section slot unit wrap wrapper""".split())
+PRIOR = -0.5  # score of a word where only the first or last part of a class word is such a word
 
 _TAG = re.compile(
     r"<(?:!--(?P<note>.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
@@ -63,22 +67,32 @@ class Place:
 
     name: str
     kinds: list[str] = field(default_factory=list)
-    dropped: bool = False  # named as no content by its element or its words
+    dropped: bool = False  # named as no content by its element
+    named: list[str] = field(default_factory=list)  # kinds whose whole word is no content
+    prior: float = 0.0  # what a part of a class word says, where no weight is learnt
+    holds: bool = False  # an article or main element, or one stands inside
 
 
 def _place(name: str, attrs: str) -> Place:
     kinds = [name] if name in CONTENT or name in NO_CONTENT or name in ("body", "section") else []
-    dropped = name in NO_CONTENT
+    named, prior = [], 0.0
     if "=" in attrs:
         for key, a, b, c in _ATTR.findall(attrs):
             for token in (a or b or c).lower().split():
                 kinds.append(f"{name}.{token}")
-                words = set(_WORD.findall(token))
-                dropped |= bool(words & NO_CONTENT_WORDS)
-                dropped |= bool(words & HEADER_WORDS) and not words & CONTENT_WORDS
+                words = [w for w in _WORD.findall(token) if w not in NEUTRAL_WORDS
+                         and not any(c.isdigit() for c in w)]
+                if words == ["header"] or words and NO_CONTENT_WORDS.issuperset(words):
+                    named.append(kinds[-1])
+                elif words and (not NO_CONTENT_WORDS.isdisjoint((words[0], words[-1]))
+                                or "header" in words and CONTENT_WORDS.isdisjoint(words)):
+                    prior = PRIOR
             if key.lower() == "role" and (a or b or c).lower() == "main":
                 kinds.append("main")
-    return Place(name, kinds, dropped and name not in ("body", "html", "main"))
+    if name in ("body", "html"):
+        return Place(name, kinds)
+    return Place(name, kinds, name in NO_CONTENT, named, prior,
+                 name in CONTENT or "main" in kinds)
 
 
 def events(page: str) -> Iterator[tuple[str, str, list[Place]]]:
@@ -115,6 +129,32 @@ def events(page: str) -> Iterator[tuple[str, str, list[Place]]]:
             stack.append(_place(name, tag["attrs"]))
 
 
+def around_articles(page: str) -> Iterator[tuple[str, str, list[Place]]]:
+    """``events``; at the end every element that has an article or main element
+    inside is marked. An article in another one (a comment, a teaser) marks
+    nothing, nor one that is itself named as no content or stands in an aside or
+    the like, unless all do."""
+    lesser: list[Place] = []
+    marked, outer = False, None
+    for what, value, stack in events(page):
+        yield what, value, stack
+        at = next((i for i, p in enumerate(stack) if p.name == "article"), None)
+        if at is None:
+            at = next((i for i, p in enumerate(stack) if p.name == "main" or "main" in p.kinds), None)
+        if at is None or stack[at] is outer:
+            continue
+        outer = stack[at]
+        if outer.named or any(p.dropped for p in stack[:at]):
+            lesser += stack[:at]
+        else:
+            marked = True
+            for p in stack[:at]:
+                p.holds = True
+    if not marked:
+        for p in lesser:
+            p.holds = True
+
+
 def places(page: str) -> Counter | None:
     """``(what, kind, inside)`` counts of a labelled page: words by the kinds of
     the elements they stand in, and tags, in and out of its one ``article``.
@@ -152,12 +192,19 @@ class RegionModel:
             elif what == "tag":
                 self.tags[kind] = -TAG_COST * (1 + CLIP - odds)
 
-    def weight(self, stack: list[Place]) -> tuple[float, bool]:
+    def dropped(self, place: Place, held: bool) -> bool:
+        """Whether an element is left out whole: named as no content, unless an
+        article stands in it or, for its words, a learnt weight says otherwise
+        (not inside an article, where all weights are those of content)."""
+        return not place.holds and (place.dropped or any(
+            held or self.words.get(kind, -1.0) <= 0 for kind in place.named))
+
+    def weight(self, stack: Sequence[Place]) -> tuple[float, bool]:
         """Score of one word here, and whether it may be main text. The nearest
         element that is known decides; inside an article or main element what is
         no content weighs nothing, as it does not end the region."""
         held = any(p.name in CONTENT for p in stack)
-        if any(p.dropped for p in stack):
+        if any(self.dropped(p, held) for p in stack):
             return (0.0 if held else -1.0), False
         for p in reversed(stack):
             if p.name in CONTENT:
@@ -167,6 +214,8 @@ class RegionModel:
                 return (0.0 if held else min(known)), False
             if known:
                 return max(known), True
+            if p.prior and not p.holds:
+                return (0.0 if held else p.prior), True
         return 0.5, True
 
     def extract(self, page: str | None) -> str:
@@ -174,15 +223,41 @@ class RegionModel:
         block as one space, character references decoded."""
         if not page:
             return ""
+        # Read to the end first: what stands around an article is known by then.
+        seen = [(what, value, tuple(stack) if what == "text" else ())
+                for what, value, stack in around_articles(page)]
+        pieces, span = self._scan(seen, True)
+        if span == (0, 0):  # nothing but what parts of class words speak against
+            pieces, span = self._scan(seen, False)
+        blocks: list[str] = []
+        now: list[str] = []
+        for name, text in pieces[span[0]:span[1]]:
+            if text is not None:
+                now.append(text)
+            elif name in BLOCKS or name in RAW:
+                blocks.append("".join(now))
+                now = []
+        blocks.append("".join(now))
+        return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+
+    def _scan(self, seen: list[tuple[str, str, tuple[Place, ...]]],
+              priors: bool) -> tuple[list[tuple[str, str | None]], tuple[int, int]]:
+        """The page's pieces (tags, and texts by whether they may be main text)
+        and the contiguous region of them with the best sum."""
         # The scan: best sum so far and where it began.
         best, total, begin, span = 0.0, 0.0, 0, (0, 0)
         pieces: list[tuple[str, str | None]] = []
-        for what, value, stack in events(page):
+        weights: dict[tuple[int, ...], tuple[float, bool]] = {}
+        for what, value, stack in seen:
             if what == "tag":
                 total += self.tags.get(value, -TAG_COST)
                 pieces.append((value, None))
             else:
-                score, kept = self.weight(stack)
+                at = tuple(map(id, stack))
+                if at not in weights:
+                    weights[at] = self.weight(stack if priors else [
+                        replace(p, prior=0.0) if p.prior else p for p in stack])
+                score, kept = weights[at]
                 text = html.unescape(value)
                 total += score * len(text.split())
                 pieces.append((value, text if kept else ""))
@@ -190,16 +265,7 @@ class RegionModel:
                 total, begin = 0.0, len(pieces)
             elif total > best:
                 best, span = total, (begin, len(pieces))
-        blocks: list[str] = []
-        now: list[str] = []
-        for name, text in pieces[span[0]:span[1]]:
-            if text is not None:
-                now.append(text)
-            elif name in BLOCKS or name in RAW:
-                blocks.append("".join(now))
-                now = []
-        blocks.append("".join(now))
-        return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+        return pieces, span
 
 
 def fit(pages: DataFrame, key: str = "page_id", page: str = "html",

@@ -1,5 +1,6 @@
 """Near duplicates, neighbours, pages, urls, chats and the pipeline."""
 
+import collections
 import hashlib
 import math
 import random
@@ -198,6 +199,44 @@ def test_extract_without_labels(spark):
     assert extract.extract(df.limit(0), model).count() == 0
 
 
+BODY = "<h2 class='section-heading'>Part one</h2><p>words of the story here</p>"
+WANTED = "Part one\nwords of the story here"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div id='content-sidebar-wrap'><article>{BODY}</article></div>",
+    f"<div class='has-sidebar'><article>{BODY}</article></div>",
+    f"<div class='sidebar'><div><article>{BODY}</article></div></div>",
+    f"<article class='post comments-open'>{BODY}</article>",
+    f"<article class='widget'>{BODY}</article>",
+    f"<div role='search'><article>{BODY}</article></div>",
+    f"<div role='search'><div role='main' class='menu'>{BODY}</div></div>",
+    f"<main class='has-sidebar'><div class='search'><article>{BODY}</article></div></main>",
+    f"<form action='x'><article>{BODY}</article></form>",
+    f"<article><section id='related-work'>{BODY}</section></article>",
+    f"<div class='has-sidebar'>{BODY}</div>",
+    f"<div id='content-sidebar-wrap'><div class='header-2-content'>{BODY}</div></div>",
+    f"<article>{BODY}<div id='comments-area'><article class='comment'>no</article></div></article>",
+    f"<article>{BODY}</article><div class='comments'><article class='comment'>no</article></div>",
+    f"<article>{BODY}<div class='share-buttons'>no</div><p class='ad-300'>no</p></article>",
+])
+def test_wrappers_named_like_no_content_lose_nothing(page):
+    learnt = collections.Counter()
+    for p in labelled(30):
+        learnt += extract.places(p)
+    head = "<html><body class='nav-open'><nav>menu a b</nav>"
+    foot = "<footer>foot line</footer></body></html>"
+    for model in (extract.RegionModel(learnt), extract.RegionModel({})):
+        assert model.extract(head + page + foot) == WANTED
+
+
+def test_learnt_weights_go_before_class_words():
+    page = "<div class='notice'><p>real words of a page</p></div>"
+    counts = {("word", "div.notice", True): 100}
+    assert extract.RegionModel(counts).extract(page) == "real words of a page"
+    assert extract.RegionModel({}).extract(page) == ""
+
+
 def test_region_is_the_best_subsequence():
     """The scan's region against all contiguous ones."""
     model = extract.RegionModel({("word", "nav", False): 100, ("word", "article", True): 100,
