@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from conftest import vectors_df
+from helpers import vectors_df
 from lexiclust.operators import align
 
 

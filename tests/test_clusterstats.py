@@ -1,6 +1,6 @@
 import math
 
-from conftest import vectors_df
+from helpers import vectors_df
 from lexiclust.operators import clusterstats as cs
 
 

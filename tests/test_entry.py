@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from tools.check_oracles import compare
 
 import __spark_entry__ as entry

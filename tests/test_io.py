@@ -4,7 +4,7 @@ import os
 import numpy as np
 import pytest
 
-from conftest import lines_df
+from helpers import lines_df
 from lexiclust.operators import labels as lb
 from lexiclust.operators import text as tx
 from lexiclust.sources import sinks, text as src_text, vectors as sv

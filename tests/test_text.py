@@ -3,7 +3,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from conftest import lines_df
+from helpers import lines_df
 from lexiclust.functions import text as ft
 from lexiclust.operators import text as tx
 

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import vectors_df
+from helpers import vectors_df
 from lexiclust.operators import kmeans as km
 from lexiclust.operators import vectors as vo
 
