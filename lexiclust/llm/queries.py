@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.llm import chat, decontaminate, extract, langid, neardup, neighbours, packing, quality, tokencount, urlfilter
+from lexiclust.llm import (chat, decontaminate, extract, langid, neardup, neighbours, packing, quality,
+                           tokencount, urlfilter, variants)
 from lexiclust.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,3 +235,61 @@ def op10_token_counts(spark, sf_dir):
     counted = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), out="size")
     return counted.select("doc_id", "size.n_bytes", "size.n_tokens",
                           (F.col("size.n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+# CRC-32 in SQL: its byte table by the rule of its polynomial, and the checksum of the
+# bytes written in hexadecimal in column x.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+      ELSE c >> 1 END, i) AS v FROM range(256) r(i)))"""
+_CRC = """xor(list_reduce([('0x' || substr(x, 2 * i + 1, 2))::BIGINT FOR i IN range(length(x) // 2)],
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
+
+_OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+often AS (SELECT doc_id, r, count(*) AS n FROM run WHERE length(r) >= 6 GROUP BY ALL),
+written AS (SELECT r, n, hex(concat(doc_id, ':', r)) AS x FROM often),
+hashed AS (SELECT r, n, {_CRC} AS h FROM written, crc_table),
+said AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2)
+    ELSE r END AS word FROM hashed),
+vocab AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 6 GROUP BY word
+  HAVING sum(n) >= 5),
+cut AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+pair AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b
+    ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, v.word FROM cut JOIN vocab v ON cut.d = v.word
+  UNION SELECT v.word, cut.word FROM cut JOIN vocab v ON cut.d = v.word),
+ranked AS (
+  SELECT pair.word, near, v.n AS near_n, count(*) OVER (PARTITION BY pair.word) AS n_near,
+    row_number() OVER (PARTITION BY pair.word ORDER BY v.n DESC, near) AS k
+  FROM pair JOIN vocab v ON v.word = near),
+best AS (
+  SELECT vocab.word, vocab.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= 5 * n THEN near END AS form,
+    CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM vocab LEFT JOIN ranked ON ranked.word = vocab.word AND k = 1),
+chain(word, root) AS (
+  SELECT word, word FROM best
+  UNION ALL SELECT chain.word, best.form FROM chain JOIN best ON best.word = chain.root
+    WHERE best.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN best ON best.word = chain.root
+         WHERE best.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM best JOIN ends USING (word)
+"""
+
+
+@query("op11_spelling_variants", _OP11_SQL)
+def op11_spelling_variants(spark, sf_dir):
+    """Words of all documents with their commoner spellings, typing errors planted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.group_variants(docs, damage_every=199).select(
+        "word", "form", "root", "n", "n_near", "form_n")
