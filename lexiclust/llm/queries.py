@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiclust.llm import (chat, decontaminate, extract, langid, neardup, neighbours, packing, quality,
-                           tokencount, urlfilter, variants)
+                           repair, tokencount, urlfilter, variants)
 from lexiclust.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -293,3 +293,82 @@ def op11_spelling_variants(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return variants.group_variants(docs, damage_every=199).select(
         "word", "form", "root", "n", "n_near", "form_n")
+
+
+_OP12_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+whole AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))) AS x
+  FROM conversations),
+marked AS (SELECT *, {_CRC} % 20 AS h FROM whole, crc_table),
+bad AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM marked WHERE h <> 0),
+ordered AS (
+  SELECT *, row_number() OVER w AS n, lag(role[1]) OVER w AS before,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said
+  FROM bad WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM ordered),
+faulty AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+    WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1
+      AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+  FROM faulty GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 0 AS n, {{'c': 0, 'a': '', 't': ''}} AS x0, {{'c': 99999999, 'a': '', 't': ''}} AS x1,
+    {{'c': 2, 'a': 'I', 't': 'user:'}} AS x2, {{'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} AS x3
+  FROM counted
+  UNION ALL
+  SELECT conv_id, n, x0, x1, x2,
+    list_sort([x3, {{'c': x2.c + 2, 'a': x2.a || 'I', 't': x2.t || lf || 'assistant:'}}])[1] AS x3
+  FROM (
+    SELECT conv_id, n, x0, x1, x3, chr(10) AS lf, list_sort([x2,
+      {{'c': x0.c + 2, 'a': x0.a || 'I', 't': x0.t || CASE WHEN x0.t = '' THEN '' ELSE chr(10) END || 'user:'}},
+      {{'c': x1.c + 2, 'a': x1.a || 'I', 't': x1.t || chr(10) || 'user:'}},
+      {{'c': x3.c + 2, 'a': x3.a || 'I', 't': x3.t || chr(10) || 'user:'}}])[1] AS x2
+    FROM (
+      SELECT conv_id, n, d0 AS x0,
+        list_sort([d1, {{'c': x0.c + k + CASE WHEN i = 's' THEN 0 ELSE 99999999 END, 'a': x0.a || 'K', 't': own}}])[1] AS x1,
+        list_sort([d2,
+          {{'c': x0.c + k + ku, 'a': x0.a || 'K', 't': x0.t || CASE WHEN x0.t = '' THEN '' ELSE chr(10) END || own}},
+          {{'c': x1.c + k + ku, 'a': x1.a || 'K', 't': x1.t || chr(10) || own}},
+          {{'c': x3.c + k + ku, 'a': x3.a || 'K', 't': x3.t || chr(10) || own}},
+          {{'c': x0.c + k + 2, 'a': x0.a || 'R', 't': x0.t || CASE WHEN x0.t = '' THEN '' ELSE chr(10) END || 'user:' || text}},
+          {{'c': x1.c + k + 2, 'a': x1.a || 'R', 't': x1.t || chr(10) || 'user:' || text}},
+          {{'c': x3.c + k + 2, 'a': x3.a || 'R', 't': x3.t || chr(10) || 'user:' || text}}])[1] AS x2,
+        list_sort([d3,
+          {{'c': x2.c + k + ka, 'a': x2.a || 'K', 't': x2.t || chr(10) || own}},
+          {{'c': x2.c + k + 2, 'a': x2.a || 'R', 't': x2.t || chr(10) || 'assistant:' || text}}])[1] AS x3
+      FROM (
+        SELECT dp.conv_id, f.n, x0, x1, x2, x3, f.text, f.role || ':' || f.text AS own, f.role[1] AS i,
+          CASE f.fault WHEN 'truncated' THEN 1 WHEN '' THEN 0 ELSE 99999999 END AS k,
+          CASE WHEN f.role[1] = 'u' THEN 0 ELSE 99999999 END AS ku,
+          CASE WHEN f.role[1] = 'a' THEN 0 ELSE 99999999 END AS ka,
+          {{'c': x0.c + 3, 'a': x0.a || 'D', 't': x0.t}} AS d0, {{'c': x1.c + 3, 'a': x1.a || 'D', 't': x1.t}} AS d1,
+          {{'c': x2.c + 3, 'a': x2.a || 'D', 't': x2.t}} AS d2, {{'c': x3.c + 3, 'a': x3.a || 'D', 't': x3.t}} AS d3
+        FROM dp JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.n = dp.n + 1)))),
+ended AS (
+  SELECT dp.conv_id, gaps, blank, duplicate, truncated, illegal, list_sort([x0, x3])[1] AS x
+  FROM dp JOIN counted c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.rows = dp.n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(x.c, 0) AS BIGINT) AS cost, coalesce(x.a, '') AS audit,
+  sha256(coalesce(x.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op12_repair", _OP12_SQL)
+def op12_repair(spark, sf_dir):
+    """All conversations damaged, and the cheapest edits that repair each."""
+    turns = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.summaries(repair.repair(turns, present="present"))
