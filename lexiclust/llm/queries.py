@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiclust.llm import (chat, decontaminate, extract, langid, neardup, neighbours, packing, quality,
-                           repair, tokencount, urlfilter, variants)
+from lexiclust.llm import (chat, decontaminate, extract, langid, lm, neardup, neighbours, packing,
+                           quality, repair, tokencount, urlfilter, variants)
 from lexiclust.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,3 +372,14 @@ def op12_repair(spark, sf_dir):
     """All conversations damaged, and the cheapest edits that repair each."""
     turns = repair.damaged(table(spark, sf_dir, "conversations"))
     return repair.summaries(repair.repair(turns, present="present"))
+
+
+LM_FOLDS, LM_HELD_OUT = 7, 2  # rows whose crc32(doc_id) mod 7 is 2 are not learnt from
+
+
+@query("op13_lm_score")
+def op13_lm_score(spark, sf_dir):
+    """Every whole text under a byte model and a word model of the training texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % LM_FOLDS
+    return lm.score_documents(docs, F.coalesce(fold != LM_HELD_OUT, F.lit(True)))
