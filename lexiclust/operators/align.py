@@ -6,9 +6,8 @@ matchings and overlaps all carry it. Centroids (A8) are packed into blocks, and
 each pair of blocks is one numpy product, so no centroid matrix is broadcast.
 Both matchings run as rounds of jobs over the similarity table, every round
 serving all pairs: ``greedy_match`` takes the pairs that are each other's best;
-``optimal_match`` is an auction with epsilon scaling, whose prices and owners
-(one of each per column) are on the driver while the bids are computed on the
-executors. Word overlap is an equi-join on the word.
+``optimal_match`` is an auction with epsilon scaling whose prices and owners are
+a table. Word overlap is an equi-join on the word.
 """
 
 from __future__ import annotations
@@ -120,131 +119,130 @@ class AuctionResult:
         self.primal = primal
 
 
-def optimal_match(sim: DataFrame, scale: float = 1e6) -> AuctionResult:
+AUCTION_ROWS = 256  # rows of a pair that bid together
+EPS_STEP = 20.0
+
+
+def optimal_match(sim: DataFrame, scale: float = 1e6, block_rows: int = AUCTION_ROWS) -> AuctionResult:
     """J8, for every pair: a one-to-one matching of maximum total similarity
     (cosines rounded to 1e-6), by the auction algorithm with epsilon scaling.
 
-    Rows and columns of all pairs are numbered through, and a row bids only for
-    columns of its own pair, so every round serves all pairs. Benefits are
-    integers ``round(sim * 1e6) * (K + 1)`` with the largest K; the last phase
-    runs with epsilon 1, so each matching is optimal for the rounded benefits
-    (``gap`` = dual minus primal is below (K + 1) per pair). Each round is one
-    job over the persisted table: the rows that are open are picked by a join,
-    find their two best values against the current prices and bid. The driver
-    keeps one price and one owner per column, K of each per pair."""
-    spark = sim.sparkSession
+    Prices and owners are a table keyed (pair, column). A round is one job for
+    all pairs: blocks of ``block_rows`` rows bid among themselves against the
+    prices of their pair until each of their rows holds a column (``_claims``);
+    what different blocks claim is settled by one aggregation per (pair,
+    column), the highest price winning, ties to the lowest row. Rows that lost
+    bid again in the next round. Claims stay within epsilon of a row's best
+    value, since prices only rise. The driver sees counts and sums, no prices.
+
+    Benefits are integers ``round(sim * 1e6) * (K + 1)``; the last phase runs
+    with epsilon 1, so each matching is optimal for the rounded benefits
+    (``gap`` = dual minus primal is below K + 1 per pair)."""
     key = _pair_of(sim)
-    found = sim.groupBy(*key).agg(F.countDistinct("cid_a").alias("n")).collect()  # one row a pair
-    if not found:
+    pair = F.struct(*key) if key else F.struct(F.lit(0).alias("one"))
+    rows = cut_lineage(sim.select(pair.alias("_pair"), "cid_a", "cid_b", "sim"))
+    if rows.isEmpty():
         return AuctionResult(sim.select(*key, "cid_a", "cid_b", "sim"), 0.0, 0, 0)
-    width = max(r["n"] for r in found)
-    base = {tuple(r[c] for c in key): n * width for n, r in enumerate(found)}
-    rows_of = np.concatenate([n * width + np.arange(r["n"]) for n, r in enumerate(found)])
-    if key:
-        index = spark.createDataFrame([(*k, n) for k, n in base.items()],
-                                      sim.select(*key).schema.add("_base", T.IntegerType()))
-        numbered = sim.join(F.broadcast(index), key)
-    else:
-        numbered = sim.withColumn("_base", F.lit(0))
-    ben = numbered.select(
-        *key, "cid_a", "cid_b", "sim", (F.col("_base") + F.col("cid_a")).alias("i"),
-        (F.col("_base") + F.col("cid_b")).alias("j"),
-        (F.round(F.col("sim") * scale).cast("long") * (width + 1)).alias("b"))
-    ben = cut_lineage(ben.repartition("i")).repartition("i").persist()
+    sizes = rows.groupBy("_pair").agg(F.countDistinct("cid_a").alias("_k"))  # one row a pair
+    benefit = F.round(F.col("sim") * scale) * (F.col("_k") + 1)
+    blocks = rows.join(sizes, "_pair").groupBy(
+        "_pair", F.floor(F.col("cid_a") / block_rows).alias("_block")).agg(
+        F.collect_list(F.struct("cid_a", "cid_b", benefit.alias("b"))).alias("cells"))
+    blocks = cut_lineage(blocks).persist()
+    state = rows.select("_pair", "cid_b").distinct().select(
+        "_pair", "cid_b", F.lit(0.0).alias("price"), F.lit(-1).alias("owner"))
+    eps, rounds = max(1.0, (rows.agg(F.max(F.abs("sim"))).first()[0] or 0) * scale), 0
     try:
-        return _auction(spark, ben, key, rows_of, width * len(found))
+        while True:
+            fresh, left = True, 1
+            while left:
+                rounds += 1
+                state = _settled(state, _claims(blocks, state, eps, fresh))
+                fresh, left = False, state.where("owner < 0").count()
+            if eps <= 1.0:
+                break
+            eps = max(1.0, eps / EPS_STEP)
+        matched = cut_lineage(rows.join(state.select("_pair", "cid_b", F.col("owner").alias("cid_a")),
+                                        ["_pair", "cid_a", "cid_b"]))
+        primal = matched.join(sizes, "_pair").agg(F.sum(benefit)).first()[0]
+        dual = (_claims(blocks, state, eps, False).agg(F.sum("best")).first()[0]
+                + state.agg(F.sum("price")).first()[0])
     finally:
-        ben.unpersist()
-
-
-def _auction(spark, ben: DataFrame, key: list[str], rows_of: np.ndarray, total: int) -> AuctionResult:
-    bmax = ben.agg(F.max(F.abs("b"))).first()[0] or 1
-    prices = np.zeros(total)
-    owner = np.full(total, -1, dtype=np.int64)     # column -> row
-    assigned = np.full(total, -1, dtype=np.int64)  # row -> column
-    eps, rounds = max(1.0, bmax / 4.0), 0
-    while True:
-        if rounds:
-            # assignments that still satisfy eps-complementary slackness under
-            # the new eps stay; only the rest bid again
-            best = _row_best(ben, prices)
-            have = _pair_benefits(ben, [(int(i), int(assigned[i])) for i in rows_of])
-            for i in rows_of:
-                j = assigned[i]
-                if have[(i, j)] - prices[j] < best[i] - eps:
-                    assigned[i] = owner[j] = -1
-        while (assigned[rows_of] < 0).any():
-            rounds += 1
-            bids = _bids(ben, prices, rows_of[assigned[rows_of] < 0], eps)
-            # column winners: highest bid, ties to the lowest row
-            won: set = set()
-            for i, j, bid in sorted(bids, key=lambda r: (r[1], -r[2], r[0])):
-                if j in won:
-                    continue
-                won.add(j)
-                if owner[j] >= 0:
-                    assigned[owner[j]] = -1
-                owner[j], assigned[i], prices[j] = i, j, bid
-        if eps <= 1.0:
-            break
-        eps = max(1.0, eps / 5.0)
-    pairs = spark.createDataFrame([(int(i), int(assigned[i])) for i in rows_of], "i int, j int")
-    matched = cut_lineage(ben.join(pairs, ["i", "j"]).select(*key, "cid_a", "cid_b", "sim", "b"))
-    primal = matched.agg(F.sum("b")).first()[0]
-    gap = float(sum(_row_best(ben, prices).values()) + prices.sum() - primal)
-    return AuctionResult(matched.drop("b"), gap, rounds, int(primal))
-
-
-def _bids(ben: DataFrame, prices: np.ndarray, open_rows: np.ndarray, eps: float) -> list:
-    """Each open row's bid: its best column, raised by the margin to the second."""
-    spark = ben.sparkSession
-    bc = spark.sparkContext.broadcast(prices.copy())
-    open_df = spark.createDataFrame([(int(i),) for i in open_rows], "i int")  # at most K a pair
+        blocks.unpersist()
+    out = matched.select(*(F.col(f"_pair.{c}").alias(c) for c in key), "cid_a", "cid_b", "sim")
+    return AuctionResult(out, float(dual - primal), rounds, int(primal))
 
-    def fn(batches):
-        price = bc.value
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        i, j = t.column("i").to_numpy(), t.column("j").to_numpy()
-        v = t.column("b").to_numpy().astype(np.float64) - price[j]
-        order = np.lexsort((j, -v, i))
-        i, j, v = i[order], j[order], v[order]
-        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        last = np.r_[first[1:], len(i)]
-        second = np.where(last - first > 1, v[np.minimum(first + 1, len(v) - 1)], v[first] - eps)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(i[first], pa.int32()), pa.array(j[first], pa.int32()),
-             pa.array(price[j[first]] + v[first] - second + eps)], names=["i", "j", "bid"])
 
-    try:
-        rows = (ben.join(F.broadcast(open_df), "i", "left_semi").select("i", "j", "b")
-                .mapInArrow(fn, "i int, j int, bid double").collect())
-    finally:
-        bc.unpersist()
-    return [(r["i"], r["j"], r["bid"]) for r in rows]
+def _settled(state: DataFrame, claims: DataFrame) -> DataFrame:
+    """The state after a round: per column the highest price and who claims it."""
+    offers = state.select("_pair", "cid_b", F.struct(
+        "price", F.lit(0).alias("claimed"), F.lit(1).alias("row")).alias("o")).unionByName(
+        claims.select("_pair", "cid_b", F.struct(
+            "price", F.lit(1).alias("claimed"), (-F.col("cid_a")).alias("row")).alias("o")))
+    best = offers.groupBy("_pair", "cid_b").agg(F.max("o").alias("o"))
+    return cut_lineage(best.select("_pair", "cid_b", "o.price", (-F.col("o.row")).alias("owner")))
 
 
-def _row_best(ben: DataFrame, prices: np.ndarray) -> dict[int, float]:
-    """Per row the best value ``max_j b_ij - p_j`` (one job, K numbers a pair back)."""
-    bc = ben.sparkSession.sparkContext.broadcast(prices.copy())
+def _claims(blocks: DataFrame, state: DataFrame, eps: float, fresh: bool) -> DataFrame:
+    """``_pair, cid_a, cid_b, price, best``: the column that each row claims, at
+    which price, and its best value. With ``fresh`` a row first gives up a
+    column that is no longer within ``eps`` of its best."""
+    known = state.groupBy("_pair").agg(  # K rows a pair
+        F.sort_array(F.collect_list(F.struct("cid_b", "price", "owner"))).alias("columns"))
 
     def fn(batches):
         for b in batches:
-            v = b.column("b").to_numpy().astype(np.float64) - bc.value[b.column("j").to_numpy()]
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(v)], names=["i", "v"])
-    rows = (ben.select("i", "j", "b").mapInArrow(fn, "i int, v double")
-            .groupBy("i").agg(F.max("v").alias("m")).collect())
-    bc.unpersist()
-    return {r["i"]: r["m"] for r in rows}
-
-
-def _pair_benefits(ben: DataFrame, pairs: list) -> dict:
-    """Benefits of the given (row, column) pairs (at most K a pair of runs)."""
-    sel = ben.sparkSession.createDataFrame(pairs, "i int, j int")
-    rows = ben.join(F.broadcast(sel), ["i", "j"]).select("i", "j", "b").collect()
-    return {(r["i"], r["j"]): float(r["b"]) for r in rows}
+            for n in range(b.num_rows):
+                cells, columns = (b.column(c).slice(n, 1).flatten() for c in ("cells", "columns"))
+                ids, price, owner = (columns.field(c).to_numpy() for c in ("cid_b", "price", "owner"))
+                mine, at = np.unique(cells.field("cid_a").to_numpy(), return_inverse=True)
+                value = np.full((len(mine), len(ids)), -np.inf)
+                value[at, np.searchsorted(ids, cells.field("cid_b").to_numpy())] = cells.field("b").to_numpy()
+                best = (value - price).max(axis=1)
+                column, offer = _bid(value, price.copy(), _held(mine, owner), eps, fresh)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("_pair").take(pa.array(np.full(len(mine), n))), pa.array(mine, pa.int32()),
+                     pa.array(ids[column], pa.int32()), pa.array(offer[column]), pa.array(best)],
+                    names=["_pair", "cid_a", "cid_b", "price", "best"])
+
+    schema = T.StructType([blocks.schema["_pair"], T.StructField("cid_a", T.IntegerType()),
+                           T.StructField("cid_b", T.IntegerType()), T.StructField("price", T.DoubleType()),
+                           T.StructField("best", T.DoubleType())])
+    return blocks.join(known, "_pair").select("_pair", "cells", "columns").mapInArrow(fn, schema)
+
+
+def _held(rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Per row the column it owns, or -1."""
+    out = np.full(len(rows), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(rows, owner), len(rows) - 1)
+    ours = np.flatnonzero((owner >= 0) & (rows[at] == owner))
+    out[at[ours]] = ours
+    return out
+
+
+def _bid(value: np.ndarray, price: np.ndarray, column: np.ndarray, eps: float,
+         fresh: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without a column bid in turn for their best one, raising its price
+    by the margin to the second best and ``eps``, until none is left."""
+    if fresh:
+        held = np.flatnonzero(column >= 0)
+        short = value[held, column[held]] - price[column[held]] < (value[held] - price).max(axis=1) - eps
+        column[held[short]] = -1
+    holder = np.full(len(price), -1, dtype=np.int64)
+    holder[column[column >= 0]] = np.flatnonzero(column >= 0)
+    waiting = np.flatnonzero(column < 0)[::-1].tolist()
+    while waiting:
+        i = waiting.pop()
+        v = value[i] - price
+        j = int(v.argmax())
+        top, v[j] = v[j], -np.inf
+        second = v.max()
+        price[j] += (top - second if np.isfinite(second) else 0.0) + eps
+        if holder[j] >= 0:
+            column[holder[j]] = -1
+            waiting.append(int(holder[j]))
+        holder[j], column[i] = i, j
+    return column, price
 
 
 def cluster_overlap(words_a: DataFrame, words_b: DataFrame, matched: DataFrame) -> DataFrame:

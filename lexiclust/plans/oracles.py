@@ -519,8 +519,23 @@ g{t} AS (
     return ",\n".join(parts)
 
 
-def align_ctes(k: int) -> str:
-    """Two runs of K = ``k`` matched greedily; the table is ``al``."""
+def _optimal_ctes(sim: str, k: int) -> str:
+    """The best total over every set of columns that the first t rows can take."""
+    parts = ["t0 AS (SELECT CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS total, CAST([] AS INTEGER[]) AS path)"]
+    for t in range(1, k + 1):
+        parts.append(f"""t{t} AS (
+  SELECT mask, max(total) AS total, arg_max(path, total) AS path FROM (
+    SELECT mask | (1::BIGINT << cid_b) AS mask, total + CAST(round(sim * 1000000) AS BIGINT) AS total,
+           list_append(path, cid_b) AS path
+    FROM t{t - 1} JOIN {sim} ON cid_a = {t - 1} AND mask & (1::BIGINT << cid_b) = 0) GROUP BY mask)""")
+    parts.append(f"""gm AS (
+  SELECT s.* FROM {sim} s JOIN (
+    SELECT generate_subscripts(path, 1) - 1 AS cid_a, unnest(path) AS cid_b FROM t{k}) USING (cid_a, cid_b))""")
+    return ",\n".join(parts)
+
+
+def align_ctes(k: int, match=_greedy_ctes) -> str:
+    """Two runs of K = ``k`` matched one-to-one; the table is ``al``."""
     return (EMB + ",\n" + kmeans_ctes("vn", k, 3, 42, "sa") + ",\n" + kmeans_ctes("vn", k, 3, 7, "sb")
             + ",\n" + f"""emb AS (SELECT CAST(vec_id AS VARCHAR) AS word, {_unit('CAST(embedding AS DOUBLE[])')} AS x
   FROM embeddings),
@@ -532,7 +547,7 @@ memb AS (SELECT rb.cluster AS cid, emb.x FROM rb JOIN emb USING (word)),
 {_centroid_cte('cmb', 'memb', k)},
 simm AS (SELECT a.cid AS cid_a, b.cid AS cid_b, list_dot_product(a.c, b.c) AS sim
   FROM cma a CROSS JOIN cmb b),
-{_greedy_ctes('simm', k)},
+{match('simm', k)},
 sza AS (SELECT cluster AS cid_a, count(DISTINCT word) AS size_a FROM ra GROUP BY ALL),
 szb AS (SELECT cluster AS cid_b, count(DISTINCT word) AS size_b FROM rb GROUP BY ALL),
 itx AS (SELECT ra.cluster AS cid_a, rb.cluster AS cid_b, count(DISTINCT word) AS inter
@@ -550,6 +565,10 @@ ALIGN_KS = (5, 10, 20)
 ALIGN = align_ctes(10)
 ALL_ALIGN = " UNION ALL ".join(f"SELECT * FROM (WITH {align_ctes(k)} SELECT * FROM al)" for k in ALIGN_KS)
 
+OPTIMAL_KS = (5, 8, 10)  # the oracle tries every set of columns
+ORACLES["optimal_match"] = f"WITH {align_ctes(10, _optimal_ctes)} SELECT cid_a, cid_b, sim FROM gm"
+ORACLES["alignment"] = " UNION ALL ".join(
+    f"SELECT * FROM (WITH {align_ctes(k, _optimal_ctes)} SELECT * FROM al)" for k in OPTIMAL_KS)
 ORACLES["centroid_similarity"] = f"WITH {ALIGN} SELECT cid_a, cid_b, sim FROM simm"
 ORACLES["greedy_match"] = f"WITH {ALIGN} SELECT cid_a, cid_b, sim FROM gm"
 ORACLES["cluster_overlap"] = f"WITH {ALIGN} SELECT cid_a, cid_b, jaccard, size_a, size_b FROM al"
