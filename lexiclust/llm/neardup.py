@@ -10,9 +10,14 @@ laid side by side (eight coordinates in one 64-bit word), the collisions are
 counted and pairs below ``matches`` are skipped. What is left is confirmed on the
 full sets.
 
+Members of a list are first compared with its first one. What is then in several
+components meets inside one task: the members' signatures are counted against each
+other there and only pairs that may be linked leave it. Where these are many (a list
+of near copies), the members' sets are counted instead, exactly and all at once, as
+products of their incidence matrices, and only one link a member leaves the task.
+
 A list of more than ``LIST_LENGTH`` documents is never paired with itself as
-it is. Its members are first compared with one of them. If members of several
-components remain, those documents are peeled: one can be in a link only if
+it is. If members of several components remain, those documents are peeled: one can be in a link only if
 the shingles that others of them have too make up the threshold's share of its
 set. The rest are posted again under longer tuples of coordinates, in which
 only very similar documents meet. Nothing is dropped without such a proof.
@@ -40,7 +45,11 @@ from lexiclust.llm.wordhash import mix, segment, shingle_hashes
 SHINGLE_WORDS = 5
 THRESHOLD = 85  # percent
 COORDINATES = 32
-LIST_LENGTH = 512
+LIST_LENGTH = 4096
+# A list with more candidate pairs than this for each member has its sets counted, if
+# they hold no more shingles together than that.
+DENSE_PAIRS = 4
+DENSE_SHINGLES = 1 << 22
 # How likely a pair exactly at the threshold may be passed over by the matches, and
 # by the lists and tuples of each round.
 MISSED_MATCHES = 1e-7
@@ -178,6 +187,82 @@ def _close(threshold: int) -> Column:
         inter * 100 >= (F.col("x.n") + F.col("y.n") - inter) * threshold)
 
 
+def _candidates(threshold: int, matches: int):
+    """Of each list the pairs that ``_Search.fits`` allows, or one row of nulls where its
+    sets are to be counted."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m = batch.column("m").slice(i, 1).flatten()
+                ids, comp = m.field("id"), m.field("comp").dictionary_encode().indices.to_numpy()
+                n, c = m.field("n").to_numpy(), m.field("c").to_numpy()
+                sig = m.field("s").flatten().to_numpy().reshape(len(n), -1).view(np.uint8)
+                left, right = [], []
+                for at in range(0, len(n), 64):
+                    x = np.arange(at, min(at + 64, len(n)))[:, None]
+                    small, large = np.minimum(n[x], n), np.maximum(n[x], n)
+                    shared = np.minimum(c[x], c)
+                    fits = ((np.arange(len(n)) > x) & (comp[x] != comp) & (small * 100 >= large * threshold)
+                            & (shared * 100 >= (n[x] + n - shared) * threshold))
+                    a, b = np.nonzero(fits)
+                    a += at
+                    close = np.empty(len(a), dtype=bool)
+                    for k in range(0, len(a), 1 << 16):
+                        part = slice(k, k + (1 << 16))
+                        close[part] = (sig[a[part]] == sig[b[part]]).sum(axis=1) >= matches
+                    left.append(a[close])
+                    right.append(b[close])
+                a, b = np.concatenate(left), np.concatenate(right)
+                if len(a) > DENSE_PAIRS * len(n) and int(n.sum()) <= DENSE_SHINGLES:
+                    columns = [batch.column("key").slice(i, 1), pa.nulls(1, ids.type), pa.nulls(1, ids.type)]
+                else:
+                    columns = [batch.column("key").take(pa.array(np.full(len(a), i))),
+                               ids.take(pa.array(a)), ids.take(pa.array(b))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "a", "b"])
+    return fn
+
+
+def _counted(threshold: int):
+    """The components of each list under the exact threshold, as links to one member."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                m = batch.column("m").slice(i, 1).flatten()
+                root = components_of([s.values.to_numpy() for s in m.field("set")], threshold)
+                other = np.flatnonzero(root != np.arange(len(root)))
+                ids = m.field("id")
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(root[other])), ids.take(pa.array(other))], names=["a", "b"])
+    return fn
+
+
+def components_of(sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """For each set the first one that links lead to."""
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = (np.cumsum(shared) - 1)[shingle]
+    keep = shared[shingle]
+    order = np.argsort(column[keep], kind="stable")
+    owner, column = owner[keep][order], column[keep][order]
+    inter = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    width = 1024
+    for at in range(0, int(shared.sum()), width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        inter += part @ part.T
+    linked = inter * 100 >= (sizes[:, None] + sizes - inter) * threshold
+    root = np.arange(len(sets))
+    while True:
+        near = np.where(linked, root, len(sets)).min(axis=1)
+        near = np.minimum(near, root)[np.minimum(near, root)]
+        if (near == root).all():
+            return root
+        root = near
+
+
 class _Search:
     """One run over the representatives of a document table (``info``: ``id``,
     set size ``n``, shared part ``c`` and signature words ``s0``...)."""
@@ -185,7 +270,7 @@ class _Search:
     def __init__(self, docs: DataFrame, info: DataFrame, size: int, threshold: int, matches: int,
                  list_length: int, words: int):
         self.docs, self.info, self.size, self.threshold = docs, info, size, threshold
-        self.list_length, self.later = list_length, later_rounds(threshold)
+        self.list_length, self.later, self.matches = list_length, later_rounds(threshold), matches
         # of the first round's lists, which are 8 * words - matches + 1 a document
         self.long_lists = max(1, shared_at_least(8 * words - matches + 1, threshold, MISSED_LISTS))
         self.fits = _close(threshold) & (_collisions(words) >= matches)
@@ -224,13 +309,37 @@ class _Search:
         return (star.join(x, F.col("x.id") == star["id"]).join(y, F.col("y.id") == star["lead"])
                 .where(self.fits).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")))
 
-    def across(self, lists: DataFrame) -> DataFrame:
-        """The pairs of each list that are in different components."""
+    def paired(self, lists: DataFrame) -> DataFrame:
+        """The links between members of each list that are in different components,
+        every pair compared."""
         rows = lists.select("key", "id", "comp").join(self.info, "id")
         pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key"))
                                      & (F.col("x.id") < F.col("y.id"))
                                      & (F.col("x.comp") != F.col("y.comp")) & self.fits)
-        return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        return self.confirmed(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+
+    def across(self, lists: DataFrame) -> DataFrame:
+        """Links that join the components of each list (of at most ``list_length``
+        members) as all pairs of its members would."""
+        rows = lists.select("key", "id", "comp").join(self.info, "id")
+        words = [c for c in self.info.columns if c not in ("id", "n", "c")]
+        grouped = rows.groupBy("key").agg(
+            F.collect_list(F.struct("id", "comp", "n", "c", F.array(*words).alias("s"))).alias("m"))
+        kind = self.info.schema["id"].dataType.simpleString()
+        found = stored(grouped.mapInArrow(_candidates(self.threshold, self.matches),
+                                          f"key bigint, a {kind}, b {kind}"), "candidates")
+        links = self.confirmed(found.where("a is not null").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        dense = found.where("a is null").select("key")
+        if dense.isEmpty():
+            return links
+        members = stored(lists.select("key", "id").join(dense, "key"), "dense")
+        sets = self.sets(members.select("id").distinct())
+        # An id whose rows differ has several sets; the classes keep the one of its size.
+        whole = members.join(sets, "id").join(self.info.select("id", "n"), "id").where(
+            F.size("set") == F.col("n")).groupBy("key").agg(
+            F.collect_list(F.struct("id", "set")).alias("m"))
+        return links.union(stored(whole.mapInArrow(_counted(self.threshold), f"a {kind}, b {kind}"), "links"))
 
     def mixed(self, kept: DataFrame, found: DataFrame) -> DataFrame:
         """The lists whose members are in several components, with ``comp``."""
@@ -270,11 +379,12 @@ class _Search:
             if mixed.isEmpty():
                 return found
             if last:
-                return found.union(self.confirmed(self.across(mixed)))
+                return found.union(self.across(mixed.where(short))).union(
+                    self.paired(mixed.where(~short)))
             banded = self.banded(mixed.where(~short))
             settled = F.col("banded") <= self.list_length
-            new = self.confirmed(self.across(mixed.where(short)).union(
-                self.across(banded.where(settled))))
+            new = self.across(mixed.where(short).select("key", "id", "comp").union(
+                banded.where(settled).select("key", "id", "comp")))
             found = found.union(new)
             mixed = banded.where(~settled).drop("banded")
             if mixed.isEmpty():
