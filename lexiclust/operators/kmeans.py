@@ -3,8 +3,8 @@
 Both methods are a driver loop over the vectors, packed once into binary blocks
 and persisted. Each round ships the centroids of its models to the tasks;
 every partition assigns its rows with a numpy block product and emits at most K
-partial sums a model; a grouped merge adds those up, and only K x D a model
-comes back to the driver. Models (all K of a grid, all starts of Lloyd's
+partial sums a model; small ones are added up on the driver, others by a grouped
+merge after which only K x D a model comes back. Models (all K of a grid, all starts of Lloyd's
 method) advance in the same pass, as many at a time as fit the broadcast bound.
 
 Random choices are replaced by hashes so that runs are reproducible and can
@@ -62,11 +62,16 @@ ROWS_A_BLOCK = 4096
 _PACKED = "n int, dim int, ranks binary, vecs binary"
 
 
+def _parts(vectors: DataFrame, n: int) -> int:
+    """How many partitions ``n`` vectors are packed into."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(cores, n // 1000), n // 50_000)
+
+
 def pack(vectors: DataFrame, n: int) -> DataFrame:
     """``rank, vec`` as rows of binary blocks (float64), spread over the cluster:
     tasks read them without converting any cell."""
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(cores, n // 1000), n // 50_000)
+    parts = _parts(vectors, n)
     rows = vectors.select(F.col("rank").cast("long").alias("rank"), V.as_double("vec").alias("vec"))
 
     def fn(batches):
@@ -151,26 +156,37 @@ def _passes(models: dict[int, np.ndarray]):
         yield group
 
 
-def kmeans_round(packed: DataFrame, centroids: dict[int, np.ndarray]) -> dict[int, tuple]:
+# Partial sums of all partitions that may come to the driver unmerged.
+DIRECT_BYTES = 64 * 1024 * 1024
+
+
+def kmeans_round(packed: DataFrame, centroids: dict[int, np.ndarray],
+                 parts: int | None = None) -> dict[int, tuple]:
     """Per model the member sums and counts of every cluster. Every
-    partition emits at most K partial sums per model; they are merged by key on
-    the executors."""
+    partition emits at most K partial sums per model. Those of all ``parts``
+    partitions (where the caller knows how many) are added up as they come when
+    they take ``DIRECT_BYTES`` at most, which saves the round a shuffle; else, or
+    if ``parts`` is not known, they are merged by key on the executors first."""
     spark = packed.sparkSession
     out = {k: (np.zeros_like(C), np.zeros(C.shape[0], dtype=np.int64))
            for k, C in centroids.items()}
     for group in _passes(centroids):
         bc = spark.sparkContext.broadcast(group)
+        partial = packed.mapInArrow(_partial_sums(bc), _PARTIAL_SCHEMA)
+        if parts is None or parts * sum(C.nbytes for C in group.values()) > DIRECT_BYTES:
+            partial = partial.groupBy("k", "cid").agg(
+                F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s")
+            ).select("k", "cid", "n", vector_to_array("s").alias("s"))
         try:
-            merged = (packed.mapInArrow(_partial_sums(bc), _PARTIAL_SCHEMA).groupBy("k", "cid")
-                      .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"))
-                      .select("k", "cid", "n", vector_to_array("s").alias("s")).toArrow())
+            merged = partial.toArrow()
         finally:
             bc.unpersist()
-        sums = vec_matrix(merged, "s")  # at most sum(K) rows
-        for i, (k, cid, n) in enumerate(zip(*(merged.column(c).to_pylist() for c in ("k", "cid", "n")),
-                                            strict=True)):
-            out[k][0][cid] += sums[i]
-            out[k][1][cid] += n
+        sums = vec_matrix(merged, "s")
+        ks, cids, ns = (merged.column(c).to_numpy() for c in ("k", "cid", "n"))
+        for k in group:
+            at = np.flatnonzero(ks == k)
+            np.add.at(out[k][0], cids[at], sums[at])
+            np.add.at(out[k][1], cids[at], ns[at])
     return out
 
 
@@ -186,7 +202,7 @@ def spherical_kmeans(vectors: DataFrame, ks, seed: int = DEFAULT_SEED,
     ks = sorted({int(k) for k in ks})
     t0 = time.time()
     n = vectors.count()
-    data = pack(vectors, n).persist()
+    data, parts = pack(vectors, n).persist(), _parts(vectors, n)
     try:
         if not ks or n == 0:
             return KMeansFit({}, {}, 0.0, n, 0)
@@ -198,7 +214,7 @@ def spherical_kmeans(vectors: DataFrame, ks, seed: int = DEFAULT_SEED,
         iterations: dict[int, int] = {}
         active = dict(current)
         for it in range(1, max_iter + 1):
-            sums = kmeans_round(data, active)
+            sums = kmeans_round(data, active, parts)
             need = max((int((cnt == 0).sum()) for _, cnt in sums.values()), default=0)
             spare = _lowest_hash_rows(data, f"{seed}:{it}:", need) if need else None
             nxt = {}
@@ -287,7 +303,7 @@ def lloyd_kmeans(vectors: DataFrame, k: int, seed: int = DEFAULT_SEED, max_iter:
     n = vectors.count()
     if k > n:
         raise ValueError(f"K={k} exceeds the {n} vectors")
-    data = pack(vectors, n).persist()
+    data, parts = pack(vectors, n).persist(), _parts(vectors, n)
     try:
         sample = _lowest_hash_rows(data, f"{seed}:", min(n, SEED_ROWS * k))
         current = {i: _seeded_start(sample, k, np.random.default_rng(seed + i)) for i in range(n_init)}
@@ -296,7 +312,7 @@ def lloyd_kmeans(vectors: DataFrame, k: int, seed: int = DEFAULT_SEED, max_iter:
         squares = data.mapInArrow(_square_sums, "s double").agg(F.sum("s")).first()[0]
         active = set(current)
         for it in range(1, max_iter + 2):
-            sums = kmeans_round(data, {i: current[i] for i in sorted(active)})
+            sums = kmeans_round(data, {i: current[i] for i in sorted(active)}, parts)
             need = max(int((cnt == 0).sum()) for _, cnt in sums.values())
             spare = _lowest_hash_rows(data, f"{seed}:{it}:", need) if need else None
             for i, (S, cnt) in sums.items():

@@ -94,16 +94,21 @@ def nearest(X: np.ndarray, C: np.ndarray, c_sq: np.ndarray | None = None,
         return out
     c_sq = (C * C).sum(1) if c_sq is None else c_sq
     step = max(1, block // max(k, 1))
+    half = 0.5 * c_sq
     for s in range(0, n, step):
         x = X[s:s + step]
-        d = (x * x).sum(1)[:, None] + c_sq[None, :] - 2.0 * (x @ C.T)
+        d = x @ C.T  # half the squared distance, but for the row's own square
+        np.subtract(half, d, out=d)
         j = d.argmin(1)
         dmin = d[np.arange(len(x)), j]
-        close = d <= (dmin + 1e-6 * (1.0 + np.abs(dmin)))[:, None]
+        span = 0.5e-6 * (1.0 + np.abs((x * x).sum(1) + 2.0 * dmin))
+        close = d <= (dmin + span)[:, None]
         # all close calls of the block at once: exact distances, then the
         # lowest id of the smallest rounded one
-        r, c = np.nonzero(close & (close.sum(1) > 1)[:, None])
+        r = np.flatnonzero(np.count_nonzero(close, axis=1) > 1)
         if len(r):
+            at, c = np.nonzero(close[r])
+            r = r[at]
             exact = np.empty(len(r))
             for a in range(0, len(r), 4096):
                 diff = x[r[a:a + 4096]] - C[c[a:a + 4096]]

@@ -31,6 +31,11 @@ def _kept(fn):
     return wrapper
 
 
+# Latin letters and the Cyrillic ones that stand for them.
+LATIN = "abdefgilmnoprstuvhcqwABDEFGILMNOPRSTUV"
+CYRILLIC = "абдефгилмнопрстувњцќџАБДЕФГИЛМНОПРСТУВ"
+
+
 @dataclass
 class Inputs:
     spark: SparkSession
@@ -45,6 +50,14 @@ class Inputs:
         """The corpus: ``documents.text`` split on newlines, in (doc_id, line) order."""
         return lines_from_table(spread(self.table("documents").select("doc_id", "text")))
 
+    def cyrillic_lines(self) -> DataFrame:
+        """The corpus in Cyrillic letters, with two that only NFKC makes plain:
+        ``k`` is written as г and a combining accent, ``z`` full width."""
+        lines = self.raw_lines()
+        text = F.translate(F.translate("raw", "@", " "), LATIN, CYRILLIC)
+        text = F.translate(F.regexp_replace(text, "k", "\u0433\u0301"), "z", "\uff5a")
+        return lines.withColumn("raw", text)
+
     @_kept
     def clean(self) -> DataFrame:
         return textops.clean_lines(self.raw_lines())

@@ -90,8 +90,11 @@ ORACLES["language_filter"] = (
     "WITH " + _clean_ctes(KEEP_UNI, _profile_where(r"[^\p{Latin}]", "éèêàçñüß"))
     + " SELECT doc_id, line_pos, text FROM clean")
 
+# The corpus in Cyrillic letters as NFKC leaves it (k has become one letter, z is plain).
 ORACLES["language_filter_mk"] = (
-    "WITH " + _clean_ctes(KEEP_REF, _profile_where("[^А-Яа-яЀ-ӿ]", "ЃѓЌќЉљЊњЏџЅѕ"))
+    "WITH " + _clean_ctes(KEEP_REF, _profile_where("[^А-Яа-яЀ-ӿ]", "ЃѓЌќЉљЊњЏџЅѕ")).replace(
+        "string_split(text,", "string_split(translate(text, 'abdefgilmnoprstuvhcqwkABDEFGILMNOPRSTUV@', "
+        "'абдефгилмнопрстувњцќџѓАБДЕФГИЛМНОПРСТУВ '),")
     + " SELECT doc_id, line_pos, text FROM clean")
 
 ORACLES["tokenize"] = f"WITH {TOKENS} SELECT doc_id, line_pos, tok_pos, token FROM tokens WHERE token <> ''"

@@ -82,8 +82,8 @@ def q_language_filter(spark, sf_dir):
 
 @query("language_filter_mk")
 def q_language_filter_mk(spark, sf_dir):
-    """clean-text with the reference's own profile."""
-    return textops.clean_lines(Inputs(spark, sf_dir).raw_lines(), profile=MACEDONIAN)
+    """clean-text with the Macedonian profile, over the corpus in Cyrillic letters."""
+    return textops.clean_lines(Inputs(spark, sf_dir).cyrillic_lines(), profile=MACEDONIAN)
 
 
 @query("tokenize")
