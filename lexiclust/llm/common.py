@@ -86,3 +86,7 @@ class Shared:
             Shared._built[self.key] = make(self.sent.value)
         return Shared._built[self.key]
 
+    @staticmethod
+    def release() -> None:
+        """Free what earlier jobs built in this worker, for a job that needs none of it."""
+        Shared._built.clear()

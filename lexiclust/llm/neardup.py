@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiclust.llm.common import chunks, stored
+from lexiclust.llm.common import Shared, chunks, stored
 from lexiclust.llm.components import connected_components
 from lexiclust.llm.wordhash import mix, segment, shingle_hashes
 
@@ -113,6 +113,7 @@ def _sketcher(size: int, coordinates: int, matches: int):
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
+        Shared.release()
         place = np.arange(prefix, dtype=np.uint64) << np.uint64(56)
         for texts in batches:
             rows = []
@@ -157,6 +158,7 @@ def _tupler(size: int, tuples: int, width: int):
 def _setter(size: int):
     @F.arrow_udf("array<bigint>")
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        Shared.release()
         for texts in batches:
             rows = [s.view(np.int64) for part in chunks(texts) for s in shingle_sets(part, size)]
             ends = np.cumsum([0, *map(len, rows)])
