@@ -69,6 +69,12 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return kept.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < share)
 
 
+def give_back() -> None:
+    """Return what Arrow has freed in this worker to the system: a worker that waits for
+    its next task should not keep the last one's buffers."""
+    pa.default_memory_pool().release_unused()
+
+
 class Shared:
     """A broadcast value and what each worker process builds from it, once."""
 

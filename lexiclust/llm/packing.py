@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiclust.llm.common import Shared, chunks, stored
+from lexiclust.llm.common import Shared, chunks, give_back, stored
 
 MAX_TOKENS = 2048
 END_ID = 1  # closes every document
@@ -153,6 +153,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, keys: list[str], text: st
                      pa.array([len(ids[n]) // 4 for n, _ in at], pa.int64())],
                     names=[*keys, *(f.name for f in _PIECE_FIELDS)])
                 begin += len(part)
+            give_back()
     return rows.mapInArrow(cut, schema)
 
 
