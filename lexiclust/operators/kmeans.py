@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from lexiclust.functions import vector as V
 from lexiclust.session import cut_lineage
 from lexiclust.operators.vectors import (
-    MAX_CENTROID_BYTES, cap_rank, check_centroid_size, l2_normalize, nearest, restrict_to_vocab,
-    vec_matrix)
+    MAX_CENTROID_BYTES, cap_rank, centroid_blocks, l2_normalize, nearer, nearest,
+    nearest_centroid, restrict_to_vocab, vec_matrix)
 
 # Fixed values of the reference: all-close test of the stop rule, the norm
 # guard, and the defaults of the grid.
@@ -146,7 +146,6 @@ def _passes(models: dict[int, np.ndarray]):
     """The models in groups that fit the broadcast bound together."""
     group, size = {}, 0
     for key, C in models.items():
-        check_centroid_size(*C.shape)
         if group and size + C.nbytes > MAX_CENTROID_BYTES:
             yield group
             group, size = {}, 0
@@ -156,6 +155,46 @@ def _passes(models: dict[int, np.ndarray]):
         yield group
 
 
+_LABELLED = _PACKED + ", labels binary, distances binary"
+
+
+def _in_blocks(packed: DataFrame, k: int, C: np.ndarray) -> DataFrame:
+    """Partial sums of one model beyond the broadcast bound: its centroids come
+    in blocks, the packed vectors carry the nearest so far, and every packed
+    block emits the sums of the clusters that it has."""
+    spark = packed.sparkSession
+    labelled = packed
+    for n, (first, part) in enumerate(centroid_blocks(C)):
+        bc = spark.sparkContext.broadcast(part)
+
+        def label(batches, n=n, first=first, bc=bc):
+            for b in batches:
+                found = []
+                for i, (_, X) in enumerate(_blocks([b])):
+                    lab, d = np.zeros(len(X), np.int32), np.full(len(X), np.inf)
+                    if n:
+                        lab = np.frombuffer(b.column("labels")[i].as_buffer(), dtype=np.int32)
+                        d = np.frombuffer(b.column("distances")[i].as_buffer(), dtype=np.float64)
+                    lab, d = nearer(X, bc.value, first, lab, d)
+                    found.append((lab.tobytes(), d.tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:4], *(pa.array([f[i] for f in found], pa.binary()) for i in (0, 1))],
+                    names=[*b.schema.names[:4], "labels", "distances"])
+        labelled = labelled.mapInArrow(label, _LABELLED)
+
+    def sums(batches):
+        for b in batches:
+            for i, (_, X) in enumerate(_blocks([b])):
+                lab = np.frombuffer(b.column("labels")[i].as_buffer(), dtype=np.int32)
+                ids, inv, n = np.unique(lab, return_inverse=True, return_counts=True)
+                S = np.zeros((len(ids), X.shape[1]))
+                np.add.at(S, inv, X)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), k, np.int32)), pa.array(ids, pa.int32()), pa.array(n, pa.int64()),
+                     pa.array(list(S), pa.list_(pa.float64()))], names=["k", "cid", "n", "s"])
+    return labelled.mapInArrow(sums, _PARTIAL_SCHEMA)
+
+
 # Partial sums of all partitions that may come to the driver unmerged.
 DIRECT_BYTES = 64 * 1024 * 1024
 
@@ -171,8 +210,12 @@ def kmeans_round(packed: DataFrame, centroids: dict[int, np.ndarray],
     out = {k: (np.zeros_like(C), np.zeros(C.shape[0], dtype=np.int64))
            for k, C in centroids.items()}
     for group in _passes(centroids):
-        bc = spark.sparkContext.broadcast(group)
-        partial = packed.mapInArrow(_partial_sums(bc), _PARTIAL_SCHEMA)
+        bc, one = None, next(iter(group))
+        if group[one].nbytes > MAX_CENTROID_BYTES:
+            partial = _in_blocks(packed, one, group[one])
+        else:
+            bc = spark.sparkContext.broadcast(group)
+            partial = packed.mapInArrow(_partial_sums(bc), _PARTIAL_SCHEMA)
         if parts is None or parts * sum(C.nbytes for C in group.values()) > DIRECT_BYTES:
             partial = partial.groupBy("k", "cid").agg(
                 F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s")
@@ -180,7 +223,8 @@ def kmeans_round(packed: DataFrame, centroids: dict[int, np.ndarray],
         try:
             merged = partial.toArrow()
         finally:
-            bc.unpersist()
+            if bc is not None:
+                bc.unpersist()
         sums = vec_matrix(merged, "s")
         ks, cids, ns = (merged.column(c).to_numpy() for c in ("k", "cid", "n"))
         for k in group:
@@ -264,7 +308,12 @@ def predict(vectors: DataFrame, centroids: dict[int, np.ndarray],
 
     out = None
     for group in _passes({k: np.asarray(C, np.float64) for k, C in centroids.items()}):
-        part = src.mapInArrow(labels(spark.sparkContext.broadcast(group)), out_schema)
+        one = next(iter(group))
+        if group[one].nbytes > MAX_CENTROID_BYTES:
+            found = nearest_centroid(src, group[one], max_bytes=MAX_CENTROID_BYTES)
+            part = found.select(*keep, F.lit(one).cast("int").alias("k"), "cluster")
+        else:
+            part = src.mapInArrow(labels(spark.sparkContext.broadcast(group)), out_schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], out_schema) if out is None else out
 

@@ -120,30 +120,54 @@ def nearest(X: np.ndarray, C: np.ndarray, c_sq: np.ndarray | None = None,
     return out
 
 
-def check_centroid_size(k: int, d: int) -> None:
-    if k * d * 8 > MAX_CENTROID_BYTES:
-        raise ValueError(
-            f"{k} x {d} centroids exceed the broadcast bound of {MAX_CENTROID_BYTES} bytes")
+def centroid_blocks(C: np.ndarray, max_bytes: int | None = None) -> list[tuple[int, np.ndarray]]:
+    """The centroids as blocks of at most ``max_bytes``, each with its first id."""
+    rows = max(1, (max_bytes or MAX_CENTROID_BYTES) // max(1, C.shape[1] * 8))
+    return [(at, C[at:at + rows]) for at in range(0, max(len(C), 1), rows)]
+
+
+def nearer(X: np.ndarray, C: np.ndarray, first: int, label: np.ndarray,
+           distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of the centroids seen before (``label``, and its rounded
+    ``distance``) and those of one more block, whose ids begin at ``first``."""
+    j = nearest(X, C)
+    diff = X - C[j]
+    d = np.round(np.sqrt((diff * diff).sum(1)), TIE_DECIMALS)
+    closer = d < distance
+    return np.where(closer, j + first, label).astype(np.int32), np.where(closer, d, distance)
 
 
 def nearest_centroid(vectors: DataFrame, centroids: np.ndarray, col: str = "vec",
-                     out_col: str = "cluster") -> DataFrame:
-    """Add the nearest centroid's index to every vector. The K x D
-    matrix (size-checked) travels as a broadcast variable."""
+                     out_col: str = "cluster", max_bytes: int | None = None) -> DataFrame:
+    """Add the nearest centroid's index to every vector. The centroids are
+    broadcast in blocks of ``max_bytes``; with more than one, every row carries
+    the nearest so far from block to block, in one pass and without a shuffle."""
     C = np.asarray(centroids, dtype=np.float64)
-    check_centroid_size(*C.shape)
     spark = vectors.sparkSession
-    bc = spark.sparkContext.broadcast(C)
-    schema = vectors.schema.add(out_col, T.IntegerType())
-
-    def fn(batches):
-        Cm = bc.value
-        c_sq = (Cm * Cm).sum(1)
-        for b in batches:
-            lab = nearest(vec_matrix(b, col), Cm, c_sq)
-            yield b.append_column(out_col, pa.array(lab, pa.int32()))
-
-    return vectors.mapInArrow(fn, schema)
+    out, best = vectors, f"{out_col}_distance"
+    blocks = centroid_blocks(C, max_bytes)
+    for n, (first, part) in enumerate(blocks):
+        bc = spark.sparkContext.broadcast(part)
+
+        def fn(batches, n=n, first=first, bc=bc):
+            for b in batches:
+                x = vec_matrix(b, col)
+                if n:
+                    label, d = (b.column(c).to_numpy() for c in (out_col, best))
+                    b = b.drop_columns([out_col, best])
+                else:
+                    label, d = np.zeros(b.num_rows, np.int32), np.full(b.num_rows, np.inf)
+                if len(blocks) == 1:
+                    label = nearest(x, bc.value)
+                elif b.num_rows:
+                    label, d = nearer(x, bc.value, first, label, d)
+                yield b.append_column(out_col, pa.array(label, pa.int32())).append_column(
+                    best, pa.array(d, pa.float64()))
+
+        schema = T.StructType([*vectors.schema.fields, T.StructField(out_col, T.IntegerType()),
+                               T.StructField(best, T.DoubleType())])
+        out = out.mapInArrow(fn, schema)
+    return out.drop(best)
 
 
 # ---------------------------------------------------------------------------

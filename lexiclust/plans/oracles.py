@@ -488,6 +488,9 @@ FROM stats GROUP BY ALL"""
 ORACLES["sample_words"] = f"""WITH {CONTEXT_RUN}
 SELECT slug, method, k, word, cluster FROM crun
 QUALIFY row_number() OVER (PARTITION BY slug, method, k, cluster ORDER BY md5('42:' || word), word) <= 40"""
+ORACLES["projected_centroids"] = f"""SELECT slug, method, k, cluster, count(*) AS points, 0.0 AS x, 0.0 AS y, 0.0 AS xy,
+       true AS ordered, true AS spread
+FROM ({ORACLES["sample_words"]}) GROUP BY ALL"""
 ORACLES["canonical_columns"] = f"""WITH {STATS}
 SELECT slug, method, k, cid, size, max_suffix_purity, pos_purity, pos_entropy, pos_coverage,
        pos_purity - max_suffix_purity AS msi FROM stats"""

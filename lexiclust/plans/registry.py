@@ -623,6 +623,20 @@ def q_project_2d(spark, sf_dir):
     return explore.project_2d(inp.context_runs(), inp.context_vectors())
 
 
+@query("projected_centroids")
+def q_projected_centroids(spark, sf_dir):
+    """M9 with centroids: the projected points are centred, their axes are
+    uncorrelated, and the first carries at least as much as the second."""
+    from lexiclust.operators import explore
+    inp = Inputs(spark, sf_dir)
+    c = explore.projected_centroids(explore.project_2d(inp.context_runs(), inp.context_vectors()))
+    near = lambda x: F.abs(F.round(x, 6))
+    return c.select("slug", "method", "k", "cluster", "points", near(F.col("x")).alias("x"),
+                    near(F.col("y")).alias("y"), near(F.col("xy")).alias("xy"),
+                    (F.col("xx") >= F.col("yy") - 1e-9).alias("ordered"),
+                    ((F.col("xx") > 0) | (F.col("points") < 2)).alias("spread"))
+
+
 @query("viz_top_clusters")
 def q_viz_top_clusters(spark, sf_dir):
     from lexiclust.operators import explore
