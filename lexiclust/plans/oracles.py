@@ -496,6 +496,18 @@ SELECT slug, method, k, cid, size, max_suffix_purity, pos_purity, pos_entropy, p
        pos_purity - max_suffix_purity AS msi FROM stats"""
 
 
+ORACLES["metric_gates"] = """SELECT method, CAST(10 AS INTEGER) AS K, count(*) AS n,
+       count(*) >= 200 AND NOT single AS scored
+FROM embeddings JOIN (VALUES ('first99', 99, false), ('first100', 100, false), ('first199', 199, false),
+  ('first200', 200, false), ('single200', 200, true)) g(method, words, single) ON vec_id < words
+GROUP BY method, single HAVING count(*) >= 100"""
+ORACLES["feasible_k"] = """WITH sets AS (
+  SELECT 'embeddings' AS slug, count(*) AS n FROM embeddings
+  UNION ALL SELECT 'first200', count(*) FROM embeddings WHERE vec_id < 200
+  UNION ALL SELECT 'first199', count(*) FROM embeddings WHERE vec_id < 199)
+SELECT slug, CAST(k AS INTEGER) AS k FROM sets JOIN (VALUES (200), (400), (800), (1200), (2000)) g(k) ON k <= n"""
+
+
 # ---------------------------------------------------------------------------
 # Alignment
 

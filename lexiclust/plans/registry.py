@@ -439,6 +439,37 @@ def q_canonical_columns(spark, sf_dir):
     return _cs().canonical_columns(st)
 
 
+# Runs on both sides of every gate: words labelled, and whether they are one cluster.
+GATES = {"first99": (99, False), "first100": (100, False), "first199": (199, False),
+         "first200": (200, False), "single200": (200, True)}
+
+
+@query("metric_gates")
+def q_metric_gates(spark, sf_dir):
+    """Which runs get a row of scores (100 labelled words) and which
+    of them a silhouette (200 words, two clusters)."""
+    inp = Inputs(spark, sf_dir)
+    truth, rows = inp.embedding_truth().filter(F.col("k") == EMB_K), None
+    for method, (words, single) in GATES.items():
+        run = truth.filter(F.col("word").cast("long") < words).withColumn("method", F.lit(method))
+        run = run.withColumn("cluster", F.lit(0)) if single else run
+        rows = run if rows is None else rows.unionByName(run)
+    scores = _labels().label_metrics(rows, inp.unit_embeddings())
+    return scores.select("method", "K", "n", F.col("silhouette").isNotNull().alias("scored"))
+
+
+@query("feasible_k")
+def q_feasible_k(spark, sf_dir):
+    """The K of the default grid that a set is large enough for, of the whole
+    set and of its first words."""
+    from lexiclust.operators import kmeans as km
+    from lexiclust.operators.vectors import cap_rank, feasible_k
+    vs = Inputs(spark, sf_dir).embedding_vectors()
+    few = cap_rank(vs, 200).withColumn("slug", F.lit("first200"))
+    fewer = cap_rank(vs, 199).withColumn("slug", F.lit("first199"))
+    return feasible_k(vs.unionByName(few).unionByName(fewer), list(km.DEFAULT_K_VALUES))
+
+
 # ---------------------------------------------------------------------------
 # Alignment
 
