@@ -55,8 +55,8 @@ posts section slot unit wrap wrapper""".split())
 PRIOR = -0.5  # score of a word where only the first or last part of a class word is such a word
 
 _TAG = re.compile(
-    r"<(?:!--(?P<note>.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>])*)(?P<close>>|\Z))", re.S)
+    r"<(?:!--(?:-?>|(?P<note>.*?)(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
+    r"(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?P<close>>|\Z))", re.S)  # quotes open behind = alone
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
