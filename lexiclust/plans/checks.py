@@ -40,6 +40,7 @@ T_COLUMNS: dict[str, list[str]] = {
     "matched_cluster": ["centroid_cosine"],
     "speedup": ["speedup"],
     "top_words": ["sim"],
+    "shifted_ppmi": ["x"],
     "metric_series": ["value", "lo", "hi"],
 }
 

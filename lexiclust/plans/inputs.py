@@ -104,6 +104,23 @@ class Inputs:
             F.col("token").alias("form"), lemma.alias("lemma"), "upos",
             F.struct("doc_id", "line_pos", "tok_pos").alias("ord"))
 
+    def treebank_lines(self) -> DataFrame:
+        """The treebank as CoNLL-U lines ``doc_id, line_pos, raw``: each line of the
+        cleaned corpus is a sentence of a comment, its token rows with a multiword
+        node after the first, and a blank line."""
+        from lexiclust.session import bounded_broadcast
+        langs = bounded_broadcast(self.table("documents").select("doc_id", F.upper("lang").alias("upos")))
+
+        def row(token, n):
+            lemma = F.when(F.length(token) > 5, F.substring(token, F.lit(1), F.length(token) - 2)).otherwise(token)
+            return F.concat_ws("\t", (n + 1).cast("string"), token, lemma, F.col("upos"), F.lit("_"))
+        rows = F.transform(F.split("text", " "), row)
+        lines = F.concat(F.array(F.concat(F.lit("# text = "), F.col("text"))), F.slice(rows, 1, 1),
+                         F.array(F.lit("1-2\t_\t_\t_\t_")), F.slice(rows, F.lit(2), F.size(rows)),
+                         F.array(F.lit("")))
+        found = self.clean().join(langs, "doc_id").select("doc_id", "line_pos", F.posexplode(lines).alias("n", "raw"))
+        return found.select("doc_id", (F.col("line_pos") * 1_000_000 + F.col("n")).alias("line_pos"), "raw")
+
     def runs_over(self, vectors: DataFrame, ks, rounds: int, seed: int = 42) -> DataFrame:
         """Assignments ``slug, method, k, word, cluster`` of spherical k-means
         after ``rounds`` rounds for every K (one shared pass per round)."""

@@ -491,6 +491,42 @@ QUALIFY row_number() OVER (PARTITION BY slug, method, k, cluster ORDER BY md5('4
 ORACLES["projected_centroids"] = f"""SELECT slug, method, k, cluster, count(*) AS points, 0.0 AS x, 0.0 AS y, 0.0 AS xy,
        true AS ordered, true AS spread
 FROM ({ORACLES["sample_words"]}) GROUP BY ALL"""
+TRAINED = TOKEN_STATS + """,
+tv AS (SELECT token FROM tstats WHERE n >= 5),
+placed AS (SELECT * FROM tokens WHERE token <> ''),
+co AS (
+  SELECT a.token AS word, b.token AS context, CAST(count(*) AS BIGINT) AS n
+  FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.line_pos = b.line_pos
+    AND b.tok_pos BETWEEN a.tok_pos - 5 AND a.tok_pos + 5 AND a.tok_pos <> b.tok_pos
+  WHERE a.token IN (SELECT token FROM tv) AND b.token IN (SELECT token FROM tv)
+  GROUP BY ALL
+),
+margin AS (SELECT word, sum(n) AS m FROM co GROUP BY word),
+pp AS (
+  SELECT co.word, co.context,
+         ln(co.n) + ln((SELECT sum(n) FROM co)) - ln(a.m) - ln(b.m) AS x
+  FROM co JOIN margin a ON a.word = co.word JOIN margin b ON b.word = co.context
+)"""
+ORACLES["cooccurrence"] = f"WITH {TRAINED} SELECT word, context, n FROM co"
+ORACLES["shifted_ppmi"] = f"WITH {TRAINED} SELECT word, context, x FROM pp WHERE x > 1e-12"
+ORACLES["subword_buckets"] = f"""WITH {TRAINED}
+SELECT DISTINCT token AS word,
+       CAST('0x' || substring(md5(substring('<' || token || '>', CAST(i AS INTEGER), CAST(g AS INTEGER))), 1, 8)
+            AS BIGINT) % 2000000 AS bucket
+FROM tv, range(3, 7) r(g), LATERAL (SELECT unnest(range(1, length(token) + 4 - g)) AS i)"""
+ORACLES["embedding_axes"] = f"""WITH {TRAINED}
+SELECT CAST(a AS INTEGER) AS axis, (SELECT count(DISTINCT word) FROM pp WHERE x > 1e-12) AS words,
+       true AS turned, true AS orthogonal, true AS ordered
+FROM range(0, 16) g(a)"""
+
+# A line of the corpus is a sentence: a comment, one row a token, after the first a
+# multiword node, and a blank line.
+ORACLES["parse_treebank"] = f"""WITH {TREEBANK},
+sents AS (SELECT doc_id, line_pos, row_number() OVER (ORDER BY doc_id, line_pos) - 1 AS sent
+          FROM (SELECT DISTINCT doc_id, line_pos FROM tokens))
+SELECT tb.doc_id, tb.line_pos * 1000000 + CASE WHEN tb.tok_pos = 0 THEN 1 ELSE tb.tok_pos + 2 END AS line_pos,
+       CAST(sent AS BIGINT) AS sent, CAST(tb.tok_pos + 1 AS VARCHAR) AS id, form, lemma, upos
+FROM tb JOIN sents ON sents.doc_id = tb.doc_id AND sents.line_pos = tb.line_pos"""
 ORACLES["canonical_columns"] = f"""WITH {STATS}
 SELECT slug, method, k, cid, size, max_suffix_purity, pos_purity, pos_entropy, pos_coverage,
        pos_purity - max_suffix_purity AS msi FROM stats"""

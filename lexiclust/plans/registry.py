@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiclust.functions.text import LATIN_ACCENTED, MACEDONIAN
@@ -675,10 +675,69 @@ def q_viz_top_clusters(spark, sf_dir):
     return explore.viz_top_clusters(_stats(inp), inp.context_runs(), inp.context_vectors())
 
 
+MIN_COUNT = 5  # of a trained word
+
+
+def _trained_matrix(inp: Inputs):
+    from lexiclust.operators import embed
+    vocab = embed.training_vocabulary(inp.clean(), MIN_COUNT)
+    return embed.shifted_ppmi(embed.cooccurrence(inp.clean(), vocab, window=5))
+
+
+@query("cooccurrence")
+def q_cooccurrence(spark, sf_dir):
+    """M6, counts: pairs of words at most five apart in a line."""
+    from lexiclust.operators import embed
+    lines = Inputs(spark, sf_dir).clean()
+    return embed.cooccurrence(lines, embed.training_vocabulary(lines, MIN_COUNT), window=5)
+
+
+@query("shifted_ppmi")
+def q_shifted_ppmi(spark, sf_dir):
+    """M6, associations of the pairs."""
+    return _trained_matrix(Inputs(spark, sf_dir))
+
+
+@query("subword_buckets")
+def q_subword_buckets(spark, sf_dir):
+    """M6, sub-words: the n-gram buckets of every trained word."""
+    from lexiclust.operators import embed
+    return embed.subword_buckets(embed.training_vocabulary(Inputs(spark, sf_dir).clean(), MIN_COUNT))
+
+
+@query("embedding_axes")
+def q_embedding_axes(spark, sf_dir):
+    """M6, axes: how many words they place; orthogonal, in descending order of
+    weight, their sums not negative."""
+    from lexiclust.operators import embed
+    dim = 16
+    vecs = embed.principal_axes(_trained_matrix(Inputs(spark, sf_dir)), dim)
+    cells = vecs.select("word", F.posexplode("vec").alias("axis", "a"), "vec")
+    sums = cells.groupBy("axis").agg(
+        F.count(F.lit(1)).alias("words"), F.sum("a").alias("s"),
+        *(F.sum(F.col("a") * F.col("vec")[j]).alias(f"c{j}") for j in range(dim)))
+    cross = F.array(*(F.col(f"c{j}") for j in range(dim)))
+    weight = F.element_at(cross, F.col("axis") + 1)
+    others = F.transform(cross, lambda c, j: F.when(j == F.col("axis"), 0.0).otherwise(F.abs(c)))
+    before = F.lag("weight").over(Window.orderBy("axis"))  # one row an axis
+    return (sums.select("axis", "words", weight.alias("weight"), (F.col("s") > -1e-6).alias("turned"),
+                        (F.array_max(others) < 1e-6 * weight).alias("orthogonal"))
+            .select("axis", "words", "turned", "orthogonal",
+                    F.coalesce(F.col("weight") <= before + 1e-9, F.lit(True)).alias("ordered")))
+
+
 @query("train_embeddings")
 def q_train_embeddings(spark, sf_dir):
-    """Skip-gram vectors (MLlib) for the cleaned corpus; values cannot match
-    fastText, so only the vocabulary rule and shapes are checked."""
+    """Vectors trained on the cleaned corpus, sub-words included (values depend
+    on the sum order in their last bits and on the random start)."""
     from lexiclust.operators import embed
-    return embed.train_word2vec(Inputs(spark, sf_dir).clean(), dim=16, window=5, min_count=5,
-                                epochs=1, slug="documents-trained")
+    return embed.train_embeddings(Inputs(spark, sf_dir).clean(), dim=16, min_count=MIN_COUNT,
+                                  slug="documents-trained").words
+
+
+@query("parse_treebank")
+def q_parse_treebank(spark, sf_dir):
+    """S3 in table form: token rows read back from rendered CoNLL-U lines."""
+    from lexiclust.operators import labels
+    return labels.parse_treebank(Inputs(spark, sf_dir).treebank_lines()).select(
+        "doc_id", "line_pos", "sent", "id", "form", "lemma", "upos")

@@ -6,10 +6,13 @@ relies on partition order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiclust.functions.text import unicode_strip
+from lexiclust.session import bounded_broadcast
 
 LINE_COLUMNS = ("doc_id", "line_pos", "raw")
 
@@ -27,18 +30,19 @@ def lines_from_table(docs: DataFrame, id_col: str = "doc_id",
     ).withColumn("line_pos", F.col("line_pos").cast("long"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """UTF-8 text files, one row per line: ``doc_id`` ranks the files by path,
-    ``line_pos`` increases with the position in the file (not contiguous)."""
-    df = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.monotonically_increasing_id().alias("line_pos"),
-        F.col("value").alias("raw"),
-    )
-    files = (df.select("file_path").distinct()
-             .withColumn("doc_id", F.dense_rank().over(Window.orderBy("file_path")).cast("long") - 1))
-    # one row per file: small, so the join broadcasts it
-    return df.join(F.broadcast(files), "file_path").select(*LINE_COLUMNS)
+    ``line_pos`` increases with the position in the file (not contiguous).
+
+    One scan: the ranks come from the scan's own list of files, which the planner
+    holds anyway."""
+    raw = spark.read.options(**options).text(path)
+    # a local path is written with one slash or three
+    files = sorted(re.sub("^file:/+", "file:/", f) for f in raw.inputFiles())
+    ranks = spark.createDataFrame([(f, n) for n, f in enumerate(files)], "file_path string, doc_id long")
+    df = raw.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file_path"),
+                    F.monotonically_increasing_id().alias("line_pos"), F.col("value").alias("raw"))
+    return df.join(bounded_broadcast(ranks), "file_path").select(*LINE_COLUMNS)
 
 
 def read_toplist(spark: SparkSession, path: str) -> DataFrame:

@@ -84,6 +84,25 @@ def test_read_lines_toplist_and_head(spark, tmpdir_path):
     assert sorted(r["token"] for r in top.collect()) == ["b", "first", "third line"]
 
 
+def test_files_and_sentences_in_order_of_path(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "bank")
+    os.makedirs(os.path.join(d, "s b"))
+    want = []
+    for name, words in (("a.conllu", 3), ("s b/\u00e9.conllu", 5000), ("z.conllu", 2)):
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            for i in range(words):
+                f.write(f"1\tw{i}\tl\tX\n\n")
+                want.append(f"w{i}")
+    with open(os.path.join(d, "notes.txt"), "w", encoding="utf-8") as f:
+        f.write("1\tnot\tread\tX\n")
+    rows = lb.read_treebank(spark, d).orderBy("ord").collect()
+    assert [r["form"] for r in rows] == want
+    assert [r["sent"] for r in rows] == list(range(len(want)))  # across spans and files
+    assert sorted({r["doc_id"] for r in rows}) == [0, 1, 2]
+    empty = spark.createDataFrame([], "doc_id long, line_pos long, raw string")
+    assert lb.parse_treebank(empty).count() == 0
+
+
 def test_ordered_sinks(spark, tmpdir_path):
     lines = tx.clean_lines(lines_df(spark, ["the second line is here ok", "the first line is here too"]))
     out = os.path.join(tmpdir_path, "clean")
