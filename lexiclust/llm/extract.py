@@ -15,8 +15,8 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,9 +61,10 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _WORD = re.compile(r"[^\W_]+")
 
 
-@dataclass
+@dataclass(eq=False)
 class Place:
-    """An open element; ``kinds`` name it if it says something about content."""
+    """An element, with what is known of those that it stands in; ``kinds`` name
+    it if it says something about content."""
 
     name: str
     kinds: list[str] = field(default_factory=list)
@@ -71,6 +72,35 @@ class Place:
     named: list[str] = field(default_factory=list)  # kinds whose whole word is no content
     prior: float = 0.0  # what a part of a class word says, where no weight is learnt
     holds: bool = False  # an article or main element, or one stands inside
+    parent: Place | None = None
+    article: Place | None = None  # the outermost article around it, or itself
+    main: Place | None = None  # likewise of main elements
+    below_dropped: bool = False  # stands in an element that is dropped
+    telling: Place | None = None  # the nearest element with kinds, or itself
+    passed: bool = False  # all that it stands in are known to hold an article
+
+    def put_in(self, parent: Place | None) -> Place:
+        self.parent = parent
+        if parent is not None:
+            self.article, self.main, self.telling = parent.article, parent.main, parent.telling
+            self.below_dropped = parent.below_dropped or parent.dropped
+        if self.article is None and self.name == "article":
+            self.article = self
+        if self.main is None and (self.name == "main" or "main" in self.kinds):
+            self.main = self
+        if self.kinds:
+            self.telling = self
+        return self
+
+    def around_hold(self) -> None:
+        """Mark all elements that it stands in, up to one from which it is done."""
+        at = self
+        while not at.passed:
+            at.passed = True
+            if at.parent is None:
+                return
+            at = at.parent
+            at.holds = True
 
 
 def _place(name: str, attrs: str) -> Place:
@@ -95,64 +125,72 @@ def _place(name: str, attrs: str) -> Place:
                  name in CONTENT or "main" in kinds)
 
 
-def events(page: str) -> Iterator[tuple[str, str, list[Place]]]:
-    """``("text", text, open)`` and ``("tag", name, open)`` in page order;
-    ``open`` is the live stack of open elements."""
+def events(page: str) -> Iterator[tuple[str, str, Place | None]]:
+    """``("text", text, place)`` and ``("tag", name, place)`` in page order;
+    ``place`` is the innermost open element. Time is linear in the page,
+    however deep its elements stand."""
     stack: list[Place] = []
+    opened: Counter = Counter()  # open elements by name
     at, n = 0, len(page)
+
+    def close_to(name: str) -> None:
+        while True:
+            gone = stack.pop().name
+            opened[gone] -= 1
+            if gone == name:
+                return
+
     while at < n:
+        top = stack[-1] if stack else None
         tag = _TAG.search(page, at)
         if tag is None:
-            yield "text", page[at:], stack
+            yield "text", page[at:], top
             return
         if tag.start() > at:
-            yield "text", page[at:tag.start()], stack
+            yield "text", page[at:tag.start()], top
         at = tag.end()
         name = (tag["name"] or "").lower()
         if not name or (not tag["close"] and at >= n):
             continue  # a comment, a declaration, or a tag cut off by the end
         if tag["end"]:
-            if any(p.name == name for p in stack):
-                while stack.pop().name != name:
-                    pass
-            yield "tag", name, stack
+            if opened[name] > 0:
+                close_to(name)
+            yield "tag", name, stack[-1] if stack else None
             continue
-        if name in CLOSES_P and stack and any(p.name == "p" for p in stack[-3:]):
-            while stack.pop().name != "p":
-                pass
-        yield "tag", name, stack
+        if name in CLOSES_P and any(p.name == "p" for p in stack[-3:]):
+            close_to("p")
+        top = stack[-1] if stack else None
+        yield "tag", name, top
         if name in RAW and not tag["attrs"].endswith("/"):
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else n
-            yield "tag", name, stack
+            yield "tag", name, top
         elif name not in VOID and not tag["attrs"].endswith("/"):
-            stack.append(_place(name, tag["attrs"]))
+            stack.append(_place(name, tag["attrs"]).put_in(top))
+            opened[name] += 1
 
 
-def around_articles(page: str) -> Iterator[tuple[str, str, list[Place]]]:
+def around_articles(page: str) -> Iterator[tuple[str, str, Place | None]]:
     """``events``; at the end every element that has an article or main element
     inside is marked. An article in another one (a comment, a teaser) marks
     nothing, nor one that is itself named as no content or stands in an aside or
     the like, unless all do."""
     lesser: list[Place] = []
     marked, outer = False, None
-    for what, value, stack in events(page):
-        yield what, value, stack
-        at = next((i for i, p in enumerate(stack) if p.name == "article"), None)
-        if at is None:
-            at = next((i for i, p in enumerate(stack) if p.name == "main" or "main" in p.kinds), None)
-        if at is None or stack[at] is outer:
+    for what, value, place in events(page):
+        yield what, value, place
+        found = place and (place.article or place.main)
+        if found is None or found is outer:
             continue
-        outer = stack[at]
-        if outer.named or any(p.dropped for p in stack[:at]):
-            lesser += stack[:at]
+        outer = found
+        if outer.named or outer.below_dropped:
+            lesser.append(outer)
         else:
             marked = True
-            for p in stack[:at]:
-                p.holds = True
+            outer.around_hold()
     if not marked:
-        for p in lesser:
-            p.holds = True
+        for found in lesser:
+            found.around_hold()
 
 
 def places(page: str) -> Counter | None:
@@ -161,20 +199,17 @@ def places(page: str) -> Counter | None:
     None for a page that has none or several."""
     out: Counter = Counter()
     articles, last = 0, False
-    for what, value, stack in events(page):
-        inside = any(p.name == "article" for p in stack)
+    for what, value, place in events(page):
+        inside = place is not None and place.article is not None
         if inside and not last:
             articles += 1
         last = inside
         if what == "tag":
             out["tag", value, inside] += 1
-            continue
-        n = len(value.split())
-        for p in reversed(stack):
-            if p.kinds:
-                for kind in p.kinds:
-                    out["word", kind, inside] += n
-                break
+        elif place is not None and place.telling is not None:
+            n = len(value.split())
+            for kind in place.telling.kinds:
+                out["word", kind, inside] += n
     return out if articles == 1 else None
 
 
@@ -199,24 +234,44 @@ class RegionModel:
         return not place.holds and (place.dropped or any(
             held or self.words.get(kind, -1.0) <= 0 for kind in place.named))
 
-    def weight(self, stack: Sequence[Place]) -> tuple[float, bool]:
+    def _known(self, place: Place) -> list[float]:
+        return [self.words[k] for k in place.kinds if k in self.words and k != "body"]
+
+    def _state(self, place: Place | None, priors: bool, memo: dict[int, tuple]) -> tuple:
+        """Whether an article or main element holds the place, whether something
+        around it is left out (where none holds it, and where one does), and the
+        nearest element that says something; each element is looked at once."""
+        chain: list[Place] = []
+        while place is not None and id(place) not in memo:
+            chain.append(place)
+            place = place.parent
+        state = (False, False, False, None) if place is None else memo[id(place)]
+        for p in reversed(chain):
+            held, out_free, out_held, says = state
+            if p.name in CONTENT or self._known(p) or priors and p.prior and not p.holds:
+                says = p
+            state = (held or p.name in CONTENT, out_free or self.dropped(p, False),
+                     out_held or self.dropped(p, True), says)
+            memo[id(p)] = state
+        return state
+
+    def weight(self, place: Place | None, priors: bool, memo: dict[int, tuple]) -> tuple[float, bool]:
         """Score of one word here, and whether it may be main text. The nearest
         element that is known decides; inside an article or main element what is
         no content weighs nothing, as it does not end the region."""
-        held = any(p.name in CONTENT for p in stack)
-        if any(self.dropped(p, held) for p in stack):
+        held, out_free, out_held, says = self._state(place, priors, memo)
+        if out_held if held else out_free:
             return (0.0 if held else -1.0), False
-        for p in reversed(stack):
-            if p.name in CONTENT:
-                return max(1.0, self.words.get(p.name, CLIP)), True
-            known = [self.words[k] for k in p.kinds if k in self.words and k != "body"]
-            if known and min(known) < 0:
-                return (0.0 if held else min(known)), False
-            if known:
-                return max(known), True
-            if p.prior and not p.holds:
-                return (0.0 if held else p.prior), True
-        return 0.5, True
+        if says is None:
+            return 0.5, True
+        if says.name in CONTENT:
+            return max(1.0, self.words.get(says.name, CLIP)), True
+        known = self._known(says)
+        if known and min(known) < 0:
+            return (0.0 if held else min(known)), False
+        if known:
+            return max(known), True
+        return (0.0 if held else says.prior), True
 
     def extract(self, page: str | None) -> str:
         """The main text: blocks joined by a line break, white space inside a
@@ -224,8 +279,7 @@ class RegionModel:
         if not page:
             return ""
         # Read to the end first: what stands around an article is known by then.
-        seen = [(what, value, tuple(stack) if what == "text" else ())
-                for what, value, stack in around_articles(page)]
+        seen = list(around_articles(page))
         pieces, span = self._scan(seen, True)
         if span == (0, 0):  # nothing but what parts of class words speak against
             pieces, span = self._scan(seen, False)
@@ -240,24 +294,20 @@ class RegionModel:
         blocks.append("".join(now))
         return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
-    def _scan(self, seen: list[tuple[str, str, tuple[Place, ...]]],
+    def _scan(self, seen: list[tuple[str, str, Place | None]],
               priors: bool) -> tuple[list[tuple[str, str | None]], tuple[int, int]]:
         """The page's pieces (tags, and texts by whether they may be main text)
         and the contiguous region of them with the best sum."""
         # The scan: best sum so far and where it began.
         best, total, begin, span = 0.0, 0.0, 0, (0, 0)
         pieces: list[tuple[str, str | None]] = []
-        weights: dict[tuple[int, ...], tuple[float, bool]] = {}
-        for what, value, stack in seen:
+        memo: dict[int, tuple] = {}
+        for what, value, place in seen:
             if what == "tag":
                 total += self.tags.get(value, -TAG_COST)
                 pieces.append((value, None))
             else:
-                at = tuple(map(id, stack))
-                if at not in weights:
-                    weights[at] = self.weight(stack if priors else [
-                        replace(p, prior=0.0) if p.prior else p for p in stack])
-                score, kept = weights[at]
+                score, kept = self.weight(place, priors, memo)
                 text = html.unescape(value)
                 total += score * len(text.split())
                 pieces.append((value, text if kept else ""))
