@@ -51,7 +51,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (operator 4). Of rows that
-    repeat a doc_id one stays; rows without one stay."""
+    repeat both a doc_id and its text one stays; a repeated doc_id with another
+    text, and rows without a doc_id, stay."""
     ship_package(spark)
     groups = stored(neardup.near_duplicates(docs, threshold=NEAR_THRESHOLD), "groups")
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias(_MARK)).distinct()
@@ -62,7 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept
     same = F.col("doc_id") == F.col(_MARK)
     return kept.join(_small(twice), same, "left_anti").unionByName(
-        kept.join(_small(twice), same, "left_semi").dropDuplicates(["doc_id"]))
+        kept.join(_small(twice), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def _small(ids: DataFrame) -> DataFrame:
