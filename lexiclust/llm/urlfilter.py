@@ -13,6 +13,7 @@ is odd. Urls are judged from the cascade alone, without a join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +27,8 @@ from lexiclust.llm.wordhash import mix
 
 ALLOW, BLOCK = "allow", "block"
 MAX_LEVELS = 64
-BITS_A_KEY = 14  # of the first level; about one in 800 other keys passes
+BITS_A_KEY = 14  # of the first level, at least; about one in 800 other keys passes
 LATER_BITS = 6
-#: Wrongly passing keys of one level that the driver may hold (8 bytes each).
-MAX_LEVEL_KEYS = 8_000_000
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,13 +61,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All rule names that would fit, the longest first: the host's suffixes
-    at its dots with the path's prefixes of the given lengths."""
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
-    suffixes = F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), ".")))
+def candidates(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """All rule names that would fit, the longest first: the host's last
+    ``labels`` labels (numbers of labels that rules have) with the path's
+    prefixes of the given lengths. Linear in the host, however many its dots."""
+    n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    none = F.array().cast("array<string>")
+    suffixes = F.filter(F.array(*(F.when(n >= x, F.substring_index(host, ".", -x))
+                                  for x in labels)), F.isnotnull) if labels else none
+    suffixes = F.when(host == "", none).otherwise(suffixes)
     sizes = F.filter(F.array(*(F.lit(x) for x in lengths)) if lengths
                      else F.array().cast("array<int>"), lambda x: x <= F.length(path))
     names = F.flatten(F.transform(suffixes, lambda h: F.transform(
@@ -81,16 +82,13 @@ def key_hash(name: Column) -> Column:
 
 
 class Bloom:
-    """A Bloom filter over 64-bit key hashes; ``level`` seeds its positions."""
+    """A Bloom filter for ``n_keys`` 64-bit key hashes; ``level`` seeds its positions."""
 
-    def __init__(self, keys: np.ndarray, bits_a_key: int, level: int):
-        self.size = max(64, int(len(keys) * bits_a_key))
+    def __init__(self, n_keys: int, bits_a_key: int, level: int):
+        self.size = max(64, n_keys * bits_a_key)
         self.hashes = max(1, round(bits_a_key * 0.69))
         self.seed = np.uint64(level + 1)
-        self.bits = np.zeros(self.size // 8 + 1, dtype=np.uint8)
-        for at in self._places(keys):
-            np.bitwise_or.at(self.bits, at >> np.uint64(3),
-                             np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        self.words = np.zeros(self.size // 64 + 1, dtype=np.uint64)
 
     def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         a = mix(keys.view(np.uint64) + mix(np.array([self.seed])))
@@ -98,10 +96,35 @@ class Bloom:
         for i in range(self.hashes):
             yield (a + np.uint64(i) * b) % np.uint64(self.size)
 
+    def add(self, keys: np.ndarray) -> Bloom:
+        for at in self._places(keys):
+            np.bitwise_or.at(self.words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        return self
+
+    def add_table(self, keys: DataFrame) -> Bloom:
+        """The keys of a table (column ``key``): their bits are set on the executors,
+        merged by OR, and only the filter's own words reach the driver."""
+        empty = Shared(keys.sparkSession, self)
+
+        @F.arrow_udf("array<bigint>")
+        def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            bloom = empty.build(lambda filter_: filter_)
+            for some in batches:
+                at = np.stack(list(bloom._places(some.to_numpy(zero_copy_only=False))), axis=1)
+                ends = np.arange(len(some) + 1, dtype=np.int32) * bloom.hashes
+                yield pa.ListArray.from_arrays(ends, at.ravel().view(np.int64))
+        words = (keys.select(F.explode(places("key")).alias("at"))
+                 .groupBy(F.shiftright("at", 6).alias("word"))
+                 .agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits"))
+                 .toArrow())
+        self.words[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(
+            np.uint64)
+        return self
+
     def holds(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), dtype=bool)
         for at in self._places(keys):
-            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            out &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return out
 
 
@@ -134,36 +157,46 @@ def _wrongly(shared: Shared):
     return wrong
 
 
-def build_cascade(universe: DataFrame, listed: np.ndarray) -> Cascade:
+def build_cascade(universe: DataFrame, listed: np.ndarray,
+                  bits_a_key: int = BITS_A_KEY) -> Cascade:
     """A cascade of ``listed`` (key hashes) exact over ``universe`` (a stored
     table of distinct key hashes ``key``). Each level keeps of the universe only
-    what passed the levels before, so a level costs one scan of what is left;
-    the driver sees the keys that pass wrongly, about ``2^-bits`` of them."""
+    what passed the levels before, so a level costs one scan of what is left.
+
+    The first filter's bits follow the universe (1.44 log2 of its keys for each
+    listed key, at least ``bits_a_key``), so about as many keys pass it wrongly as
+    are listed and the whole cascade stays in proportion to the rules, however
+    many urls there are. Filters of corpus keys are built on the executors."""
     out = Cascade()
     if not len(listed):
         return out
     spark = universe.sparkSession
-    inside = np.unique(listed)
-    every = inside
-    left, wanted = universe, inside
+    inside = every = np.unique(listed)
+    left, n_wrong = universe, universe.count()
+    first_bits = max(bits_a_key, math.ceil(1.44 * math.log2(max(1, n_wrong / len(every)))))
     for level in range(MAX_LEVELS):
-        out.levels.append(Bloom(wanted, BITS_A_KEY if level == 0 else LATER_BITS, level))
         if level % 2 == 0:  # a filter of listed keys: which others pass?
-            wrong = _wrongly(Shared(spark, (out.levels[-1], every)))
-            left = stored(left.where(wrong("key")), "passing")
-            if left.count() > MAX_LEVEL_KEYS:
-                raise ValueError("too many keys pass a level; raise BITS_A_KEY")
-            found = left.toArrow().column("key").to_numpy().astype(np.int64)
-            wrongly = found
+            bloom = Bloom(len(inside), first_bits if level == 0 else LATER_BITS, level).add(inside)
+            left = stored(left.where(_wrongly(Shared(spark, (bloom, every)))("key")), "passing")
+            n_wrong = left.count()
         else:  # a filter of other keys: which listed ones pass?
-            wrongly = inside[out.levels[-1].holds(inside)]
-            inside = wrongly
-        if not len(wrongly):
+            bloom = Bloom(n_wrong, LATER_BITS, level).add_table(left)
+            inside = inside[bloom.holds(inside)]
+            n_wrong = len(inside)
+        out.levels.append(bloom)
+        if not n_wrong:
             return out
-        wanted = wrongly
     raise ValueError("the cascade does not end; two keys share a hash")
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", out: str = "judged",
           default: str = ALLOW) -> DataFrame:
     """``pages`` with a struct ``out`` of ``host``, ``path``, ``rule`` (the
@@ -177,9 +210,11 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", out: str = "jud
     replaced. ``pages`` is read twice.
     """
     lengths = sorted({len(r.path) for r in rules})
+    labels = sorted({r.host.count(".") + 1 for r in rules})
     host, path = host_and_path(F.col(url))
     spread = pages.select(host.alias("h"), path.alias("p")).distinct()
-    keys = spread.select(F.explode(candidates(F.col("h"), F.col("p"), lengths)).alias("name"))
+    keys = spread.select(F.explode(candidates(F.col("h"), F.col("p"), lengths, labels))
+                         .alias("name"))
     universe = stored(keys.distinct().select(key_hash(F.col("name")).alias("key")).distinct(),
                       "universe")
     names = sorted({r.name for r in rules})
@@ -212,12 +247,18 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url", out: str = "jud
                 [pa.array(np.where(ok, where - begins + 1, 0), pa.int32()),
                  pa.array(verdict & ok)], names=["at", "blocked"])
 
-    names_col = candidates(F.col("_h"), F.col("_p"), lengths)
-    found = (pages.withColumns({"_h": host, "_p": path}).withColumn("_names", names_col)
-             .withColumn("_first", first(F.transform("_names", key_hash))))
-    fits = F.col("_first.at") > 0
-    verdict = F.when(fits, F.when(F.col("_first.blocked"), BLOCK).otherwise(ALLOW))
-    return found.withColumn(out, F.struct(
-        F.col("_h").alias("host"), F.col("_p").alias("path"),
-        F.when(fits, F.get("_names", F.col("_first.at") - 1)).alias("rule"),
-        F.coalesce(verdict, F.lit(default)).alias("verdict"))).drop("_h", "_p", "_names", "_first")
+    at = _free(pages, "url_parts")
+    field = lambda name: F.col(f"{at}.{name}")
+    found = pages.withColumn(at, F.struct(host.alias("host"), path.alias("path")))
+    found = found.withColumn(at, F.struct(
+        field("host"), field("path"),
+        candidates(field("host"), field("path"), lengths, labels).alias("names")))
+    found = found.withColumn(at, F.struct(
+        f"{at}.*", first(F.transform(field("names"), key_hash)).alias("first")))
+    fits = field("first.at") > 0
+    verdict = F.when(fits, F.when(field("first.blocked"), BLOCK).otherwise(ALLOW))
+    judged = F.struct(
+        field("host"), field("path"),
+        F.when(fits, F.get(field("names"), field("first.at") - 1)).alias("rule"),
+        F.coalesce(verdict, F.lit(default)).alias("verdict"))
+    return found.withColumn(out, judged).drop(at)

@@ -269,15 +269,20 @@ def test_urls_equal_brute_force(spark):
     rng = random.Random(6)
     urls = [None, "", "no scheme", "http://", "http://com", "http://com/", "x://a://b.com/c",
             "HTTP://WWW.Example.COM/en/1?q#f", "http://example.com#/en/", "http://xexample.com/en/",
-            "http://É.com/\n/x", "http://a..com/", "http://www.example.com/en/" + "p" * 9000]
+            "http://É.com/\n/x", "http://a..com/", "http://www.example.com/en/" + "p" * 9000,
+            "http://" + "a." * 40_000 + "net/es/", "http://.net/es/", "http://net./es/"]
     hosts = ["com", "net", "example.com", "www.example.com", "a.b.example.com", "x.net", "org"]
     urls += [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/es/', '/fr/x', '/e'])}"
              f"{rng.choice(['', '?a=/en/', '#x'])}" for _ in range(200)]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     df = df.withColumn("judged", F.lit("clash")).withColumn("_h", F.lit("clash too"))
-    got = {r.page_id: tuple(r.judged) for r in urlfilter.judge(df, RULES).collect()}
+    df = df.withColumn("URL_parts", F.lit("and this"))
+    rows = urlfilter.judge(df, RULES).collect()
+    got = {r.page_id: tuple(r.judged) for r in rows}
     for i, u in enumerate(urls):
         assert got[i] == brute_judge(u, RULES), u
+    assert {(r["_h"], r["URL_parts"]) for r in rows} == {("clash too", "and this")}
+    assert rows[0].asDict().keys() == {"page_id", "url", "judged", "_h", "URL_parts"}
     none = {tuple(r.judged)[2:] for r in urlfilter.judge(df, []).collect()}
     assert none == {(None, "allow")}
     assert urlfilter.judge(df.limit(0), RULES).count() == 0
