@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiclust.llm.common import Shared, bounded_sample, chunks, held_out
+from lexiclust.llm.common import Shared, chunks, held_out
 
-TRAIN_ROWS = 10_000  # texts learnt from, at most about this many
+TRAIN_ROWS = 10_000  # texts learnt from, at most about this many, shared by the languages
 MAX_WORDS = 100_000  # words the model knows; the n-grams stand for the rest
 MAX_GRAMS = 100_000
 MIN_COUNT = 2  # a word met once says little; its n-grams do
@@ -139,13 +139,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     of the rows that are not held out and have a language and a text.
 
     The sample is bounded by ``train_rows`` (by hash of the key, the same for
-    any partitioning); the model by its most frequent ``max_words`` words and
-    ``max_grams`` n-grams. Repeated rows count each time. Without rows the
-    model knows no language and every text is ``und``.
+    any partitioning), which the languages share evenly: one with fewer rows
+    than its part gives all of them and leaves the rest to the others, so a rare
+    language is learnt alike from a small and a large table. The model is bounded
+    by ``max_words`` words and ``max_grams`` n-grams, those of the highest
+    relative frequency in any language. Repeated rows count each time. Without
+    rows the model knows no language and every text is ``und``.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    rows = bounded_sample(rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"),
-                                      F.col(lang).alias("_lang")), F.col("_key"), train_rows)
+    rows = _sample(rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"),
+                               F.col(lang).alias("_lang")), train_rows)
     words = (rows.select("_lang", F.explode(F.expr(
         rf"regexp_extract_all(lower(_text), '({WORD})', 1)".replace("\\", "\\\\"))).alias("_k"))
         .groupBy("_lang", "_k").agg(F.count(F.lit(1)).alias("_n")).persist())
@@ -157,20 +160,47 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     grams = grams.groupBy("_lang", "_k").agg(F.sum("_n").alias("_n"))
     shares = {r[0]: r[1] for r in words.groupBy("_lang").agg(F.sum("_n")).collect()}
     langs = sorted(shares)
-    model = BackoffModel(langs, _table(words, langs, max_words), _table(grams, langs, max_grams),
-                         np.ones(len(langs)), max_gram)
+    model = BackoffModel(langs, _table(words, shares, max_words),
+                         _table(grams, shares, max_grams), np.ones(len(langs)), max_gram)
     words.unpersist()
     return model
 
 
-def _table(counts: DataFrame, langs: list[str], most: int) -> dict[str, np.ndarray]:
-    """The most frequent keys and their counts in each language."""
+def even_shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's rows such that at most ``most`` are taken in
+    all: as evenly as the sizes allow, whole languages first."""
+    out: dict[str, float] = {}
+    for n, (name, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        part = most / (len(sizes) - n)
+        out[name] = min(1.0, part / size)
+        most -= out[name] * size
+    return out
+
+
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows by hash order of ``_key``, shared evenly by ``_lang``;
+    rows of a null key are left out."""
+    rows = rows.where(F.col("_key").isNotNull())
+    sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
+    shares = rows.sparkSession.createDataFrame(
+        [(name, int(share * (1 << 31))) for name, share in even_shares(sizes, most).items()],
+        "_lang string, _below long")
+    return (rows.join(F.broadcast(shares), "_lang")  # one row a language
+            .where(F.pmod(F.xxhash64("_key"), F.lit(1 << 31)) < F.col("_below")).drop("_below"))
+
+
+def _table(counts: DataFrame, totals: dict[str, int], most: int) -> dict[str, np.ndarray]:
+    """The keys of the highest relative frequency in any language, with their
+    counts in each; ``totals`` are the words of each language."""
+    langs = sorted(totals)
     if not langs:
         return {}
     wide = counts.groupBy("_k").agg(F.sum("_n").alias("_all"), *(
         F.sum(F.when(F.col("_lang") == x, F.col("_n")).otherwise(0)).alias(f"_{n}")
         for n, x in enumerate(langs)))
-    got = (wide.where(F.col("_all") >= MIN_COUNT).orderBy(F.desc("_all"), "_k").limit(most)
+    share = [F.col(f"_{n}") / float(totals[x]) for n, x in enumerate(langs)]
+    top = F.greatest(*share) if len(share) > 1 else share[0]
+    got = (wide.where(F.col("_all") >= MIN_COUNT).orderBy(F.desc(top), "_k").limit(most)
            .drop("_all").toArrow())
     table = np.stack([got.column(f"_{n}").to_numpy() for n in range(len(langs))], axis=1)
     return dict(zip(got.column("_k").to_pylist(), table, strict=True))
