@@ -4,9 +4,10 @@ of the test items, scanned once over every document.
 The automaton's alphabet is the items' word ids (every other word is 0), so a
 match position is a word position; words map back to offsets in the original
 text. Its size is bounded by the normalised bytes of the items: beyond
-``SHARD_BYTES`` the items are dealt to several automata and the text passes
-them one after the other, with a stored table between, so that a worker holds
-one automaton at a time and no item is left out.
+``SHARD_BYTES`` the items are dealt by hash to several automata, one of which
+is on the driver and in a worker at a time. The texts are then stored once
+under a row number; each automaton leaves only the row numbers, runs and items
+of the rows it hits, and these are merged by a join. No item is left out.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiclust.llm.common import Shared, chunks, stored
@@ -121,65 +122,93 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     repeated items count once. All other columns stay; a column already named
     ``out`` is replaced. Without items nothing is hit.
     """
-    shards = _shards(items, item_id, item_text, shard_bytes)
-    for n, part in enumerate(shards):
-        docs = _pass(docs, part, text, window, out, first=n == 0)
-        if n + 1 < len(shards):
-            docs = stored(docs, "leaks")
-    return docs
-
-
-def _shards(items: DataFrame, item_id: str, item_text: str,
-            shard_bytes: int) -> list[list[tuple[str | None, str | None]]]:
-    """The items in groups of at most ``shard_bytes`` (a longer item alone);
-    at least one group, perhaps empty."""
-    rows = items.select(F.col(item_id).cast("string"), F.col(item_text)).distinct()
-    out: list[list] = [[]]
-    size = 0
-    for r in rows.toLocalIterator():
-        more = len((r[1] or "").encode())
-        if out[-1] and size + more > shard_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
-        size += more
-    return out
-
+    rows, n_shards = _dealt(items, item_id, item_text, shard_bytes)
+    if n_shards == 1:
+        return _scan(docs, Shared(docs.sparkSession, _shard(rows, 0)), text, window, out)
+    row = _free(docs, "leak_row")
+    # the numbers hold once the rows are written
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "leaks")
+    texts = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    found = None
+    for n in range(n_shards):
+        shared = Shared(docs.sparkSession, _shard(rows, n))
+        hits = _scan(texts, shared, "text", window, "hit").select("row", "hit.*")
+        hits = stored(hits.where("n_hit > 0").select("row", "items", "runs"), "hits")
+        shared.sent.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    # a row meets at most one entry a shard
+    found = found.groupBy(F.col("row").alias(row)).agg(F.struct(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.flatten(F.collect_list("runs")).alias("runs")).alias(f"{row}_hits"))
+    kept = [c for c in docs.columns if c not in (row, out)]
+    joined = docs.join(found, row, "left")
+    return joined.select(*(F.col(f"`{c}`") for c in kept), _settled(
+        F.col(f"`{text}`"), F.col(f"{row}_hits.items"), F.col(f"{row}_hits.runs")).alias(out))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` starts so."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def _dealt(items: DataFrame, item_id: str, item_text: str,
+           shard_bytes: int) -> tuple[DataFrame, int]:
+    """The distinct items, dealt by hash into ``shard`` numbers of about
+    ``shard_bytes`` each (a longer item stays whole); the number of shards."""
+    rows = items.select(F.col(item_id).cast("string").alias("id"),
+                        F.col(item_text).alias("text")).distinct()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // shard_bytes))
+    if n > 1:
+        rows = stored(rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(n))), "items")
+    return rows, n
+
+
+def _shard(rows: DataFrame, n: int) -> list[tuple[str | None, str | None]]:
+    mine = rows.where(F.col("shard") == n) if "shard" in rows.columns else rows
+    return sorted(((r.id, r.text) for r in mine.select("id", "text").collect()), key=str)
+
+
+def _scan(docs: DataFrame, shared: Shared, text: str, window: int, out: str) -> DataFrame:
+    @F.arrow_udf(_WITH_RUNS_DDL)
+    def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = shared.build(lambda rows: WindowAutomaton(rows, window))
+        for texts in batches:
+            values = []
+            for part in chunks(texts):
+                for t in part:
+                    found = words(t)
+                    runs, names = automaton.scan(found)
+                    values.append(_value(t, len(found), runs, sorted(names)))
+            yield pa.array(values, type=_WITH_RUNS)
+    return docs.withColumn(out, leaks(F.col(f"`{text}`")))
 
-def _pass(docs: DataFrame, items: list, text: str, window: int, out: str,
-          first: bool) -> DataFrame:
-    shared = Shared(docs.sparkSession, sorted(items, key=str))
 
-    def scan_all(texts: pa.Array, earlier: list | None) -> pa.Array:
-        automaton = shared.build(lambda rows: WindowAutomaton(rows, window))
-        rows = []
-        for part in chunks(texts):
-            for t in part:
-                found = words(t)
-                runs, names = automaton.scan(found)
-                rows.append((len(found), runs, names, t))
-        values = []
-        for n, (n_words, runs, names, t) in enumerate(rows):
-            if earlier is not None and earlier[n]["runs"]:
-                runs = merged(runs + [(x["start"], x["end"]) for x in earlier[n]["runs"]])
-            names = names | set(earlier[n]["items"]) if earlier is not None else names
-            values.append({"n_words": n_words, "n_hit": sum(b - a for a, b in runs),
-                           "items": sorted(names), "spans": code_points(t, runs) if runs else [],
-                           "runs": [{"start": a, "end": b} for a, b in runs]})
-        return pa.array(values, type=_WITH_RUNS)
-
-    if first:
-        @F.arrow_udf(_WITH_RUNS_DDL)
-        def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
-                yield scan_all(texts, None)
-        return docs.withColumn(out, leaks(F.col(text)))
+def _settled(text: Column, items: Column, runs: Column) -> Column:
+    """The struct of a row from what all shards found of it."""
 
     @F.arrow_udf(_WITH_RUNS_DDL)
-    def more(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, earlier in batches:
-            yield scan_all(texts, earlier.to_pylist())
-    return docs.withColumn(out, more(F.col(text), F.col(out)))
+    def settle(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, names, found in batches:
+            values = []
+            at = 0
+            for part in chunks(texts):
+                rest = zip(names.slice(at, len(part)).to_pylist(),
+                           found.slice(at, len(part)).to_pylist(), strict=True)
+                for t, (some, runs) in zip(part, rest, strict=True):
+                    runs = merged([(x["start"], x["end"]) for x in runs or []])
+                    values.append(_value(t, len(words(t)), runs, some or []))
+                at += len(part)
+            yield pa.array(values, type=_WITH_RUNS)
+    return settle(text, items, runs)
+
+
+def _value(text: str | None, n_words: int, runs: list[tuple[int, int]], items: list[str]) -> dict:
+    return {"n_words": n_words, "n_hit": sum(b - a for a, b in runs), "items": items,
+            "spans": code_points(text, runs) if runs else [],
+            "runs": [{"start": a, "end": b} for a, b in runs]}
 
 
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -1,13 +1,16 @@
 """Language, quality, leaks, token counts and packing."""
 
 import json
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -191,11 +194,15 @@ def test_leaks_equal_brute_force(spark, shard_bytes):
     docs = [None, "", "Short, ONE! and short one", "a null id item", "x" * 20_000]
     docs += [f"{say(5)} {random.choice(items[:3])[1]} {say(3)} W3" for _ in range(60)]
     docs += [say(400) for _ in range(10)]
-    df = texts(spark, docs).withColumn("leaks", F.lit("clash"))
+    df = texts(spark, docs).withColumn("leaks", F.lit("clash")).withColumn("leak_row", F.lit("mine"))
     item_df = spark.createDataFrame(items, "item_id string, text string")
     got = decontaminate.find_leaks(df, item_df, shard_bytes=shard_bytes).orderBy("doc_id").collect()
     want = brute_leaks(docs, items)
     assert [(r.leaks.n_words, r.leaks.n_hit, r.leaks["items"]) for r in got] == want
+    assert {r.leak_row for r in got} == {"mine"}
+    again = decontaminate.find_leaks(df.unionByName(df), item_df, shard_bytes=shard_bytes)
+    assert again.count() == 2 * len(docs)
+    assert again.distinct().count() == len(docs)
     for r, t in zip(got, docs, strict=True):
         marked = sum(len(decontaminate.words(t[s.start:s.end])) for s in r.leaks.spans)
         assert marked == r.leaks.n_hit
@@ -241,6 +248,80 @@ def test_language_backoff_and_odd_rows(spark):
     assert np.allclose(model.backoff(["hunde"])[0], np.mean(known, axis=0))
 
 
+def plain_language_scores(train, texts):
+    """Word-first backoff spelled out: natural logs of smoothed frequencies, a word
+    met less than twice takes the mean over its longest n-grams that are known."""
+    find = regex.compile(langid.WORD).findall
+    langs = sorted({x for _, x in train})
+    words = {x: Counter() for x in langs}
+    for text, x in train:
+        words[x].update(find(text.lower()))
+    grams = {x: [Counter() for _ in range(langid.MAX_GRAM + 1)] for x in langs}
+    for x in langs:
+        for w, n in words[x].items():
+            e = f"_{w}_"
+            for size in range(1, langid.MAX_GRAM + 1):
+                for i in range(len(e) - size + 1):
+                    grams[x][size][e[i:i + size]] += n
+
+    def logs(tables):
+        known = {k for t in tables for k in t if sum(u[k] for u in tables) >= langid.MIN_COUNT}
+        sums = [sum(t[k] + langid.SMOOTHING for k in known) for t in tables]
+        return {k: [math.log((t[k] + langid.SMOOTHING) / s)
+                    for t, s in zip(tables, sums, strict=True)] for k in known}
+    by_word = logs([words[x] for x in langs])
+    by_size = [logs([grams[x][size] for x in langs]) for size in range(langid.MAX_GRAM + 1)]
+
+    def of_word(w):
+        if w in by_word:
+            return by_word[w]
+        e = f"_{w}_"
+        for size in range(min(langid.MAX_GRAM, len(e)), 0, -1):
+            got = [by_size[size][e[i:i + size]] for i in range(len(e) - size + 1)
+                   if e[i:i + size] in by_size[size]]
+            if got:
+                return [sum(v) / len(got) for v in zip(*got, strict=True)]
+        return [0.0] * len(langs)
+    out = []
+    for text in texts:
+        found = find(text.lower()) if text else []
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        total = [sum(v) for v in zip(*map(of_word, found), strict=True)]
+        best = max(range(len(langs)), key=lambda n: (total[n], -n))
+        out.append((langs[best], 1 / sum(math.exp(v - total[best]) for v in total)))
+    return out
+
+
+def test_language_equals_a_plain_scorer(spark):
+    rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+    train = [(r["text"], r["lang"]) for r in rows
+             if not held(r) and r["lang"] is not None and r["text"] is not None]
+    want = plain_language_scores(train, [r["text"] for r in rows])
+    got = {r.doc_id: r for r in QUERIES["op3_language"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r, (lang, score) in zip(rows, want, strict=True):
+        assert got[r["doc_id"]].lang_pred == lang
+        assert got[r["doc_id"]].score == pytest.approx(score, abs=1e-6)
+
+
+def test_rare_languages_are_learnt_from_large_tables(spark):
+    assert langid.even_shares({"a": 3, "b": 1000, "c": 4000}, 103) == {
+        "a": 1.0, "b": 0.05, "c": 0.0125}
+    assert langid.even_shares({"a": 3, "b": 7}, 100) == {"a": 1.0, "b": 1.0}
+    rows = [(i, f"the dog number w{i % 50} and the cat sleep", "en") for i in range(3000)]
+    rows += [(i, "kissa ja koira nukkuvat kissa ja koira", "fi") for i in range(3000, 3006)]
+    docs = spark.createDataFrame(rows + rows[:5], DOC)  # repeated rows count each time
+    model = langid.fit(docs, train_rows=60, max_words=12, max_grams=40)
+    assert model.langs == ["en", "fi"]
+    assert {"kissa", "koira", "the", "and"} <= set(model.words)
+    asked = spark.createDataFrame([(0, "koira nukkuu"), (1, "dogs sleep")], "doc_id long, text string")
+    got = {r.doc_id: r.language.lang_pred for r in langid.predict(asked, model).collect()}
+    assert got == {0: "fi", 1: "en"}
+
+
 def test_language_without_rows(spark):
     docs = spark.createDataFrame([(1, "a word", None)], DOC)
     got = langid.predict(docs, langid.fit(docs)).collect()
