@@ -5,7 +5,7 @@ A pair is the keys of its two runs (``PAIR``); centroids, similarities,
 matchings and overlaps all carry it. Centroids (A8) are packed into blocks, and
 each pair of blocks is one numpy product, so no centroid matrix is broadcast.
 Both matchings run as rounds of jobs over the similarity table, every round
-serving all pairs: ``greedy_match`` takes the pairs that are each other's best;
+serving all pairs: ``greedy_match`` walks each row's sorted list of candidates;
 ``optimal_match`` is an auction with epsilon scaling whose prices and owners are
 a table. Word overlap is an equi-join on the word.
 """
@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiclust.operators.vectors import RUN_KEY, centroid_mean, known_words
-from lexiclust.session import cut_lineage
+from lexiclust.session import bounded_broadcast, cut_lineage
+from lexiclust.sources.sinks import InputError, require_rows
 
 PAIR = ["slug_a", "method_a", "slug_b", "method_b", "k"]
 BLOCK_CENTROIDS = 512
@@ -37,7 +38,7 @@ def run_pairs(runs_a: DataFrame, runs_b: DataFrame) -> DataFrame:
     alone = a.join(b, "k", "left_anti").select("k").union(b.join(a, "k", "left_anti").select("k"))
     found = alone.first()
     if found is not None:
-        raise ValueError(f"K mismatch between runs: K={found['k']} on one side only")
+        raise InputError(f"K mismatch between runs: K={found['k']} on one side only")
     return a.join(b, "k").select(*PAIR)
 
 
@@ -89,26 +90,58 @@ def _pair_of(sim: DataFrame) -> list[str]:
     return [c for c in PAIR if c in sim.columns]
 
 
-def greedy_match(sim: DataFrame) -> DataFrame:
+GREEDY_CANDIDATES = 1 << 20  # listed similarities of a pair that one task walks through
+
+
+def greedy_match(sim: DataFrame, candidates: int = GREEDY_CANDIDATES) -> DataFrame:
     """J7, for every pair: repeatedly take the highest remaining similarity and
-    drop its row and column (ties: lowest ``cid_a``, then ``cid_b``). Run as
-    rounds: a pair that is the best of its row and of its column is in the
-    greedy matching, so every round takes all such pairs at once."""
+    drop its row and column (ties: lowest ``cid_a``, then ``cid_b``).
+
+    Runs in passes over one stored table. In a pass every free row lists its best
+    free columns, as many as make ``candidates`` of a pair, and one task a pair
+    walks the lists from the highest similarity down. What it takes is the rule's
+    own choice until a row that is still free has come to the end of a cut list;
+    there it stops, and the next pass lists what is left. Pairs of up to
+    ``sqrt(candidates)`` clusters take one pass, whatever their similarities."""
     key = _pair_of(sim)
-    rest = cut_lineage(sim.select(*key, "cid_a", "cid_b", "sim", F.round("sim", SIM_DECIMALS).alias("_s")))
-    taken = rest.select(*key, "cid_a", "cid_b", "sim").limit(0)
-    while not rest.isEmpty():
-        by_row = rest.groupBy(*key, "cid_a").agg(
-            F.max(F.struct("_s", (-F.col("cid_b")).alias("_b"), "sim")).alias("m"))
-        by_col = rest.groupBy(*key, "cid_b").agg(
-            F.max(F.struct("_s", (-F.col("cid_a")).alias("_a"))).alias("n"))
-        best = by_row.select(*key, "cid_a", (-F.col("m._b")).alias("cid_b"), F.col("m.sim").alias("sim"))
-        cols = by_col.select(*key, (-F.col("n._a")).alias("cid_a"), "cid_b")
-        best = cut_lineage(best.join(cols, [*key, "cid_a", "cid_b"], "left_semi"))
-        taken = taken.unionByName(best)
-        rest = cut_lineage(rest.join(best.select(*key, "cid_a"), [*key, "cid_a"], "left_anti")
-                           .join(best.select(*key, "cid_b"), [*key, "cid_b"], "left_anti"))
-    return taken
+    table = sim.select(*key, "cid_a", "cid_b", "sim", F.round("sim", SIM_DECIMALS).alias("_s"))
+    # one pass a name: a pair without keys is one nameless pair
+    table = cut_lineage(table.withColumn("_pair", F.struct(F.lit(0), *key)))
+    taken = table.select("_pair", *key, "cid_a", "cid_b", "sim").limit(0)
+    rest = table
+    while True:
+        rows = rest.groupBy("_pair").agg(F.count_distinct("cid_a").alias("n")).agg(F.max("n")).first()[0]
+        if rows is None:
+            return taken.drop("_pair")
+        taken = cut_lineage(taken.unionByName(_greedy_pass(rest, key, max(1, candidates // rows))))
+        used = bounded_broadcast(taken.select("_pair", "cid_a", "cid_b"))
+        rest = (table.join(used.select("_pair", "cid_a"), ["_pair", "cid_a"], "left_anti")
+                .join(used.select("_pair", "cid_b"), ["_pair", "cid_b"], "left_anti"))
+
+
+def _greedy_pass(rest: DataFrame, key: list[str], most: int) -> DataFrame:
+    """The pairs one pass takes when each row lists at most ``most`` columns."""
+    row = Window.partitionBy("_pair", "cid_a")  # at most one row a cluster of B
+    listed = (rest.withColumn("_place", F.row_number().over(row.orderBy(F.desc("_s"), "cid_b")))
+              .where(F.col("_place") <= most + 1))
+
+    def walk(rows: pa.Table) -> pa.Table:
+        a, b, s, place = (rows.column(c).to_numpy() for c in ("cid_a", "cid_b", "_s", "_place"))
+        order = np.lexsort((b, a, -s))
+        used_a, used_b, chosen = set(), set(), []
+        for n, i, j, p in zip(order.tolist(), a[order].tolist(), b[order].tolist(),
+                              place[order].tolist(), strict=True):
+            if i in used_a:
+                continue
+            if p > most:  # beyond its list a free row's best is not known
+                break
+            if j not in used_b:
+                used_a.add(i)
+                used_b.add(j)
+                chosen.append(n)
+        return rows.take(pa.array(chosen, pa.int64())).select(kept)
+    kept = ["_pair", *key, "cid_a", "cid_b", "sim"]
+    return listed.groupBy("_pair").applyInArrow(walk, rest.select(*kept).schema)
 
 
 class AuctionResult:
@@ -276,8 +309,8 @@ def alignment(asg_a: DataFrame, asg_b: DataFrame, vectors: DataFrame, normed: bo
     ``PAIR + cid_a, cid_b, centroid_cosine, jaccard, size_a, size_b``. Centroids
     (A8) use each run's K; sizes count distinct words that have a vector."""
     ka, kb = known_words(asg_a, vectors), known_words(asg_b, vectors)
-    if ka.isEmpty() or kb.isEmpty():
-        raise ValueError("no assigned word has a vector")
+    for side, known in (("A", ka), ("B", kb)):
+        require_rows(known, f"assigned words of side {side} that have a vector")
 
     def centroids(known, asg):
         k_of_run = asg.select(*RUN_KEY).distinct().withColumn("k_total", F.col("k"))

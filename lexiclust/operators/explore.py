@@ -17,6 +17,7 @@ from lexiclust.functions import vector as V
 from lexiclust.operators.clusterstats import sample_words, suggest_clusters
 from lexiclust.operators.vectors import RUN_KEY, centroid_mean, known_words, vec_matrix
 from lexiclust.session import bounded_broadcast
+from lexiclust.sources.sinks import require_cluster, require_columns, require_rows
 
 # Fixed values of the reference: words listed per cluster, words drawn per plot.
 TOP_WORDS = 50
@@ -128,6 +129,16 @@ def project_2d(assignments: DataFrame, vectors: DataFrame, normed: bool = True,
         *_GROUP, "word", V.dot("_c", "axis_1").alias("x"), V.dot("_c", "axis_2").alias("y"))
 
 
+def project_cluster(assignments: DataFrame, vectors: DataFrame, cid: int, normed: bool = True,
+                    n: int | None = PLOT_WORDS, seed: int = 42) -> DataFrame:
+    """M9 for cluster ``cid`` of each run of ``assignments``. An ``InputError`` if no
+    run has it, or if fewer than two of its words have a vector."""
+    require_cluster(assignments, cid)
+    mine = assignments.filter(F.col("cluster") == cid)
+    require_rows(known_words(mine, vectors), f"words of cluster {cid} that have a vector", 2)
+    return project_2d(mine, vectors, normed, n, seed)
+
+
 def projected_centroids(projection: DataFrame) -> DataFrame:
     """M9 with the centroid shown: per cluster the number of its points, the mean
     ``x, y`` of them, and the sums of squares and products along the axes."""
@@ -140,7 +151,9 @@ def projected_centroids(projection: DataFrame) -> DataFrame:
 def viz_top_clusters(stats: DataFrame, assignments: DataFrame, vectors: DataFrame,
                      kind: str = "semantic", topn: int = 2, normed: bool = True,
                      n: int = PLOT_WORDS, seed: int = 42) -> DataFrame:
-    """L1 picks the top clusters of every run, M9 projects them."""
+    """L1 picks the top clusters of every run, M9 projects them. An
+    ``InputError`` without statistics."""
+    require_columns(stats, [*RUN_KEY, "cid", "size", "msi"], "cluster statistics")
     picks = suggest_clusters(stats, kind, topn).select(*RUN_KEY, "pick", F.col("cid").alias("cluster"))
     chosen = assignments.join(F.broadcast(picks), [*RUN_KEY, "cluster"])
     proj = project_2d(chosen.drop("pick"), vectors, normed, n, seed)

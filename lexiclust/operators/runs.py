@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiclust.functions.text import unicode_strip
+from lexiclust.operators.numbering import global_rank
+from lexiclust.sources.sinks import existing
 
 # Fixed values of the reference: the keys of a run log, their types, the
 # boolean spellings, the method names of the speedup, the metrics drawn
@@ -27,6 +29,10 @@ SERIES_METRICS = ["purity", "NMI", "V", "homogeneity", "completeness", "silhouet
 PAD_FRACTION = 0.06
 PAD_MIN = 1e-6
 
+# Order of the families and methods in a figure's legend; others come after.
+LEGEND_FAMILIES = ["baseline", "raw", "lemma"]
+LEGEND_METHODS = [SERIAL, PARALLEL]
+
 RUN_COLUMNS = ["vec", "vecslug", "method", "K", "N", "D", "normed", "iterations", "num_cores",
                "max_iter", "max_words", "secs", "log_path"]
 _LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
@@ -172,20 +178,21 @@ def render_csv(rows: DataFrame, file: F.Column, columns: list[str]) -> DataFrame
     return head.unionByName(body)
 
 
-def _table_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    return spark.read.text(pattern).select(
+def _table_lines(spark: SparkSession, pattern: str, what: str) -> DataFrame:
+    return existing(lambda: spark.read.text(pattern), what).select(
         F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line_no"),
         F.col("value").alias("line"))
 
 
 def read_stats_tables(spark: SparkSession, folder: str, methods=("serial", "parallel", "sklearn")) -> DataFrame:
-    """S6 from files."""
-    return parse_stats_tables(_table_lines(spark, folder.rstrip("/") + "/cluster_stats_*_K*.csv"), methods)
+    """S6 from files; an ``InputError`` where there are none."""
+    lines = _table_lines(spark, folder.rstrip("/") + "/cluster_stats_*_K*.csv", "cluster statistics")
+    return parse_stats_tables(lines, methods)
 
 
 def read_alignments(spark: SparkSession, folder: str) -> DataFrame:
-    """S7 from files."""
-    return parse_alignments(_table_lines(spark, folder.rstrip("/") + "/alignment_*_K*.csv"))
+    """S7 from files; an ``InputError`` where there are none."""
+    return parse_alignments(_table_lines(spark, folder.rstrip("/") + "/alignment_*_K*.csv", "alignments"))
 
 
 def safe_slug(name: F.Column) -> F.Column:
@@ -270,3 +277,24 @@ def metric_series(metrics: DataFrame, names=SERIES_METRICS) -> DataFrame:
     pad = F.greatest(F.lit(PAD_MIN), (F.col("vmax") - F.col("vmin")) * PAD_FRACTION)
     rng = rng.select("metric", (F.col("vmin") - pad).alias("lo"), (F.col("vmax") + pad).alias("hi"))
     return long.join(F.broadcast(rng), "metric")
+
+
+def legend_order(lines: DataFrame, methods=LEGEND_METHODS) -> DataFrame:
+    """L4: the distinct (vecslug, method) lines of a figure with their ``family``
+    (P11) and their 1-based ``place`` in its legend: families in order, in each its
+    known methods in order, then by slug. Lines of a method that is not known come
+    last, by slug and method."""
+    known = {(f, m): n for n, (f, m) in enumerate(
+        (f, m) for f in LEGEND_FAMILIES for m in methods)}
+    place = F.lit(None).cast("int")
+    for (family, method), n in known.items():
+        place = F.when((F.col("family") == family) & (F.col("method") == method), n).otherwise(place)
+    rows = lines.select("vecslug", "method").distinct().withColumn("family", run_family(F.col("vecslug")))
+    rows = rows.withColumn("_group", F.coalesce(place, F.lit(len(known))))
+    return global_rank(rows, ["_group", "vecslug", "method"], "place").drop("_group")
+
+
+def table_order(table: DataFrame, order: list[str]) -> DataFrame:
+    """L4: the rows of a result table with their 1-based ``place`` when sorted by
+    ``order`` (columns that tell all rows apart), as ``write_metrics`` writes them."""
+    return global_rank(table, order, "place")

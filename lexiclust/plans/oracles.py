@@ -706,6 +706,15 @@ s AS (SELECT vec, CASE WHEN len(string_split(vec, '/')) > 1 THEN string_split(ve
   replace(replace(replace(string_split(vec, '/')[-1], '.vec.gz', ''), '.vec', ''), '.bin', '') AS slug FROM v)
 SELECT vec, slug, CASE WHEN starts_with(lower(slug), 'baseline-') THEN 'baseline'
   WHEN contains(lower(slug), 'lemma') THEN 'lemma' ELSE 'raw' END AS family FROM s"""
+ORACLES["legend_order"] = f"""WITH {RUNS},
+ln AS (
+  SELECT DISTINCT vecslug, method, CASE WHEN starts_with(lower(vecslug), 'baseline-') THEN 'baseline'
+    WHEN contains(lower(vecslug), 'lemma') THEN 'lemma' ELSE 'raw' END AS family FROM runs)
+SELECT vecslug, method, family, row_number() OVER (ORDER BY
+  coalesce(list_position(['baseline|view', 'baseline|click', 'raw|view', 'raw|click', 'lemma|view', 'lemma|click'],
+                         family || '|' || method), 7), vecslug, method) AS place FROM ln"""
+ORACLES["table_order"] = f"""WITH {RUNS}
+SELECT vecslug, method, K, log_path, row_number() OVER (ORDER BY vecslug, method, K) AS place FROM best"""
 ORACLES["msi_pivot"] = f"""WITH {STATS}
 SELECT k AS K, round(avg(msi), 3) AS "documents-context|parallel" FROM stats GROUP BY ALL"""
 ORACLES["metric_series"] = f"""WITH lmx AS ({ORACLES["label_metrics"]}),

@@ -618,6 +618,20 @@ def q_msi_pivot(spark, sf_dir):
     return _runs().msi_pivot(_stats(Inputs(spark, sf_dir)))
 
 
+@query("legend_order")
+def q_legend_order(spark, sf_dir):
+    """Lines of a figure of the runs in the order of its legend."""
+    return _runs().legend_order(Inputs(spark, sf_dir).parsed_runs(), ["view", "click"])
+
+
+@query("table_order")
+def q_table_order(spark, sf_dir):
+    """The table of the best runs in the order in which it is written."""
+    rn = _runs()
+    best = rn.best_run(Inputs(spark, sf_dir).parsed_runs())
+    return rn.table_order(best.select("vecslug", "method", "K", "log_path"), ["vecslug", "method", "K"])
+
+
 @query("metric_series")
 def q_metric_series(spark, sf_dir):
     inp = Inputs(spark, sf_dir)

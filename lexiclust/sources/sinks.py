@@ -8,6 +8,9 @@ are written as one CSV.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +85,23 @@ def require_columns(df: DataFrame, cols: list[str], what: str) -> None:
         raise InputError(f"{what}: missing columns {missing}")
 
 
+def existing(read: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What ``read`` plans; a missing path is an ``InputError``."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise InputError(f"missing {what}") from e
+        raise
+
+
+def require_vector_paths(runs: DataFrame) -> None:
+    """A run whose log names no vector file cannot be looked into."""
+    bad = runs.filter(F.coalesce(F.col("vec"), F.lit("")) == "").select("log_path").first()
+    if bad is not None:
+        raise InputError(f"missing vec= in {bad['log_path']}")
+
+
 def require_cluster(assignments: DataFrame, cid: int) -> None:
     """An unknown cluster id is an error."""
     if assignments.filter(F.col("cluster") == cid).limit(1).count() == 0:

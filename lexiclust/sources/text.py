@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiclust.functions.text import unicode_strip
 from lexiclust.session import bounded_broadcast
+from lexiclust.sources.sinks import existing
 
 LINE_COLUMNS = ("doc_id", "line_pos", "raw")
 
@@ -36,7 +37,7 @@ def read_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
     One scan: the ranks come from the scan's own list of files, which the planner
     holds anyway."""
-    raw = spark.read.options(**options).text(path)
+    raw = existing(lambda: spark.read.options(**options).text(path), f"input {path}")
     # a local path is written with one slash or three
     files = sorted(re.sub("^file:/+", "file:/", f) for f in raw.inputFiles())
     ranks = spark.createDataFrame([(f, n) for n, f in enumerate(files)], "file_path string, doc_id long")

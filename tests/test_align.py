@@ -32,6 +32,34 @@ def test_greedy_equals_sequential_rule(spark):
         assert got == _sequential_greedy(S)
 
 
+def test_greedy_passes_stop_where_a_cut_list_ends(spark):
+    rnd = np.random.default_rng(21)
+    S = np.round(rnd.uniform(-1, 1, size=(12, 12)), 1)
+    S[:, 0] += 1  # every row wants the same columns first
+    S[:, 1] += 0.5
+    for candidates in (1, 24, 40):  # lists of one column, of two, of three
+        got = sorted((r["cid_a"], r["cid_b"])
+                     for r in align.greedy_match(_sim_df(spark, S), candidates).collect())
+        assert got == _sequential_greedy(S)
+
+
+def test_greedy_chain_of_near_ties_takes_one_pass(spark, monkeypatch):
+    """Each row's best column is its neighbour's second: rounds of mutual best
+    pairs would settle one pair each."""
+    k = 200
+    S = np.zeros((k, k))
+    for i in range(k):
+        S[i, i] = 0.5 + 0.002 * i
+        if i + 1 < k:
+            S[i, i + 1] = S[i, i] + 0.001
+    passes = []
+    one_pass = align._greedy_pass
+    monkeypatch.setattr(align, "_greedy_pass", lambda *a: passes.append(a) or one_pass(*a))
+    got = sorted((r["cid_a"], r["cid_b"]) for r in align.greedy_match(_sim_df(spark, S)).collect())
+    assert got == _sequential_greedy(S)
+    assert len(passes) == 1
+
+
 def test_optimal_equals_brute_force(spark):
     rnd = np.random.default_rng(12)
     for k in (2, 4, 6):

@@ -3,8 +3,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import lines_df
+from lexiclust.operators import align, explore, runs
 from lexiclust.operators import labels as lb
 from lexiclust.operators import text as tx
 from lexiclust.sources import sinks, text as src_text, vectors as sv
@@ -114,6 +116,48 @@ def test_ordered_sinks(spark, tmpdir_path):
         sinks.require_rows(lines.filter("false"), "lines")
 
 
+def test_input_guards(spark, tmpdir_path):
+    with pytest.raises(sinks.InputError, match="missing input"):
+        src_text.read_lines(spark, os.path.join(tmpdir_path, "none.txt"))
+    with pytest.raises(sinks.InputError, match="missing cluster statistics"):
+        runs.read_stats_tables(spark, tmpdir_path)
+    with pytest.raises(sinks.InputError, match="missing alignments"):
+        runs.read_alignments(spark, tmpdir_path)
+    logs = spark.createDataFrame([("a/run.log", "vec=x.vec\nK=2"), ("b/run.log", "K=2")],
+                                 "log_path string, text string")
+    parsed = runs.parse_run_logs(logs)
+    sinks.require_vector_paths(parsed.filter("log_path = 'a/run.log'"))
+    with pytest.raises(sinks.InputError, match="missing vec= in b/run.log"):
+        sinks.require_vector_paths(parsed)
+    asg = spark.createDataFrame([("s", "m", 2, w, c) for w, c in [("x", 0), ("y", 0), ("z", 1), ("v", 1)]],
+                                "slug string, method string, k int, word string, cluster int")
+    vecs = spark.createDataFrame([("s", w, [1.0, float(n)]) for n, w in enumerate("xyz")],
+                                 "slug string, word string, vec array<double>")
+    assert explore.project_cluster(asg, vecs, 0).count() == 2
+    with pytest.raises(sinks.InputError, match="cluster 9 not found"):
+        explore.project_cluster(asg, vecs, 9)
+    with pytest.raises(sinks.InputError, match="fewer than 2"):
+        explore.project_cluster(asg, vecs, 1)
+    with pytest.raises(sinks.InputError, match="side A"):
+        align.alignment(asg.withColumn("word", F.lit("none")), asg, vecs)
+    with pytest.raises(sinks.InputError, match="K mismatch"):
+        align.run_pairs(asg, asg.withColumn("k", F.lit(3)))
+
+
+def test_legend_and_table_order(spark):
+    rows = [("wiki-raw", "sklearn"), ("wiki-lemma", "parallel"), ("wiki-lemma", "serial"),
+            ("baseline-x", "parallel"), ("a-raw", "serial"), ("wiki-raw", "serial"), ("a-raw", "parallel"),
+            ("a-raw", "parallel")]
+    got = runs.legend_order(spark.createDataFrame(rows, "vecslug string, method string")).orderBy("place")
+    assert [(r["vecslug"], r["method"]) for r in got.collect()] == [
+        ("baseline-x", "parallel"), ("a-raw", "serial"), ("wiki-raw", "serial"), ("a-raw", "parallel"),
+        ("wiki-lemma", "serial"), ("wiki-lemma", "parallel"), ("wiki-raw", "sklearn")]
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), F.col("id").alias("b")).repartition(5)
+    placed = runs.table_order(df, ["a", "b"]).orderBy("place").collect()
+    assert [(r["a"], r["b"]) for r in placed] == sorted((i % 7, i) for i in range(1000))
+    assert [r["place"] for r in placed] == list(range(1, 1001))
+
+
 def test_vector_matrix_from_arrow():
     import pyarrow as pa
 
