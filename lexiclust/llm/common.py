@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from lexiclust.sources.tables import read_table
 HELD_OUT_FOLDS = 5  # rows whose crc32(doc_id) mod 5 is 0 are held out
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 512
+BATCH_ROWS = 1000  # texts, or what is made of them, in one Arrow batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +71,22 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return kept.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < share)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows an Arrow batch in this session. Texts are some KB
+    each and their shingle sets twice that, so Spark's 10,000 rows would be some
+    100 MB in a worker and as much in the buffers of the JVM."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def give_back() -> None:
-    """Return what Arrow has freed in this worker to the system: a worker that waits for
-    its next task should not keep the last one's buffers."""
+    """Return what this worker has freed to the system (Arrow's pool and the C heap): a
+    worker that waits for its next task should not keep the last one's buffers."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 class Shared:
@@ -81,6 +95,7 @@ class Shared:
     _built: dict = {}
 
     def __init__(self, spark: SparkSession, value):
+        bounded_batches(spark)
         self.key = uuid.uuid4().hex
         self.sent = spark.sparkContext.broadcast(value)
 
@@ -95,4 +110,6 @@ class Shared:
     @staticmethod
     def release() -> None:
         """Free what earlier jobs built in this worker, for a job that needs none of it."""
-        Shared._built.clear()
+        if Shared._built:
+            Shared._built.clear()
+            give_back()

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiclust.llm.common import Shared, chunks, stored
+from lexiclust.llm.common import Shared, bounded_batches, chunks, stored
 from lexiclust.llm.components import connected_components
 from lexiclust.llm.wordhash import mix, segment, shingle_hashes
 
@@ -453,6 +453,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         matches = shared_at_least(coordinates, threshold, MISSED_MATCHES)
     if matches < 1:
         raise ValueError(f"{coordinates} coordinates are too few for a threshold of {threshold} %")
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))
     words = coordinates // 8
     sketch = _sketcher(size, coordinates, matches)
