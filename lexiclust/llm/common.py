@@ -19,6 +19,7 @@ HELD_OUT_FOLDS = 5  # rows whose crc32(doc_id) mod 5 is 0 are held out
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 512
 BATCH_ROWS = 1000  # texts, or what is made of them, in one Arrow batch
+BATCH_BYTES = 8 << 20  # a longer row, such as a list with its sets, stands alone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +73,13 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """At most ``BATCH_ROWS`` rows an Arrow batch in this session. Texts are some KB
-    each and their shingle sets twice that, so Spark's 10,000 rows would be some
-    100 MB in a worker and as much in the buffers of the JVM."""
+    """At most ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` an Arrow batch in this
+    session. Texts are some KB each and their shingle sets twice that, so Spark's
+    10,000 rows would be some 100 MB in a worker and as much in the JVM's buffers."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def give_back() -> None:
