@@ -38,23 +38,32 @@ RUN_COLUMNS = ["vec", "vecslug", "method", "K", "N", "D", "normed", "iterations"
 _LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
 
 
+def _key_values(text: str) -> F.Column:
+    """The lines of a log that have a ``=``, as ``pos, key, value``."""
+    lines = F.filter(F.transform(F.split(F.col(text), _LINE_BREAK), lambda line, pos: F.struct(
+        pos.alias("pos"), line.alias("line"))), lambda x: x["line"].contains("="))
+    return F.transform(lines, lambda x: F.struct(
+        x["pos"].alias("pos"), unicode_strip(F.substring_index(x["line"], "=", 1)).alias("key"),
+        unicode_strip(F.substring(x["line"], F.instr(x["line"], F.lit("=")) + 1, F.length(x["line"]))).alias("value")))
+
+
+def _last(key: str) -> F.Column:
+    return F.try_element_at(F.filter("_pairs", lambda x: x["key"] == key), F.lit(-1))
+
+
 def parse_run_logs(logs: DataFrame, path_col: str = "log_path", text_col: str = "text") -> DataFrame:
     """One typed row per log. Lines without ``=`` are ignored; key and
     value are stripped; the last value of a key wins. Integers that do not
     parse read 0, numbers NaN, booleans are 1 for ``1``/``true``/``yes``."""
-    lines = logs.select(F.col(path_col).alias("log_path"),
-                        F.posexplode(F.split(F.col(text_col), _LINE_BREAK)).alias("pos", "line"))
-    has_eq = F.col("line").contains("=")
-    kv = lines.select("log_path", "pos",
-                      F.when(has_eq, unicode_strip(F.substring_index("line", "=", 1))).alias("key"),
-                      F.when(has_eq, unicode_strip(F.expr("substring(line, instr(line, '=') + 1)")))
-                      .alias("value"))
     keys = STRING_KEYS + INT_KEYS + BOOL_KEYS + FLOAT_KEYS
-    # one aggregation per log: for every known key, the value on its last line
-    # (every log keeps a row, even one without any key)
-    wide = kv.groupBy("log_path").agg(*[
-        F.max_by(F.when(F.col("key") == k, F.col("value")),
-                 F.when(F.col("key") == k, F.col("pos"))).alias(k) for k in keys])
+    # the lines of a log stay in its row: its last line of every known key. Logs are dealt
+    # by path first, so rows of one path meet without a sort before the shuffle (which also
+    # keeps the pairs from being made once for every key)
+    pairs = logs.select(F.col(path_col).alias("log_path"), _key_values(text_col).alias("_pairs"))
+    last = pairs.filter(F.col("_pairs").isNotNull()).repartition("log_path").select(
+        "log_path", *[_last(k).alias(k) for k in keys])
+    wide = last.groupBy("log_path").agg(*[
+        F.max_by(F.col(f"`{k}`.value"), F.col(f"`{k}`.pos")).alias(k) for k in keys])
     cols = {}
     for k in STRING_KEYS:
         cols[k] = F.coalesce(F.col(f"`{k}`"), F.lit(""))
