@@ -89,8 +89,9 @@ def _nfkc_udf(s: pd.Series) -> pd.Series:
 
 def nfkc(col: Column) -> Column:
     """Unicode NFKC; rows already in NFKC never leave the JVM."""
-    # translate() looks characters up in a hash map: one pass, any alphabet
-    sensitive = F.length(F.translate(col, nfkc_sensitive_chars(), "")) != F.length(col)
+    # translate() looks characters up in a hash map: one pass, any alphabet; ASCII holds none
+    sensitive = (F.octet_length(col) != F.length(col)) & (
+        F.length(F.translate(col, nfkc_sensitive_chars(), "")) != F.length(col))
     return F.coalesce(_nfkc_udf(F.when(sensitive, col)), col)
 
 
@@ -106,12 +107,19 @@ def is_blank(col: Column) -> Column:
 def normalize_text(col: Column, lowercase: bool = True,
                    keep_class: str = REFERENCE_KEEP_CLASS, use_nfkc: bool = True) -> Column:
     """NFKC, URLs and e-mails to a space, characters outside the keep-class to a
-    space, white space collapsed and stripped, then lower case."""
+    space, white space collapsed and stripped, then lower case.
+
+    The two patterns run on the texts that hold what each of their matches holds. A
+    keep-class that is one character class is replaced together with white space."""
     s = nfkc(col) if use_nfkc else col
-    s = F.regexp_replace(s, _u(URL_PATTERN), " ")
-    s = F.regexp_replace(s, _u(EMAIL_PATTERN), " ")
-    s = F.regexp_replace(s, _u(keep_class), " ")
-    s = F.trim(F.regexp_replace(s, _u(r"\s+"), " "))
+    marked = s.contains("@") | s.contains("://") | s.contains("www.")
+    cut = F.regexp_replace(F.regexp_replace(s, _u(URL_PATTERN), " "), _u(EMAIL_PATTERN), " ")
+    s = F.when(marked, cut).otherwise(s)
+    if keep_class in (REFERENCE_KEEP_CLASS, UNICODE_KEEP_CLASS):
+        spaces = "[" + keep_class.removesuffix("+") + r"\s]+"
+    else:
+        s, spaces = F.regexp_replace(s, _u(keep_class), " "), r"\s+"
+    s = F.trim(F.regexp_replace(s, _u(spaces), " "))
     if lowercase:
         s = F.lower(s)
     return s

@@ -98,10 +98,13 @@ def clean_lines(lines: DataFrame, min_len: int = MIN_LINE_LENGTH, lowercase: boo
     ok = (F.length("text") >= min_len) & ~F.col("blank")
     if profile is not None:
         ok = ok & matches_profile(F.col("text"), profile)
-    # rejected lines share the null key: one row per map task, no text shuffled
+    # rejected lines share the null key: one row per map task, no text shuffled. They go
+    # by their count: a test of the key itself would be moved below the aggregation, where
+    # every line would be normalised once more for it
     df = df.select("doc_id", "line_pos", F.when(ok, F.col("text")).alias("key"))
-    out = df.groupBy("key").agg(F.min(F.struct("doc_id", "line_pos")).alias("first"))
-    return out.filter("key IS NOT NULL").select(
+    out = df.groupBy("key").agg(F.min(F.struct("doc_id", "line_pos")).alias("first"),
+                                F.count("key").alias("_n"))
+    return out.filter(F.col("_n") > 0).select(
         F.col("first.doc_id").alias("doc_id"), F.col("first.line_pos").alias("line_pos"),
         F.col("key").alias("text"))
 
