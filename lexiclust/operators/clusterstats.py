@@ -80,16 +80,14 @@ def pos_profile(members: DataFrame, word_map: DataFrame) -> DataFrame:
     m = bounded_broadcast(word_map.select(F.col("word").alias("_key"), "upos"))
     tagged = members.join(m, F.lower(F.col("word")) == F.col("_key"))
     counts = tagged.groupBy(*CKEY, "upos").agg(F.count(F.lit(1)).alias("c"), F.min("rank").alias("o"))
-    w = Window.partitionBy(*CKEY)
-    ent = (counts.withColumn("_tot", F.sum("c").over(w))
-           .withColumn("_p", F.col("c") / F.col("_tot"))
-           .groupBy(*CKEY).agg(
-               (-F.sum(F.col("_p") * F.log(F.col("_p") + F.lit(ENTROPY_EPS)))
-                / F.lit(math.log(N_UPOS_TAGS))).alias("pos_entropy"),
-               F.first("_tot").alias("covered")))
-    top = _top_share(counts, CKEY, "upos")
-    return (top.select(*CKEY, F.col("top").alias("top_pos"), F.col("share").alias("pos_purity"))
-            .join(ent, CKEY))
+    # one row a cluster and tag from here: top tag and entropy in one aggregation
+    share = F.col("c") / F.col("_tot")
+    first = F.min_by(F.struct("upos", "c"), F.struct((-F.col("c")).alias("c"), "o"))
+    out = counts.withColumn("_tot", F.sum("c").over(Window.partitionBy(*CKEY))).groupBy(*CKEY).agg(
+        first.alias("_best"), F.first("_tot").alias("covered"),
+        (-F.sum(share * F.log(share + F.lit(ENTROPY_EPS))) / F.lit(math.log(N_UPOS_TAGS))).alias("pos_entropy"))
+    return out.select(*CKEY, F.col("_best.upos").alias("top_pos"),
+                      (F.col("_best.c") / F.col("covered")).alias("pos_purity"), "pos_entropy", "covered")
 
 
 def cluster_stats(assignments: DataFrame, vectors: DataFrame, word_map: DataFrame) -> DataFrame:
