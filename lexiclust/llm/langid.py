@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiclust.llm.common import Shared, chunks, held_out
+from lexiclust.llm.common import Shared, chunks, give_back, held_out
 
 TRAIN_ROWS = 10_000  # texts learnt from, at most about this many, shared by the languages
 MAX_WORDS = 100_000  # words the model knows; the n-grams stand for the rest
@@ -223,4 +223,5 @@ def predict(docs: DataFrame, model: BackoffModel, text: str = "text",
             yield pa.StructArray.from_arrays(
                 [pa.array([x[0] for x in rows], pa.string()),
                  pa.array([x[1] for x in rows], pa.float64())], names=["lang_pred", "score"])
+        give_back()
     return docs.withColumn(out, identify(F.col(text)))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiclust.llm.common import Shared, bounded_batches, chunks, stored
+from lexiclust.llm.common import Shared, bounded_batches, chunks, give_back, stored
 from lexiclust.llm.components import connected_components
 from lexiclust.llm.wordhash import mix, segment, shingle_hashes
 
@@ -50,6 +50,8 @@ LIST_LENGTH = 4096
 # they hold no more shingles together than that.
 DENSE_PAIRS = 4
 DENSE_SHINGLES = 1 << 22
+SQUARE_ROWS, SQUARE_COLUMNS = 256, 1024  # of the products that count a list's sets
+PAIRS_HELD = 1 << 17  # candidate pairs of one Arrow batch
 # How likely a pair exactly at the threshold may be passed over by the matches, and
 # by the lists and tuples of each round.
 MISSED_MATCHES = 1e-7
@@ -199,7 +201,15 @@ def _candidates(threshold: int, matches: int):
                 ids, comp = m.field("id"), m.field("comp").dictionary_encode().indices.to_numpy()
                 n, c = m.field("n").to_numpy(), m.field("c").to_numpy()
                 sig = m.field("s").flatten().to_numpy().reshape(len(n), -1).view(np.uint8)
-                left, right = [], []
+                countable = int(n.sum()) <= DENSE_SHINGLES
+                left, right, held = [], [], 0
+
+                def pairs():
+                    a, b = np.concatenate(left), np.concatenate(right)
+                    return pa.RecordBatch.from_arrays(
+                        [batch.column("key").take(pa.array(np.full(len(a), i))), ids.take(pa.array(a)),
+                         ids.take(pa.array(b))], names=["key", "a", "b"])
+
                 for at in range(0, len(n), 64):
                     x = np.arange(at, min(at + 64, len(n)))[:, None]
                     small, large = np.minimum(n[x], n), np.maximum(n[x], n)
@@ -214,13 +224,19 @@ def _candidates(threshold: int, matches: int):
                         close[part] = (sig[a[part]] == sig[b[part]]).sum(axis=1) >= matches
                     left.append(a[close])
                     right.append(b[close])
-                a, b = np.concatenate(left), np.concatenate(right)
-                if len(a) > DENSE_PAIRS * len(n) and int(n.sum()) <= DENSE_SHINGLES:
-                    columns = [batch.column("key").slice(i, 1), pa.nulls(1, ids.type), pa.nulls(1, ids.type)]
+                    held += len(left[-1])
+                    if countable and held > DENSE_PAIRS * len(n):
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("key").slice(i, 1), pa.nulls(1, ids.type),
+                             pa.nulls(1, ids.type)], names=["key", "a", "b"])
+                        break
+                    if not countable and held > PAIRS_HELD:
+                        yield pairs()
+                        left, right, held = [], [], 0
                 else:
-                    columns = [batch.column("key").take(pa.array(np.full(len(a), i))),
-                               ids.take(pa.array(a)), ids.take(pa.array(b))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "a", "b"])
+                    if left:
+                        yield pairs()
+        give_back()
     return fn
 
 
@@ -235,36 +251,57 @@ def _counted(threshold: int):
                 ids = m.field("id")
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(root[other])), ids.take(pa.array(other))], names=["a", "b"])
+        give_back()
     return fn
 
 
 def components_of(sets: list[np.ndarray], threshold: int) -> np.ndarray:
-    """For each set the first one that links lead to."""
-    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1
-    column = (np.cumsum(shared) - 1)[shingle]
-    keep = shared[shingle]
-    order = np.argsort(column[keep], kind="stable")
-    owner, column = owner[keep][order], column[keep][order]
-    inter = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    width = 1024
-    for at in range(0, int(shared.sum()), width):
-        lo, hi = np.searchsorted(column, [at, at + width])
-        part = np.zeros((len(sets), width), dtype=np.float32)
-        part[owner[lo:hi], column[lo:hi] - at] = 1
-        inter += part @ part.T
-    linked = inter * 100 >= (sizes[:, None] + sizes - inter) * threshold
-    root = np.arange(len(sets))
+    """For each set the first one that links lead to. Of the squares of the sets' count
+    only one, of single bytes, is held; the others are made for some sets at a time."""
+    count = len(sets)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=count)
+    owner, starts = _by_shared(sets, sizes)
+    linked = np.empty((count, count), dtype=bool)
+    for lo in range(0, count, SQUARE_ROWS):
+        rows = slice(lo, min(lo + SQUARE_ROWS, count))
+        inter = np.zeros((rows.stop - lo, count - lo), dtype=np.float32)
+        for at in range(0, len(starts) - 1, SQUARE_COLUMNS):
+            ends = starts[at:at + SQUARE_COLUMNS + 1]
+            column = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            mine = owner[ends[0]:ends[-1]]
+            part = np.zeros((count - lo, SQUARE_COLUMNS), dtype=np.float32)
+            part[mine[mine >= lo] - lo, column[mine >= lo]] = 1
+            inter += part[:rows.stop - lo] @ part.T
+        both = inter.astype(np.int64)
+        linked[rows, lo:] = both * 100 >= (sizes[rows, None] + sizes[lo:] - both) * threshold
+        linked[lo:, rows] = linked[rows, lo:].T
+    root = np.arange(count)
     while True:
-        near = np.where(linked, root, len(sets)).min(axis=1)
-        near = np.minimum(near, root)[np.minimum(near, root)]
+        near = np.empty_like(root)
+        for lo in range(0, count, SQUARE_ROWS):
+            near[lo:lo + SQUARE_ROWS] = np.where(linked[lo:lo + SQUARE_ROWS], root, count).min(axis=1)
+        near = np.minimum(near, root)
+        near = near[near]
         if (near == root).all():
             return root
         root = near
 
 
+def _by_shared(sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets that hold each shingle of more than one set, shingle by shingle, and
+    where each shingle's begin, with the end."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(flat), 1), dtype=bool), flat[1:] != flat[:-1]]))
+    del flat
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+    del order
+    times = np.diff(np.append(first, len(owner)))
+    owner = owner[np.repeat(times > 1, times)]
+    return owner, np.concatenate([[0], np.cumsum(times[times > 1])])
+
+
 class _Search:
     """One run over the representatives of a document table (``info``: ``id``,
     set size ``n``, shared part ``c`` and signature words ``s0``...)."""

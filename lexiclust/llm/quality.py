@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiclust.llm.common import Shared, bounded_sample, chunks, held_out
+from lexiclust.llm.common import Shared, bounded_sample, chunks, give_back, held_out
 from lexiclust.llm.wordhash import mix, powers, segment, shingle_hashes
 
 TRAIN_ROWS = 6000  # labelled texts in the broadcast model, at most about this many
@@ -189,4 +189,5 @@ def score(docs: DataFrame, model: LatentModel, text: str = "text", out: str = "q
         for texts in batches:
             parts = [m.scores(part, neighbours, power) for part in chunks(texts)]
             yield pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
+        give_back()
     return docs.withColumn(out, votes(F.col(text)))

@@ -1,6 +1,7 @@
 """Lists of near copies counted as matrices."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -48,3 +49,15 @@ def test_counted_lists_give_the_components_of_paired_ones(spark, monkeypatch):
     monkeypatch.setattr(neardup, "DENSE_PAIRS", 10**9)
     assert sorted(map(tuple, neardup.near_duplicates(df).collect())) == want
     assert 1 < len({r[2] for r in want}) < 60
+
+
+def test_counting_a_list_holds_one_square_of_bytes():
+    rng = np.random.default_rng(5)
+    n = 2000
+    sets = [np.unique(np.concatenate([np.arange(50), rng.integers(100, 1000, 4)])) for _ in range(n)]
+    tracemalloc.start()
+    root = neardup.components_of(sets, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (root == 0).all()
+    assert peak < 16 * n * n
