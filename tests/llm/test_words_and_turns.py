@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -341,6 +342,29 @@ def test_a_context_leaves_no_probability_over():
     assert np.allclose((10.0 ** trie.cost.astype(float)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_building_the_trie_lays_out_only_the_bytes_that_occur():
+    rng = random.Random(2)
+    texts = [lm._framed([bytes(rng.choices(b"abcdefghijklmnop", k=30))], 3) for _ in range(1500)]
+    keys, counts = np.unique(lm.grams(texts, 3), return_counts=True)
+    levels = [lm._merged([(keys & ((1 << 8 * (k + 1)) - 1), counts)]) for k in range(4)]
+    entries = (np.concatenate([np.full(len(c), k) for k, (c, _) in enumerate(levels)]),
+               np.concatenate([c for c, _ in levels]), np.concatenate([n for _, n in levels]))
+    tracemalloc.start()
+    trie = lm.build_trie(*entries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(trie.step) > 4000 and trie.cost.shape == (len(trie.step), 256)
+    assert peak < 8 * 256 * len(trie.step)
+    assert trie.costs.nbytes + trie.step.nbytes < 256 * len(trie.step)
+
+
+def test_postings_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(lm, "OUT_ROWS", 4)
+    ends = np.array([0, 1, 2, 9, 10, 13, 14])
+    parts = list(lm._slices(ends))
+    assert [(p.start, p.stop) for p in parts] == [(0, 2), (2, 3), (3, 5), (5, 6)]
+
+
 def test_scores_without_texts_to_learn_from(spark):
     rows = spark.createDataFrame([(1, "ab c"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score_documents(rows, F.lit(None).cast("boolean")).collect()}
