@@ -10,15 +10,18 @@ pieces of their length.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +34,7 @@ CACHE_WORDS = 500_000  # words whose ids a worker remembers
 _WORD_END = "</w>"  # closes every pre-token's last symbol (fixed value of the file format)
 _JOINED = 2000  # words in one call of the tokenizer
 # Signs before a space or the end, after a letter or digit.
-_ODD = re.compile(r"<\||[\u03a3\u0130]")
+_ODD = "<|", "\u03a3", "\u0130"
 _WORD_THEN_SIGNS = re.compile(r"[,.!*&$%#|](?<=[^\W_].)[,.!*&$%#|]*(?=[ \n]|\Z)")
 _SIGNS = ".,;:!?*&$%#|\"()-"  # ASCII signs that may end a word
 
@@ -55,6 +58,11 @@ class WordIds(dict):
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith(_WORD_END)]] = True
         self.limit = limit
+        # Letters that the tokenizer keeps as they are, and their bytes as its model has them.
+        letters = [c for c in map(chr, range(256)) if c.isalpha()
+                   and self.tokenizer.normalizer.normalize_str(c) == c]
+        self.spelt = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        self.plain = re.compile(f"[{''.join(letters)}]+").fullmatch
 
     def learn(self, words: set[str]) -> None:
         """Make sure that all ``words`` are held."""
@@ -66,8 +74,11 @@ class WordIds(dict):
             new = words.difference(self)
         # A word of letters and a tail of other signs is two pre-tokens, and
         # the tokenizer folds case, so most new words are known in their parts.
-        whole, single, parts = [], set(), []
+        whole, single, parts, plain = [], set(), [], self.plain
         for word in new:
+            if plain(word):
+                single.add(word)
+                continue
             stem = word.rstrip(_SIGNS)
             low = stem.lower()
             if not low.isalpha() or "\u03a3" in stem:  # (capital sigma folds by its place)
@@ -88,8 +99,18 @@ class WordIds(dict):
             self[word] = self[low] + self[tail]
 
     def _encode_single(self, words: list[str]) -> None:
-        """Ids of words that are one pre-token each: many words in one call,
-        told apart by the ids that end a word."""
+        """Ids of words that are one pre-token each. Words of plain letters go to the
+        tokenizer's model at once; of others many go in one call, told apart by the ids
+        that end a word."""
+        tokenize, ids, ends = self.tokenizer.model.tokenize, array("I"), [0]
+        own = list(filter(self.plain, words))
+        for word in own:
+            spelt = word if word.isascii() else word.translate(self.spelt)
+            ids.extend([token.id for token in tokenize(spelt)])
+            ends.append(4 * len(ids))
+        raw = np.array(ids, dtype="<u4").tobytes()
+        self.update((word, raw[a:b]) for word, (a, b) in zip(own, itertools.pairwise(ends), strict=True))
+        words = [word for word in words if not self.plain(word)]
         for at in range(0, len(words), _JOINED):
             group = words[at:at + _JOINED]
             e = self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0]
@@ -101,21 +122,36 @@ class WordIds(dict):
                 begin = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts. The tokenizer drops white space and no token
-        spans it, so a text's ids are those of its words in turn."""
-        split = [_words(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
-
-
-def _words(text: str) -> list[str]:
-    """The text cut at white space and between a word and the signs that end
+        """Ids of whole texts, each as little-endian uint32 bytes."""
+        ids, ends = self.encode_flat(texts)
+        return [ids[a:b].tobytes() for a, b in itertools.pairwise([0, *ends.tolist()])]
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one after the other, and where each text's end. The
+        tokenizer drops white space and no token spans it, so a text's ids are those of
+        its words in turn; each different word is looked up once."""
+        split = pc.split_pattern(pa.array([_spaced(t) if t else "" for t in texts], pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(set(distinct))
+        found = list(map(self.__getitem__, distinct))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        table, begin = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        word = words.indices.to_numpy()
+        ends = np.cumsum(sizes[word])
+        shift = begin[word] - ends + sizes[word]  # from a place in the result to one in the table
+        ids = table[np.repeat(shift, sizes[word]) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[split.offsets.to_numpy()[1:]]
+
+
+def _spaced(text: str) -> str:
+    """The text with spaces for white space and between a word and the signs that end
     it, where two pre-tokens meet; case is folded as the tokenizer does. Not so
     beside what may be a special token, which is matched before folding, nor
     with a capital sigma or dotted I, which fold by their place or to two."""
-    if not _ODD.search(text):
+    if not any(odd in text for odd in _ODD):
         text = _WORD_THEN_SIGNS.sub(r" \g<0>", text.lower())
-    return text.replace("\n", " ").replace("\t", " ").split(" ")
+    return text.replace("\n", " ").replace("\t", " ")
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, keys: list[str], text: str = "text",
@@ -130,7 +166,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, keys: list[str], text: st
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = Shared(docs.sparkSession, f.read())
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     rows = docs.select(*keys, F.col(text).alias("_text"))
     schema = T.StructType([*(rows.schema[k] for k in keys), *_PIECE_FIELDS])
@@ -141,16 +176,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, keys: list[str], text: st
             begin = 0
             for part in chunks(batch.column(len(keys))):
                 # one batch out for each few texts: ids are never held for more
-                ids = [x + end for x in encoder.encode(part)]
-                at = [(n, a) for n, x in enumerate(ids) for a in range(0, len(x), 4 * max_tokens)]
-                pieces = [ids[n][a:a + 4 * max_tokens] for n, a in at]
-                owner = pa.array([begin + n for n, _ in at], pa.int64())
+                ids, ends = encoder.encode_flat(part)
+                ids = np.insert(ids, ends, end_id)
+                ends += np.arange(1, len(ends) + 1)
+                tokens = np.diff(ends, prepend=0)
+                cuts = -(-tokens // max_tokens)
+                owner = np.repeat(np.arange(len(part)), cuts)
+                start = (np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * max_tokens
+                length = np.minimum(tokens[owner] - start, max_tokens)
+                offsets = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
+                pieces = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(owner), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                whose = pa.array(begin + owner)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(owner) for k in range(len(keys))),
-                     pa.array([a // 4 for _, a in at], pa.int64()),
-                     pa.array([len(x) // 4 for x in pieces], pa.int64()),
-                     pa.array(pieces, pa.binary()),
-                     pa.array([len(ids[n]) // 4 for n, _ in at], pa.int64())],
+                    [*(batch.column(k).take(whose) for k in range(len(keys))), pa.array(start),
+                     pa.array(length), pieces, pa.array(tokens[owner])],
                     names=[*keys, *(f.name for f in _PIECE_FIELDS)])
                 begin += len(part)
             give_back()

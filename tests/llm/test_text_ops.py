@@ -77,6 +77,27 @@ def test_word_ids_equal_the_library():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole]
 
 
+def test_words_of_plain_letters_skip_the_full_tokenizer():
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        words = packing.WordIds(f.read())
+    asked, tokenizer = [], words.tokenizer
+
+    class Watched:
+        model = tokenizer.model
+
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    words.tokenizer = Watched()
+    rows = ["Zwölf quorbel, été!\nquorbel quorbel", "straße \u0142\u00f3d\u017a", None]
+    got = [np.frombuffer(g, "<u4").tolist() for g in words.encode(rows)]
+    assert [[*g, 1] for g in got] == [library_ids(t) for t in rows]
+    assert asked and not any("quorbel" in t or "été" in t for t in asked)
+    ids, ends = words.encode_flat(rows)
+    assert ends.tolist() == np.cumsum([len(g) for g in got]).tolist() and len(ids) == ends[-1]
+
+
 def test_patterns_place_every_length():
     random.seed(3)
     for cap in (8, 64, 2048):
