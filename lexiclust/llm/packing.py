@@ -30,7 +30,7 @@ from lexiclust.llm.common import Shared, chunks, give_back, stored
 
 MAX_TOKENS = 2048
 END_ID = 1  # closes every document
-CACHE_WORDS = 500_000  # words whose ids a worker remembers
+CACHE_WORDS = 120_000  # words whose ids a worker remembers, some 0.3 KB each
 _WORD_END = "</w>"  # closes every pre-token's last symbol (fixed value of the file format)
 _JOINED = 2000  # words in one call of the tokenizer
 # Signs before a space or the end, after a letter or digit.
@@ -45,7 +45,7 @@ _PIECE_FIELDS = [T.StructField("start", T.LongType()), T.StructField("length", T
 class WordIds(dict):
     """Word -> its ids as little-endian uint32 bytes, filled by the tokenizer.
 
-    Bounded: once ``limit`` words are held, the older half is forgotten.
+    Bounded: once ``limit`` words are held, the half not met for longest is forgotten.
     """
 
     def __init__(self, tokenizer_json: str, limit: int = CACHE_WORDS):
@@ -67,6 +67,8 @@ class WordIds(dict):
     def learn(self, words: set[str]) -> None:
         """Make sure that all ``words`` are held."""
         new = words.difference(self)
+        for word in words - new:
+            self[word] = self.pop(word)  # last in order
         if len(self) + 2 * len(new) > self.limit:
             for word in list(self)[:len(self) // 2]:
                 del self[word]
@@ -91,9 +93,11 @@ class WordIds(dict):
                 if tail not in self:
                     single.add(tail)
                 parts.append((word, low, tail))
-        for word, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False),
-                           strict=True):
-            self[word] = np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(whole), _JOINED):
+            group = whole[at:at + _JOINED]
+            for word, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False),
+                               strict=True):
+                self[word] = np.array(e.ids, dtype="<u4").tobytes()
         self._encode_single(list(single))
         for word, low, tail in parts:
             self[word] = self[low] + self[tail]

@@ -77,6 +77,22 @@ def test_word_ids_equal_the_library():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in whole]
 
 
+def test_a_worker_keeps_the_words_it_met_last():
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        spec = f.read()
+    words = packing.WordIds(spec, 64)
+    letters = "abcdefghijklmnop"
+    rows = [f"often {a}{b}q {b}{a}z" for a in letters for b in letters]
+    asked, single = [], words._encode_single
+    words._encode_single = lambda new: (asked.extend(new), single(new))[1]
+    whole = Tokenizer.from_str(spec).encode_batch(rows, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u4").tolist() for r in rows for g in words.encode([r])] == [
+        e.ids for e in whole]
+    assert len(words) <= words.limit and asked.count("often") == 1
+    # a worker's share of an executor: two of them stand beside a full JVM
+    assert packing.CACHE_WORDS <= 120_000
+
+
 def test_words_of_plain_letters_skip_the_full_tokenizer():
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
         words = packing.WordIds(f.read())
