@@ -375,3 +375,40 @@ def test_scores_without_texts_to_learn_from(spark):
     assert lm.score_documents(none, F.lit(True)).collect() == []
     with pytest.raises(ValueError):
         lm.score_documents(rows, F.lit(True), order=7)
+
+
+def test_scores_learn_from_every_context(spark):
+    rng = random.Random(11)  # more different contexts than any bound on a model's size had been
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(25)))
+            for i in range(300)]
+    rows += [(300, "qqqq " + rows[0][1][:200]), (301, rows[1][1]), (302, "zzz\x01 " + rows[2][1][100:300])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = [t for i, t in rows if i % 7 != 2]
+    framed = [lm._framed(lm.words(t), 5) for t in train]
+    assert len({f[i - k:i] for f in framed for i in range(5, len(f)) for k in range(6)}) > 1 << 16
+    got = {r.doc_id: r.score for r in lm.score_documents(df, F.col("doc_id") % 7 != 2).collect()}
+    for i in (2, 9, 300, 302):
+        assert got[i] == pytest.approx(plain_score(train, rows[i][1], 5), rel=1e-5, abs=1e-4)
+
+
+@pytest.mark.parametrize("order", [5, 3, 1])
+def test_scores_do_not_depend_on_the_tables_sent(spark, monkeypatch, order):
+    rng = random.Random(order)
+    rows = list(enumerate(some_texts(rng, 60))) + [(60, None), (61, ""), (63, "unseen wörds"), (None, "abc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = [t for i, t in rows if i is not None and i % 7 != 2]
+    monkeypatch.setattr(lm, "PART_GRAMS", 100)
+    monkeypatch.setattr(lm, "CHUNK", 500)
+    got = {r.doc_id: r.score for r in lm.score_documents(df, F.col("doc_id") % 7 != 2, order=order).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(plain_score(train, t, order), rel=1e-5, abs=1e-4)
+
+
+def test_a_table_of_costs_finds_what_it_holds():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 48, 5000))
+    costs = rng.random(len(keys)).astype(np.float32)
+    table = lm.cost_table(keys[::2], costs[::2])
+    assert (lm.look_up(table, keys) == np.where(np.arange(len(keys)) % 2 == 0, costs, 0)).all()
+    none = lm.cost_table(keys[:0], costs[:0])
+    assert (lm.look_up(none, keys) == 0).all()
