@@ -235,7 +235,9 @@ def near_words(vocab: DataFrame, symbols: int = SYMBOLS, bits: int = BITMAP_BITS
 
     around = keyed.select("word", "n").mapInArrow(generate, "word string, n bigint, key bigint")
     other = keyed.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return around.join(other, "key").where(
+    # the planner takes what is generated to be as small as the words it comes from, and the
+    # words for the size of their files: neither side is to go through the driver by that
+    return around.join(other.hint("merge"), "key").where(
         (F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)
     ).select("word", "n", "near", "near_n")
 
@@ -246,7 +248,7 @@ def roots(forms: DataFrame) -> DataFrame:
     found = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = found.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        step = stored(found.join(onward, "root", "left").select("word", "root", "_next"), "roots")
+        step = stored(found.join(onward.hint("merge"), "root", "left").select("word", "root", "_next"), "roots")
         if step.where(F.col("_next").isNotNull()).isEmpty():
             return found
         found = step.select("word", F.coalesce("_next", "root").alias("root"))
@@ -270,10 +272,10 @@ def group_variants(docs: DataFrame, key: str = "doc_id", text: str = "text",
     best = near_words(vocab, symbols, bits).groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"),
         F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("_best"))
-    rows = vocab.join(best, "word", "left").select(
+    rows = vocab.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(-F.col("_best.less") >= F.col("n") * ratio, F.col("_best")).alias("_best"))
     rows = stored(rows.select("word", "n", "n_near", F.col("_best.near").alias("form"),
                               (-F.col("_best.less")).alias("form_n")), "variants")
     ends = roots(rows.where(F.col("form").isNotNull()))
-    return rows.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return rows.join(ends.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))

@@ -412,3 +412,13 @@ def test_a_table_of_costs_finds_what_it_holds():
     assert (lm.look_up(table, keys) == np.where(np.arange(len(keys)) % 2 == 0, costs, 0)).all()
     none = lm.cost_table(keys[:0], costs[:0])
     assert (lm.look_up(none, keys) == 0).all()
+
+
+def test_no_table_of_words_is_broadcast_by_its_files_size(spark):
+    words = [(f"{a}{b}{c}word", 9) for a in "abcdef" for b in "abcdef" for c in "abcdef"]
+    vocab = spark.createDataFrame(words, "word string, n long")
+    docs = spark.createDataFrame([(1, " ".join(w for w, n in words for _ in range(n)))], "doc_id long, text string")
+    for found in (variants.near_words(vocab), variants.group_variants(docs)):
+        assert found.count() > 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
