@@ -164,3 +164,23 @@ def test_vector_matrix_from_arrow():
     from lexiclust.operators.vectors import vec_matrix
     b = pa.RecordBatch.from_arrays([pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float32()))], names=["vec"])
     assert np.array_equal(vec_matrix(b), np.array([[1, 2], [3, 4]], dtype=float))
+
+
+def test_treebank_lines_are_read_twice_and_meet_without_comments(spark):
+    raw = ["# text = a b", "1\ta\ta\tX\t_", "1-2\t_\t_\t_\t_", "2\tb.c\tb-c\tY\t_", "short\trow", "", "",
+           "# x", "1.1\tq\tq\tZ\t_", "3\td\td\tX\t_", None, "\tno id\tl\tX", "4#\te\te\tX"]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+    rows = [(d, i * 3000, t) for d in (0, 1) for i, t in enumerate(raw)]
+    lines = spark.createDataFrame(rows, "doc_id long, line_pos long, raw string")
+    seen = lb.parse_treebank(lines.mapInArrow(counted, lines.schema))
+    got = [(r.doc_id, r.sent, r.id, r.form, r.lemma, r.upos) for r in seen.orderBy("ord").collect()]
+    assert got == [(d, 2 * d + s, *t.split("\t")[:4]) for d in (0, 1) for s, t in (
+        (0, raw[1]), (0, raw[3]), (2, raw[9]), (2, raw[11]), (2, raw[12]))]
+    assert reads.value <= 2 * len(rows)
+    plan = lb.parse_treebank(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("StartsWith(raw")
